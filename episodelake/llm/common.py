@@ -54,3 +54,8 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     at_hot = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return at_hot.unionByName(rest.join(groups.where(F.col(size) <= max(1, total // HOT_SHARE)), key, "left"))
+
+
+def shingle_hash(words: Column, at: Column, size: int) -> Column:
+    """64-bit hash of ``size`` words from position ``at`` (0-based); equals xxhash64 of that slice."""
+    return F.xxhash64(*[F.get(words, at + i) for i in range(size)])

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from episodelake.llm.decontaminate import decontaminate
 from episodelake.llm.exact_dedup import exact_dedup
+from episodelake.llm.license_scan import TEMPLATES, license_scan
 from episodelake.llm.sharding import shard_rows
 from episodelake.llm.token_counts import count_tokens
 
@@ -25,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,7 +39,38 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+#: The words of a text in DuckDB.
+SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+SQL_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
+
 ORACLE = {
+    "op6_decontamination": rf"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, w[i:i + 9] AS win FROM b, LATERAL unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len(win) AS n FROM bw),
+p AS (SELECT doc_id, i, n, w[i:i + n - 1] AS win FROM d, lens, LATERAL unnest(range(1, len(w) - n + 2)) t(i)),
+m AS (SELECT doc_id, i, n, item_id FROM p JOIN bw USING (win)),
+h AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM m), LATERAL unnest(range(0, n)) t(k) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS x FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op10_license_scan": rf"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, i - 1 AS at, array_to_string(w[i:i + 4], ' ') AS sh FROM d, LATERAL unnest(range(1, len(w) - 3)) t(i)),
+tw AS (SELECT license, {SQL_WORDS} AS w FROM (VALUES {SQL_TEMPLATES}) v(license, text)),
+ts AS (SELECT DISTINCT license, len(w) - 4 AS t, array_to_string(w[i:i + 4], ' ') AS sh FROM tw, LATERAL unnest(range(1, len(w) - 3)) t(i)),
+tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+m AS (SELECT DISTINCT doc_id, license, t, sh, (CAST(floor(at / t) AS bigint) - k) * t AS start FROM s JOIN ts USING (sh), (VALUES (0), (1)) x(k) WHERE CAST(floor(at / t) AS bigint) - k >= 0),
+f AS (SELECT doc_id, license, start FROM m JOIN tn USING (license) GROUP BY doc_id, license, start, n HAVING count(*) >= 0.8 * n),
+g AS (SELECT doc_id, count(DISTINCT license) AS n_licenses, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_windows FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(n_windows, 0) AS n_windows
+FROM d LEFT JOIN g USING (doc_id)""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -43,7 +80,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
+    return {"op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
