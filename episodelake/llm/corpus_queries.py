@@ -62,11 +62,11 @@ SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op10_license_scan": rf"""
 WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
-s AS (SELECT doc_id, i - 1 AS at, array_to_string(w[i:i + 4], ' ') AS sh FROM d, LATERAL unnest(range(1, len(w) - 3)) t(i)),
+s AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS sh FROM d, LATERAL unnest(range(1, len(w) - 3)) t(i)),
 tw AS (SELECT license, {SQL_WORDS} AS w FROM (VALUES {SQL_TEMPLATES}) v(license, text)),
 ts AS (SELECT DISTINCT license, len(w) - 4 AS t, array_to_string(w[i:i + 4], ' ') AS sh FROM tw, LATERAL unnest(range(1, len(w) - 3)) t(i)),
 tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
-m AS (SELECT DISTINCT doc_id, license, t, sh, (CAST(floor(at / t) AS bigint) - k) * t AS start FROM s JOIN ts USING (sh), (VALUES (0), (1)) x(k) WHERE CAST(floor(at / t) AS bigint) - k >= 0),
+m AS (SELECT DISTINCT doc_id, license, t, sh, (CAST(floor(pos / t) AS bigint) - k) * t AS start FROM s JOIN ts USING (sh), (VALUES (0), (1)) x(k) WHERE CAST(floor(pos / t) AS bigint) - k >= 0),
 f AS (SELECT doc_id, license, start FROM m JOIN tn USING (license) GROUP BY doc_id, license, start, n HAVING count(*) >= 0.8 * n),
 g AS (SELECT doc_id, count(DISTINCT license) AS n_licenses, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_windows FROM f GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(n_windows, 0) AS n_windows
