@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from episodelake.llm.decontaminate import decontaminate
 from episodelake.llm.exact_dedup import exact_dedup
 from episodelake.llm.license_scan import TEMPLATES, license_scan
+from episodelake.llm.quality import score_quality
+from episodelake.llm.sentencepiece_codec import encode_texts
 from episodelake.llm.sharding import shard_rows
 from episodelake.llm.token_counts import count_tokens
+from episodelake.llm.warc import archive_round_trip
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,6 +30,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +63,14 @@ SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCD
 SQL_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
 
 ORACLE = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS bigint) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM r""",
     "op6_decontamination": rf"""
 WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
@@ -80,7 +103,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
+    return {"op1_warc": op1_warc, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
