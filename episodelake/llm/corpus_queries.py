@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from episodelake.llm.decontaminate import decontaminate
 from episodelake.llm.exact_dedup import exact_dedup
 from episodelake.llm.license_scan import TEMPLATES, license_scan
+from episodelake.llm.near_dedup import near_duplicates
 from episodelake.llm.quality import score_quality
 from episodelake.llm.sentencepiece_codec import encode_texts
 from episodelake.llm.sharding import shard_rows
@@ -46,6 +47,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -103,7 +108,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
+    return {"op1_warc": op1_warc, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,67 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodelake.llm.bloom import hash_filter, may_hold
 from episodelake.llm.common import attach_groups, written
 
-#: Bits of the filter: so many for each row, between the two bounds (the upper one is 32 MB).
-BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
-PROBES = 3
-#: The filter is put together in segments of so many bits.
-SEGMENT_BITS = 1 << 16
-
-
 def normalised(text: Column) -> Column:
     """Runs of ASCII white space become one space; null becomes an empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def probe_bits(hashes: np.ndarray, n_bits: int) -> np.ndarray:
-    """PROBES bit numbers for each 64-bit hash, by double hashing; shape (PROBES, n)."""
-    h = hashes.view(np.uint64)
-    low, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * step) % np.uint64(n_bits) for i in range(PROBES)]).astype(np.int64)
-
-
-def repeated_filter(digests: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
-    """Pass 1: a Bloom filter of the hashes that may occur more than once.
-
-    Each task keeps which bits its rows set once and which they set for two
-    rows or more, and sends both by segment. A bit of the result is set when
-    two tasks set it, or one task set it twice. All bits of a repeated hash
-    are therefore set (no misses); the filter has MOST_BITS at most whatever
-    the input, and a fuller filter only lets more rows through to the shuffle.
-    """
-    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ROW * max(1, n_rows) - 1).bit_length()))
-
-    def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            values, counts = np.unique(probe_bits(batch["h"].to_numpy(np.int64), n_bits), return_counts=True)
-            # bits met again: by this batch's other rows, or by an earlier batch
-            twice = np.union1d(twice, np.union1d(values[counts > 1], np.intersect1d(once, values, assume_unique=True)))
-            once = np.union1d(once, values)
-        for kind, found in ((1, once), (2, twice)):
-            segment = found // SEGMENT_BITS
-            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(found) else []
-            ends = [*starts[1:], len(found)] if len(found) else []
-            for a, b in zip(starts, ends, strict=True):
-                low = (found[a:b] % SEGMENT_BITS).astype("<u2")
-                yield pd.DataFrame({"segment": [int(segment[a])], "kind": [kind], "bits": [low.tobytes()]})
-
-    def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(SEGMENT_BITS, np.int64)
-        for kind, bits in zip(part["kind"], part["bits"], strict=True):
-            seen[np.frombuffer(bits, "<u2")] += 1 if kind == 1 else 2
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(seen > 1).tobytes()]})
-
-    parts = digests.select("h").mapInPandas(of_task, "segment long, kind int, bits binary")
-    filled = np.zeros(n_bits // 8, np.uint8)
-    for segment, bits in parts.groupBy("segment").applyInPandas(merged, "segment long, bits binary").toLocalIterator():
-        start = segment * SEGMENT_BITS // 8
-        filled[start : start + SEGMENT_BITS // 8] = np.frombuffer(bits, np.uint8)
-    return filled, n_bits
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: which row of its group of equal texts stays.
 
@@ -86,15 +33,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sha = F.sha2(normalised(F.col(text_col)), 256)
     digests = written(docs.select(F.col(id_col).alias("id"), F.unhex(sha).alias("sha")).withColumn("h", F.xxhash64("sha")))
     total = digests.count()
-    filled, n_bits = repeated_filter(digests, total)
-    shared = spark.sparkContext.broadcast(filled)
+    shared = spark.sparkContext.broadcast(hash_filter(digests, total, times=2))
 
     def flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
         for batch in batches:
-            at = probe_bits(batch["h"].to_numpy(np.int64), n_bits)
-            hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-            yield batch.assign(suspect=hit.astype(bool))
+            yield batch.assign(suspect=may_hold(shared.value, batch["h"].to_numpy(np.int64)))
 
     rows = written(digests.mapInPandas(flagged, f"id {dict(docs.dtypes)[id_col]}, sha binary, h long, suspect boolean").drop("h"))
     suspects = rows.where("suspect").drop("suspect")

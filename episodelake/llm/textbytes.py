@@ -94,8 +94,8 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((counts > 0) & (counts < size))
     for d in short:
         a, b = words.offsets[d], words.offsets[d + 1]
-        x = np.uint64(b - a)
+        x = np.array([b - a], np.uint64)
         for w in words.hash[a:b]:
-            x = mix(np.atleast_1d(x * BASE + w))[0]
-        h[a], whole[a] = x, True
+            x = mix(x * BASE + w)
+        h[a], whole[a] = x[0], True
     return h[whole], words.doc[whole]
