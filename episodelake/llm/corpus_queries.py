@@ -13,6 +13,7 @@ from episodelake.llm.near_dedup import near_duplicates
 from episodelake.llm.quality import score_quality
 from episodelake.llm.sentencepiece_codec import encode_texts
 from episodelake.llm.sharding import shard_rows
+from episodelake.llm.suffix_dedup import remove_repeats
 from episodelake.llm.token_counts import count_tokens
 from episodelake.llm.warc import archive_round_trip
 
@@ -35,6 +36,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -108,7 +113,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
+    return {"op1_warc": op1_warc, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
