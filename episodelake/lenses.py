@@ -93,7 +93,7 @@ def dataset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth frame predicts the eight steps from it; past the end the last frame holds."""
     f = frames(spark, sf_dir)
-    starts = f.where("frame_index % 4 = 0").select("episode_index", F.col("frame_index").alias("chunk_start"), "ep_len", F.explode(F.sequence(F.lit(0), F.lit(7))).cast("long").alias("offset_in_chunk"))
+    starts = f.where("frame_index % 4 = 0").select("episode_index", F.col("frame_index").alias("chunk_start"), "ep_len", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("offset_in_chunk"))
     at = starts.withColumn("target", F.col("chunk_start") + F.col("offset_in_chunk")).withColumn("frame_index", F.least("target", F.col("ep_len") - 1))
     return at.join(f.select("episode_index", "frame_index", "value"), ["episode_index", "frame_index"]).select(
         "episode_index", "chunk_start", "offset_in_chunk", "target", (F.col("value") + F.lit(0.1) * F.col("offset_in_chunk")).alias("pred")
