@@ -23,7 +23,7 @@ def prompt_template(task: Column, override: Column | None = None, template: str
 
 def bilingual_variants(task: Column) -> Column:
     """Both sides of the first '@', trimmed, without empty ones and repeats; the whole text if there is none."""
-    return F.array_distinct(F.filter(F.transform(F.split(task, "@", 2), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(task, "@", 2), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def has_more_sides(task: Column) -> Column:
