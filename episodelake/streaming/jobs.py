@@ -108,5 +108,6 @@ def fresh_snapshot(stream: DataFrame, keys: list[str], camera: Column, ts: str,
 
 def action_ensemble(stream: DataFrame, late: str) -> DataFrame:
     """Mean of the chunk predictions that aim at one step; steps behind the watermark leave the state."""
-    timed = stream.withColumn("at", F.timestamp_seconds("target")).withWatermark("at", late)
+    # a day later than the epoch, where the first watermark stands
+    timed = stream.withColumn("at", F.timestamp_seconds(F.col("target") + 86_400)).withWatermark("at", late)
     return timed.groupBy("episode_index", "target", "at").agg(F.avg("pred").alias("action"), F.count(F.lit(1)).alias("n")).drop("at")
