@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,8 @@ def episode_ids(spark: SparkSession, wanted: list[int | list[int]]) -> DataFrame
 
 def keep_episodes(df: DataFrame, wanted: list[int | list[int]]) -> DataFrame:
     """Rows of the wanted episodes; range bounds are pushed to the scan."""
-    at = F.lit(False)
-    for w in wanted:
-        at = at | (F.col("episode_index") == w if isinstance(w, int) else F.col("episode_index").between(*w))
-    return df.where(at)
+    tests = [F.col("episode_index") == w if isinstance(w, int) else F.col("episode_index").between(*w) for w in wanted]
+    return df.where(reduce(lambda a, b: a | b, tests)) if tests else df.limit(0)
 
 
 def unpadded(df: DataFrame, mask: str = "is_pad") -> DataFrame:
