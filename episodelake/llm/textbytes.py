@@ -17,7 +17,7 @@ FOLD[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[65:91] = IS_WORD[128:] = True
 #: Texts are worked on in blocks of about so many bytes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = (2 << 20) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
