@@ -6,6 +6,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -47,7 +48,7 @@ def sf():
 
 def plain(x):
     """A value that compares the same from either engine."""
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return None
     if isinstance(x, float):
         return round(x, 5) + 0.0
