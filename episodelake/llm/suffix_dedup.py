@@ -1,9 +1,11 @@
 """Repeated byte strings across documents, by blockwise suffix sorting with difference-cover ranks.
 
-Suffixes are dealt to buckets by the least hashed 12-byte string (the anchor)
+Suffixes are dealt to buckets by the least hashed 20-byte string (the anchor)
 of their first 50 bytes, so equal 50-byte strings always meet. Neighbouring
 suffixes with one anchor travel as one short string, about four bytes for each
-suffix. A bucket is one task's work: it ranks the suffixes of a difference
+suffix. A first exchange of the anchors' hashes alone finds those that two
+documents have; suffixes of other anchors are unique and travel no further. A
+bucket is one task's work: it ranks the suffixes of a difference
 cover, then sorts one range of suffixes at a time by their first eight bytes
 and, where these tie, by the rank of the covered suffix next to them.
 """
@@ -20,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodelake.llm.common import written
-from episodelake.llm.textbytes import BASE, mix, powers, text_blocks
+from episodelake.llm.textbytes import BASE, mix, text_blocks
 
 #: Bytes of a repeated string, and of its anchor.
-LENGTH, ANCHOR = 50, 12
+LENGTH, ANCHOR = 50, 20
 #: Difference cover modulo 7: any two residues have a common distance, below 7, to covered ones.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Bytes of text in a block of documents, and of strings that a bucket is meant to hold.
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 12 << 20, 32
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 4 << 20, 32
+#: Bytes of rows whose anchors are found at a time, and anchors that one task of the first exchange is meant to hold.
+PART_BYTES, KEYS_AT_ONCE = 1 << 18, 1 << 20
 #: Suffixes that are sorted at a time.
 SORTED_AT_ONCE = 1 << 18
 #: Rows without an id sort after all others.
@@ -37,7 +41,7 @@ PLACE = np.uint64(28)
 
 def _pack(data: bytes | np.ndarray) -> bytes:
     raw = data if isinstance(data, bytes) else data.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
@@ -54,7 +58,8 @@ def anchors(data: np.ndarray) -> np.ndarray:
     two = one[:-1] * BASE + one[1:]
     four = two[:-2] * np.uint64(int(BASE) ** 2 % (1 << 64)) + two[2:]
     eight = four[:-4] * np.uint64(int(BASE) ** 4 % (1 << 64)) + four[4:]
-    h = mix(eight[:-4] * np.uint64(int(BASE) ** 4 % (1 << 64)) + four[8:])
+    sixteen = eight[:-8] * np.uint64(int(BASE) ** 8 % (1 << 64)) + eight[8:]
+    h = mix(sixteen[:-4] * np.uint64(int(BASE) ** 4 % (1 << 64)) + four[16:])
     least = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
     width, n = LENGTH - ANCHOR + 1, 1
     while n * 2 <= width:
@@ -63,53 +68,100 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-class Strings:
-    """The distinct anchor strings of a block, by bucket and smallest id, and where they occur.
-
-    Of each: place (of one occurrence), size, the anchor's place in it, least
-    (the smallest id that has it) and bucket. Of each occurrence: begin, the
-    row it lies in, and which string it is.
+def cut_strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes of each anchor string, its anchor's place in it) for the rows of a block in order."""
+    counts, at = [np.zeros(0, "u1")], [np.zeros(0, "u1")]
+    row, last = 0, len(offsets) - 1
+    while row < last:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART_BYTES, side="right")) - 1)
+        base, part = offsets[row], data[offsets[row] : offsets[end]]
+        if len(part) >= LENGTH:
+            least = anchors(part)
+            inside = np.ones(len(part) + 1, bool)
+            ends = offsets[row + 1 : end + 1] - base
+            for e in range(1, LENGTH):  # no string reaches over a row's end
+                inside[ends[ends >= e] - e] = False
+            place = np.flatnonzero(inside[: len(least)])
+            a = least[place] & np.uint64((1 << 28) - 1)
+            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (np.diff(place) != 1)]) if len(place) else np.zeros(0, np.int64)
+            counts.append(np.diff(np.r_[new, len(place)]).astype("u1"))
+            at.append((a[new].astype(np.int64) - place[new]).astype("u1"))
+        row = end
+    return np.concatenate(counts), np.concatenate(at)
+
+
+def eight_at(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each place as numbers that sort as they do; it takes no memory."""
+    return np.ndarray((max(0, len(data) - 7),), ">u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def anchor_keys(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of the anchor at each place."""
+    words, key = eight_at(data), np.zeros(len(place), np.uint64)
+    for step in (0, 8, ANCHOR - 8):
+        key = mix(key * BASE + words[place + step].astype(np.uint64)) if len(place) else key
+    return key
+
+
+def string_names(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """A hash of each string and its anchor's place."""
+    words, name = eight_at(data), (size * 128 + anchor).astype(np.uint64)
+    for step in range(0, 2 * LENGTH - ANCHOR, 8):  # all its eight-byte words, the last ones overlapping
+        name = mix(name * BASE + words[begin + np.minimum(step, size - 8)].astype(np.uint64)) if len(name) else name
+    return name
+
+
+class Block:
+    """The anchor strings of a block in order: begin, row, size, anchor (its place in the string) and key (the anchor's hash)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> None:
+        self.data, self.offsets, self.ids = data, offsets, ids
+        counts = counts.astype(np.int64)
+        windows = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+        upto = np.r_[0, np.cumsum(windows)]
+        ordinal = np.cumsum(counts) - counts
+        self.row = np.searchsorted(upto, ordinal, side="right") - 1
+        self.begin = offsets[self.row] + ordinal - upto[self.row]
+        self.size, self.anchor = counts + LENGTH - 1, at.astype(np.int64)
+        self.key = anchor_keys(data, self.begin + self.anchor)
+
+    def short_keys(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys cut to so many bits, whether rows of several ids have it, which key each string has)."""
+        keys, which = np.unique(self.key >> np.uint64(64 - bits), return_inverse=True)
+        own = self.ids[self.row]
+        low, high = np.full(len(keys), NO_ID), np.full(len(keys), -NO_ID)
+        np.minimum.at(low, which, own)
+        np.maximum.at(high, which, own)
+        return keys, low < high, which
+
+    def distinct(self, wanted: np.ndarray, n_buckets: int) -> Distinct:
+        return Distinct(self, np.flatnonzero(wanted), n_buckets)
+
+
+class Distinct:
+    """The distinct strings among some of a block's, by bucket and smallest id.
+
+    Of each: place (of one occurrence), size, anchor, least (the smallest id
+    that has it) and bucket; which names the string of each chosen occurrence.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, n_buckets: int) -> None:
-        begins, sizes, at, keys = [], [], [], []
-        row, last = 0, len(offsets) - 1
-        while row < last:  # rows of about a megabyte at a time
-            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (1 << 20), side="right")) - 1)
-            base, part = offsets[row], data[offsets[row] : offsets[end]]
-            if len(part) >= LENGTH:
-                least = anchors(part)
-                inside = np.ones(len(least) + LENGTH, bool)
-                for e in range(1, LENGTH):  # no string reaches over a row's end
-                    inside[np.maximum(offsets[row + 1 : end + 1] - base - e, 0)] = False
-                place = np.flatnonzero(inside[: len(least)])
-                a = least[place]
-                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (np.diff(place) != 1)]) if len(place) else np.zeros(0, np.int64)
-                begins.append(place[new] + base)
-                sizes.append(np.diff(np.r_[new, len(place)]) + LENGTH - 1)
-                at.append((a[new] & np.uint64((1 << 28) - 1)).astype(np.int64) - place[new])
-                keys.append(a[new] >> PLACE)
-            row = end
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        self.begin, size, anchor, key = join(begins, np.int64), join(sizes, np.int64), join(at, np.int64), join(keys, np.uint64)
-        self.row = np.searchsorted(offsets, self.begin, side="right") - 1
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        name = mix((total[self.begin + size] - total[self.begin]) * down[self.begin] + (size * 128 + anchor).astype(np.uint64)) ^ (key << np.uint64(1))
-        order = np.lexsort((ids[self.row], name, key))
+    def __init__(self, block: Block, chosen: np.ndarray, n_buckets: int) -> None:
+        self.begin, self.row = block.begin[chosen], block.row[chosen]
+        size, anchor, key, own = block.size[chosen], block.anchor[chosen], block.key[chosen], block.ids[self.row]
+        name = string_names(block.data, self.begin, size, anchor)
+        order = np.lexsort((own, name, key))
         same = (name[order][1:] == name[order][:-1]) & (key[order][1:] == key[order][:-1])
-        first = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
+        fresh = np.r_[True, ~same][: len(order)]
         which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(np.r_[True, ~same])[: len(order)] - 1 if len(order) else 0
-        one = order[first]  # the occurrence with the smallest id
+        which[order] = np.cumsum(fresh) - 1
+        one = order[np.flatnonzero(fresh)]  # the occurrence with the smallest id
         bucket = (mix(key[one]) % np.uint64(n_buckets)).astype(np.int64)
-        sort = np.lexsort((name[one], ids[self.row[one]], bucket))
+        sort = np.lexsort((name[one], own[one], bucket))
         rank = np.empty(len(sort), np.int64)
         rank[sort] = np.arange(len(sort))
         one = one[sort]
         self.which, self.place, self.size, self.anchor = rank[which], self.begin[one], size[one], anchor[one]
-        self.least, self.bucket = ids[self.row[one]], bucket[sort]
+        self.least, self.bucket = own[one], bucket[sort]
 
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -120,22 +172,14 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 # --- one bucket ------------------------------------------------------------
 
 
-def words8(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a number that sorts as they do; the text ends in zeros."""
-    t = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
-    two = (t[:-1] << np.uint64(8)) | t[1:]
-    four = (two[:-2] << np.uint64(16)) | two[2:]
-    return ((four[:-4] << np.uint64(32)) | four[4:])[: len(text)]
-
-
 def cover_ranks(eight: np.ndarray, covered: np.ndarray) -> np.ndarray:
     """Ranks of the covered suffixes by their first 56 bytes, by doubling in steps of PERIOD; 0 elsewhere."""
     places = np.flatnonzero(covered)
-    rank = np.zeros(len(eight) + 8 * PERIOD, np.uint64)
-    _, got = np.unique(eight[places] >> np.uint64(8), return_inverse=True)
+    rank = np.zeros(len(covered) + 8 * PERIOD, np.uint32)
+    _, got = np.unique(eight[places].astype(np.uint64) >> np.uint64(8), return_inverse=True)
     rank[places] = got + 1
     for step in (PERIOD, 2 * PERIOD, 4 * PERIOD):
-        _, got = np.unique((rank[places] << np.uint64(32)) | rank[places + step], return_inverse=True)
+        _, got = np.unique((rank[places].astype(np.uint64) << np.uint64(32)) | rank[places + step], return_inverse=True)
         rank[places] = got + 1
     return rank
 
@@ -156,13 +200,13 @@ def least_ids(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.
     suffix = _spread(start, counts)
     owner = np.repeat(np.arange(len(size)), counts)
     out = least[owner]
-    eight = words8(x)
+    eight = eight_at(x)
     residue = suffix % PERIOD
     covered = np.zeros(PERIOD, bool)
     covered[list(COVER)] = True
     to_cover = np.array([next(d for d in range(PERIOD) if covered[(r + d) % PERIOD]) for r in range(PERIOD)])
-    ranks = cover_ranks(eight, np.tile(covered, len(x) // PERIOD + 1)[: len(x)])
-    first = eight[suffix]
+    ranks = cover_ranks(eight, np.tile(covered, len(x) // PERIOD + 1)[: len(eight)])
+    first = eight[suffix].astype(np.uint64)
     # ranges of suffixes by their leading bytes, each of about SORTED_AT_ONCE
     n_ranges = max(1, len(suffix) // SORTED_AT_ONCE)
     marks = np.unique(np.sort(first[:: max(1, len(first) // (64 * n_ranges))])[64::64]) if n_ranges > 1 else np.zeros(0, np.uint64)
@@ -171,8 +215,15 @@ def least_ids(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.
     cuts = np.r_[0, np.cumsum(np.bincount(range_of, minlength=len(marks) + 1))] if len(suffix) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         mine = by_range[a:b]
-        tie = ranks[suffix[mine] + to_cover[residue[mine]]]
-        order = mine[np.lexsort((tie, residue[mine], first[mine]))]
+        order = mine[np.argsort(first[mine])]
+        head = first[order]
+        run = np.cumsum(np.r_[True, head[1:] != head[:-1]]) if len(order) else np.zeros(0, np.int64)
+        # runs of equal first bytes are put in order by residue and covered rank
+        again = np.flatnonzero((np.bincount(run) > 1)[run])
+        some = order[again]
+        tie = ranks[suffix[some] + to_cover[residue[some]]].astype(np.uint64)
+        code = (run[again].astype(np.uint64) << np.uint64(35)) | (residue[some].astype(np.uint64) << np.uint64(32)) | tie
+        order[again] = some[np.argsort(code)]
         i, j = suffix[order[:-1]], suffix[order[1:]]
         same = (first[order[:-1]] == first[order[1:]]) & (residue[order[:-1]] == residue[order[1:]])
         tied = np.flatnonzero(same)
@@ -190,7 +241,7 @@ def least_ids(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, n_bytes, ids, offsets, text): rows in blocks of BLOCK_BYTES, texts compressed."""
+    """(block, n_bytes, ids, offsets, text, counts, anchors): rows in blocks of BLOCK_BYTES, compressed, with their anchor strings."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -205,9 +256,11 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = table.column(1).combine_chunks() if table.num_rows else pa.array([], pa.string())
             parts = [(data, offsets) for _, _, data, offsets in text_blocks(texts, 1 << 40)]
             data, offsets = parts[0]
-            columns = [[number], [len(data)], [table.column(0).to_pylist()], [_pack(offsets)], [_pack(np.ascontiguousarray(data))]]
+            counts, at = cut_strings(data, offsets)
+            columns = [[number], [len(data)], [table.column(0).to_pylist()], *([_pack(np.ascontiguousarray(x))] for x in (offsets, data, counts, at))]
             number, held, size = number + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["block", "n_bytes", "ids", "offsets", "text"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "n_bytes", "ids", "offsets", "text", "counts", "anchors"])
 
         for batch in batches:
             for a, b, data, _ in text_blocks(batch.column(1), BLOCK_BYTES):
@@ -219,22 +272,62 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield flush()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(packed, "block long, n_bytes long, ids array<long>, offsets binary, text binary")
+    return slim.mapInArrow(packed, "block long, n_bytes long, ids array<long>, offsets binary, text binary, counts binary, anchors binary")
+
 
+def block_of(row: dict) -> Block:
+    ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
+    return Block(_unpack(row["text"], "u1"), _unpack(row["offsets"], "<i8"), ids, _unpack(row["counts"], "u1"), _unpack(row["anchors"], "u1"))
 
-def block_arrays(ids: pa.Scalar, offsets: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.array([NO_ID if i is None else i for i in ids], np.int64)
-    return _unpack(text, "u1"), _unpack(offsets, "<i8"), order
 
+def keys_of(blocks: DataFrame, bits: int, n_ranges: int) -> DataFrame:
+    """(range, block, n, keys, several): each block's distinct anchor hashes by range, and whether several ids have them."""
 
-def strings_of(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, block, sizes, anchors, ids, text): the strings that each block has in each bucket."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, several, _ = block_of(row).short_keys(bits)
+                cuts = np.searchsorted(keys, (np.arange(n_ranges + 1, dtype=object) << bits) // n_ranges)
+                some = np.flatnonzero(np.diff(cuts))
+                parts = [slice(cuts[r], cuts[r + 1]) for r in some]
+                columns = [
+                    pa.array(some, pa.int32()),
+                    pa.array([row["block"]] * len(some), pa.int64()),
+                    pa.array([p.stop - p.start for p in parts], pa.int64()),
+                    pa.array([_pack(np.diff(keys[p], prepend=np.uint64(0)).astype("<u8")) for p in parts], pa.binary()),
+                    pa.array([_pack(np.packbits(several[p])) for p in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "block", "n", "keys", "several"])
+
+    return blocks.drop("n_bytes").mapInArrow(made, "range int, block long, n long, keys binary, several binary")
+
+
+def repeated_keys(part: pd.DataFrame) -> pd.DataFrame:
+    """(block, range, n, bits): which of the keys that each block sent are in several documents."""
+    keys = [np.cumsum(_unpack(x, "<u8")) for x in part["keys"]]
+    several = [np.unpackbits(_unpack(x, "u1"), count=int(n)).astype(bool) for x, n in zip(part["several"], part["n"], strict=True)]
+    values, which, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    repeated = counts > 1
+    repeated[which[np.concatenate(several)]] = True
+    marks = np.split(repeated[which], np.cumsum([len(k) for k in keys])[:-1])
+    return pd.DataFrame({"block": part["block"], "range": part["range"], "n": part["n"], "bits": [_pack(np.packbits(m)) for m in marks]})
+
+
+def wanted_of(block: Block, marks: list[dict] | None, bits: int) -> np.ndarray:
+    """Which strings of a block have an anchor that several documents have."""
+    _, _, which = block.short_keys(bits)
+    answers = [np.unpackbits(_unpack(m["bits"], "u1"), count=m["n"]) for m in sorted(marks or [], key=lambda m: m["range"])]
+    return np.concatenate(answers).astype(bool)[which] if answers else np.zeros(len(which), bool)
+
+
+def strings_of(blocks: DataFrame, bits: int, n_buckets: int) -> DataFrame:
+    """(bucket, block, sizes, anchors, ids, text): the strings with repeated anchors that each block has in each bucket."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, offsets, ids = block_arrays(row["ids"], row["offsets"], row["text"])
-                s = Strings(data, offsets, ids, n_buckets)
+                block = block_of(row)
+                s = block.distinct(wanted_of(block, row["marks"], bits), n_buckets)
                 cuts = np.searchsorted(s.bucket, np.arange(n_buckets + 1))
                 out = {k: [] for k in ("bucket", "block", "sizes", "anchors", "ids", "text")}
                 for b in np.flatnonzero(np.diff(cuts)):
@@ -244,16 +337,16 @@ def strings_of(blocks: DataFrame, n_buckets: int) -> DataFrame:
                     out["sizes"].append(_pack(s.size[part].astype("u1")))
                     out["anchors"].append(_pack(s.anchor[part].astype("u1")))
                     out["ids"].append(_pack(np.diff(s.least[part], prepend=0).astype("<i8")))
-                    out["text"].append(_pack(data[_spread(s.place[part], s.size[part])]))
+                    out["text"].append(_pack(block.data[_spread(s.place[part], s.size[part])]))
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["block"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("sizes", "anchors", "ids", "text"))], names=list(out))
 
-    return blocks.select("block", "ids", "offsets", "text").mapInArrow(made, "bucket int, block long, sizes binary, anchors binary, ids binary, text binary")
+    return blocks.mapInArrow(made, "bucket int, block long, sizes binary, anchors binary, ids binary, text binary")
 
 
 def answer_bucket(part: pd.DataFrame) -> pd.DataFrame:
     """(block, bucket, found): for the strings of each block, the suffixes that a smaller id has as well.
 
-    Strings whose anchor no other string of the bucket has are left out first.
+    Equal strings are sorted once, and those whose anchor no other string has not at all.
     """
     sizes = [_unpack(x, "u1").astype(np.int64) for x in part["sizes"]]
     n = np.array([len(x) for x in sizes])
@@ -261,15 +354,25 @@ def answer_bucket(part: pd.DataFrame) -> pd.DataFrame:
     least = np.concatenate([np.cumsum(_unpack(x, "<i8")) for x in part["ids"]])
     text = np.concatenate([_unpack(x, "u1") for x in part["text"]])
     begin = np.cumsum(size) - size
-    eight = words8(text)
-    low, high = eight[begin + anchor], eight[begin + anchor + ANCHOR - 8]
-    order = np.lexsort((high, low))
-    same = (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
-    shared = np.zeros(len(size), bool)
-    shared[order] = np.r_[False, same] | np.r_[same, False]
+    key, name = anchor_keys(text, begin + anchor), string_names(text, begin, size, anchor)
+    order = np.lexsort((least, name, key))
+    same_key = key[order][1:] == key[order][:-1]
+    fresh = np.r_[True, ~(same_key & (name[order][1:] == name[order][:-1]))]
+    one = order[fresh]  # of equal strings, the one with the smallest id
+    copy = np.empty(len(order), np.int64)
+    copy[order] = np.cumsum(fresh) - 1
+    shared = np.r_[False, key[one][1:] == key[one][:-1]] | np.r_[key[one][1:] == key[one][:-1], False]
+    counts_one = size[one] - LENGTH + 1
+    from_ = np.cumsum(counts_one) - counts_one
+    best_one = np.repeat(least[one], counts_one)
     some = np.flatnonzero(shared)
+    if len(some):
+        best_one[_spread(from_[some], counts_one[some])] = least_ids(text, begin[one[some]], size[one[some]], anchor[one[some]], least[one[some]])
+    # only strings with a suffix that a smaller id has are answered
+    low = np.minimum.reduceat(best_one, from_) if len(one) else best_one
+    some = np.flatnonzero(low[copy] < least)
     counts = size[some] - LENGTH + 1
-    best = least_ids(text, begin[some], size[some], anchor[some], least[some]) if len(some) else np.zeros(0, np.int64)
+    best = best_one[_spread(from_[copy[some]], counts)]
     owner = np.repeat(some, counts)
     step = np.arange(len(best)) - np.repeat(np.cumsum(counts) - counts, counts)
     less = np.flatnonzero(best < least[owner])
@@ -287,9 +390,10 @@ def answer_bucket(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "n", "found"])
 
 
-def finish_block(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, answers: list[dict], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def finish_block(block: Block, wanted: np.ndarray, answers: list[dict] | None, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which bytes of a block go, and for each of its rows how many and in how many runs."""
-    s = Strings(data, offsets, ids, n_buckets)
+    data, offsets, ids = block.data, block.offsets, block.ids
+    s = block.distinct(wanted, n_buckets)
     counts = s.size - LENGTH + 1
     base = np.cumsum(counts) - counts
     best = np.repeat(s.least, counts)
@@ -299,15 +403,14 @@ def finish_block(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, answers
         local, step, length = np.cumsum(np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64)), np.frombuffer(raw[4 * n : 5 * n], "u1"), np.frombuffer(raw[5 * n : 6 * n], "u1")
         at = _spread(base[bucket_start[answer["bucket"]] + local] + step, length.astype(np.int64))
         best[at] = np.repeat(np.frombuffer(raw[6 * n :], "<i8"), length)
-    edge = np.zeros(len(data) + 1, np.int32)
-    for a in range(0, len(s.begin), 1 << 16):  # so many occurrences at a time
-        part = slice(a, a + (1 << 16))
+    repeated = np.zeros(len(data), np.int32)  # 1 where a string starts that a smaller id has
+    for a in range(0, len(s.begin), 1 << 15):  # so many occurrences at a time
+        part = slice(a, a + (1 << 15))
         which, size = s.which[part], counts[s.which[part]]
         gone = best[_spread(base[which], size)] < np.repeat(ids[s.row[part]], size)
-        at = _spread(s.begin[part], size)[gone]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + LENGTH, -1)
-    removed = np.cumsum(edge[:-1]) > 0
+        repeated[_spread(s.begin[part], size)[gone]] = 1
+    upto = np.cumsum(repeated, dtype=np.int32)
+    removed = upto > np.r_[np.zeros(min(LENGTH, len(upto)), np.int32), upto[:-LENGTH]]
     total = np.r_[0, np.cumsum(removed)]
     starts = removed & ~np.r_[False, removed[:-1]]
     starts[offsets[:-1][offsets[:-1] < len(data)]] = removed[offsets[:-1][offsets[:-1] < len(data)]]
@@ -327,21 +430,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     blocks = written(pack_blocks(docs, id_col, text_col))
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
-    n_buckets = max(LEAST_BUCKETS, int(total * 3.5) // BUCKET_BYTES)
-    found = strings_of(blocks, n_buckets).groupBy("bucket").applyInPandas(answer_bucket, "block long, bucket int, n long, found binary")
+    n_buckets = max(LEAST_BUCKETS, int(total * 1.5) // BUCKET_BYTES)
+    n_ranges = max(LEAST_BUCKETS, total // 18 // KEYS_AT_ONCE)
+    # ten bits more than it takes to number the anchors: a chance match only sends a string on
+    bits = min(64, max(1, total // 16).bit_length() + 10)
+    marks = written(keys_of(blocks, bits, n_ranges).groupBy("range").applyInPandas(repeated_keys, "block long, range int, n long, bits binary"))
+    marked = blocks.drop("n_bytes").join(marks.groupBy("block").agg(F.collect_list(F.struct("range", "n", "bits")).alias("marks")), "block", "left")
+    found = strings_of(marked, bits, n_buckets).groupBy("bucket").applyInPandas(answer_bucket, "block long, bucket int, n long, found binary")
     answers = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "found")).alias("answers"))
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, offsets, ids = block_arrays(row["ids"], row["offsets"], row["text"])
-                removed, n_removed, n_spans = finish_block(data, offsets, ids, row["answers"], n_buckets)
-                left = data[~removed].tobytes()
-                ends = (offsets - np.r_[0, np.cumsum(n_removed)]).tolist()
+                block = block_of(row)
+                removed, n_removed, n_spans = finish_block(block, wanted_of(block, row["marks"], bits), row["answers"], n_buckets)
+                left = block.data[~removed].tobytes()
+                ends = (block.offsets - np.r_[0, np.cumsum(n_removed)]).tolist()
                 kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [pa.array(row["ids"], pa.int64()), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(n_spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                columns = [pa.array(row["ids"], pa.int64()), pa.array(np.diff(block.offsets)), pa.array(n_removed), pa.array(n_spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_text, names=["id", *(f.split()[0] for f in fields.split(", "))])
 
-    joined = blocks.join(answers, "block", "left").select("ids", "offsets", "text", "answers")
+    # blocks are already dealt by their number, so this join moves only the answers
+    joined = marked.join(answers, "block", "left")
     return joined.mapInArrow(finished, f"id long, {fields}").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
