@@ -81,6 +81,17 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM r""",
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) / 2 AS bigint) AS n FROM d),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM n, LATERAL unnest(range(0, n - 49)) t(p)),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT doc_id, p FROM g JOIN f USING (s) WHERE m < doc_id),
+b AS (SELECT DISTINCT doc_id, p + k AS q FROM c, range(50) t(k)),
+r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE q IS DISTINCT FROM before + 1) AS n_spans FROM (SELECT doc_id, q, lag(q) OVER (PARTITION BY doc_id ORDER BY q) AS before FROM b) GROUP BY doc_id),
+x AS (SELECT n.doc_id, string_agg(substr(h, 2 * q + 1, 2), '' ORDER BY q) AS kept FROM n JOIN r USING (doc_id), LATERAL unnest(range(0, n)) t(q) WHERE (n.doc_id, q) NOT IN (SELECT (doc_id, q) FROM b) GROUP BY n.doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM n LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)""",
     "op6_decontamination": rf"""
 WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
