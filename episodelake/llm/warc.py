@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodelake.llm.common import BROADCAST_ROWS, attach_groups, shared_dir, written
+from episodelake.llm.common import BROADCAST_ROWS, attach_groups, near, shared_dir, written
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 100
@@ -254,10 +254,12 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     top = shared_dir(spark)
     kind = dict(pages.dtypes)["page_id"]
-    files = write_warc(pages, top).groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if not files:
+    name = F.regexp_extract("file", "([^/]+)$", 1).alias("name")
+    closed = written(write_warc(pages, top).select(name))
+    if closed.isEmpty():
         return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, target_uri string")
-    records = read_warc(spark, top, payloads=False).where("kind = 'record'")
+    # the folder may hold files of tasks that were lost or ran twice; only returned ones count
+    records = read_warc(spark, top, payloads=False).where("kind = 'record'").withColumn("name", name).join(near(closed), "name", "left_semi")
     number = lambda c: F.nullif(F.regexp_extract(c, f"<{RECORD_ID}(.*)>", 1), F.lit("")).cast(kind)
     return records.select(
         number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "target_uri"
