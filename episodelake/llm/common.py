@@ -38,6 +38,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def near(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it has BROADCAST_ROWS rows at most; a larger one joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def words_of(text: Column) -> Column:
     """Lower-case (A-Z only) words of a text as an array; null and empty texts have none."""
     parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), WORD_BREAKS)
