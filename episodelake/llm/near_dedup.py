@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: In a bucket of up to so many texts (or classes) each is compared with each of another class, in a larger one all with one.
 FEW = 16
+#: Rounds of sampled tests before what is left in large buckets is compared in full.
+ROUNDS = 2
+#: Bytes of shingle sets that meet in one task: of texts outside their bucket's largest class, and of any of its texts.
+OUTSIDE_BYTES, MEMBER_BYTES = 1 << 20, 4 << 20
 #: A node's first eight bytes as a number, in SQL.
 NODE_HASH = "cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)"
 
@@ -162,6 +167,56 @@ def order_of(node: str, *salt: Column) -> Column:
     return F.struct(F.xxhash64(node, *salt).alias("o"), F.col(node).alias("node"))
 
 
+def links_between(part: pd.DataFrame, similar: float) -> pd.DataFrame:
+    """(a, b): a verified link of each text outside the largest class to each other class that has one here.
+
+    The probability Jaccard is at most the common mass of the two sets scaled
+    to a sum of one, so only pairs with enough of that are computed exactly.
+    """
+    h = [np.frombuffer(x, np.uint64) for x in part["h"]]
+    w = [np.frombuffer(x, "<f4").astype(np.float64) for x in part["w"]]
+    node, label, outside, top = (part[c].to_list() for c in ("node", "label", "outside", "top"))
+    ours, theirs = [i for i, o in enumerate(outside) if o], [i for i, o in enumerate(outside) if not o]
+    found: list[tuple[bytes, bytes]] = []
+    if ours and theirs:
+        vocabulary, place = np.unique(np.concatenate([h[i] for i in theirs]), return_inverse=True)
+        mass = np.concatenate([w[i] / w[i].sum() for i in theirs])
+        sizes = np.array([len(h[i]) for i in theirs])
+        starts, mine = np.cumsum(sizes) - sizes, np.zeros(len(vocabulary))
+        for i in ours:
+            at = np.minimum(np.searchsorted(vocabulary, h[i]), len(vocabulary) - 1)
+            has = vocabulary[at] == h[i]
+            mine[at[has]] = w[i][has] / w[i].sum()
+            common = np.add.reduceat(np.minimum(mine[place], mass), starts)
+            mine[at[has]] = 0.0
+            met = {label[i]}
+            for j in (theirs[k] for k in np.flatnonzero(common >= similar - 1e-6)):
+                # of two texts outside the largest class only the smaller one asks
+                if label[j] not in met and (label[j] == top[j] or node[i] < node[j]) and prob_jaccard(h[i], w[i], h[j], w[j]) >= similar:
+                    met.add(label[j])
+                    found.append((node[i], node[j]))
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def full_links(large: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b): verified links between the classes of each bucket (key, node, label), with no pair of its texts left out.
+
+    Texts outside a bucket's largest class meet all its texts in a grid of
+    blocks of bounded bytes, so no task grows with the bucket.
+    """
+    top = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
+    rows = written(large.select("key", "node", "label").join(top, "key").join(sets.select("node", F.length("h").alias("size")), "node"))
+    parts = lambda what, limit: F.ceil(F.sum(what) / limit).cast("int")
+    grid = rows.groupBy("key").agg(parts(F.when(F.col("label") != F.col("top"), F.col("size")).otherwise(0), OUTSIDE_BYTES).alias("n_outside"), parts("size", MEMBER_BYTES).alias("n_members"))
+    rows = rows.join(near(written(grid)), "key")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = rows.where("label <> top").select("key", "node", "label", "top", F.lit(True).alias("outside"), dealt("n_outside", 1).alias("o"), every("n_members").alias("m"))
+    asked = rows.select("key", "node", "label", "top", F.lit(False).alias("outside"), every("n_outside").alias("o"), dealt("n_members", 2).alias("m"))
+    met = asking.unionByName(asked).join(sets, "node")
+    return met.groupBy("key", "o", "m").applyInPandas(lambda part: links_between(part, similar), "a binary, b binary").distinct()
+
+
 def link_labels(sig: DataFrame, docs: DataFrame, text_col: str, groups: DataFrame, similar: float) -> DataFrame | None:
     """(node, label) of the distinct texts with a verified link, label naming the class; None without candidates.
 
@@ -169,8 +224,9 @@ def link_labels(sig: DataFrame, docs: DataFrame, text_col: str, groups: DataFram
     grow with the rows and not with the pairs. A text is first tested against
     one centre; then, while buckets hold texts of several classes, against the
     other centres and against one text of each other class in its bucket, with
-    new choices in each round, until a round has nothing left to test or, from
-    the second on, finds no link.
+    new choices in each round. The first round closes small buckets; when a
+    round has nothing left to test or finds no link, or after ROUNDS of them,
+    all texts of different classes that still share a large bucket are compared.
     """
     members = groups.select("node", F.explode("bands").alias("key"))
     buckets = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order_of("node", F.lit(0)))["node"].alias("centre")).where("n > 1"))
@@ -190,6 +246,8 @@ def link_labels(sig: DataFrame, docs: DataFrame, text_col: str, groups: DataFram
         at = found.join(near(named), "node")
         mixed = written(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
         open_ = written(at.join(near(mixed), "key", "left_semi"))
+        if turn > ROUNDS:
+            break
         # in small buckets every two texts of different classes, once for all
         little = open_.where(F.col("n") <= FEW).select("key", "label", F.col("node").alias("a"))
         crossed = little.join(little.select("key", F.col("label").alias("label2"), F.col("a").alias("b")), "key").where("label < label2").select("a", "b")
@@ -207,11 +265,14 @@ def link_labels(sig: DataFrame, docs: DataFrame, text_col: str, groups: DataFram
         new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         todo = written(new.join(near(tested), ["a", "b"], "left_anti"))
         if todo.isEmpty():
-            return labels
+            break
         more = written(verify(todo, sets, similar))
-        if more.isEmpty() and turn >= 2:
-            return labels
+        if more.isEmpty():
+            break
         known, tested = written(known.unionByName(more)), written(tested.unionByName(todo))
+    large = open_.where(F.col("n") > FEW)
+    last = None if large.isEmpty() else written(full_links(large, sets, similar))
+    return labels if last is None or last.isEmpty() else components(known.unionByName(last))
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -277,6 +277,28 @@ def test_near_duplicate_groups(spark):
     assert got == brute_classes(ids_texts(df))
 
 
+def edited(text, seed, n, start=0, step=1):
+    w, rng = text.split(), random.Random(seed)
+    for i in rng.sample(range(start, len(w) - 5, step), n):
+        w[i] = f"e{seed}x{i}"
+    return " ".join(w)
+
+
+def test_near_duplicates_at_the_fringe_of_a_large_group(spark):
+    """Texts that are near to one text of a large group only, in buckets of hundreds."""
+    base = prose(77, 200)
+    group = [edited(base, i, 2, 5, 10) for i in range(300)]
+    texts = group + [edited(group[i], 1000 + i, 4, 0, 10) for i in range(80)]
+    for _, _, data, offsets in text_blocks(__import__("pyarrow").array(texts)):
+        h, w, doc = near_dedup.weighted_shingles(words_of_block(data, offsets))
+    sets = [(h[doc == i], w[doc == i]) for i in range(len(texts))]
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if near_dedup.prob_jaccard(*sets[i], *sets[j]) >= 0.8]
+    want = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(make(spark, texts).repartition(4)).collect()}
+    wrong = [i for i in got if got[i] != want.get(i, i)]
+    assert not wrong, wrong
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
