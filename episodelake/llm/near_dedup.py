@@ -17,6 +17,8 @@ from episodelake.llm.components import components
 from episodelake.llm.textbytes import BASE, Words, mix, shingle_hashes, text_blocks, words_of_block
 
 SHINGLE, SIMILAR = 5, 0.8
+#: A sum of doubles this much below the threshold still reaches it.
+ROUNDING = 1e-9
 #: 24 bands of 6 registers: two texts of similarity 0.8 meet in no band with a chance of 0.07 %, at 0.85 of 0.001 %.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
@@ -154,7 +156,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
             for ha, wa, hb, wb in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (ha, hb))
                 u, v = (np.frombuffer(x.as_buffer(), "<f4").astype(np.float64) for x in (wa, wb))
-                keep.append(prob_jaccard(a, u, b, v) >= similar)
+                keep.append(prob_jaccard(a, u, b, v) >= similar - ROUNDING)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
@@ -192,7 +194,7 @@ def links_between(part: pd.DataFrame, similar: float) -> pd.DataFrame:
             met = {label[i]}
             for j in (theirs[k] for k in np.flatnonzero(common >= similar - 1e-6)):
                 # of two texts outside the largest class only the smaller one asks
-                if label[j] not in met and (label[j] == top[j] or node[i] < node[j]) and prob_jaccard(h[i], w[i], h[j], w[j]) >= similar:
+                if label[j] not in met and (label[j] == top[j] or node[i] < node[j]) and prob_jaccard(h[i], w[i], h[j], w[j]) >= similar - ROUNDING:
                     met.add(label[j])
                     found.append((node[i], node[j]))
     return pd.DataFrame(found, columns=["a", "b"])

@@ -277,6 +277,18 @@ def test_near_duplicate_groups(spark):
     assert got == brute_classes(ids_texts(df))
 
 
+@pytest.mark.parametrize(("common", "all_"), [(12, 15), (48, 60), (8, 10)])
+def test_pairs_of_exactly_the_threshold_are_near(spark, common, all_):
+    text = prose(55, all_ + 4).split()
+    df = make(spark, [" ".join(text[: common + 4]), " ".join(text)])
+    sets = near_dedup.shingle_sets(df, "text", near_dedup.signatures(df, "doc_id", "text").select("node"))
+    a, b = (r.node for r in sets.collect())
+    pairs = spark.createDataFrame([(a, b)], "a binary, b binary")
+    assert near_dedup.verify(pairs, sets, 0.8).count() == 1
+    labelled = sets.withColumns({"key": F.lit(1), "label": F.col("node")})
+    assert near_dedup.full_links(labelled.select("key", "node", "label"), sets, 0.8).count() == 1
+
+
 def edited(text, seed, n, start=0, step=1):
     w, rng = text.split(), random.Random(seed)
     for i in rng.sample(range(start, len(w) - 5, step), n):
