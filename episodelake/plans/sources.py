@@ -90,15 +90,21 @@ def src_episode_stats(spark: SparkSession, sf: str) -> DataFrame:
     return L.read_episode_stats(spark, root).withColumn("dim", F.col("dim").cast("long"))
 
 
-@query("""SELECT kind, event_id AS index, concat(event_type, ' ', kind) AS text FROM events, (VALUES ('subtask'), ('scene'), ('velocity')) t(kind) WHERE event_id % 10 = 0""")
-def src_annotations(spark: SparkSession, sf: str) -> DataFrame:
+def annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """All kinds of annotations of all events, written and read back."""
     from episodelake.lenses import table
 
-    root, kinds = scratch(spark, "annotations"), ["subtask", "scene", "velocity"]
-    e = table(spark, sf, "events").where("event_id % 10 = 0")
-    for kind in kinds:
+    root = scratch(spark, "annotations")
+    e = table(spark, sf, "events")
+    for kind in L.ANNOTATIONS:
         e.select(F.col("event_id").alias(f"{kind}_index"), F.concat("event_type", F.lit(f" {kind}")).alias(kind)).write.json(f"{root}/annotations/{kind}.jsonl")
-    return L.read_annotations(spark, root, kinds)
+    return L.read_annotations(spark, root)
+
+
+@query("""SELECT kind, event_id AS index, concat(event_type, ' ', kind) AS text FROM events, (VALUES ('subtask'), ('scene'), ('velocity')) t(kind) WHERE event_id % 10 = 0""")
+def src_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    # the SQL twin names these rows of what is read
+    return annotations(spark, sf).where(F.col("kind").isin("subtask", "scene", "velocity") & (F.col("index") % 10 == 0))
 
 
 @query(sql("catalog", "SELECT concat('ds=d', dataset_id) AS dataset FROM catalog"))
@@ -137,13 +143,18 @@ def src_file_footprint(spark: SparkSession, sf: str) -> DataFrame:
     return L.footprint(spark, f"{sf}/events.parquet")
 
 
-@query(sql("frames", "SELECT source, count(DISTINCT episode_index) AS episodes, count(*) AS frames FROM frames WHERE source <> 'gamma' GROUP BY source"))
-def sink_append_episodes(spark: SparkSession, sf: str) -> DataFrame:
+def appended(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored frames of all sources, each appended to those before it."""
     root = scratch(spark, "append")
     f = frames(spark, sf).select(F.col("episode_index").alias("episode"), "frame_index", "value", "source")
-    for source in ("alpha", "beta"):
+    for source in ("alpha", "beta", "gamma"):
         L.append_episodes(spark, f.where(F.col("source") == source), root, 20)
-    stored = spark.read.parquet(f"{root}/data")
+    return spark.read.parquet(f"{root}/data")
+
+
+@query(sql("frames", "SELECT source, count(DISTINCT episode_index) AS episodes, count(*) AS frames FROM frames WHERE source <> 'gamma' GROUP BY source"))
+def sink_append_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    stored = appended(spark, sf).where("source <> 'gamma'")  # the SQL twin leaves it out
     return stored.groupBy("source").agg(F.countDistinct("episode_index").alias("episodes"), F.countDistinct("index").alias("frames"))
 
 
