@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII bytes that end a word: all but digits, letters and what is above 0x7F.
 WORD_BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A group with more than this share of all rows counts as hot, so at most HOT_SHARE groups are.
-HOT_SHARE = 1000
+#: A group counts as hot with more than HOT_ROWS rows, or at over HOT_ROWS * HOT_GROUPS rows in all with more than 1 / HOT_GROUPS of them.
+HOT_ROWS, HOT_GROUPS = 1000, 100_000
 #: Rows of a side that is broadcast after its size was counted.
 BROADCAST_ROWS = 200_000
 
@@ -49,16 +49,29 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def hot_limit(total: int) -> int:
+    """Rows above which a group is hot, so that HOT_GROUPS groups at most are."""
+    return max(HOT_ROWS, total // HOT_GROUPS)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of rows to one row per group, safe when one group holds most rows.
 
-    Groups with more than ``total / HOT_SHARE`` rows number HOT_SHARE at most,
-    so they are broadcast; every other group is small and goes by a shuffle.
+    Hot groups are few and broadcast; every other group is small and goes by a shuffle.
     """
-    hot = groups.where(F.col(size) > max(1, total // HOT_SHARE))
+    limit = hot_limit(total)
+    hot = groups.where(F.col(size) > limit)
     at_hot = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return at_hot.unionByName(rest.join(groups.where(F.col(size) <= max(1, total // HOT_SHARE)), key, "left"))
+    return at_hot.unionByName(rest.join(groups.where(F.col(size) <= limit), key, "left"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows to one row per group, safe when one group holds most rows; groups is a written table."""
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key)
+    limit = hot_limit(total)
+    return rows.join(F.broadcast(groups.where(F.col(size) > limit)), key).unionByName(rows.join(groups.where(F.col(size) <= limit), key))
 
 
 def shingle_hash(words: Column, at: Column, size: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodelake.llm.bloom import hash_filter, may_hold
-from episodelake.llm.common import attach_groups, near, written
+from episodelake.llm.common import attach_groups, join_groups, near, written
 from episodelake.llm.components import components
 from episodelake.llm.textbytes import BASE, Words, mix, shingle_hashes, text_blocks, words_of_block
 
@@ -22,23 +22,26 @@ ROUNDING = 1e-9
 #: 24 bands of 6 registers: two texts of similarity 0.8 meet in no band with a chance of 0.07 %, at 0.85 of 0.001 %.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
-#: In a bucket of up to so many texts (or classes) each is compared with each of another class, in a larger one all with one.
-FEW = 16
-#: Rounds of sampled tests before what is left in large buckets is compared in full.
-ROUNDS = 2
+#: Texts of a bucket that every other text of it is compared with before classes are made.
+CENTRES = 3
 #: Bytes of shingle sets that meet in one task: of texts outside their bucket's largest class, and of any of its texts.
 OUTSIDE_BYTES, MEMBER_BYTES = 1 << 20, 4 << 20
-#: A node's first eight bytes as a number, in SQL.
-NODE_HASH = "cast(conv(hex(substring(node, 1, 8)), 16, -10) as bigint)"
+#: A digest's first eight bytes as a number, in SQL.
+DIGEST_HASH = "cast(conv(hex(substring(digest, 1, 8)), 16, -10) as bigint)"
 
 
-def weighted_shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, weight, text number) of the distinct shingles of each text, by text and hash; weight is 1 + ln(count)."""
+def counted_shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, count, text number) of the distinct shingles of each text, by text and hash."""
     h, doc = shingle_hashes(words, SHINGLE)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
-    return h[new], 1.0 + np.log(np.diff(np.r_[new, len(h)])), doc[new]
+    return h[new], np.diff(np.r_[new, len(h)]), doc[new]
+
+
+def weights(counts: np.ndarray) -> np.ndarray:
+    """A shingle's weight: 1 + ln(count)."""
+    return 1.0 + np.log(counts)
 
 
 def prob_minhash(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: int, k: int = REGISTERS) -> np.ndarray:
@@ -100,29 +103,31 @@ def prob_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, bands): the digest of a text's words and its band keys; null and empty for texts without words."""
+    """(id, digest, bands): the digest of a text's words and its band keys; null and empty for texts without words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 words = words_of_block(data, offsets)
                 some = np.diff(words.offsets) > 0
-                keys = band_keys(prob_minhash(*weighted_shingles(words), b - a))[some].view(np.int64)
+                h, count, doc = counted_shingles(words)
+                keys = band_keys(prob_minhash(h, weights(count), doc, b - a))[some].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * BANDS)], pa.int32()), pa.array(keys.reshape(-1)))
-                nodes = [k if s else None for k, s in zip(word_keys(words), some.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), lists], names=["id", "node", "bands"])
+                digests = [k if s else None for k, s in zip(word_keys(words), some.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), lists], names=["id", "digest", "bands"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(made, f"id {dict(slim.dtypes)['id']}, node binary, bands array<long>")
+    return slim.mapInArrow(made, f"id {dict(slim.dtypes)['id']}, digest binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(node, h, w): the weighted shingles of the nodes, 8 and 4 bytes each, read from the texts again.
+    """(node, h, c): the shingles of the nodes (node, digest), 8 bytes each, and their counts if any is over one.
 
-    A bounded Bloom filter of the nodes saves the other texts their work.
+    They are read from the texts again; a bounded Bloom filter of the nodes
+    saves the other texts their work.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(hash_filter(nodes.select(F.expr(NODE_HASH).alias("h")), nodes.count()))
+    shared = spark.sparkContext.broadcast(hash_filter(nodes.select(F.expr(DIGEST_HASH).alias("h")), nodes.count()))
     marked = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,19 +136,30 @@ def shingle_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
                 words = words_of_block(data, offsets)
                 keys = word_keys(words)
                 asked = np.flatnonzero(np.diff(words.offsets) > 0)
-                asked = asked[may_hold(shared.value, node_hash([keys[i] for i in asked]))]
-                h, w, doc = weighted_shingles(words)
+                asked = asked[may_hold(shared.value, digest_hash([keys[i] for i in asked]))]
+                h, count, doc = counted_shingles(words)
                 ends = np.searchsorted(doc, np.arange(len(offsets)))
-                h, w = h.tobytes(), w.astype("<f4").tobytes()
-                columns = [keys[d] for d in asked], [h[8 * ends[d] : 8 * ends[d + 1]] for d in asked], [w[4 * ends[d] : 4 * ends[d + 1]] for d in asked]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["node", "h", "w"])
+                sets = [(h[ends[d] : ends[d + 1]].tobytes(), packed_counts(count[ends[d] : ends[d + 1]])) for d in asked]
+                columns = [keys[d] for d in asked], [x for x, _ in sets], [x for _, x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["digest", "h", "c"])
+
+    rows = marked.mapInArrow(keyed, "digest binary, h binary, c binary")
+    return rows.join(near(nodes), "digest").groupBy("node").agg(F.first("h").alias("h"), F.first("c").alias("c"))
+
+
+def packed_counts(count: np.ndarray) -> bytes:
+    """Counts of shingles, four bytes each; nothing if all are one."""
+    return count.astype("<u4").tobytes() if (count > 1).any() else b""
+
 
-    rows = marked.mapInArrow(keyed, "node binary, h binary, w binary")
-    return rows.groupBy("node").agg(F.first("h").alias("h"), F.first("w").alias("w")).join(near(nodes), "node", "left_semi")
+def unpacked(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of a set."""
+    hashes = np.frombuffer(h, np.uint64)
+    return hashes, weights(np.frombuffer(c, "<u4")) if len(c) else np.ones(len(hashes))
 
 
-def node_hash(keys: list[bytes]) -> np.ndarray:
-    """The first eight bytes of each node as a number, as NODE_HASH has it."""
+def digest_hash(keys: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each digest as a number, as DIGEST_HASH has it."""
     return np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64)
 
 
@@ -152,129 +168,108 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for ha, wa, hb, wb in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (ha, hb))
-                u, v = (np.frombuffer(x.as_buffer(), "<f4").astype(np.float64) for x in (wa, wb))
-                keep.append(prob_jaccard(a, u, b, v) >= similar - ROUNDING)
+            keep = [prob_jaccard(*unpacked(ha, ca), *unpacked(hb, cb)) >= similar - ROUNDING for ha, ca, hb, cb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-    right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(checked, "a binary, b binary")
+    left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("c").alias("ca"))
+    right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(checked, "a long, b long")
 
 
-def order_of(node: str, *salt: Column) -> Column:
-    """A random order of nodes that another salt changes."""
-    return F.struct(F.xxhash64(node, *salt).alias("o"), F.col(node).alias("node"))
+def candidate_buckets(groups: DataFrame) -> DataFrame:
+    """(key, node, n, c0, c1, ...): the members of the buckets of two texts or more, with the bucket's centres.
+
+    Centres are the first texts of the bucket in CENTRES random orders that
+    all buckets share, so a text meets few different ones. Of buckets with the
+    same texts (equal size and exclusive-or of two hashes) one stays.
+    """
+    members = groups.select("node", F.explode("bands").alias("key"))
+    order = lambda salt: F.xxhash64("node", F.lit(salt))
+    centres = [f"c{i}" for i in range(CENTRES)]
+    buckets = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(order(-1)).alias("x"), F.bit_xor(order(-2)).alias("y"), *[F.min_by("node", order(i)).alias(c) for i, c in enumerate(centres)]
+    )
+    unique = written(buckets.where("n > 1").groupBy("n", "x", "y", *centres).agg(F.min("key").alias("key")).select("key", "n", *centres))
+    return join_groups(members, unique, "key", "n", groups.count() * BANDS)
 
 
 def links_between(part: pd.DataFrame, similar: float) -> pd.DataFrame:
-    """(a, b): a verified link of each text outside the largest class to each other class that has one here.
+    """(a, b): classes that a verified pair links: one text outside the largest class with any other here.
 
     The probability Jaccard is at most the common mass of the two sets scaled
     to a sum of one, so only pairs with enough of that are computed exactly.
     """
-    h = [np.frombuffer(x, np.uint64) for x in part["h"]]
-    w = [np.frombuffer(x, "<f4").astype(np.float64) for x in part["w"]]
+    sets = [unpacked(h, c) for h, c in zip(part["h"], part["c"], strict=True)]
     node, label, outside, top = (part[c].to_list() for c in ("node", "label", "outside", "top"))
     ours, theirs = [i for i, o in enumerate(outside) if o], [i for i, o in enumerate(outside) if not o]
-    found: list[tuple[bytes, bytes]] = []
+    found: set[tuple[int, int]] = set()
     if ours and theirs:
-        vocabulary, place = np.unique(np.concatenate([h[i] for i in theirs]), return_inverse=True)
-        mass = np.concatenate([w[i] / w[i].sum() for i in theirs])
-        sizes = np.array([len(h[i]) for i in theirs])
+        vocabulary, place = np.unique(np.concatenate([sets[i][0] for i in theirs]), return_inverse=True)
+        mass = np.concatenate([sets[i][1] / sets[i][1].sum() for i in theirs])
+        sizes = np.array([len(sets[i][0]) for i in theirs])
         starts, mine = np.cumsum(sizes) - sizes, np.zeros(len(vocabulary))
         for i in ours:
-            at = np.minimum(np.searchsorted(vocabulary, h[i]), len(vocabulary) - 1)
-            has = vocabulary[at] == h[i]
-            mine[at[has]] = w[i][has] / w[i].sum()
+            h, w = sets[i]
+            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            has = vocabulary[at] == h
+            mine[at[has]] = w[has] / w.sum()
             common = np.add.reduceat(np.minimum(mine[place], mass), starts)
             mine[at[has]] = 0.0
-            met = {label[i]}
-            for j in (theirs[k] for k in np.flatnonzero(common >= similar - 1e-6)):
+            close = np.flatnonzero(common >= similar - 1e-6)
+            for j in (theirs[k] for k in close[np.argsort(-common[close], kind="stable")]):
                 # of two texts outside the largest class only the smaller one asks
-                if label[j] not in met and (label[j] == top[j] or node[i] < node[j]) and prob_jaccard(h[i], w[i], h[j], w[j]) >= similar - ROUNDING:
-                    met.add(label[j])
-                    found.append((node[i], node[j]))
-    return pd.DataFrame(found, columns=["a", "b"])
+                pair = min(label[i], label[j]), max(label[i], label[j])
+                if label[j] != label[i] and pair not in found and (label[j] == top[j] or node[i] < node[j]) and prob_jaccard(h, w, *sets[j]) >= similar - ROUNDING:
+                    found.add(pair)
+    return pd.DataFrame(sorted(found), columns=["a", "b"])
 
 
-def full_links(large: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(a, b): verified links between the classes of each bucket (key, node, label), with no pair of its texts left out.
+def remaining_links(found: DataFrame, labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b): verified links between the classes that share a bucket, with no pair of its texts left out.
 
-    Texts outside a bucket's largest class meet all its texts in a grid of
-    blocks of bounded bytes, so no task grows with the bucket.
+    Pairs with a centre have been compared. In the buckets whose other texts
+    are of several classes, the texts outside the largest class meet all the
+    others in a grid of blocks of bounded bytes, so no task grows with the bucket.
     """
-    top = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
-    rows = written(large.select("key", "node", "label").join(top, "key").join(sets.select("node", F.length("h").alias("size")), "node"))
+    centres = [f"c{i}" for i in range(CENTRES)]
+    rest = found.where(~F.col("node").isin(*map(F.col, centres))).select("key", "node", "n")
+    rest = rest.join(near(labels), "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
+    by_class = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    mixed = written(by_class.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.max("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes"))
+    open_ = join_groups(rest.drop("n"), mixed, "key", "n", found.count())
+    rows = written(open_.join(near(written(sets.select("node", F.length("h").alias("size")))), "node"))
     parts = lambda what, limit: F.ceil(F.sum(what) / limit).cast("int")
-    grid = rows.groupBy("key").agg(parts(F.when(F.col("label") != F.col("top"), F.col("size")).otherwise(0), OUTSIDE_BYTES).alias("n_outside"), parts("size", MEMBER_BYTES).alias("n_members"))
-    rows = rows.join(near(written(grid)), "key")
+    grid = rows.groupBy("key").agg(parts(F.when(F.col("label") != F.col("top"), F.col("size")).otherwise(0), OUTSIDE_BYTES).alias("n_outside"), parts("size", MEMBER_BYTES).alias("n_members"), F.max("n").alias("n"))
+    rows = join_groups(rows.drop("n"), written(grid), "key", "n", rows.count())
     dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = rows.where("label <> top").select("key", "node", "label", "top", F.lit(True).alias("outside"), dealt("n_outside", 1).alias("o"), every("n_members").alias("m"))
     asked = rows.select("key", "node", "label", "top", F.lit(False).alias("outside"), every("n_outside").alias("o"), dealt("n_members", 2).alias("m"))
     met = asking.unionByName(asked).join(sets, "node")
-    return met.groupBy("key", "o", "m").applyInPandas(lambda part: links_between(part, similar), "a binary, b binary").distinct()
+    return met.groupBy("key", "o", "m").applyInPandas(lambda part: links_between(part, similar), "a long, b long").distinct()
 
 
-def link_labels(sig: DataFrame, docs: DataFrame, text_col: str, groups: DataFrame, similar: float) -> DataFrame | None:
+def link_labels(docs: DataFrame, text_col: str, groups: DataFrame, similar: float) -> DataFrame | None:
     """(node, label) of the distinct texts with a verified link, label naming the class; None without candidates.
 
-    Every bucket of a band is a star around one of its texts, so candidates
-    grow with the rows and not with the pairs. A text is first tested against
-    one centre; then, while buckets hold texts of several classes, against the
-    other centres and against one text of each other class in its bucket, with
-    new choices in each round. The first round closes small buckets; when a
-    round has nothing left to test or finds no link, or after ROUNDS of them,
-    all texts of different classes that still share a large bucket are compared.
+    Every bucket of a band is first a few stars: all its texts are compared
+    with its centres, so these candidates grow with the rows and not with the
+    pairs. Their links make classes; pairs of different classes that share a
+    bucket and were not compared yet are compared then, each once in a bucket,
+    and the links found so join whole classes. All pairs that share a bucket
+    are thus either in one class or compared.
     """
-    members = groups.select("node", F.explode("bands").alias("key"))
-    buckets = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order_of("node", F.lit(0)))["node"].alias("centre")).where("n > 1"))
-    found = written(attach_groups(members, buckets, "key", "n", groups.count() * BANDS).where("centre is not null").select("key", "node", "centre", "n"))
-    nodes = written(found.select("node").distinct())
+    found = written(candidate_buckets(groups))
+    nodes = written(found.select("node").distinct().join(groups.select("node", "digest"), "node"))
     if nodes.isEmpty():
         return None
     sets = written(shingle_sets(docs, text_col, nodes))
-    star = found.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    tested = written(star.groupBy("b").agg(F.min(F.struct(F.xxhash64("a", F.lit(0)).alias("o"), "a"))["a"].alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    known = written(verify(tested, sets, similar))
-    turn = 0
-    while True:
-        turn += 1
-        labels = components(known) if not known.isEmpty() else known.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        named = written(nodes.join(near(labels), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-        at = found.join(near(named), "node")
-        mixed = written(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
-        open_ = written(at.join(near(mixed), "key", "left_semi"))
-        if turn > ROUNDS:
-            break
-        # in small buckets every two texts of different classes, once for all
-        little = open_.where(F.col("n") <= FEW).select("key", "label", F.col("node").alias("a"))
-        crossed = little.join(little.select("key", F.col("label").alias("label2"), F.col("a").alias("b")), "key").where("label < label2").select("a", "b")
-        # in large ones one text of each class, another in each bucket and round
-        salt = F.col("key"), F.lit(turn)
-        reps = written(open_.where(F.col("n") > FEW).groupBy("key", "label").agg(F.min(order_of("node", *salt))["node"].alias("rep")))
-        size = written(reps.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(order_of("rep", *salt))["node"].alias("hub")))
-        sized = reps.join(near(size), "key")
-        few, many = sized.where(F.col("k") <= FEW), sized.where((F.col("k") > FEW) & (F.col("rep") != F.col("hub")))
-        other = near(reps.select("key", F.col("label").alias("label2"), F.col("rep").alias("b")))
-        pairs = few.select("key", "label", F.col("rep").alias("a")).join(other, "key").where("label < label2").select("a", "b")
-        centres = near(named.select(F.col("node").alias("centre"), F.col("label").alias("centre_label")))
-        crossing = open_.join(centres, "centre").where("label <> centre_label").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        new = crossed.unionByName(pairs).unionByName(many.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).unionByName(crossing)
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        todo = written(new.join(near(tested), ["a", "b"], "left_anti"))
-        if todo.isEmpty():
-            break
-        more = written(verify(todo, sets, similar))
-        if more.isEmpty():
-            break
-        known, tested = written(known.unionByName(more)), written(tested.unionByName(todo))
-    large = open_.where(F.col("n") > FEW)
-    last = None if large.isEmpty() else written(full_links(large, sets, similar))
-    return labels if last is None or last.isEmpty() else components(known.unionByName(last))
+    stars = found.select("node", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("centre")).where("node <> centre")
+    pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    labels = components(written(verify(pairs, sets, similar)))
+    more = components(written(remaining_links(found, labels, sets, similar)))
+    joined = nodes.select("node").join(near(labels), "node", "left").select("node", F.coalesce("label", "node").alias("first"))
+    return written(joined.join(near(more.select(F.col("node").alias("first"), "label")), "first", "left").select("node", F.coalesce("label", "first").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,15 +286,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     """
     sig = written(signatures(docs, id_col, text_col))
     total = sig.count()
-    groups = written(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
-    labels = link_labels(sig, docs, text_col, groups, similar)
-    if labels is None:
-        named = groups.select("node", F.col("node").alias("label"), "rep", "copies")
-    else:
-        named = groups.drop("bands").join(near(labels), "node", "left").select("node", F.coalesce("label", "node").alias("label"), "rep", "copies")
+    distinct = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    groups = written(distinct.withColumn("node", F.monotonically_increasing_id()))
+    labels = link_labels(docs, text_col, groups, similar)
+    named = groups.drop("bands").withColumn("label", F.col("node")) if labels is None else groups.drop("bands").join(near(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = written(named)
     classes = written(named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")))
-    by_node = written(attach_groups(named, classes, "label", "texts", total).select("node", "copies", "class_id", "class_size"))
-    found = attach_groups(sig.where("node is not null").select("id", "node"), by_node, "node", "copies", total).select("id", "class_id", "class_size")
-    alone = sig.where("node is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    by_digest = written(attach_groups(named, classes, "label", "texts", total).select("digest", "copies", "class_id", "class_size"))
+    found = attach_groups(sig.where("digest is not null").select("id", "digest"), by_digest, "digest", "copies", total).select("id", "class_id", "class_size")
+    alone = sig.where("digest is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -230,7 +230,8 @@ def brute_jaccard(a, b):
 def test_prob_jaccard_and_its_estimate():
     texts = [BASE, NEAR, BASE + " " + BASE[:200], prose(9, 80), BASE[:400]]
     for _, _, data, offsets in text_blocks(__import__("pyarrow").array(texts)):
-        h, w, doc = near_dedup.weighted_shingles(words_of_block(data, offsets))
+        h, count, doc = near_dedup.counted_shingles(words_of_block(data, offsets))
+        w = near_dedup.weights(count)
     sig = near_dedup.prob_minhash(h, w, doc, len(texts), 4096)
     for i, j in combinations(range(len(texts)), 2):
         exact = near_dedup.prob_jaccard(h[doc == i], w[doc == i], h[doc == j], w[doc == j])
@@ -281,12 +282,14 @@ def test_near_duplicate_groups(spark):
 def test_pairs_of_exactly_the_threshold_are_near(spark, common, all_):
     text = prose(55, all_ + 4).split()
     df = make(spark, [" ".join(text[: common + 4]), " ".join(text)])
-    sets = near_dedup.shingle_sets(df, "text", near_dedup.signatures(df, "doc_id", "text").select("node"))
+    digests = near_dedup.signatures(df, "doc_id", "text").select(F.xxhash64("digest").alias("node"), "digest")
+    sets = near_dedup.shingle_sets(df, "text", digests)
     a, b = (r.node for r in sets.collect())
-    pairs = spark.createDataFrame([(a, b)], "a binary, b binary")
+    pairs = spark.createDataFrame([(a, b)], "a long, b long")
     assert near_dedup.verify(pairs, sets, 0.8).count() == 1
-    labelled = sets.withColumns({"key": F.lit(1), "label": F.col("node")})
-    assert near_dedup.full_links(labelled.select("key", "node", "label"), sets, 0.8).count() == 1
+    found = sets.select(F.lit(1).alias("key"), "node", F.lit(2).alias("n"), *[F.lit(-1).alias(f"c{i}") for i in range(near_dedup.CENTRES)])
+    labels = spark.createDataFrame([], "node long, label long")
+    assert near_dedup.remaining_links(found, labels, sets, 0.8).count() == 1
 
 
 def edited(text, seed, n, start=0, step=1):
@@ -302,7 +305,8 @@ def test_near_duplicates_at_the_fringe_of_a_large_group(spark):
     group = [edited(base, i, 2, 5, 10) for i in range(300)]
     texts = group + [edited(group[i], 1000 + i, 4, 0, 10) for i in range(80)]
     for _, _, data, offsets in text_blocks(__import__("pyarrow").array(texts)):
-        h, w, doc = near_dedup.weighted_shingles(words_of_block(data, offsets))
+        h, count, doc = near_dedup.counted_shingles(words_of_block(data, offsets))
+        w = near_dedup.weights(count)
     sets = [(h[doc == i], w[doc == i]) for i in range(len(texts))]
     links = [(i, j) for i, j in combinations(range(len(texts)), 2) if near_dedup.prob_jaccard(*sets[i], *sets[j]) >= 0.8]
     want = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
