@@ -7,7 +7,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,7 +21,17 @@ from episodelake.llm.common import BROADCAST_ROWS, attach_groups, near, shared_d
 LEAST_REVISIT = 100
 #: An archive file is closed when it has so many bytes.
 FILE_BYTES = 4 << 20
-MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MAGIC = b"\x1f\x8b\x08"
+VERSION_LINE, MEMBER = re.compile(rb"WARC/1\.[0-9]\r\n"), re.compile(re.escape(MAGIC) + b"[\x00-\x1f]")
+MARKS = re.compile(MEMBER.pattern + b"|" + VERSION_LINE.pattern)
+#: A mark has fewer bytes than this.
+MARK_BYTES = 16
+#: A longer header block is none of a record's; a member that inflates to more is set aside whole.
+HEADER_BYTES, MEMBER_BYTES = 64 << 10, 1 << 30
+#: A gzip header ends, and content begins, within so many bytes.
+GZIP_HEADER = 4 << 10
+#: Files are read in pieces of so many bytes.
+PIECE_BYTES = 4 << 20
 RECORD_ID = "urn:episodelake:page:"
 DATE = "2020-01-01T00:00:00Z"
 
@@ -37,95 +47,168 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 @dataclass
 class Item:
-    """What lies at [start, end) of a file: a record, or a gap with the reason why it was set aside."""
+    """What lies at [start, end) of a file: a record, or a gap with the reason why it was set aside.
+
+    Inside a gzip member of several records ``inside`` is the place in its
+    content. ``end`` is -1 for a record found in a damaged member.
+    """
 
     start: int
     end: int
     headers: dict[str, str] | None = None
     block: bytes = b""
     reason: str = ""
+    inside: int = -1
+
+
+class Rejected(ValueError):
+    """A failed check, and the place from which the search for the next mark goes on."""
+
+    def __init__(self, reason: str, resume: int):
+        super().__init__(reason)
+        self.resume = resume
+
+
+class Source:
+    """Bytes of known size behind ``read(start, end)``, with the last piece that was read at hand."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read, self.size, self.start, self.held = read, size, 0, b""
+
+    def window(self, start: int, end: int) -> int:
+        """Has [start, end) at hand, as far as it exists; where ``start`` is in ``held``."""
+        end = min(end, self.size)
+        if start < self.start or end > self.start + len(self.held):
+            self.start, self.held = start, self.read(start, min(self.size, max(end, start + PIECE_BYTES)))
+        return start - self.start
+
+    def get(self, start: int, end: int) -> bytes:
+        at = self.window(start, end)
+        return self.held[at : at + end - start]
+
+    def peek(self, start: int, end: int) -> bytes:
+        """A few bytes, wherever they are, without another piece at hand."""
+        return self.get(start, end) if self.start <= start and end <= self.start + len(self.held) else self.read(start, min(end, self.size))
+
+    def mark(self, at: int, marks: re.Pattern[bytes]) -> int:
+        """The next place from ``at`` on that looks like a gzip member or a version line, or the end."""
+        while at < self.size:
+            found = marks.search(self.held, self.window(at, at + MARK_BYTES))
+            if found:
+                return self.start + found.start()
+            at = max(at + 1, self.start + len(self.held) - MARK_BYTES)
+        return self.size
+
+    def at_mark(self, at: int) -> bool:
+        return at >= self.size or MARKS.match(self.peek(at, at + MARK_BYTES)) is not None
+
 
+def of_bytes(data: bytes) -> Source:
+    return Source(lambda a, b: data[a:b], len(data))
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, end) of the record that starts at ``at``; ValueError says which check failed."""
-    if not data.startswith(VERSION, at):
-        raise ValueError("no version line")
-    split = data.find(b"\r\n\r\n", at)
-    if split < 0:
-        raise ValueError("headers do not end")
+
+def parse_record(data: Source, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(headers, block, end) of the record that starts at ``at``; Rejected says which check failed.
+
+    A search never comes back to headers that were read: it goes on at the line
+    that is none, or behind a whole header block whose record failed, or behind
+    the record if its frame leads to another mark. So its work is linear.
+    """
+    first = data.window(at, at + HEADER_BYTES)
+    head, base = data.held, at - first
+    if not VERSION_LINE.match(head, first):
+        raise Rejected("no version line", at + 1)
     headers: dict[str, str] = {}
-    for line in data[at:split].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    line = head.find(b"\r\n", first) + 2
+    while True:
+        end = head.find(b"\r\n", line, first + HEADER_BYTES)
+        if end < 0:
+            raise Rejected("headers do not end", base + max(first + 1, min(len(head), first + HEADER_BYTES) - MARK_BYTES))
+        if end == line:
+            break
+        name, colon, value = head[line:end].partition(b":")
         if not colon or not re.fullmatch(rb"[!-9;-~]+", name):
-            raise ValueError("malformed header line")
+            raise Rejected("malformed header line", base + line)
         headers[name.decode("ascii").lower()] = value.strip().decode("utf-8", "replace")
+        line = end + 2
+    start = base + line + 2
     size = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,15}", size):
-        raise ValueError("no content length")
-    start = split + 4
+        raise Rejected("no content length", start)
     end = start + int(size)
-    if data[end : end + 4] != b"\r\n\r\n":
-        raise ValueError("content length does not lead to a record's end")
-    block = data[start:end]
+    if end + 4 > data.size or data.peek(end, end + 4) != b"\r\n\r\n":
+        raise Rejected("content length does not lead to a record's end", start)
+    block = data.get(start, end)
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
-        raise ValueError("block digest differs")
+        raise Rejected("block digest differs", end + 4 if data.at_mark(end + 4) else start)
     return headers, block, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``at``, with its checksum checked."""
-    unzip, parts, end, view = zlib.decompressobj(31), [], at, memoryview(data)
+def member_at(data: Source, at: int) -> tuple[bytes, int, str]:
+    """(content, end, fault) of the gzip member at ``at``; content up to the fault if there is one.
+
+    Its header ends within GZIP_HEADER bytes, which a false mark's may not.
+    """
+    unzip, parts, size, end = zlib.decompressobj(31), [], 0, at
     try:
-        while not unzip.eof and end < len(data):
-            parts.append(unzip.decompress(view[end : end + 65536]))
-            end = min(end + 65536, len(data))
+        while not unzip.eof:
+            piece = data.get(end, end + (65536 if size else GZIP_HEADER))
+            if not piece or (end > at and not size):
+                return b"".join(parts), end, "gzip member does not end"
+            end += len(piece)
+            while piece and not unzip.eof:
+                parts.append(unzip.decompress(piece, 1 << 20))
+                size += len(parts[-1])
+                piece = unzip.unconsumed_tail
+                if size > MEMBER_BYTES:
+                    return b"", end, "gzip member is too large"
     except zlib.error as e:
-        raise ValueError(f"bad gzip member: {e}") from None
-    if not unzip.eof:
-        raise ValueError("gzip member does not end")
-    return b"".join(parts), end - len(unzip.unused_data)
-
-
-def read_at(data: bytes, at: int) -> tuple[list[Item], int]:
-    """The record at ``at``, or those of the gzip member there, and where it ends."""
-    if data.startswith(MAGIC, at):
-        content, end = _member(data, at)
-        found, inside = [], 0
-        while inside < len(content):
-            headers, block, inside = parse_record(content, inside)
-            found.append(Item(at, end, headers, block))
-        if not found:
-            raise ValueError("empty gzip member")
-        return found, end
-    headers, block, end = parse_record(data, at)
-    return [Item(at, end, headers, block)], end
-
-
-def salvage(data: bytes) -> Iterator[Item]:
+        return b"".join(parts), end, f"bad gzip member: {e}"
+    return b"".join(parts), end - len(unzip.unused_data), "" if size else "empty gzip member"
+
+
+def salvage(data: bytes | Source, packed: bool = True) -> Iterator[Item]:
     """All good records of a file, compressed or plain, and its gaps.
 
     After a failed check the search goes on for the next gzip member or version
     line at which a whole record passes all checks; the bytes between are a gap.
+    The same search runs over the content of a gzip member, so one bad record
+    does not cost the others; of a damaged member only records that carry a
+    digest and pass it are taken, and the search goes on for the next member.
     """
-    at, bad, reason = 0, None, ""
-    marks = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
-    while at < len(data):
+    data = data if isinstance(data, Source) else of_bytes(data)
+    at, bad, reason, marks = 0, None, "", MARKS
+    while at < data.size:
+        found: list[Item] = []
         try:
-            found, end = read_at(data, at)
-        except ValueError as e:
+            if packed and data.get(at, at + 3) == MAGIC:
+                content, end, fault = member_at(data, at)
+                inner = list(salvage(content, packed=False))
+                if fault:
+                    marks = MEMBER if content.startswith(b"WARC/1.") else marks
+                    for x in inner:
+                        if x.headers is not None and x.headers.get("warc-block-digest", "").startswith("sha256:"):
+                            yield Item(at, -1, x.headers, x.block, inside=x.start)
+                    raise Rejected(fault, at + 1)
+                if all(x.headers is None for x in inner):
+                    raise Rejected(inner[0].reason, end if data.at_mark(end) else at + 1)
+                found = [Item(at, end, x.headers, x.block, x.reason, x.start if len(inner) > 1 else -1) for x in inner]
+            else:
+                headers, block, end = parse_record(data, at)
+                found = [Item(at, end, headers, block)]
+        except Rejected as e:
             if bad is None:
                 bad, reason = at, str(e)
-            mark = marks.search(data, at + 1)
-            at = mark.start() if mark else len(data)
+            at = data.mark(max(at + 1, e.resume), marks)
             continue
         if bad is not None:
             yield Item(bad, at, reason=reason)
             bad = None
         yield from found
-        at = end
+        at, marks = end, MARKS
     if bad is not None:
-        yield Item(bad, len(data), reason=reason)
+        yield Item(bad, data.size, reason=reason)
 
 
 # --- Spark -----------------------------------------------------------------
@@ -135,7 +218,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, sha, record_type, refers_to) of every page.
 
     Of equal payloads of LEAST_REVISIT bytes or more the smallest page_id is
-    the response, the others revisit it.
+    the response, the others revisit it, those without an id too; if none of
+    them has an id, all are responses.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     digests = written(pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("sha")))
@@ -159,7 +243,9 @@ def write_warc(pages: DataFrame, path: str) -> DataFrame:
     revisits = written(plan_records(pages).where("record_type = 'revisit'").select("page_id", "sha", "refers_to").distinct())
     # the payloads stay where they are while the revisits are few; beyond that both sides are shuffled
     few = revisits.count() <= BROADCAST_ROWS
-    rows = slim.join(F.broadcast(revisits) if few else revisits, ["page_id", "sha"], "left").select(
+    other = revisits.select(F.col("page_id").alias("revisit_id"), F.col("sha").alias("revisit_sha"), "refers_to")
+    same = F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("sha") == F.col("revisit_sha"))
+    rows = slim.join(F.broadcast(other) if few else other, same, "left").select(
         "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"), "sha", "refers_to"
     )
 
@@ -208,58 +294,102 @@ def page_record(row: dict) -> bytes:
     return record(headers, block)
 
 
-def read_warc(spark: SparkSession, files: str | list[str], payloads: bool = True) -> DataFrame:
-    """Records and gaps of archive files, read by Spark's binary reader.
+def open_source(path: str) -> Source:
+    """A file of the shared store, read piece by piece."""
+    from pyarrow import fs
 
-    Columns: file, start, end (bytes; of the gzip member), kind ('record' or
-    'gap'), reason (of a gap), record_type, record_id, target_uri,
-    payload_digest, payload_length, refers_to, payload (null for gaps, or
-    without ``payloads``), payload_ok (the block has the payload's digest;
-    null for revisits and gaps).
+    store, name = fs.FileSystem.from_uri(path)
+    file = store.open_input_file(name)
+    return Source(lambda a, b: file.read_at(b - a, a), file.size())
+
+
+def read_warc(spark: SparkSession, files: str | list[str], payloads: bool = True, through_spark: bool = False) -> DataFrame:
+    """Records and gaps of archive files.
+
+    A task lists files by Spark and reads each through pyarrow, piece by piece,
+    so a file may have any size and only one record is in memory at a time. A
+    file is read from its start: where a reader begins in the middle, a record
+    within a payload looks like one of the archive. For a store that pyarrow
+    does not know, ``through_spark`` takes whole files (up to 2 GB) from Spark.
+
+    Columns: file, start, end (bytes; of the gzip member; end is null for a
+    record found in a damaged member, which lies in a gap), inside (place in a
+    member that holds several things), kind ('record' or 'gap'), reason (of a
+    gap), record_type, record_id, target_uri, payload_digest, payload_length,
+    refers_to, payload (null for gaps, or without ``payloads``), payload_ok (the
+    block has the payload's digest; null for revisits and gaps).
     """
     schema = (
-        "file string, start long, end long, kind string, reason string, record_type string, record_id string, target_uri string, payload_digest string, "
+        "file string, start long, end long, inside long, kind string, reason string, record_type string, record_id string, target_uri string, payload_digest string, "
         "payload_length long, refers_to string, payload binary, payload_ok boolean"
     )
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def row(path: str, x: Item) -> tuple:
+        h = x.headers or {}
+        digest, kind = h.get("warc-payload-digest", "").removeprefix("sha256:"), h.get("warc-type")
+        full = x.headers is not None and kind != "revisit"
+        length = h.get("warc-payload-length", "")
+        return (
+            path, x.start, x.end if x.end >= 0 else None, x.inside if x.inside >= 0 else None, "gap" if x.headers is None else "record", x.reason or None, kind, h.get("warc-record-id"),
+            h.get("warc-target-uri"), digest or None, int(length) if length.isdigit() else len(x.block) if full else None, h.get("warc-refers-to"), x.block if full and payloads else None,
+            (hashlib.sha256(x.block).hexdigest() == digest) if full and digest else None,
+        )
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("end", "inside", "payload_length"), "Int64"))
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                for x in salvage(content):
-                    h = x.headers or {}
-                    digest, kind = h.get("warc-payload-digest", "").removeprefix("sha256:"), h.get("warc-type")
-                    full = x.headers is not None and kind != "revisit"
-                    length = h.get("warc-payload-length", "")
-                    rows.append((
-                        path, x.start, x.end, "gap" if x.headers is None else "record", x.reason or None, kind, h.get("warc-record-id"), h.get("warc-target-uri"), digest or None,
-                        int(length) if length.isdigit() else len(x.block) if full else None, h.get("warc-refers-to"), x.block if full and payloads else None,
-                        (hashlib.sha256(x.block).hexdigest() == digest) if full and digest else None,
-                    ))
-                names = [f.split()[0] for f in schema.split(", ")]
-                yield pd.DataFrame(rows, columns=names).astype({"payload_length": "Int64"})
-
-    return spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(parsed, schema)
+            for k, path in enumerate(batch["path"]):
+                rows, size = [], 0
+                for x in salvage(batch["content"][k] if through_spark else open_source(path)):
+                    rows.append(row(path, x))
+                    size += len(rows[-1][-2] or b"") + 500
+                    if size >= PIECE_BYTES:
+                        yield table(rows)
+                        rows, size = [], 0
+                yield table(rows)
+
+    return spark.read.format("binaryFile").load(files).select("path", *["content"] * through_spark).mapInPandas(parsed, schema)
+
+
+def read_back(spark: SparkSession, top: str, closed: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of the closed archives (file, records) under ``top``, complete or an error.
+
+    The folder may hold files of tasks that were lost or ran twice; only
+    returned ones count. Gaps and payloads of a wrong digest are written to the
+    table ``<top>-gaps``; if there are any, or an archive gives another number
+    of records than was written to it, ValueError names that table.
+    """
+    name = F.regexp_extract("file", "([^/]+)$", 1).alias("name")
+    files = near(closed.select(name, F.col("records").alias("expected")))
+    found = written(read_warc(spark, top, payloads).withColumn("name", name).join(files, "name", "left_semi"))
+    lost = found.where("kind = 'gap' or not coalesce(payload_ok, true)").drop("payload")
+    counts = found.where("kind = 'record'").groupBy("name").agg(F.count(F.lit(1)).alias("got"))
+    short = files.join(counts, "name", "left").where("coalesce(got, 0) <> expected").count()
+    if short or not lost.isEmpty():
+        lost.write.parquet(f"{top}-gaps")
+        raise ValueError(f"{short} archives do not hold what was written to them; the gaps are in {top}-gaps")
+    return found.where("kind = 'record'")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes every page to archives in the shared folder, reads them back and returns a row per page.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to,
-    target_uri. Null payloads are empty; a null page_id gives a record of that
-    null id; rows that repeat a page_id are records of their own (the first of
+    target_uri. Null payloads are empty; a null page_id gives a record without
+    id; rows that repeat a page_id are records of their own (the first of
     an id that repeats a payload is that payload's response for all of them).
-    An empty table gives no rows.
+    An empty table gives no rows; a damaged archive is an error (``read_back``).
     """
     spark = pages.sparkSession
     top = shared_dir(spark)
     kind = dict(pages.dtypes)["page_id"]
-    name = F.regexp_extract("file", "([^/]+)$", 1).alias("name")
-    closed = written(write_warc(pages, top).select(name))
+    closed = written(write_warc(pages, top))
     if closed.isEmpty():
         return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, target_uri string")
-    # the folder may hold files of tasks that were lost or ran twice; only returned ones count
-    records = read_warc(spark, top, payloads=False).where("kind = 'record'").withColumn("name", name).join(near(closed), "name", "left_semi")
+    records = read_back(spark, top, closed)
     number = lambda c: F.nullif(F.regexp_extract(c, f"<{RECORD_ID}(.*)>", 1), F.lit("")).cast(kind)
     return records.select(
         number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "target_uri"

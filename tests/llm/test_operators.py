@@ -343,25 +343,95 @@ PAGES = "page_id long, url string, html string, sha string, copies long"
 
 
 def test_warc_round_trip(spark):
-    big = "<p>" + "é" * 80
-    pages = [(3, "http://a/ b", big), (1, "http://b", big), (2, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", "WARC/1.1\r\n\r\n" + "x" * 200), (1, "again", big), (8, "u", big + "\r\n\r\n")]
+    big, huge = "<p>" + "é" * 80, prose(8, 900_000)
+    pages = [
+        (3, "http://a/ b", big), (1, "http://b", big), (2, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", "WARC/1.1\r\n\r\n" + "x" * 200), (1, "again", big), (8, "u", big + "\r\n\r\n"),
+        (None, "n", big), (None, "n", big), (None, "n", "y" * 300), (None, "m", "y" * 300), (None, None, None), (9, "h", huge), (10, "h", huge), (11, "w", ("WARC/1.1\r\n" * 40_000)),
+    ]
     df = spark.createDataFrame([(*p, "s", 1) for p in pages], PAGES).repartition(3)
     got = sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in warc.archive_round_trip(df).collect())
     want = []
     for i, _, h in pages:
         raw = (h or "").encode()
-        first = min(j for j, _, x in pages if (x or "") == (h or ""))
-        again = len(raw) >= 100 and i != first
+        first = min((j for j, _, x in pages if (x or "") == (h or "") and j is not None), default=None)
+        again = len(raw) >= 100 and first is not None and i != first
         want.append(str((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None)))
     assert got == sorted(want)
     assert warc.archive_round_trip(df.limit(0)).collect() == []
 
 
+def test_repeated_payloads_beyond_the_hot_limit_and_below_it(spark, monkeypatch):
+    """Both branches of the join to groups: a payload in most rows, and some in a few."""
+    from episodelake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    texts = ["h" * 150] * 60 + [f"{i % 12} " * 60 for i in range(40)] + [None, ""]
+    pages = [(i, "u", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*p, "s", 1) for p in pages], PAGES).repartition(3)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()}
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    assert got == {i: ("revisit", first[t]) if t and first[t] != i else ("response", None) for i, t in enumerate(texts)}
+    kept = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(make(spark, texts)).collect()}
+    blank = {100: (100, 2), 101: (100, 2)}
+    assert kept == {i: (first[t], texts.count(t)) for i, t in enumerate(texts) if t} | blank
+
+
+def test_damaged_archives_are_an_error_with_a_gap_log(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 50, "s", 1) for i in range(20)], PAGES).coalesce(1)
+    closed = spark.createDataFrame(warc.write_warc(df, str(tmp_path / "a")).collect())
+    assert warc.read_back(spark, f"file://{tmp_path}/a", closed).count() == 20
+    (file,) = (tmp_path / "a").iterdir()
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    file.write_bytes(data)
+    with pytest.raises(ValueError, match="gaps"):
+        warc.read_back(spark, f"file://{tmp_path}/a", closed)
+    (gap,) = spark.read.parquet(f"{tmp_path}/a-gaps").collect()
+    assert 0 < gap.start < gap.end < len(data) and gap.kind == "gap"
+
+
+def page(i, digest=True):
+    body = (f"body {i} " * 40).encode()
+    made = warc.page_record({"page_id": i, "url": f"u{i}", "payload": body, "size": 1, "sha": hashlib.sha256(body).hexdigest(), "refers_to": None})
+    return made if digest else re.sub(rb"WARC-Block-Digest[^\r]*\r\n", b"", made)
+
+
+def numbers(items):
+    return [int(x.headers["warc-record-id"][-2]) for x in items if x.headers is not None]
+
+
+def test_a_member_of_several_records_loses_the_bad_one_only():
+    import gzip
+
+    good, bad = [page(i) for i in range(6)], bytearray(page(2))
+    bad[-20] ^= 0xFF
+    one = gzip.compress(b"".join([*good[:2], bytes(bad), *good[3:]]), 0)
+    assert numbers(warc.salvage(one)) == [0, 1, 3, 4, 5]
+    gap = next(x for x in warc.salvage(one) if x.headers is None)
+    assert gap.inside == len(good[0] + good[1]) and (gap.start, gap.end) == (0, len(one))
+    # a member that breaks off: records that pass a digest are taken, those without one are not
+    parts = [page(0), page(1, digest=False), *good[2:]]
+    whole = gzip.compress(b"".join(parts), 0)
+    cut = whole[: len(whole) - len(good[5]) - 100] + gzip.compress(page(7))
+    items = list(warc.salvage(cut))
+    assert numbers(items) == [0, 2, 3, 7] and [x.start for x in items if x.headers is None] == [0]
+
+
+@pytest.mark.parametrize("piece", ["WARC/1.1\r\n", "WARC/1.1\r\na: b\r\n", "a: WARC/1.1\r\n", "WARC/1.1\r\nContent-Length: 9\r\n\r\n", "WARC/1.1\r\nContent-Length: 5000000\r\n\r\n", "\x1f\x8b\x08"])
+def test_salvage_is_linear(piece):
+    import time
+
+    data = page(0) + page(1)[:200] + piece.encode("latin-1") * (2_000_000 // len(piece)) + page(2)
+    began = time.process_time()
+    assert numbers(warc.salvage(data)) == [0, 2]
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage_finds_later_records(spark, tmp_path, packed):
     import gzip
 
-    records = [warc.page_record({"page_id": i, "url": f"u{i}", "payload": (f"body {i} " * 40).encode(), "size": 1, "sha": hashlib.sha256((f"body {i} " * 40).encode()).hexdigest(), "refers_to": None}) for i in range(6)]
+    records = [page(i) for i in range(6)]
     parts = [gzip.compress(r) if packed else r for r in records]
     damaged = bytearray(parts[2])
     damaged[len(damaged) // 2] ^= 0xFF
