@@ -4,10 +4,13 @@ Suffixes are dealt to buckets by the least hashed 20-byte string (the anchor)
 of their first 50 bytes, so equal 50-byte strings always meet. Neighbouring
 suffixes with one anchor travel as one short string, about four bytes for each
 suffix. A first exchange of the anchors' hashes alone finds those that two
-documents have; suffixes of other anchors are unique and travel no further. A
-bucket is one task's work: it ranks the suffixes of a difference
-cover, then sorts one range of suffixes at a time by their first eight bytes
-and, where these tie, by the rank of the covered suffix next to them.
+documents have; suffixes of other anchors are unique and travel no further. Of
+anchors with very many strings every 50-byte string is dealt by itself, so no
+bucket grows with a common passage. A bucket is one task's work: it ranks the
+suffixes of a difference cover by doubling, then sorts one range of suffixes at
+a time by their first eight bytes; where these tie, two suffixes are in the
+order of the ranks at the least distance at which both are covered. Only
+neighbours in that order are compared, byte by byte.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ from episodelake.llm.textbytes import BASE, mix, text_blocks
 LENGTH, ANCHOR = 50, 20
 #: Difference cover modulo 7: any two residues have a common distance, below 7, to covered ones.
 PERIOD, COVER = 7, (0, 1, 3)
+#: The least distance at which the suffixes of two residues are both covered.
+DISTANCE = np.array([[next(d for d in range(PERIOD) if {(r + d) % PERIOD, (s + d) % PERIOD} <= {*COVER}) for s in range(PERIOD)] for r in range(PERIOD)])
 #: Bytes of text in a block of documents, and of strings that a bucket is meant to hold.
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 4 << 20, 32
 #: Bytes of rows whose anchors are found at a time, and anchors that one task of the first exchange is meant to hold.
 PART_BYTES, KEYS_AT_ONCE = 1 << 18, 1 << 20
 #: Suffixes that are sorted at a time.
 SORTED_AT_ONCE = 1 << 18
+#: Strings of one anchor above which each of their suffixes is dealt by itself.
+HOT_STRINGS = 1 << 15
 #: Rows without an id sort after all others.
 NO_ID = (1 << 63) - 1
 PLACE = np.uint64(28)
@@ -71,14 +78,17 @@ def anchors(data: np.ndarray) -> np.ndarray:
 def cut_strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes of each anchor string, its anchor's place in it) for the rows of a block in order."""
     counts, at = [np.zeros(0, "u1")], [np.zeros(0, "u1")]
-    row, last = 0, len(offsets) - 1
+    row, last, begun = 0, len(offsets) - 1, 0
     while row < last:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART_BYTES, side="right")) - 1)
-        base, part = offsets[row], data[offsets[row] : offsets[end]]
+        # rows together, or a piece of a long row that shares LENGTH - 1 bytes with the next one
+        base = int(offsets[row]) + begun
+        stop = min(int(offsets[end]), base + PART_BYTES + LENGTH - 1)
+        part = data[base:stop]
         if len(part) >= LENGTH:
             least = anchors(part)
             inside = np.ones(len(part) + 1, bool)
-            ends = offsets[row + 1 : end + 1] - base
+            ends = np.minimum(offsets[row + 1 : end + 1], stop) - base
             for e in range(1, LENGTH):  # no string reaches over a row's end
                 inside[ends[ends >= e] - e] = False
             place = np.flatnonzero(inside[: len(least)])
@@ -86,7 +96,7 @@ def cut_strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (np.diff(place) != 1)]) if len(place) else np.zeros(0, np.int64)
             counts.append(np.diff(np.r_[new, len(place)]).astype("u1"))
             at.append((a[new].astype(np.int64) - place[new]).astype("u1"))
-        row = end
+        row, begun = (end, 0) if stop == offsets[end] else (row, begun + PART_BYTES)
     return np.concatenate(counts), np.concatenate(at)
 
 
@@ -111,6 +121,24 @@ def string_names(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor:
     return name
 
 
+def same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of one size at two places have the same bytes."""
+    words, same = eight_at(data), np.ones(len(a), bool)
+    for step in range(0, 2 * LENGTH - ANCHOR, 8):
+        same &= words[a + np.minimum(step, size - 8)] == words[b + np.minimum(step, size - 8)] if len(a) else same
+    return same
+
+
+def first_of_equals(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, name: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key, name and id; where a string begins that differs from the one before in it)."""
+    order = np.lexsort((ids, name, key))
+    a, b = order[:-1], order[1:]
+    fresh = np.ones(len(order), bool)
+    near = np.flatnonzero((name[a] == name[b]) & (key[a] == key[b]) & (size[a] == size[b]))
+    fresh[1 + near] = ~same_strings(data, begin[a[near]], begin[b[near]], size[a[near]])
+    return order, fresh
+
+
 class Block:
     """The anchor strings of a block in order: begin, row, size, anchor (its place in the string) and key (the anchor's hash)."""
 
@@ -134,28 +162,33 @@ class Block:
         np.maximum.at(high, which, own)
         return keys, low < high, which
 
-    def distinct(self, wanted: np.ndarray, n_buckets: int) -> Distinct:
-        return Distinct(self, np.flatnonzero(wanted), n_buckets)
+    def distinct(self, wanted: np.ndarray, hot: np.ndarray, n_buckets: int) -> Distinct:
+        return Distinct(self, np.flatnonzero(wanted & ~hot), np.flatnonzero(wanted & hot), n_buckets)
 
 
 class Distinct:
     """The distinct strings among some of a block's, by bucket and smallest id.
 
-    Of each: place (of one occurrence), size, anchor, least (the smallest id
-    that has it) and bucket; which names the string of each chosen occurrence.
+    Strings of hot anchors come apart into their suffixes of LENGTH bytes, dealt
+    by a hash of all these bytes. Of each string: place (of one occurrence),
+    size, anchor, least (the smallest id that has it) and bucket; which names
+    the string of each occurrence (begin, row).
     """
 
-    def __init__(self, block: Block, chosen: np.ndarray, n_buckets: int) -> None:
-        self.begin, self.row = block.begin[chosen], block.row[chosen]
-        size, anchor, key, own = block.size[chosen], block.anchor[chosen], block.key[chosen], block.ids[self.row]
+    def __init__(self, block: Block, whole: np.ndarray, hot: np.ndarray, n_buckets: int) -> None:
+        windows = block.size[hot] - LENGTH + 1
+        parts = np.repeat(hot, windows)
+        step = np.arange(len(parts)) - np.repeat(np.cumsum(windows) - windows, windows)
+        both = np.r_[whole, parts]
+        self.begin, self.row = np.r_[block.begin[whole], block.begin[parts] + step], block.row[both]
+        size, anchor = np.r_[block.size[whole], np.full(len(parts), LENGTH)], np.r_[block.anchor[whole], block.anchor[parts] - step]
+        key, own = block.key[both], block.ids[self.row]
         name = string_names(block.data, self.begin, size, anchor)
-        order = np.lexsort((own, name, key))
-        same = (name[order][1:] == name[order][:-1]) & (key[order][1:] == key[order][:-1])
-        fresh = np.r_[True, ~same][: len(order)]
+        order, fresh = first_of_equals(block.data, self.begin, size, key, name, own)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(fresh) - 1
-        one = order[np.flatnonzero(fresh)]  # the occurrence with the smallest id
-        bucket = (mix(key[one]) % np.uint64(n_buckets)).astype(np.int64)
+        one = order[fresh]  # the occurrence with the smallest id
+        bucket = (mix(np.where(one < len(whole), key[one], name[one])) % np.uint64(n_buckets)).astype(np.int64)
         sort = np.lexsort((name[one], own[one], bucket))
         rank = np.empty(len(sort), np.int64)
         rank[sort] = np.arange(len(sort))
@@ -184,12 +217,32 @@ def cover_ranks(eight: np.ndarray, covered: np.ndarray) -> np.ndarray:
     return rank
 
 
+def suffix_order(run: np.ndarray, suffix: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The order of suffixes of which those of a run tie in their first PERIOD bytes or more.
+
+    The suffixes of each two residues are merged by the ranks at the distance at
+    which both are covered: a suffix's place is the number of smaller ones of
+    each residue. This is the order of the first 56 bytes at least; which of
+    longer ties comes first does not matter.
+    """
+    residue, high = suffix % PERIOD, run.astype(np.uint64) << np.uint64(32)
+    members = [np.flatnonzero(residue == r) for r in range(PERIOD)]
+    codes = [{d: high[m] | ranks[suffix[m] + d] for d in set(DISTANCE[r].tolist())} for r, m in enumerate(members)]
+    place = np.zeros(len(suffix), np.int64)
+    for s in range(PERIOD):
+        ordered = {d: np.sort(code) for d, code in codes[s].items()}
+        for r in range(PERIOD):
+            d = int(DISTANCE[r, s])
+            place[members[r]] += np.searchsorted(ordered[d], codes[r][d], side="left" if r <= s else "right")
+    return np.argsort(place, kind="stable")
+
+
 def least_ids(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each suffix of each string (size - LENGTH + 1 of them), the smallest id of a string that has its first LENGTH bytes.
 
     Strings are laid out with their anchors at multiples of PERIOD. Equal
-    50-byte strings have their anchor at the same distance, hence the same
-    residue, so one covered neighbour serves to compare them.
+    50-byte strings have their anchor at the same distance, so they are
+    neighbours of one residue in the order of the suffixes.
     """
     pad = (PERIOD - anchor) % PERIOD
     room = (pad + size + PERIOD - 1) // PERIOD * PERIOD
@@ -204,7 +257,6 @@ def least_ids(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.
     residue = suffix % PERIOD
     covered = np.zeros(PERIOD, bool)
     covered[list(COVER)] = True
-    to_cover = np.array([next(d for d in range(PERIOD) if covered[(r + d) % PERIOD]) for r in range(PERIOD)])
     ranks = cover_ranks(eight, np.tile(covered, len(x) // PERIOD + 1)[: len(eight)])
     first = eight[suffix].astype(np.uint64)
     # ranges of suffixes by their leading bytes, each of about SORTED_AT_ONCE
@@ -218,12 +270,10 @@ def least_ids(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.
         order = mine[np.argsort(first[mine])]
         head = first[order]
         run = np.cumsum(np.r_[True, head[1:] != head[:-1]]) if len(order) else np.zeros(0, np.int64)
-        # runs of equal first bytes are put in order by residue and covered rank
+        # runs of equal first bytes are put in order by the ranks of covered suffixes
         again = np.flatnonzero((np.bincount(run) > 1)[run])
         some = order[again]
-        tie = ranks[suffix[some] + to_cover[residue[some]]].astype(np.uint64)
-        code = (run[again].astype(np.uint64) << np.uint64(35)) | (residue[some].astype(np.uint64) << np.uint64(32)) | tie
-        order[again] = some[np.argsort(code)]
+        order[again] = some[suffix_order(run[again], suffix[some], ranks)]
         i, j = suffix[order[:-1]], suffix[order[1:]]
         same = (first[order[:-1]] == first[order[1:]]) & (residue[order[:-1]] == residue[order[1:]])
         tied = np.flatnonzero(same)
@@ -280,44 +330,52 @@ def block_of(row: dict) -> Block:
     return Block(_unpack(row["text"], "u1"), _unpack(row["offsets"], "<i8"), ids, _unpack(row["counts"], "u1"), _unpack(row["anchors"], "u1"))
 
 
+def range_of(keys: np.ndarray, bits: int, n_ranges: int) -> np.ndarray:
+    """Which of n_ranges even parts of the numbers of so many bits each key is in."""
+    return ((keys >> np.uint64(max(0, bits - 32))) * np.uint64(n_ranges) >> np.uint64(min(bits, 32))).astype(np.int64)
+
+
 def keys_of(blocks: DataFrame, bits: int, n_ranges: int) -> DataFrame:
-    """(range, block, n, keys, several): each block's distinct anchor hashes by range, and whether several ids have them."""
+    """(range, block, n, keys, several, strings): each block's distinct anchor hashes by range, whether several ids have them, and in how many strings."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, several, _ = block_of(row).short_keys(bits)
-                cuts = np.searchsorted(keys, (np.arange(n_ranges + 1, dtype=object) << bits) // n_ranges)
-                some = np.flatnonzero(np.diff(cuts))
-                parts = [slice(cuts[r], cuts[r + 1]) for r in some]
+                keys, several, which = block_of(row).short_keys(bits)
+                strings = np.minimum(np.bincount(which, minlength=len(keys)), 65535)
+                some, cuts = np.unique(range_of(keys, bits, n_ranges), return_index=True)
+                parts = [slice(a, b) for a, b in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True)]
                 columns = [
                     pa.array(some, pa.int32()),
                     pa.array([row["block"]] * len(some), pa.int64()),
                     pa.array([p.stop - p.start for p in parts], pa.int64()),
                     pa.array([_pack(np.diff(keys[p], prepend=np.uint64(0)).astype("<u8")) for p in parts], pa.binary()),
                     pa.array([_pack(np.packbits(several[p])) for p in parts], pa.binary()),
+                    pa.array([_pack(strings[p].astype("<u2")) for p in parts], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["range", "block", "n", "keys", "several"])
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "block", "n", "keys", "several", "strings"])
 
-    return blocks.drop("n_bytes").mapInArrow(made, "range int, block long, n long, keys binary, several binary")
+    return blocks.drop("n_bytes").mapInArrow(made, "range int, block long, n long, keys binary, several binary, strings binary")
 
 
-def repeated_keys(part: pd.DataFrame) -> pd.DataFrame:
-    """(block, range, n, bits): which of the keys that each block sent are in several documents."""
+def repeated_keys(part: pd.DataFrame, hot_strings: int) -> pd.DataFrame:
+    """(block, range, n, bits, hot): which of the keys that each block sent are in several documents, and which in hot_strings strings or more."""
     keys = [np.cumsum(_unpack(x, "<u8")) for x in part["keys"]]
     several = [np.unpackbits(_unpack(x, "u1"), count=int(n)).astype(bool) for x, n in zip(part["several"], part["n"], strict=True)]
     values, which, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     repeated = counts > 1
     repeated[which[np.concatenate(several)]] = True
-    marks = np.split(repeated[which], np.cumsum([len(k) for k in keys])[:-1])
-    return pd.DataFrame({"block": part["block"], "range": part["range"], "n": part["n"], "bits": [_pack(np.packbits(m)) for m in marks]})
+    hot = np.bincount(which, np.concatenate([_unpack(x, "<u2") for x in part["strings"]])) >= hot_strings
+    marks = [[_pack(np.packbits(m)) for m in np.split(x[which], np.cumsum([len(k) for k in keys])[:-1])] for x in (repeated, hot)]
+    return pd.DataFrame({"block": part["block"], "range": part["range"], "n": part["n"], "bits": marks[0], "hot": marks[1]})
 
 
-def wanted_of(block: Block, marks: list[dict] | None, bits: int) -> np.ndarray:
-    """Which strings of a block have an anchor that several documents have."""
+def wanted_of(block: Block, marks: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings of a block have an anchor that several documents have, and which a hot one."""
     _, _, which = block.short_keys(bits)
-    answers = [np.unpackbits(_unpack(m["bits"], "u1"), count=m["n"]) for m in sorted(marks or [], key=lambda m: m["range"])]
-    return np.concatenate(answers).astype(bool)[which] if answers else np.zeros(len(which), bool)
+    marks = sorted(marks or [], key=lambda m: m["range"])
+    answers = [[np.unpackbits(_unpack(m[kind], "u1"), count=m["n"]) for m in marks] for kind in ("bits", "hot")]
+    return tuple(np.concatenate(a).astype(bool)[which] if a else np.zeros(len(which), bool) for a in answers)
 
 
 def strings_of(blocks: DataFrame, bits: int, n_buckets: int) -> DataFrame:
@@ -327,11 +385,11 @@ def strings_of(blocks: DataFrame, bits: int, n_buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = block_of(row)
-                s = block.distinct(wanted_of(block, row["marks"], bits), n_buckets)
-                cuts = np.searchsorted(s.bucket, np.arange(n_buckets + 1))
+                s = block.distinct(*wanted_of(block, row["marks"], bits), n_buckets)
+                buckets, cuts = np.unique(s.bucket, return_index=True)
                 out = {k: [] for k in ("bucket", "block", "sizes", "anchors", "ids", "text")}
-                for b in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[b], cuts[b + 1])
+                for b, from_, to in zip(buckets, cuts, np.r_[cuts[1:], len(s.bucket)], strict=True):
+                    part = slice(from_, to)
                     out["bucket"].append(int(b))
                     out["block"].append(row["block"])
                     out["sizes"].append(_pack(s.size[part].astype("u1")))
@@ -346,7 +404,7 @@ def strings_of(blocks: DataFrame, bits: int, n_buckets: int) -> DataFrame:
 def answer_bucket(part: pd.DataFrame) -> pd.DataFrame:
     """(block, bucket, found): for the strings of each block, the suffixes that a smaller id has as well.
 
-    Equal strings are sorted once, and those whose anchor no other string has not at all.
+    Equal strings, compared by their bytes, are sorted once, and those whose anchor no other string has not at all.
     """
     sizes = [_unpack(x, "u1").astype(np.int64) for x in part["sizes"]]
     n = np.array([len(x) for x in sizes])
@@ -355,9 +413,7 @@ def answer_bucket(part: pd.DataFrame) -> pd.DataFrame:
     text = np.concatenate([_unpack(x, "u1") for x in part["text"]])
     begin = np.cumsum(size) - size
     key, name = anchor_keys(text, begin + anchor), string_names(text, begin, size, anchor)
-    order = np.lexsort((least, name, key))
-    same_key = key[order][1:] == key[order][:-1]
-    fresh = np.r_[True, ~(same_key & (name[order][1:] == name[order][:-1]))]
+    order, fresh = first_of_equals(text, begin, size, key, name, least)
     one = order[fresh]  # of equal strings, the one with the smallest id
     copy = np.empty(len(order), np.int64)
     copy[order] = np.cumsum(fresh) - 1
@@ -390,18 +446,17 @@ def answer_bucket(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "bucket", "n", "found"])
 
 
-def finish_block(block: Block, wanted: np.ndarray, answers: list[dict] | None, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def finish_block(block: Block, wanted: np.ndarray, hot: np.ndarray, answers: list[dict] | None, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which bytes of a block go, and for each of its rows how many and in how many runs."""
     data, offsets, ids = block.data, block.offsets, block.ids
-    s = block.distinct(wanted, n_buckets)
+    s = block.distinct(wanted, hot, n_buckets)
     counts = s.size - LENGTH + 1
     base = np.cumsum(counts) - counts
     best = np.repeat(s.least, counts)
-    bucket_start = np.searchsorted(s.bucket, np.arange(n_buckets))
     for answer in answers or []:
         raw, n = _unpack(answer["found"], "u1").tobytes(), answer["n"]
         local, step, length = np.cumsum(np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64)), np.frombuffer(raw[4 * n : 5 * n], "u1"), np.frombuffer(raw[5 * n : 6 * n], "u1")
-        at = _spread(base[bucket_start[answer["bucket"]] + local] + step, length.astype(np.int64))
+        at = _spread(base[np.searchsorted(s.bucket, answer["bucket"]) + local] + step, length.astype(np.int64))
         best[at] = np.repeat(np.frombuffer(raw[6 * n :], "<i8"), length)
     repeated = np.zeros(len(data), np.int32)  # 1 where a string starts that a smaller id has
     for a in range(0, len(s.begin), 1 << 15):  # so many occurrences at a time
@@ -418,24 +473,25 @@ def finish_block(block: Block, wanted: np.ndarray, answers: list[dict] | None, n
     return removed, np.diff(total[offsets]), np.diff(runs[offsets])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept (the bytes left).
 
     A byte goes when some 50-byte string over it also starts in a row with a
     smaller id; strings never reach over a row's end and are judged on the
     input. Ids are integers; rows that repeat an id do not remove each other's
     bytes, rows without an id come last. Null texts are empty; texts under 50
-    bytes stay. An empty table gives no rows, other columns are ignored.
+    bytes stay. An empty table gives no rows, other columns are ignored. Of
+    anchors with ``hot_strings`` strings or more each suffix is dealt by itself.
     """
     kind = dict(docs.dtypes)[id_col]
     blocks = written(pack_blocks(docs, id_col, text_col))
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     n_buckets = max(LEAST_BUCKETS, int(total * 1.5) // BUCKET_BYTES)
-    n_ranges = max(LEAST_BUCKETS, total // 18 // KEYS_AT_ONCE)
+    n_ranges = min(1 << 31, max(LEAST_BUCKETS, total // 18 // KEYS_AT_ONCE))
     # ten bits more than it takes to number the anchors: a chance match only sends a string on
     bits = min(64, max(1, total // 16).bit_length() + 10)
-    marks = written(keys_of(blocks, bits, n_ranges).groupBy("range").applyInPandas(repeated_keys, "block long, range int, n long, bits binary"))
-    marked = blocks.drop("n_bytes").join(marks.groupBy("block").agg(F.collect_list(F.struct("range", "n", "bits")).alias("marks")), "block", "left")
+    marks = written(keys_of(blocks, bits, n_ranges).groupBy("range").applyInPandas(lambda part: repeated_keys(part, hot_strings), "block long, range int, n long, bits binary, hot binary"))
+    marked = blocks.drop("n_bytes").join(marks.groupBy("block").agg(F.collect_list(F.struct("range", "n", "bits", "hot")).alias("marks")), "block", "left")
     found = strings_of(marked, bits, n_buckets).groupBy("bucket").applyInPandas(answer_bucket, "block long, bucket int, n long, found binary")
     answers = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "found")).alias("answers"))
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
@@ -444,7 +500,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for row in batch.to_pylist():
                 block = block_of(row)
-                removed, n_removed, n_spans = finish_block(block, wanted_of(block, row["marks"], bits), row["answers"], n_buckets)
+                removed, n_removed, n_spans = finish_block(block, *wanted_of(block, row["marks"], bits), row["answers"], n_buckets)
                 left = block.data[~removed].tobytes()
                 ends = (block.offsets - np.r_[0, np.cumsum(n_removed)]).tolist()
                 kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -170,8 +170,40 @@ def brute_repeats(rows, n=50):
     return sorted(out)
 
 
-def test_repeats_are_removed(docs):
-    assert sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(docs).collect()) == brute_repeats(ids_texts(docs))
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_STRINGS, 2])
+def test_repeats_are_removed(docs, hot):
+    assert sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(docs, hot_strings=hot).collect()) == brute_repeats(ids_texts(docs))
+
+
+def test_suffixes_are_in_order():
+    """Of the strings of one bucket, laid out with their anchors at equal residues, by their first 50 bytes."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(97, 99, 3000).astype(np.uint8)
+    x[500:700] = x[900:1100] = x[1500:1700]
+    x = np.r_[x, np.zeros(64, np.uint8)]
+    covered = np.isin(np.arange(len(x)) % suffix_dedup.PERIOD, suffix_dedup.COVER)
+    eight = suffix_dedup.eight_at(x)
+    ranks = suffix_dedup.cover_ranks(eight, covered[: len(eight)])
+    at = rng.permutation(2900)
+    run = np.unique(eight[at], return_inverse=True)[1]
+    ordered = at[suffix_dedup.suffix_order(run, at, ranks)]
+    heads = [x[i : i + 50].tobytes() for i in ordered]
+    assert heads == sorted(heads) and sorted(ordered) == sorted(at)
+
+
+def test_long_rows_are_cut_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    data, offsets = rng.integers(97, 101, 9000).astype(np.uint8), np.array([0, 30, 7000, 7000, 7049, 7099, 9000])
+
+    def windows():
+        counts, at = suffix_dedup.cut_strings(data, offsets)
+        step = np.concatenate([np.arange(c) for c in counts])
+        return np.repeat(at.astype(int), counts) - step
+
+    whole = windows()
+    for size in (200, 1000, 4097):
+        monkeypatch.setattr(suffix_dedup, "PART_BYTES", size)
+        assert (windows() == whole).all()
 
 
 def test_repeats_in_random_texts(spark):
@@ -179,7 +211,8 @@ def test_repeats_in_random_texts(spark):
     passages = ["".join(rng.choice("abc \n") for _ in range(rng.randint(45, 140))) for _ in range(8)]
     texts = ["".join(rng.choice(passages) if rng.random() < 0.3 else "".join(rng.choice("abé ") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 12))) for _ in range(80)]
     df = make(spark, texts).repartition(5)
-    assert sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(df).collect()) == brute_repeats(ids_texts(df))
+    for hot in (suffix_dedup.HOT_STRINGS, 3):
+        assert sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(df, hot_strings=hot).collect()) == brute_repeats(ids_texts(df))
 
 
 def brute_hits(docs, items):
