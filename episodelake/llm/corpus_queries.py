@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from episodelake.llm.decontaminate import decontaminate
 from episodelake.llm.exact_dedup import exact_dedup
-from episodelake.llm.license_scan import TEMPLATES, license_scan
+from episodelake.llm.license_scan import license_scan
+from episodelake.llm.license_texts import TEMPLATES
 from episodelake.llm.near_dedup import near_duplicates
 from episodelake.llm.quality import score_quality
 from episodelake.llm.sentencepiece_codec import encode_texts
@@ -70,7 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The words of a text in DuckDB.
 SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
-SQL_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
+SQL_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
 
 ORACLE = {
     "op1_warc": """

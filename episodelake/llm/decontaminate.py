@@ -21,9 +21,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return runs.select("item_id", F.slice("words", F.col("at") + 1, window).alias("w")).withColumn("len", F.size("w")).distinct()
 
 
-def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, id, words): the words of each row under a number of its own."""
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+
+
+def positions(words: DataFrame) -> DataFrame:
     """(rid, id, words, at): one row for each word of a text and one past its end."""
-    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     return words.select("rid", "id", "words", F.explode(F.sequence(F.lit(0), F.size("words"))).alias("at"))
 
 
@@ -33,13 +37,26 @@ def shingles(at: DataFrame, sizes: list[int]) -> DataFrame:
     return at.withColumn("h", made[0]) if len(made) == 1 else at.withColumn("h", F.explode(F.array(*made)))
 
 
-def rare_shingles(windows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
-    """(h, off, wid, w, len): each distinct window by the one of its shingles that is rarest over all documents.
+def looked_up(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], table: DataFrame) -> DataFrame:
+    """The positions of all texts with the rows of a written table of the same shingle (h), and a row at each text's end.
+
+    A small table is broadcast, and texts are read once. For a large one the
+    texts' words are written under their numbers, only numbers, places and
+    hashes are shuffled, and words come back to the places that were found.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return shingles(positions(numbered(docs, id_col, text_col)), sizes).join(F.broadcast(table), "h", "left")
+    words = written(numbered(docs, id_col, text_col))
+    places = shingles(positions(words), sizes).select("rid", "at", "h").join(table, "h")
+    return words.join(places, "rid").unionByName(words.withColumn("at", F.size("words")), allowMissingColumns=True)
+
+
+def rare_shingles(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
+    """(h, off, wid, w, len): each distinct window (wid, w, len) by the one of its shingles that is rarest over all documents.
 
     Containment has to be whole, so one shingle of a window is prefix enough.
     Windows with a shingle that no document has cannot occur and are left out.
     """
-    distinct = windows.select("w", "len").distinct().withColumn("wid", F.xxhash64("w", F.lit(1)))
     sizes = sorted(r[0] for r in distinct.select(F.least(F.lit(SHINGLE), "len")).distinct().collect())  # SHINGLE values at most
 
     def hashed(size: int) -> DataFrame:
@@ -50,12 +67,11 @@ def rare_shingles(windows: DataFrame, docs: DataFrame, id_col: str, text_col: st
     if not sizes:
         return distinct.withColumns({"off": F.lit(0), "h": F.lit(0).cast("long")}), [SHINGLE]
     parts = written(reduce(DataFrame.unionByName, map(hashed, sizes)))
-    n_blocks = 1 + parts.count() // BROADCAST_ROWS
-    found = []
-    for block in range(n_blocks):
-        keys = parts.where(F.pmod("h", F.lit(n_blocks)) == block).select("h").distinct()
-        found.append(shingles(positions(docs, id_col, text_col), sizes).join(F.broadcast(keys), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    counts = written(reduce(DataFrame.unionByName, found))
+    keys = written(parts.select("h").distinct())
+    every, count = shingles(positions(numbered(docs, id_col, text_col)), sizes), F.count(F.lit(1)).alias("n")
+    few = keys.count() <= BROADCAST_ROWS
+    # beyond that all shingles are counted before they meet the keys, so a frequent one is no hot key
+    counts = written(every.join(F.broadcast(keys), "h").groupBy("h").agg(count) if few else every.groupBy("h").agg(count).join(keys, "h"))
     rarest = Window.partitionBy("wid").orderBy("n", "off")
     ranked = parts.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", F.row_number().over(rarest))
     return ranked.where("r = 1 and n > 0").select("h", "off", "wid", "w", "len"), sizes
@@ -81,29 +97,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Two scans: the first counts the benchmark's shingles over all documents,
     the second joins each window's rarest shingle, bounds the place it implies
-    and compares the whole window. The table of windows is broadcast in blocks
-    of BROADCAST_ROWS rows, one scan each.
+    and compares the whole window. Windows are broadcast up to BROADCAST_ROWS
+    of them and shuffled beyond (``looked_up``).
     """
     windows = written(item_windows(benchmark))
-    prefix, sizes = rare_shingles(windows, docs, id_col, text_col)
-    prefix = written(prefix)
-    n_blocks = 1 + prefix.count() // BROADCAST_ROWS
-
-    def matches(block: int) -> DataFrame:
-        mine = prefix.where(F.pmod("h", F.lit(n_blocks)) == block)
-        at_end = F.col("at") == F.size("words")
-        rows = shingles(positions(docs, id_col, text_col), sizes).join(F.broadcast(mine), "h", "left")
-        start = F.col("at") - F.col("off")
-        # the place lies in the text and the whole window is there; a row of its own keeps each text
-        same = (start >= 0) & (start + F.col("len") <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("w"))
-        hit = F.coalesce(same, F.lit(False))
-        rows = rows.where(hit | at_end) if block == 0 else rows.where(hit)
-        return rows.select("rid", "id", F.size("words").alias("n_words"), F.when(hit, F.struct(start.alias("start"), "len")).alias("span"), F.when(hit, F.col("wid")).alias("wid"))
-
-    found = written(reduce(DataFrame.unionByName, map(matches, range(n_blocks))))
+    distinct = written(windows.select("w", "len").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    prefix, sizes = rare_shingles(distinct, docs, id_col, text_col)
+    rows = looked_up(docs, id_col, text_col, sizes, written(prefix))
+    at_end = F.col("at") == F.size("words")
+    start = F.col("at") - F.col("off")
+    # the place lies in the text and the whole window is there; a row of its own keeps each text
+    same = (start >= 0) & (start + F.col("len") <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("w"))
+    hit = F.coalesce(same, F.lit(False))
+    span, wid = F.when(hit, F.struct(start.alias("start"), "len")).alias("span"), F.when(hit, F.col("wid")).alias("wid")
+    found = written(rows.where(hit | at_end).select("rid", "id", F.size("words").alias("n_words"), span, wid))
     per_row = found.groupBy("rid").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_set("span").alias("spans"))
-    wids = windows.select(F.xxhash64("w", F.lit(1)).alias("wid"), F.col("item_id").cast("string").alias("item")).distinct()
-    items = found.where("wid is not null").select("rid", "wid").distinct().join(wids, "wid").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    names = windows.join(distinct, ["w", "len"]).select("wid", F.col("item_id").cast("string").alias("item")).distinct()
+    items = found.where("wid is not null").select("rid", "wid").distinct().join(names, "wid").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
     return per_row.join(items, "rid", "left").select(
         F.col("id").alias(id_col),

@@ -5,20 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodelake.llm.common import BROADCAST_ROWS, shingle_hash, words_of, written
-from episodelake.llm.decontaminate import positions
+from episodelake.llm.common import words_of, written
+from episodelake.llm.decontaminate import looked_up
+from episodelake.llm.license_texts import TEMPLATES
 
-#: Notices as they stand in published works.
-TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-    ("apache-2.0-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-notice", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-]
 SHINGLE, CONTAINED = 5, 0.8
 #: Bands of one row. A notice of T shingles lies whole in a window of 2T, so their
 #: Jaccard is 0.5 or more and all bands miss it with a chance of 2**-BANDS; at a
@@ -47,7 +37,9 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     A notice is found when a window of twice its shingles, taken at every
     multiple of its length, holds 0.8 or more of its distinct five-word
     shingles; n_windows counts such windows. Null, empty and short texts have
-    none. Null and repeated ids are rows of their own, other columns are ignored.
+    none. Null and repeated ids are rows of their own, other columns are
+    ignored. Templates of fewer than five words are left out; an empty list of
+    them finds nothing.
 
     A band's value for a window is the least band hash of its shingles. A
     window can share it with a template only if it has that very shingle, so
@@ -60,10 +52,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     bands = t.withColumn("own", own).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
     least = F.array_min(F.transform("own", lambda h: F.struct(band_value(h, F.col("band")).alias("v"), h.alias("h"))))
     bands = written(bands.select("license", "tw", "t", "band", least.alias("m")).select("license", "tw", "t", "band", F.col("m.v").alias("v"), F.col("m.h").alias("h")))
-    if bands.count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS // BANDS} templates: scan them in several calls")
     at_end = F.col("at") == F.size("words")
-    near = positions(docs, id_col, text_col).withColumn("h", shingle_hash(F.col("words"), F.col("at"), SHINGLE)).join(F.broadcast(bands), "h", "left")
+    near = looked_up(docs, id_col, text_col, [SHINGLE], bands)
     near = near.where(at_end | (F.col("license").isNotNull() & (F.col("at") + SHINGLE <= F.size("words"))))
     # the two windows that hold the position; a text's own row has none
     k = F.floor(F.col("at") / F.col("t")).cast("int")

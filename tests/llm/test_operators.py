@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from episodelake.llm import near_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, warc
 from episodelake.llm.components import components
 from episodelake.llm.corpus_queries import tokenizer_file
+from episodelake.llm import decontaminate as decontamination
 from episodelake.llm.decontaminate import decontaminate
 from episodelake.llm.exact_dedup import exact_dedup
 from episodelake.llm.license_scan import license_scan
+from episodelake.llm.license_texts import TEMPLATES
 from episodelake.llm.textbytes import text_blocks, words_of_block
 from episodelake.llm.token_counts import count_tokens
 
@@ -233,18 +235,50 @@ def brute_hits(docs, items):
     return sorted(out)
 
 
-def test_decontamination(spark, docs):
-    items = [(1, " ".join(BASE.split()[10:30])), (2, "one TWO three"), (10, BASE), (10, BASE), (3, None), (4, "..."), (5, "ab ab"), (6, "never seen anywhere"), (7, prose(3, 11))]
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_decontamination(spark, docs, monkeypatch, most):
+    """With a broadcast table of windows, and with a shuffled one."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+    items = [(1, " ".join(BASE.split()[10:30])), (2, "one TWO three"), (10, BASE), (10, BASE), (3, None), (4, "..."), (5, "ab ab"), (6, "never seen anywhere"), (7, prose(3, 11)), (None, "One two")]
     bench = spark.createDataFrame([(i, t, "x", 9) for i, t in items], "item_id long, text string, rid string, wid long")
-    assert sorted(str(tuple(r)) for r in decontaminate(docs, bench).collect()) == brute_hits(ids_texts(docs), items)
+    want = brute_hits(ids_texts(docs), items[:-1])
+    assert sorted(str(tuple(r)) for r in decontaminate(docs, bench.where("item_id is not null")).collect()) == want
     none = decontaminate(docs, bench.limit(0)).collect()
     assert len(none) == len(TEXTS) and not any(r.contaminated for r in none)
 
 
-def test_licenses(spark):
-    texts = ["Released under the MIT License.", prose(4, 50) + " Licensed under CC BY-NC 4.0. " + prose(5, 3), "released under the MIT", "Licensed under the Apache License, Version 2.0. Released under the mit license", None, "", (3, "x")]
-    got = sorted((r.doc_id, r.licenses, r.n_licenses) for r in license_scan(make(spark, texts)).collect())
-    assert got == [(0, "mit", 1), (1, "cc-by-nc-4.0", 1), (2, "", 0), (3, "", 0), (3, "apache-2.0,mit", 2), (4, "", 0), (5, "", 0)]
+def brute_licenses(rows, templates):
+    """License names and windows of each row, by sets of shingles."""
+    shingles = lambda w: [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = []
+    for i, text in rows:
+        have, found = shingles(words(text)), set()
+        for name, t in templates:
+            own = shingles(words(t))
+            for start in range(0, len(have), max(1, len(own))):
+                if own and len(set(own) & set(have[start : start + 2 * len(own)])) >= 0.8 * len(set(own)):
+                    found.add((name, start))
+        names = sorted({n for n, _ in found})
+        out.append(str((i, len(words(text)), len(names), ",".join(names), len(found))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [200_000, 5])
+def test_licenses(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+    whole = dict(TEMPLATES)
+    cut = " ".join(whole["bsd-3-clause"].split()[:-30])
+    texts = [
+        "Released under the MIT License.", prose(4, 50) + " Licensed under CC BY-NC 4.0. " + prose(5, 3), "released under the MIT", "Licensed under the Apache License, Version 2.0. Released under the mit license", None, "", (3, "x"),
+        prose(6, 70) + "\n" + whole["mit"].replace("Software", "Program", 1) + "\n" + prose(7, 400), whole["apache-2.0-notice"].upper() + whole["isc"], (None, cut), (None, None), (7, cut), (7, cut),
+        "/* " + whole["zlib"].replace("\n", "\n * ") + " */", prose(2, 30_000) + " " + whole["gpl-3.0-notice"], whole["unlicense"][:300],
+    ]
+    df = make(spark, texts)
+    got = sorted(str(tuple(r)) for r in license_scan(df).collect())
+    assert got == brute_licenses(ids_texts(df), TEMPLATES)
+    assert sum("''" not in r and ", 0, '', 0)" not in r for r in got) >= 10
+    assert {r.n_licenses for r in license_scan(df, []).collect()} == {0}
+    assert {r.n_licenses for r in license_scan(df, [("short", "MIT"), ("none", "")]).collect()} == {0}
 
 
 def weighted(text):
