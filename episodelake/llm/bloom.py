@@ -13,6 +13,8 @@ BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 PROBES = 3
 #: A filter is put together in segments of so many bits.
 SEGMENT_BITS = 1 << 16
+#: A task sorts its bits anew when it holds so many more, or as many more as it had.
+MERGED_BITS = 1 << 20
 
 
 def probe_bits(hashes: np.ndarray, n_bits: int) -> np.ndarray:
@@ -40,12 +42,22 @@ def hash_filter(hashes: DataFrame, n_rows: int, times: int = 1) -> np.ndarray:
     n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ROW * max(1, n_rows) - 1).bit_length()))
 
     def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            values, counts = np.unique(probe_bits(batch["h"].to_numpy(np.int64), n_bits), return_counts=True)
-            # bits met again: by this batch's other rows, or by an earlier batch
+        once, twice, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def merge() -> None:
+            nonlocal once, twice
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            # bits met again: by other rows held, or by an earlier merge
             twice = np.union1d(twice, np.union1d(values[counts > 1], np.intersect1d(once, values, assume_unique=True)))
             once = np.union1d(once, values)
+            held.clear()
+
+        for batch in batches:
+            held.append(probe_bits(batch["h"].to_numpy(np.int64), n_bits).ravel())
+            if sum(map(len, held)) > max(MERGED_BITS, len(once)):
+                merge()
+        if held:
+            merge()
         for kind, found in ((1, once), (2, twice)):
             segment = found // SEGMENT_BITS
             cuts = np.flatnonzero(np.diff(segment)) + 1

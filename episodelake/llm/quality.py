@@ -148,7 +148,7 @@ def fit(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> QualityM
     Rows that are held out give no label. The threshold is the score quantile
     at the share of label 0: half-way between its neighbours 0.2 % on either side.
     """
-    known = feats.join(labels.where("quality in (0, 1)").select(id_col, "quality").dropDuplicates([id_col]).where(~held_out(id_col)), id_col)
+    known = feats.join(labels.where("quality in (0, 1)").groupBy(id_col).agg(F.min("quality").alias("quality")).where(~held_out(id_col)), id_col)
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).toPandas()
     model = fit_pairs(sample[FEATURES].to_numpy(np.float64), sample["quality"].to_numpy())
     if model.weights:
@@ -164,8 +164,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per input row: id_col, held_out, score (0 to 1), predicted (1 if score >= CUT), whatever its text.
 
     Null texts count as empty and are scored. Null ids are never held out and
-    never give labels; of labels that repeat an id, one counts; null labels
-    and labels of unknown ids are left out. Without labels of both kinds every
+    never give labels; of labels that repeat an id, the lower one counts; null
+    labels and labels of unknown ids are left out. Without labels of both kinds every
     score is 0.5. Other columns of either table are ignored.
     """
     feats = written(features(docs, id_col, text_col))

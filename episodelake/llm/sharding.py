@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodelake.llm.common import written
+from episodelake.llm.common import near, written
 
-#: Rows that one local permutation is meant to hold, and the most partitions there are.
-ROWS_PER_PART, MOST_PARTS = 20_000, 1024
+#: Rows that one local permutation is meant to hold.
+ROWS_PER_PART = 20_000
+#: Parts of a group whose counts are drawn one after the other, and groups at most.
+GROUP = 1024
 
 
 def unit(*cols: Column) -> Column:
@@ -63,16 +65,12 @@ def hypergeometric(u: Column, total: Column, good: Column, draws: Column) -> Col
     return let(F.struct(u.alias("u"), total.alias("total"), good.alias("good"), draws.alias("draws")), of)
 
 
-def communication_matrix(parts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(part, upto array<long>): how many rows of each part go to shards 0..s, drawn exactly.
+def draw_counts(cells: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(part, counts array<long>) of each row of (cells array<struct<part, n>>, room array<long>), drawn exactly.
 
-    ``parts`` has (part, n), MOST_PARTS rows at most. Shard sizes differ by one
-    at most. The draw goes part by part: a part's row is multivariate
-    hypergeometric given the room that is left in the shards.
+    The draw goes part by part: a part's row is multivariate hypergeometric
+    given the room that is left in the shards.
     """
-    cells = parts.agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    room = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (F.floor(F.col("total") / shards) + F.when(s < F.col("total") % shards, 1).otherwise(0)).cast("long"))
-    cells = cells.withColumn("room", room)
 
     def draw_part(state: Column, cell: Column) -> Column:
         # over the shards: rows of this part still to deal, room in later shards, counts so far
@@ -97,8 +95,24 @@ def communication_matrix(parts: DataFrame, shards: int, seed: int) -> DataFrame:
 
     first = F.struct(F.col("room"), F.array().cast("array<struct<part:bigint,counts:array<bigint>>>").alias("out"))
     drawn = cells.select(F.explode(F.aggregate(F.col("cells"), first, draw_part)["out"]).alias("c"))
-    upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice(F.col("c.counts"), 1, i), F.lit(0).cast("long"), lambda a, k: a + k))
-    return drawn.select("c.part", upto.alias("upto"))
+    return drawn.select("c.part", "c.counts")
+
+
+def communication_matrix(parts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(part, upto array<long>): how many rows of each part (part, n) go to shards 0..s, drawn exactly.
+
+    Shard sizes differ by one at most. The counts of groups of GROUP parts are
+    drawn first; then each group's counts are the room of its parts, so groups
+    are rows that Spark draws side by side.
+    """
+    grouped = parts.withColumn("group", F.floor(F.col("part") / GROUP))
+    in_order = lambda name: F.sort_array(F.collect_list(F.struct(F.col(name).alias("part"), "n"))).alias("cells")
+    sums = grouped.groupBy("group").agg(F.sum("n").alias("n"))
+    top = sums.agg(in_order("group"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    room = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (F.floor(F.col("total") / shards) + F.when(s < F.col("total") % shards, 1).otherwise(0)).cast("long"))
+    rooms = draw_counts(top.withColumn("room", room), shards, seed).select(F.col("part").alias("group"), F.col("counts").alias("room"))
+    drawn = draw_counts(grouped.groupBy("group").agg(in_order("part")).join(rooms, "group"), shards, seed + 1)
+    return drawn.select("part", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice("counts", 1, i), F.lit(0).cast("long"), lambda a, k: a + k)).alias("upto"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,34 +122,34 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
     ('rows': shard counts differ by one at most), shard, slot (0.. without
     gaps in each shard), grown_shard (null: this law has none).
 
-    Rows are dealt to logical parts by a hash, permuted inside their part, cut
-    by the drawn counts, exchanged, and permuted again in blocks of a shard.
-    Null texts have size 1 and checksum 0; null or repeated ids and repeated
-    rows are rows like any other; empty tables give no rows.
-    Equal texts are spread like other rows, so a large group cannot make a shard large.
+    Rows get numbers, which are written once so that retries see the same, are
+    dealt to logical parts by a hash of the number and the seed, permuted inside
+    their part, cut by the drawn counts, exchanged, and permuted again in blocks
+    of a shard. Null texts have size 1 and checksum 0; null or repeated ids and
+    repeated rows are rows like any other; empty tables give no rows. Equal
+    texts are spread like other rows, so a large group cannot make a shard large.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = written(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc")))
-    total = slim.count()
-    n_parts = max(1, min(MOST_PARTS, total // ROWS_PER_PART))
-    # rows that repeat id, size and checksum are told apart only by their order, which they can swap
-    slim = slim.withColumn("part", F.pmod(F.xxhash64("id", "size", "crc", F.lit(seed)), F.lit(n_parts)))
+    sizes = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
+    slim = written(sizes.withColumn("row", F.monotonically_increasing_id()))
+    n_parts = max(1, min(GROUP * GROUP, slim.count() // ROWS_PER_PART))
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n_parts)))
     parts = slim.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    local = Window.partitionBy("part").orderBy(F.xxhash64("id", "crc", F.lit(seed + 1)), "id", "size", "crc")
+    local = Window.partitionBy("part").orderBy(F.xxhash64("row", F.lit(seed + 1)), "row")
     placed = (
         slim.withColumn("rank", F.row_number().over(local))
-        .join(F.broadcast(communication_matrix(parts, shards, seed)), "part")  # MOST_PARTS rows at most
+        .join(near(written(communication_matrix(parts, shards, seed))), "part")
         .withColumn("shard", F.size(F.filter("upto", lambda u: u < F.col("rank"))))
-        .withColumn("key", F.xxhash64("id", "crc", F.col("part"), F.lit(seed + 2)))
+        .withColumn("key", F.xxhash64("row", F.lit(seed + 2)))
         .withColumn("block", F.pmod(F.shiftrightunsigned("key", 20), F.lit(n_parts)))
     )
     # the same rows again for the sizes of the blocks, which are shards x parts rows at most
     blocks = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     offsets = blocks.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).drop("n")
-    inside = Window.partitionBy("shard", "block").orderBy("key", "id", "size", "crc")
+    inside = Window.partitionBy("shard", "block").orderBy("key", "row")
     return (
         placed.withColumn("place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), ["shard", "block"])
+        .join(near(written(offsets)), ["shard", "block"])
         .select(
             F.col("id").alias(id_col),
             "size",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,12 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Counts of pieces that a Python worker keeps; the table starts anew when it is full.
 KEPT_PIECES = 400_000
+#: Characters above which a piece without white space is cut.
+LONG_PIECE = 1 << 16
+#: Fixed value: the pre-tokenizer's pattern that makes the boundaries below safe.
+WORDS_AND_NUMBERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Between a digit and a digit or letter, and between an ideograph and a full stop or comma: neither composes, and both patterns end there.
+SAFE = re.compile("(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[\u4e00-\u9fff])(?=[\u3001\u3002\uff0c])")
 
 
 def in_batches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -29,31 +37,70 @@ def in_batches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def safe_boundaries(path: str) -> bool:
+    """Whether a tokenizer file is of the kind for which SAFE and white space are boundaries.
+
+    Its normalizer composes characters, folds white space and lowers letters at
+    most; its pre-tokenizer keeps runs of letters, single numbers and runs of
+    other characters and drops white space; no added token holds white space or
+    digits or takes in its surroundings.
+    """
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal = made["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    lowers = all(s["type"] in ("NFC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " ") for s in steps)
+    parts = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    splits = [(p["type"], p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in parts]
+    plain = all(not re.search(r"[\s\d]", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in made["added_tokens"])
+    return lowers and plain and splits == [("Split", {"Regex": WORDS_AND_NUMBERS}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+
+
+def cut_piece(text: str) -> list[str]:
+    """A long piece in parts of about LONG_PIECE characters, cut at SAFE boundaries only."""
+    parts, start = [], 0
+    while len(text) - start > LONG_PIECE:
+        found = SAFE.search(text, start + LONG_PIECE)
+        if not found:
+            break
+        parts.append(text[start : found.start()])
+        start = found.start()
+    return [*parts, text[start:]]
+
+
 class PieceCounter:
-    """Tokens of a text as the sum over its pieces between ASCII white space.
+    """Tokens of a text as the sum over its pieces between safe boundaries.
 
-    White space is a safe boundary for this tokenizer: its normalizer composes
-    no character with white space, no special string holds any, and its
-    pre-tokenizer drops white space, so no token reaches over it. Long texts
-    thus come apart anywhere between words, and a piece met before is not
-    encoded again. A text without white space is one piece, however long.
+    Where ``safe_boundaries`` holds, no token reaches over ASCII white space:
+    the normalizer composes no character with it, no added token holds any, and
+    the pre-tokenizer drops it. Texts come apart there, a piece met before is
+    not encoded again, and a long piece without white space comes apart at SAFE
+    boundaries, if it has any. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.safe = safe_boundaries(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
 
+    def encoded(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text, in batches of about equal size."""
+        out: list[int] = []
+        for a, b in in_batches(np.fromiter(map(len, texts), np.int64, len(texts)), BATCH_BYTES):
+            out += map(len, self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False))
+        return out
+
     def lengths(self, pieces: list[str]) -> list[int]:
         missing = [p for p in pieces if p not in self.known]
-        fresh: dict[str, int] = {}
-        for a, b in in_batches(np.fromiter(map(len, missing), np.int64, len(missing)), BATCH_BYTES):
-            encoded = self.tokenizer.encode_batch_fast(missing[a:b], add_special_tokens=False)
-            fresh.update(zip(missing[a:b], map(len, encoded), strict=True))
+        cut = [cut_piece(p) if len(p) > LONG_PIECE else [p] for p in missing]
+        counts = np.r_[0, np.cumsum(self.encoded([x for parts in cut for x in parts]), dtype=np.int64)]
+        ends = np.cumsum([0, *map(len, cut)])
+        fresh = dict(zip(missing, np.diff(counts[ends]).tolist(), strict=True))
         out = [fresh[p] if p in fresh else self.known[p] for p in pieces]
         if len(self.known) + len(fresh) > KEPT_PIECES:
             self.known = {}
@@ -61,6 +108,8 @@ class PieceCounter:
         return out
 
     def count(self, texts: pa.Array) -> np.ndarray:
+        if not self.safe:
+            return np.asarray(self.encoded(texts.to_pylist()), np.int64)
         split = pc.ascii_split_whitespace(texts)
         coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
         per_piece = np.asarray(self.lengths(coded.dictionary.to_pylist()), np.int64)

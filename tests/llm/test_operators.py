@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episodelake.llm import near_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, warc
+from episodelake.llm import near_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, warc
 from episodelake.llm.components import components
 from episodelake.llm.corpus_queries import tokenizer_file
 from episodelake.llm import decontaminate as decontamination
@@ -96,7 +96,35 @@ def test_shards_of_odd_rows(docs):
     assert sorted(got["size"]) == sizes
 
 
-def test_communication_matrix_has_its_margins(spark):
+def test_shards_of_repeated_rows(spark):
+    """Rows that are all alike are spread over the parts like others."""
+    df = spark.createDataFrame([(7, "same")], "doc_id long, text string").crossJoin(spark.range(60_000)).repartition(3)
+    got = sharding.shard_rows(df).toPandas()
+    assert got.groupby("shard").size().tolist() == [7500] * 8
+    assert all(sorted(p.slot) == list(range(7500)) for _, p in got.groupby("shard"))
+
+
+def test_shards_are_uniform(spark, monkeypatch):
+    """Over many shufflings every row meets every shard, and every tenth of a shard, equally often, in no order."""
+    monkeypatch.setattr(sharding, "ROWS_PER_PART", 40)
+    monkeypatch.setattr(sharding, "GROUP", 4)
+    n, seeds = 400, 15
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(3).cache()
+    got = [sharding.shard_rows(df, seed=s).toPandas().sort_values("doc_id") for s in range(seeds)]
+    shard, slot = np.stack([g.shard for g in got]), np.stack([g.slot for g in got])
+    # a tenth of the ids against the shards, and against the places within them
+    for place, cells in ((shard, 8), (slot // 5, 10)):
+        seen = np.stack([np.bincount(place[:, 40 * i : 40 * i + 40].ravel(), minlength=cells) for i in range(10)])
+        want = n * seeds / (10 * cells)
+        assert ((seen - want) ** 2 / want).sum() < 1.6 * 9 * (cells - 1)
+    ids = np.arange(n)
+    assert all(abs(np.corrcoef(ids, s)[0, 1]) < 0.2 for s in slot)
+    assert len({tuple(s) for s in shard}) == seeds
+
+
+@pytest.mark.parametrize("group", [1024, 3])
+def test_communication_matrix_has_its_margins(spark, monkeypatch, group):
+    monkeypatch.setattr(sharding, "GROUP", group)
     parts = spark.createDataFrame([(p, 37 * p + 1) for p in range(12)], "part long, n long")
     got = {r.part: r.upto for r in sharding.communication_matrix(parts, 8, 5).collect()}
     counts = np.array([np.diff([0, *got[p]]) for p in range(12)])
@@ -122,6 +150,19 @@ def test_token_counts(docs):
     assert sorted((str(r[0]), *r[1:]) for r in count_tokens(docs, path).collect()) == want
 
 
+def test_token_counts_of_long_pieces_and_other_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    long_ones = ["".join(rng.choice("abcXYZ0123456789'<|>.,é") for _ in range(200_000)), "ab" * 70_000, "1" * 150_000 + "<|endoftext|>" + "a2" * 50_000, ("天地玄黃。" * 20_000), "'s" * 40_000 + "4" + "x's" * 30_000, "A\u0301" * 40_000]
+    assert [len(token_counts.cut_piece(t)) > 1 for t in long_ones] == [True, False, True, True, True, False]
+    texts = [*long_ones, "it's 42", "a  b", None, "", " x\n"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        library = Tokenizer.from_file(tokenizer_file(name))
+        want = {i: len(library.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+        assert {r.doc_id: r.n_tokens for r in count_tokens(make(spark, texts), tokenizer_file(name)).collect()} == want
+
+
 def test_sentencepiece_equals_library(docs):
     import sentencepiece
 
@@ -388,6 +429,47 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
+def test_pairs_are_fitted_to_the_least_loss():
+    """Against plain gradient descent over all the same pairs, written from the definition."""
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, 3)) + y[:, None] * np.array([1.0, 0.0, -0.5])
+    model = quality.fit_pairs(x, y, seed=5, steps=3000)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -4, 4)
+    z = np.stack([z, z * z], axis=2).reshape(300, -1)
+    draw = np.random.default_rng(5)
+    good, bad = z[y == 1], z[y == 0]
+    n = quality.PAIRS * max(len(good), len(bad))
+    diff = good[draw.integers(len(good), size=n)] - bad[draw.integers(len(bad), size=n)]
+    w = np.zeros(6)
+    for _ in range(20_000):
+        w -= 0.05 * (-(diff * (1 / (1 + np.exp(diff @ w)))[:, None]).mean(axis=0) + 1e-4 * w)
+    assert np.allclose(model.weights, w, atol=2e-3)
+    raw = z @ w
+    pairs = [(a, b) for a in raw[y == 1] for b in raw[y == 0]]
+    assert np.mean([a > b for a, b in pairs]) > 0.76  # the best order of these two normal laws has 0.785
+    assert quality.fit_pairs(x, np.ones(300)).weights == []
+
+
+def test_features_of_whole_texts():
+    text = "Ab ab 12!!\né,x"
+    (row,) = [quality.block_features(d, o) for _, _, d, o in text_blocks(__import__("pyarrow").array([text]))][0]
+    got, n = dict(zip(quality.FEATURES, row, strict=True)), len(text.encode())
+    want = {"log_bytes": math.log1p(n), "letters": 7 / n, "upper": 1 / n, "digits": 2 / n, "high": 2 / n, "space": 2 / n, "lines": 1 / n, "bang": 2 / n, "punct": 1 / n, "log_words": math.log1p(5), "unique": 4 / 5, "top_word": 2 / 5, "pairs_unique": 1.0, "word_len": 9 / 5, "runs": 1 / n, "stops": 0.0}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+def test_clashing_labels_count_as_the_lower_one(spark):
+    good, bad = prose(1, 80), "### $$$ " * 40
+    docs = make(spark, [good if i % 2 else bad for i in range(200)])
+    once = [(i, i % 2) for i in range(200)]
+    labels = spark.createDataFrame([*once, *[(i, 1) for i in range(0, 200, 4)], (None, 1), (3, None), (9999, 0)], "doc_id long, quality int")
+    want = quality.score_quality(docs, spark.createDataFrame(once, "doc_id long, quality int")).collect()
+    for parts in (1, 5):
+        got = {r.doc_id: r for r in quality.score_quality(docs, labels.repartition(parts)).collect()}
+        assert all((got[r.doc_id].predicted, got[r.doc_id].score) == (r.predicted, pytest.approx(r.score)) for r in want)
+
+
 def test_quality(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = quality.score_quality(docs, labels).toPandas()
