@@ -12,7 +12,7 @@ from episodelake.llm.corpus_queries import table, tokenizer_file
 from episodelake.llm.decontaminate import decontaminate
 from episodelake.llm.exact_dedup import exact_dedup
 from episodelake.llm.near_dedup import near_duplicates
-from episodelake.llm.quality import score_quality
+from episodelake.llm.quality import held_out, score_quality
 from episodelake.llm.sentencepiece_codec import encode_texts
 
 #: The stages have no SQL twin: their models, signatures and encodings are tested against brute force.
@@ -20,14 +20,21 @@ ORACLE_SQL = None
 
 
 def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of the documents that the decisions (doc_id) name; a null id names the rows without one."""
+    """The rows of the documents that the decisions (doc_id) name; a null id names the rows without one.
+
+    Rows that share an id are one document: all of them stay if one of them does.
+    """
     ids = decisions.select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of label 1."""
-    return keep(docs, score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents that the classifier predicts to be of label 1; all of them where there are no labels of both kinds to learn from."""
+    labels = table(spark, sf_dir, "labels")
+    known = labels.join(docs.select("doc_id"), "doc_id", "left_semi").where("quality in (0, 1)").where(~held_out("doc_id"))
+    if known.select("quality").distinct().count() < 2:
+        return docs
+    return keep(docs, score_quality(docs, labels).where("predicted = 1"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
