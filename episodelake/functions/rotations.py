@@ -6,6 +6,7 @@ functions, so one formula serves Spark columns and generated SQL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import product
 from typing import Any
@@ -16,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodelake.functions.scalars import hash_unit
+
 E = Any
 AXES = "XYZ"
 #: The twelve conventions: neighbouring letters differ.
@@ -300,24 +303,77 @@ def convert_column(rot: Column, source: str, target: str) -> Column:
     return staged(rot, stage_widths(FORMS[source][0], stages), stages)
 
 
+def _real_first(q: list[E], m: Any = SparkMath) -> list[E]:
+    return [q[3], *q[:3]]
+
+
+def _real_last(q: list[E], m: Any = SparkMath) -> list[E]:
+    return [*q[1:], q[0]]
+
+
+def pose_stages(form: str) -> tuple[int, list[Callable], list[Callable]]:
+    """Width of a rotation as poses hold it, the stages that make it a matrix and those that make it of one.
+
+    In poses a quaternion is x, y, z, w, and nine numbers (rotation_9d, matrix)
+    are the columns; these are first made a rotation by ``nearest_rotation``.
+    """
+    if form in ("rotation_9d", "matrix"):
+        return 9, [], [transpose]
+    width, into, out = FORMS[form]
+    return (width, [_real_first, *into], [*out, _real_last]) if form == "quaternion" else (width, into, out)
+
+
 def convert_pose(pose: Column, source: str, target: str) -> Column:
-    """[x, y, z, rotation, others] with its rotation in another form."""
-    n = FORMS[source][0]
-    rest = F.greatest(F.size(pose) - (3 + n), F.lit(0))
-    return F.concat(F.slice(pose, 1, 3), convert_column(F.slice(pose, 4, n), source, target), F.slice(pose, 4 + n, rest))
+    """[x, y, z, rotation, others] with its rotation in another form; others stay as they are. Swap the forms for the way back."""
+    if source == target:
+        return pose
+    n, into, _ = pose_stages(source)
+    rotation = F.slice(pose, 4, n)
+    rotation = nearest_rotation(rotation) if source in ("rotation_9d", "matrix") else rotation
+    stages = [*into, *pose_stages(target)[2]]
+    others = F.slice(pose, 4 + n, F.greatest(F.size(pose) - (3 + n), F.lit(0)))
+    return F.concat(F.slice(pose, 1, 3), staged(rotation, stage_widths(n, stages), stages), others)
+
+
+def named_conversion(name: str) -> tuple[str, str]:
+    """'A_to_B' as (A, B); one form alone is what a quaternion becomes."""
+    source, to, target = name.partition("_to_")
+    return (source, target) if to else ("quaternion", name)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def nearest_rotation(nine: pd.Series) -> pd.Series:
-    """The rotation nearest to a matrix given by columns: SVD with the sign of the determinant repaired."""
-    x = np.stack(nine.to_numpy()).astype(float).reshape(-1, 3, 3).transpose(0, 2, 1)
-    u, _, vt = np.linalg.svd(x)
-    fix = np.ones((len(x), 3))
-    fix[:, 2] = np.linalg.det(u @ vt)
-    return pd.Series(list(((u * fix[:, None, :]) @ vt).reshape(-1, 9)))
+    """The orthogonal matrix nearest to one given by columns, by SVD; a reflection's last column is turned round.
+
+    Null stays null.
+    """
+    out = pd.Series([None] * len(nine), dtype=object)
+    some = np.flatnonzero(nine.notna())
+    if len(some):
+        u, _, vt = np.linalg.svd(np.stack(nine.iloc[some].to_numpy()).astype(float).reshape(-1, 3, 3).transpose(0, 2, 1))
+        r = u @ vt
+        r[:, :, 2] *= np.linalg.det(r)[:, None]
+        out.iloc[some] = list(r.reshape(-1, 9))
+    return out
 
 
-def pose_noise(pose: Column, position_sd: float, rotation_sd: float, seed: int) -> Column:
-    """Gaussian noise on x, y, z and an axis-angle."""
+def gaussian(key: Column, i: int, seed: int) -> Column:
+    """A normal number from hashes of a row's key, so it does not depend on how rows are dealt to tasks."""
+    u, v = (hash_unit(F.lit(seed), F.lit(2 * i + j), key) for j in (0, 1))
+    return F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def pose_noise(pose: Column, key: Column, position_sd: float, rotation_sd: float, seed: int, form: str = "axis_angle") -> Column:
+    """Gaussian noise on the position, and on the rotation as an axis-angle; others stay as they are.
+
+    A rotation goes over its matrix on both ways, also from and to an axis-angle.
+    """
     sd = [position_sd] * 3 + [rotation_sd] * 3
-    return F.array(*[pose[i] + F.randn(seed + i) * s for i, s in enumerate(sd)])
+    noise = [gaussian(key, i, seed) * s for i, s in enumerate(sd)]
+    n, into, out = pose_stages(form)
+    rotation = nearest_rotation(F.slice(pose, 4, n)) if form in ("rotation_9d", "matrix") else F.slice(pose, 4, n)
+    stages = [*into, *pose_stages("axis_angle")[2]]
+    turned = F.zip_with(staged(rotation, stage_widths(n, stages), stages), F.array(*noise[3:]), lambda a, b: a + b)
+    back = [*pose_stages("axis_angle")[1], *out]
+    others = F.slice(pose, 4 + n, F.greatest(F.size(pose) - (3 + n), F.lit(0)))
+    return F.concat(F.array(*[pose[i] + noise[i] for i in range(3)]), staged(turned, stage_widths(3, back), back), others)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import html
+import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +36,17 @@ def has_more_sides(task: Column) -> Column:
     return F.size(F.split(task, "@")) > 2
 
 
-def augment(high: Column, low: Column, u: Column, p: Column | float) -> Column:
-    """'[High]: h, [Low]: l' where u >= p, else high alone; without a low text '[high] h'."""
-    return F.when(low.isNull(), F.concat(F.lit("[high] "), high)).when(u >= p, F.concat(F.lit("[High]: "), high, F.lit(", [Low]: "), low)).otherwise(high)
+def augment(high: Column, low: Column, u: Column, p: Column | float, first_side: Column | bool = False, prefixed: bool = False) -> Column:
+    """'[High]: h, [Low]: l' where u >= p, else the low text alone; without a low text '[high] h'.
+
+    Of a low text with '@' one side stands: that before the first '@' where
+    ``first_side``, else that after it. ``prefixed`` is the variant that puts
+    '[Low]: ' before a low text that stands alone. A missing high text is empty.
+    """
+    h, sides = F.coalesce(high, F.lit("")), F.split(low, "@", 2)
+    side = F.when(F.size(sides) < 2, low).when(F.lit(first_side) if isinstance(first_side, bool) else first_side, sides[0]).otherwise(F.try_element_at(sides, F.lit(2)))
+    alone = F.concat(F.lit("[Low]: "), side) if prefixed else side
+    return F.when(low.isNull(), F.concat(F.lit("[high] "), h)).when(u >= p, F.concat(F.lit("[High]: "), h, F.lit(", [Low]: "), side)).otherwise(alone)
 
 
 def hash_unit(*cols: Column) -> Column:
@@ -54,14 +66,21 @@ def whitespace_clean(text: Column, lower: bool = False) -> Column:
 
 @F.pandas_udf(T.StringType())
 def basic_clean(text: pd.Series) -> pd.Series:
-    """HTML entities resolved twice, then trimmed; null stays null."""
-    return text.map(lambda t: t if t is None else html.unescape(html.unescape(t)).strip())
+    """HTML entities resolved twice, then trimmed; null stays null. Texts without '&' hold no entity and are trimmed by Arrow alone."""
+    texts = pa.array(text, pa.large_string())
+    some = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring(texts, "&"), False)))
+    out = np.asarray(pc.utf8_trim_whitespace(texts).to_pandas(), object)
+    out[some] = [html.unescape(html.unescape(t)).strip() for t in texts.take(pa.array(some)).to_pylist()]
+    return pd.Series(out)
 
 
-def canonicalize(text: Column) -> Column:
-    """'_' to space, punctuation deleted, lower case, white space collapsed."""
-    plain = F.translate(F.translate(text, "_", " "), PUNCTUATION, "")
-    return whitespace_clean(F.lower(plain))
+def canonicalize(text: Column, keep: str | None = None) -> Column:
+    """'_' to space, punctuation deleted but for the exact string ``keep``, lower case, white space collapsed."""
+    spaced = F.translate(text, "_", " ")
+    if not keep:
+        return whitespace_clean(F.lower(F.translate(spaced, PUNCTUATION, "")))
+    parts = F.split(spaced, re.escape(keep), -1)
+    return whitespace_clean(F.lower(F.array_join(F.transform(parts, lambda x: F.translate(x, PUNCTUATION, "")), keep)))
 
 
 def pad_truncate(tokens: Column, n: int, pad: str = "<pad>") -> Column:
@@ -74,21 +93,51 @@ def pad_truncate(tokens: Column, n: int, pad: str = "<pad>") -> Column:
 def norm_scale(stats: Column, mode: str) -> Column:
     """A struct (scale, offset) such that x * scale + offset is normalised.
 
-    Modes: 'z' (mean, std), 'minmax' and 'quantile' (to -1..1). A range under
-    1e-4 gives scale 1 and moves the low end to 0.
+    Modes: 'z' (mean, std + 1e-8), 'minmax', 'quantile' (q01, q99) and a
+    constant range 'LOW/HIGH' (each to -1..1). A range under 1e-4 gives scale 1
+    and moves the low end to 0.
     """
     if mode == "z":
-        flat = stats["std"] < 1e-4
-        scale = F.when(flat, 1.0).otherwise(1.0 / stats["std"])
+        scale = 1.0 / (stats["std"] + 1e-8)
         return F.struct(scale.alias("scale"), (-stats["mean"] * scale).alias("offset"))
-    low, high = (stats["min"], stats["max"]) if mode == "minmax" else (stats["q01"], stats["q99"])
+    if "/" in mode:
+        low, high = (F.lit(float(x)) for x in mode.split("/"))
+    else:
+        low, high = (stats["min"], stats["max"]) if mode == "minmax" else (stats["q01"], stats["q99"])
     flat = high - low < 1e-4
     scale = F.when(flat, 1.0).otherwise(2.0 / (high - low))
     return F.struct(scale.alias("scale"), F.when(flat, -low).otherwise(-1.0 - low * scale).alias("offset"))
 
 
 def normalize(x: Column, scale: Column, offset: Column, clamp: float = 5.0) -> Column:
-    return F.greatest(F.lit(-clamp), F.least(F.lit(clamp), x * scale + offset))
+    """x * scale + offset, clamped; null stays null and NaN stays NaN."""
+    y = x * scale + offset
+    return F.when(y.isNull() | F.isnan(y), y).otherwise(F.greatest(F.lit(-clamp), F.least(F.lit(clamp), y)))
+
+
+def normalize_windows(df: DataFrame, stats: DataFrame, keys: dict[str, str], mode: str, exceptions: dict[str, str] | None = None, stepwise: bool = False) -> DataFrame:
+    """Each window column (steps of vectors) of ``keys`` (column -> key of its statistics) normalised.
+
+    ``stats`` is wide: key, step (null for global ones), dim, min, max, mean,
+    std, q01, q99; it is as small as the features are wide. A step or dimension
+    that it lacks is left as it is. ``exceptions`` gives single keys a mode of
+    their own; ``stepwise`` takes the statistics of each window step.
+    """
+    scope = stats.where(F.col("step").isNotNull() if stepwise else F.col("step").isNull())
+    for column, key in keys.items():
+        own = (exceptions or {}).get(key, mode)
+        s = norm_scale(F.struct("min", "max", "mean", "std", "q01", "q99"), own)
+        at = F.struct(F.coalesce("step", F.lit(0)).cast("int").alias("step"), F.col("dim").cast("int").alias("dim"))
+        table = scope.where(F.col("key") == key).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), s.alias("v")))).alias("__scales"))
+
+        def scaled(x: Column, step: Column, dim: Column) -> Column:
+            place = F.struct((step if stepwise else F.lit(0)).cast("int").alias("step"), dim.cast("int").alias("dim"))
+            found = F.try_element_at("__scales", place)
+            return F.coalesce(normalize(x, found["scale"], found["offset"]), x)
+
+        made = F.transform(column, lambda row, i: F.transform(row, lambda x, d: scaled(x, i, d)))
+        df = df.crossJoin(F.broadcast(table)).withColumn(column, made).drop("__scales")  # one row
+    return df
 
 
 def denormalize(y: Column, scale: Column, offset: Column) -> Column:
@@ -101,12 +150,20 @@ def wrap_angle(x: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """05s, 02m05s or 01h02m05s."""
+    """05s, 02m05s or 01h02m05s, halves to even."""
     s = F.bround(seconds).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
     return F.when(s < 60, F.format_string("%02ds", r)).when(s < 3600, F.format_string("%02dm%02ds", m, r)).otherwise(F.format_string("%02dh%02dm%02ds", h, m, r))
 
 
+def clock(seconds: Column) -> Column:
+    """5.0s, 2:05 or 1:02:05; whole seconds are cut, not rounded, and negative times are 0."""
+    s = F.greatest(seconds.cast("double"), F.lit(0.0))
+    n = F.floor(s)
+    h, m, r = F.floor(n / 3600), F.floor(n % 3600 / 60), n % 60
+    return F.when(s < 60, F.format_string("%.1fs", s)).when(n < 3600, F.format_string("%d:%02d", m, r)).otherwise(F.format_string("%d:%02d:%02d", h, m, r))
+
+
 def slug(text: Column, n: int = 50) -> Column:
     return F.substring(F.translate(F.lower(text), " \n.", "___"), 1, n)
 
@@ -121,6 +178,22 @@ def parse_log(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(part(x, 1).alias("task"), part(x, 2).alias("phase"), part(x, 3).cast("int").alias("gpu"), part(x, 4).cast("double").alias("success_rate")))
 
 
+#: The fields of training and validation records, as the trainer prints them.
+TRAIN_RECORD = r"epoch=(\d+)\s+step=(\d+)/\d+.*?loss=([\d.]+)\s+loss_action=([\d.]+).*?loss_video=([\d.]+).*?lr=([\d.eE+\-]+)"
+TRAIN_FIELDS = ["epoch", "step", "loss", "loss_action", "loss_video", "lr"]
+VAL_RECORD = r"step=(\d+)\s+val_loss=([\d.]+).*?infer_psnr=([\d.]+)\s+infer_ssim=([\d.]+).*?action_l2=([\d.]+)\s+action_l1=([\d.]+)"
+VAL_FIELDS = ["step", "val_loss", "psnr", "ssim", "action_l2", "action_l1"]
+
+
+def parse_records(text: Column, kind: str) -> Column:
+    """All 'train' or 'val' records of a log as an array of structs of numbers; a record may be wrapped over lines."""
+    pattern, fields = (TRAIN_RECORD, TRAIN_FIELDS) if kind == "train" else (VAL_RECORD, VAL_FIELDS)
+    flat = F.regexp_replace(text, r"\s+", " ")
+    found = F.regexp_extract_all(flat, F.lit(f"({pattern})"), F.lit(1))
+    number = lambda r, i, f: F.regexp_extract(r, pattern, i + 1).try_cast("long" if f in ("epoch", "step") else "double").alias(f)
+    return F.transform(found, lambda r: F.struct(*[number(r, i, f) for i, f in enumerate(fields)]))
+
+
 def last_number_line(text: Column) -> Column:
     """The last line of a text that is a number, or null."""
     numbers = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
@@ -141,6 +214,12 @@ def psnr(a: Column, b: Column, peak: float, eps: float = 1e-8) -> Column:
     return 10 * F.log10(F.lit(peak * peak) / (mse + eps))
 
 
+def psnr_8bit(a: Column, b: Column, eps: float = 1e-8) -> Column:
+    """10 log10(255^2 / max(mse, eps)) of two frames of bytes."""
+    mse = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return 10 * F.log10(F.lit(255.0 * 255.0) / F.greatest(mse, F.lit(eps)))
+
+
 def data_path(chunk: Column, number: Column, version: str = "v2.1") -> Column:
     return F.format_string(DATA_V21 if version == "v2.1" else DATA_V3, chunk, number)
 

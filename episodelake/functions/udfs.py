@@ -8,12 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from episodelake.functions.scalars import wrap_angle
+from episodelake.paths import exists
 
 
 @dataclass(frozen=True)
@@ -46,57 +48,85 @@ def pipeline(config: list[dict], backward: bool = False) -> Callable[[Column], C
 
 
 class HashEmbedder:
-    """Stands in for a text encoder: a repeatable unit vector for each of the first ``length`` words."""
+    """Stands in for a text encoder: a repeatable unit vector for each of the first ``length`` words, a batch at a time."""
 
     def __init__(self, length: int, width: int) -> None:
         self.length, self.width = length, width
 
-    def __call__(self, texts: list[str]) -> list[tuple[list[list[float]], list[bool], bool]]:
-        return [self.one(t) for t in texts]
-
-    def one(self, text: str) -> tuple[list[list[float]], list[bool], bool]:
-        words = text.split()
-        rows = []
-        for w in words[: self.length]:
-            x = np.frombuffer(hashlib.shake_128(w.encode()).digest(4 * self.width), "<u4") / 2.0**31 - 1
-            rows.append((x / np.linalg.norm(x)).tolist())
-        pad = self.length - len(rows)
-        return rows + [[0.0] * self.width] * pad, [True] * len(rows) + [False] * pad, len(words) > self.length
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context [n, length, width], mask [n, length], whether a text is longer)."""
+        words = [t.split() for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        mask = np.arange(self.length) < sizes[:, None]
+        context = np.zeros((len(texts), self.length, self.width))
+        held = [w for some in words for w in some[: self.length]]
+        if held:
+            raw = b"".join(hashlib.shake_128(w.encode()).digest(4 * self.width) for w in held)
+            x = np.frombuffer(raw, "<u4").reshape(-1, self.width) / 2.0**31 - 1
+            context[mask] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return context, mask, sizes > self.length
 
 
 def embed(prompts: DataFrame, length: int = 8, width: int = 4, batch: int = 16) -> DataFrame:
     """(key, context, mask, over_length) of each (key, prompt), encoded in batches; the encoder starts once for each task."""
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = HashEmbedder(length, width)
         for part in parts:
-            for a in range(0, len(part), batch):
-                some = part.iloc[a : a + batch]
-                yield pd.DataFrame([(k, *x) for k, x in zip(some["key"], model(some["prompt"].tolist()), strict=True)], columns=["key", "context", "mask", "over_length"])
+            for a in range(0, part.num_rows, batch):
+                some = part.slice(a, batch)
+                context, mask, over = model(some.column(1).to_pylist())
+                n = some.num_rows
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(n * length + 1) * width, pa.int32()), pa.array(context.reshape(-1)))
+                steps = np.arange(n + 1) * length
+                columns = [some.column(0), pa.ListArray.from_arrays(pa.array(steps, pa.int32()), rows), pa.ListArray.from_arrays(pa.array(steps, pa.int32()), pa.array(mask.reshape(-1))), pa.array(over)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "mask", "over_length"])
+
+    return prompts.select("key", "prompt").mapInArrow(encode, "key string, context array<array<double>>, mask array<boolean>, over_length boolean")
+
+
+def embed_missing(prompts: DataFrame, cache: str, length: int = 8, width: int = 4) -> DataFrame:
+    """Encodes the prompts (key, prompt) that the cache lacks, adds them to it and returns the cache.
 
-    return prompts.select("key", "prompt").mapInPandas(encode, "key string, context array<array<double>>, mask array<boolean>, over_length boolean")
+    Keys count once. The cache is a table by key; a call that is repeated after
+    a failure encodes only what is still missing.
+    """
+    spark = prompts.sparkSession
+    todo = prompts.dropDuplicates(["key"])
+    if exists(spark, cache):
+        todo = todo.join(spark.read.parquet(cache).select("key"), "key", "left_anti")
+    embed(todo, length, width).write.mode("append").parquet(cache)
+    return spark.read.parquet(cache)
 
 
 def ssim(width: int, peak: float = 1.0, size: int = 11, sigma: float = 1.5) -> Callable[[Column, Column], Column]:
-    """Mean structural similarity of two grey frames, arrays of rows of ``width`` numbers, under a Gaussian window."""
+    """Mean structural similarity of two grey frames, arrays of rows of ``width`` numbers, under a Gaussian window; null if one is null."""
 
     @F.pandas_udf(T.DoubleType())
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_ssim(np.asarray(x).reshape(-1, width), np.asarray(y).reshape(-1, width), peak, size, sigma) for x, y in zip(a, b, strict=True)])
+        out = np.full(len(a), np.nan)
+        lengths = np.array([-1 if x is None or y is None else len(x) for x, y in zip(a, b, strict=True)])
+        for n in np.unique(lengths[lengths > 0]):  # frames of one size together
+            some = np.flatnonzero(lengths == n)
+            stack = [np.stack(c.iloc[some].to_numpy()).reshape(len(some), -1, width).astype(float) for c in (a, b)]
+            out[some] = batch_ssim(*stack, peak, size, sigma)
+        return pd.Series(out).astype(object).where(lengths > 0, None)
 
     return of
 
 
-def _ssim(a: np.ndarray, b: np.ndarray, peak: float, size: int, sigma: float) -> float:
-    n = min(size, *a.shape)
+def batch_ssim(a: np.ndarray, b: np.ndarray, peak: float, size: int, sigma: float) -> np.ndarray:
+    """SSIM of each pair of frames [n, height, width]; the Gaussian runs over rows, then over columns."""
+    n = min(size, *a.shape[1:])
     at = np.arange(n) - (n - 1) / 2
     g = np.exp(-(at**2) / (2 * sigma**2))
-    window = np.outer(g, g) / g.sum() ** 2
-    blur = lambda x: (np.lib.stride_tricks.sliding_window_view(x, (n, n)) * window).sum(axis=(2, 3))
+    g /= g.sum()
+    along = lambda x, axis: np.lib.stride_tricks.sliding_window_view(x, n, axis=axis) @ g
+    blur = lambda x: along(along(x, 1), 2)
     ma, mb = blur(a), blur(b)
     va, vb, ab = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
-    return float((((2 * ma * mb + c1) * (2 * ab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    return (((2 * ma * mb + c1) * (2 * ab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean(axis=(1, 2))
 
 
 @udtf(returnType=T.StructType([T.StructField("variant", T.StringType())]))

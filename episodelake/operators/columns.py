@@ -136,6 +136,17 @@ def parent_key(key: Column) -> Column:
     return F.regexp_replace(key, r"\.[^.]*$", "")
 
 
+def with_parent_stats(features: DataFrame, stats: DataFrame) -> DataFrame:
+    """The statistics rows of each wanted feature (column feature), or of its parent key where it has none; ``found`` names the key used.
+
+    A feature without either has one row with null statistics. ``stats`` is one row per feature and statistic.
+    """
+    keys = features.select("feature", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("feature").alias("found")), F.struct(F.lit(1).alias("rank"), parent_key(F.col("feature")).alias("found")))).alias("k")).select("feature", "k.rank", "k.found")
+    there = keys.join(stats.select(F.col("feature").alias("found")).distinct(), "found", "left_semi")
+    best = features.join(there.groupBy("feature").agg(F.min_by("found", "rank").alias("found")), "feature", "left")
+    return best.join(stats.withColumnRenamed("feature", "found"), "found", "left")
+
+
 def norm_source(setting: str, source: Column, root: Column, pretrained: list[str]) -> Column:
     """'meta' or 'pretrained' statistics; 'mixed' asks the source, then the root's name."""
     if setting != "mixed":

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodelake.operators.stats import exact_quantiles
+
 
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
 def latent_error(pred: Column, real: Column) -> Column:
-    """A struct of errors of two equally long vectors: cosine divergence (eps 1e-8), mse, rmse, mae."""
+    """A struct of errors of two equally long vectors: cosine divergence (each norm at least 1e-8), mse, rmse, mae."""
     square = _sum(F.zip_with(pred, real, lambda a, b: (a - b) * (a - b))) / F.size(pred)
     absolute = _sum(F.zip_with(pred, real, lambda a, b: F.abs(a - b))) / F.size(pred)
     norm = lambda v: F.greatest(F.sqrt(_sum(F.transform(v, lambda x: x * x))), F.lit(1e-8))
@@ -19,6 +21,18 @@ def latent_error(pred: Column, real: Column) -> Column:
     return F.struct((1 - cosine).alias("cosine"), square.alias("mse"), F.sqrt(square).alias("rmse"), absolute.alias("mae"))
 
 
+def future_error(pred: Column, real: Column) -> Column:
+    """Errors of two windows (steps of equally long vectors) without their first, observed step.
+
+    A struct of ``latent_error`` over all later steps, final_cosine and
+    final_mse of the last step alone, and step_mse of each.
+    """
+    p, r = F.slice(pred, 2, F.size(pred) - 1), F.slice(real, 2, F.size(real) - 1)
+    whole, last = latent_error(F.flatten(p), F.flatten(r)), latent_error(F.element_at(p, -1), F.element_at(r, -1))
+    each = F.zip_with(p, r, lambda a, b: latent_error(a, b)["mse"])
+    return F.struct(*[whole[n].alias(n) for n in ("cosine", "mse", "rmse", "mae")], last["cosine"].alias("final_cosine"), last["mse"].alias("final_mse"), each.alias("step_mse"))
+
+
 def replan_select(chunks: DataFrame, replan: int, length: str) -> DataFrame:
     """The steps that are executed when a new chunk replaces the old one every ``replan`` steps, within the episode."""
     return chunks.where((F.col("chunk_start") % replan == 0) & (F.col("offset_in_chunk") < replan) & (F.col("target") < F.col(length)))
@@ -37,10 +51,15 @@ def action_error(df: DataFrame, keys: list[str], pred: str, truth: str) -> DataF
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """mean, population std, median, min and max; null for groups without values."""
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+    """mean, population std, median, min and max; null for groups without values. The median is exact, from ranks."""
+    plain = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return plain.join(exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median")), keys, "left")
+
+
+def rollout_times(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """Per rollout: mean and largest latency of inference, and the sums of inference and simulation times; null times count as 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return steps.groupBy(*keys).agg(F.avg("infer_s").alias("mean_latency"), F.max("infer_s").alias("max_latency"), total("infer_s").alias("infer_s"), total("sim_s").alias("sim_s"))
 
 
 def suite_summary(results: DataFrame) -> DataFrame:
@@ -85,10 +104,11 @@ def masked_mean(value: str, valid: Column) -> Column:
     return F.sum(F.when(valid, F.col(value)).otherwise(0.0)) / F.greatest(F.lit(1), F.count_if(valid))
 
 
-def pad_downsample(df: DataFrame, keys: list[str], order: str, pad: str, k: int) -> DataFrame:
+def downsampled(is_pad: Column, k: int) -> Column:
     """The pad mask of groups of k steps (padded when all are); the first step stays a group of its own."""
-    group = F.when(F.col(order) == 0, F.lit(0)).otherwise(F.floor((F.col(order) - 1) / k) + 1).cast("long")
-    return df.groupBy(*keys, group.alias("latent_step")).agg(F.bool_and(pad).alias("is_pad"))
+    starts = F.sequence(F.lit(2), F.size(is_pad), F.lit(k))
+    groups = F.transform(starts, lambda a: F.forall(F.slice(is_pad, a, k), lambda x: x))
+    return F.concat(F.slice(is_pad, 1, 1), F.when(F.size(is_pad) > 1, groups).otherwise(F.array().cast("array<boolean>")))
 
 
 def action_ensemble(chunks: DataFrame) -> DataFrame:

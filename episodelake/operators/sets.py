@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from episodelake.operators.windows import places
+
 
 def union_common(datasets: list[DataFrame], exempt: tuple[str, ...] = ("observation.images.",)) -> DataFrame:
     """All rows with dataset_index, on the columns that every dataset has; exempt prefixes stay and are null where missing."""
@@ -45,8 +47,8 @@ def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias(order))
 
 
-def ordered_known(df: DataFrame, key: str, order: str, known: DataFrame) -> DataFrame:
-    """Distinct keys with their place in the order of arrival, and whether each is known; the keys are few (tasks)."""
+def ordered_known(df: DataFrame, key: str, order: str, known: DataFrame, strict: bool = False) -> DataFrame:
+    """Distinct keys with their place (1..) in the order of arrival, and whether each is known; ``strict`` fails on unknown ones."""
     distinct = ordered_distinct(df, key, order).join(known.select(key, F.lit(True).alias("known")), key, "left")
-    place = F.row_number().over(Window.orderBy(order, key))
-    return distinct.select(key, place.alias("place"), F.coalesce("known", F.lit(False)).alias("known"))
+    out = places(distinct, [order, key]).select(key, (F.col("place") + 1).alias("place"), F.coalesce("known", F.lit(False)).alias("known"))
+    return out.where(F.assert_true("known", F.concat(F.lit("unknown: "), F.col(key))).isNull()) if strict else out

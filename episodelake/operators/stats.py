@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodelake.operators.windows import forward_replicate
+from episodelake.paths import scratch
 
 
 def long_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -43,6 +45,32 @@ def episode_stats(long: DataFrame, keys: list[str], value: str = "x") -> DataFra
     return out.withColumns({"q01": F.col("q")[0], "q99": F.col("q")[1]}).drop("q")
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """(keys, q array<double>): linearly interpolated quantiles of large groups, as ``percentile`` gives them.
+
+    Equal values are counted first; ranks come from range-partitioned blocks
+    and their totals, so no task holds all values of a group. Nulls are left out.
+    """
+    order = [*keys, "__v"]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    path = scratch(df.sparkSession, "ranks")
+    counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__b", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.schema(T.StructType([*counts.schema.fields, T.StructField("__b", T.IntegerType())])).parquet(path)
+    totals = rows.groupBy(*keys, "__b").agg(F.sum("__c").alias("__n"))
+    group = Window.partitionBy(*keys)  # a row for each block of a group
+    upto = F.sum("__n").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    totals = totals.select(*keys, "__b", (upto - F.col("__n")).alias("__before"), F.sum("__n").over(group).alias("__all"))
+    inside = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.withColumn("__in", inside).join(totals, [*keys, "__b"]).withColumn("__end", F.col("__before") + F.col("__in"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("__end")) & (rank >= F.col("__end") - F.col("__c")), F.col("__v")))
+
+    place = [F.lit(q) * (F.col("__all") - 1) for q in qs]
+    ends = [(at(F.floor(p)), at(F.ceil(p)), F.max(p - F.floor(p))) for p in place]
+    return ranked.groupBy(*keys).agg(F.array(*[lo + (hi - lo) * share for lo, hi, share in ends]).alias("q"))
+
+
 def stepwise_stats(df: DataFrame, vector: str, width: int, episode: str, order: str) -> DataFrame:
     """Per episode, window step and dimension over clamp-padded windows, by building the windows."""
     w = forward_replicate(df, vector, width, [episode], order)
@@ -78,6 +106,12 @@ def stepwise_closed_form(df: DataFrame, vector: str, width: int, episode: str, o
     )
 
 
+def combined() -> list[Column]:
+    """Aggregates of episodes' statistics; the mean of (var + shift^2) is the mean of the variances plus the variance of the means."""
+    std = F.sqrt(F.avg("var") + F.var_pop("mean"))
+    return [F.min("min").alias("min"), F.max("max").alias("max"), F.avg("mean").alias("mean"), std.alias("std"), F.min("q01").alias("q01"), F.max("q99").alias("q99")]
+
+
 def combine_episodes(parts: DataFrame, keys: list[str], skip_short: bool = False) -> DataFrame:
     """Episodes as one dataset: least min, largest max, plain mean of the episodes' means, std from variances and shifts.
 
@@ -86,26 +120,27 @@ def combine_episodes(parts: DataFrame, keys: list[str], skip_short: bool = False
     """
     if skip_short:
         parts = parts.where(~F.isnan("var"))
-    means = parts.groupBy(*keys).agg(F.avg("mean").alias("m"))
-    shift = F.col("mean") - F.col("m")
-    return parts.join(means, keys).groupBy(*keys).agg(
-        F.min("min").alias("min"), F.max("max").alias("max"), F.first("m").alias("mean"), F.sqrt(F.avg(F.col("var") + shift * shift)).alias("std"), F.min("q01").alias("q01"), F.max("q99").alias("q99")
-    )
+    return parts.groupBy(*keys).agg(*combined())
 
 
 def norm_stats(frames: DataFrame, vector: str, width: int, episode: str, order: str) -> DataFrame:
     """Dataset statistics, long: scope ('stepwise' with its step, or 'global' with null), dim, stat, value."""
     per_step = stepwise_stats(frames, vector, width, episode, order)
-    stepwise = combine_episodes(per_step, ["step", "dim"]).withColumn("scope", F.lit("stepwise"))
-    whole = combine_episodes(per_step, ["dim"]).withColumns({"scope": F.lit("global"), "step": F.lit(None).cast("int")})
+    # both scopes in one pass over the episodes' rows
+    wide = per_step.groupingSets([["step", "dim"], ["dim"]], "step", "dim").agg(*combined(), F.when(F.grouping("step") == 1, "global").otherwise("stepwise").alias("scope"))
     names = ["min", "max", "mean", "std", "q01", "q99"]
-    wide = stepwise.unionByName(whole)
     return wide.select("scope", "step", "dim", F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in names])).alias("s")).select("scope", "step", "dim", "s.stat", "s.value")
 
 
-def dataset_totals(frames: DataFrame, chunk_size: int, cameras: int) -> DataFrame:
-    """One row: episodes, frames, chunks, videos and the split string."""
-    t = frames.agg(F.countDistinct("episode_index").alias("episodes"), F.count(F.lit(1)).alias("frames"))
+def quantile_envelope(parts: DataFrame, keys: list[str], skip_quantile: bool = False) -> DataFrame:
+    """q01 and q99 of a dataset: the least and largest of its episodes'; with ``skip_quantile`` their least min and largest max."""
+    low, high = ("min", "max") if skip_quantile else ("q01", "q99")
+    return parts.groupBy(*keys).agg(F.min(low).alias("q01"), F.max(high).alias("q99"))
+
+
+def dataset_totals(frames: DataFrame, keys: list[str], chunk_size: int, cameras: int) -> DataFrame:
+    """Per dataset (keys): episodes, frames, chunks, videos and the split string."""
+    t = frames.groupBy(*keys).agg(F.countDistinct("episode_index").alias("episodes"), F.count(F.lit(1)).alias("frames"))
     return t.select(
-        "episodes", "frames", F.ceil(F.col("episodes") / chunk_size).alias("chunks"), (F.col("episodes") * cameras).alias("videos"), F.concat(F.lit("0:"), F.col("episodes").cast("string")).alias("split")
+        *keys, "episodes", "frames", F.ceil(F.col("episodes") / chunk_size).alias("chunks"), (F.col("episodes") * cameras).alias("videos"), F.concat(F.lit("0:"), F.col("episodes").cast("string")).alias("split")
     )

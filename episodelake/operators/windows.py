@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from episodelake.paths import scratch
 
 
 def _episode(keys: list[str], order: str):
@@ -67,10 +70,26 @@ def runs(df: DataFrame, file: str, index: str, row: str) -> DataFrame:
     return df.groupBy(file, group.alias("g")).agg(F.min(index).alias("start"), (F.max(index) + 1).alias("end"), F.min(row).alias("physical_start")).drop("g")
 
 
+def places(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds place: 0.. in the order of the columns, with no task that has all rows.
+
+    Rows are range-partitioned, sorted and written with the number of their
+    block; only the blocks' row counts are summed in one task.
+    """
+    path = scratch(df.sparkSession, "ordered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__block", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("__block", T.IntegerType())])).parquet(path)
+    counts = rows.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")  # one row per block
+    inside = F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1
+    return rows.withColumn("__in", inside).join(F.broadcast(counts.select("__block", before.alias("__before"))), "__block").withColumn("place", (F.col("__before") + F.col("__in")).cast("long")).drop("__block", "__in", "__before")
+
+
 def overlapping(runs_: DataFrame) -> DataFrame:
-    """Whether each run overlaps the next one by start, over the (small) table of runs."""
-    nxt = F.lead("start").over(Window.orderBy("start", "end"))
-    return runs_.withColumn("overlaps_next", F.coalesce(nxt < F.col("end"), F.lit(False)))
+    """Whether each run overlaps the next one by start."""
+    placed = places(runs_, ["start", "end"])
+    nxt = placed.select((F.col("place") - 1).alias("place"), F.col("start").alias("__next"))
+    return placed.join(nxt, "place", "left").withColumn("overlaps_next", F.coalesce(F.col("__next") < F.col("end"), F.lit(False))).drop("place", "__next")
 
 
 def number_frames(df: DataFrame, keys: list[str], order: list[str], fps: float, offsets: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Where intermediate tables go."""
+"""Where intermediate tables and small files go."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import SparkSession
 
+#: Folders given out in this process, for ``clear``.
+_given: list[str] = []
+
 
 def scratch(spark: SparkSession, name: str = "table") -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir), or on one machine a temporary one."""
@@ -15,4 +19,32 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.gettempdir()
-    return f"{top.rstrip('/')}/episodelake-{name}-{uuid.uuid4().hex}"
+    _given.append(f"{top.rstrip('/')}/episodelake-{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, p = _hadoop(spark, path)
+    return store.exists(p)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of metadata under its exact name."""
+    store, p = _hadoop(spark, path)
+    out = store.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables given out so far, once the results that read them are saved; how many there were."""
+    n = 0
+    while _given:
+        store, p = _hadoop(spark, _given.pop())
+        n += bool(store.delete(p, True))
+    return n

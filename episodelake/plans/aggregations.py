@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from episodelake.lenses import catalog, chunks, dataset_features, eval_results, frames, log_lines, prompts, sql, table, vectors
 from episodelake.operators import evals as E
 from episodelake.operators import stats as S
-from episodelake.operators.windows import forward_replicate
 from episodelake.plans.projections import r6, state
 from episodelake.registry import query
 
@@ -63,10 +62,11 @@ def agg_dataset_norm_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("frames", f"""l AS ({STATE}), e AS (SELECT episode_index, dim, quantile_cont(x, 0.01) AS a, quantile_cont(x, 0.99) AS b FROM l GROUP BY ALL)
-SELECT dim, round(min(a), 6) + 0.0 AS q01, round(max(b), 6) + 0.0 AS q99 FROM e GROUP BY dim"""))
+SELECT dim, round(min(a), 6) + 0.0 AS q01, round(max(b), 6) + 0.0 AS q99, false AS skipped FROM e GROUP BY dim UNION ALL SELECT dim, min(x), max(x), true FROM l GROUP BY dim"""))
 def agg_quantile_envelope(spark: SparkSession, sf: str) -> DataFrame:
     e = S.episode_stats(long_state(spark, sf), ["episode_index", "dim"])
-    return rounded(e.groupBy("dim").agg(F.min("q01").alias("q01"), F.max("q99").alias("q99")), ["q01", "q99"])
+    kinds = [S.quantile_envelope(e, ["dim"], skip).withColumn("skipped", F.lit(skip)) for skip in (False, True)]
+    return rounded(kinds[0].unionByName(kinds[1]), ["q01", "q99"])
 
 
 @query(sql("catalog", """SELECT task, count(*) AS datasets, CAST(sum(episodes) AS bigint) AS episodes, CAST(sum(frames) AS bigint) AS frames, round(sum(frames) / CAST(sum(sum(frames)) OVER () AS double), 6) AS share FROM catalog GROUP BY task"""))
@@ -154,16 +154,19 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, sf: str) -> DataFrame:
-    """Errors of each pair without its first step of 16 numbers."""
-    e = E.latent_error(F.slice("v", 17, 48), F.slice("w", 17, 48))
-    last = E.latent_error(F.slice("v", 49, 16), F.slice("w", 49, 16))
-    return pairs(spark, sf).select("vec_id", "label", "v", "w", e.alias("e"), last["mse"].alias("final_mse"))
+    """Errors of each pair of four steps of 16 numbers, without the first step."""
+    steps = lambda c: F.array(*[F.slice(c, 16 * i + 1, 16) for i in range(4)])
+    return pairs(spark, sf).select("vec_id", "label", E.future_error(steps("v"), steps("w")).alias("e"))
 
 
 @query(sql("vectors", f"""{PAIRS}, {ERR} SELECT vec_id, round(1 - dot / (greatest(nx, 1e-8) * greatest(ny, 1e-8)), 6) + 0.0 AS cosine, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae,
-round(list_sum(list_transform(range(49, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) / 16, 6) AS final_mse FROM e"""))
+round(list_sum(list_transform(range(49, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) / 16, 6) AS final_mse,
+round(1 - list_sum(list_transform(range(49, 65), lambda i: x[i] * y[i])) / (greatest(1e-8, sqrt(list_sum(list_transform(range(49, 65), lambda i: x[i] * x[i])))) * greatest(1e-8, sqrt(list_sum(list_transform(range(49, 65), lambda i: y[i] * y[i]))))), 6) + 0.0 AS final_cosine,
+CAST(s AS bigint) AS step, round(list_sum(list_transform(range(s * 16 + 1, s * 16 + 17), lambda j: (x[j] - y[j]) * (x[j] - y[j]))) / 16, 6) AS step_mse FROM e, LATERAL unnest(range(1, 4)) t(s)"""))
 def agg_latent_error(spark: SparkSession, sf: str) -> DataFrame:
-    return errors(spark, sf).select("vec_id", *[r6(F.col(f"e.{c}")).alias(c) for c in ("cosine", "mse", "rmse", "mae")], F.round("final_mse", 6).alias("final_mse"))
+    named = [r6(F.col(f"e.{c}")).alias(c) for c in ("cosine", "mse", "rmse", "mae", "final_mse", "final_cosine")]
+    rows = errors(spark, sf).select("vec_id", *named, F.posexplode("e.step_mse").alias("step", "step_mse"))
+    return rows.withColumns({"step": (F.col("step") + 1).cast("long"), "step_mse": F.round("step_mse", 6)})
 
 
 @query(sql("vectors", f"{PAIRS}, {ERR} SELECT label, round(avg(mse), 6) AS mean, round(stddev_pop(mse), 6) AS std, round(quantile_cont(mse, 0.5), 6) AS median, round(min(mse), 6) AS min, round(max(mse), 6) AS max FROM e GROUP BY label"))
@@ -181,10 +184,13 @@ def agg_seed_mean_std(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("sample", "step").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("std"), F.count(F.lit(1)).alias("seeds"))
 
 
-@query(sql("vectors", f"{PAIRS}, g AS (SELECT label, {STEP_MSE.replace('i * 16', '0')} AS m, {STEP_MSE.replace('i * 16', '16')} AS b FROM p) SELECT label, round(avg((b - m > 0)::int::double), 6) AS gain_fraction FROM g GROUP BY label"))
+@query(sql("vectors", f"{PAIRS}, g AS (SELECT label, CAST(i AS bigint) AS step, {STEP_MSE} AS m, list_sum(list_transform(range(i * 16 + 1, i * 16 + 17), lambda j: (x[(j - 1) % 16 + 1] - y[j]) * (x[(j - 1) % 16 + 1] - y[j]))) / 16 AS b FROM p, LATERAL unnest(range(1, 4)) t(i)) SELECT label, step, round(avg((b - m > 0)::int::double), 6) AS gain_fraction FROM g GROUP BY ALL"))
 def agg_gain_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    mse = lambda at: E.latent_error(F.slice("v", at, 16), F.slice("w", at, 16))["mse"]
-    return pairs(spark, sf).groupBy("label").agg(F.round(F.avg((mse(17) - mse(1) > 0).cast("double")), 6).alias("gain_fraction"))
+    """Each later step against persistence, which predicts the first step for all of them."""
+    mse = lambda a, at: E.latent_error(F.slice("v", a, 16), F.slice("w", at, 16))["mse"]
+    at = F.col("step") * 16 + 1
+    steps = pairs(spark, sf).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return steps.groupBy("label", F.col("step").cast("long").alias("step")).agg(F.round(F.avg((mse(F.lit(1), at) - mse(at, at) > 0).cast("double")), 6).alias("gain_fraction"))
 
 
 @query(sql("frames", "SELECT episode_index, round(sum(CASE WHEN k > 4 THEN value ELSE 0 END) / greatest(1, count(*) FILTER (WHERE k > 4)), 6) + 0.0 AS loss FROM frames GROUP BY 1"))
@@ -195,8 +201,10 @@ def agg_masked_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("frames", """p AS (SELECT a.episode_index, a.frame_index, o AS step, a.frame_index + o >= a.ep_len AS pad FROM frames a, LATERAL unnest(range(0, 9)) t(o))
 SELECT episode_index, frame_index, CASE WHEN step = 0 THEN 0 ELSE CAST(floor((step - 1) / 4) AS bigint) + 1 END AS latent_step, bool_and(pad) AS is_pad FROM p GROUP BY ALL"""))
 def agg_pad_downsample(spark: SparkSession, sf: str) -> DataFrame:
-    w = forward_replicate(frames(spark, sf), "value", 9, ["episode_index"], "frame_index")
-    return E.pad_downsample(w.select("episode_index", "frame_index", F.posexplode("is_pad").alias("step", "pad")), ["episode_index", "frame_index"], "step", "pad", 4)
+    # the mask of a window of 9 steps is known from the episode's length
+    steps = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("frame_index") + i >= F.col("ep_len"))
+    w = frames(spark, sf).select("episode_index", "frame_index", steps.alias("is_pad"))
+    return w.select("episode_index", "frame_index", F.posexplode(E.downsampled(F.col("is_pad"), 4)).alias("latent_step", "is_pad")).withColumn("latent_step", F.col("latent_step").cast("long"))
 
 
 @query(sql("chunks", "SELECT episode_index, target, round(avg(pred), 6) + 0.0 AS action, count(*) AS n FROM chunks GROUP BY ALL"))
@@ -204,9 +212,14 @@ def agg_action_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return E.action_ensemble(chunks(spark, sf)).withColumn("action", r6("action"))
 
 
-@query(sql("eval_results", "SELECT suite, task_id, round(avg(duration), 4) AS mean_latency, max(duration) AS max_latency, round(sum(duration), 2) AS total FROM eval_results GROUP BY ALL"))
+@query(sql("eval_results", """SELECT suite, task_id, round(avg(CASE WHEN trial % 4 <> 0 THEN duration / 10 END), 4) AS mean_latency, max(CASE WHEN trial % 4 <> 0 THEN duration / 10 END) AS max_latency,
+round(coalesce(sum(CASE WHEN trial % 4 <> 0 THEN duration / 10 END), 0), 4) AS infer_s, round(sum(duration - coalesce(CASE WHEN trial % 4 <> 0 THEN duration / 10 END, 0)), 4) AS sim_s FROM eval_results GROUP BY ALL"""))
 def agg_latency(spark: SparkSession, sf: str) -> DataFrame:
-    return eval_results(spark, sf).groupBy("suite", "task_id").agg(F.round(F.avg("duration"), 4).alias("mean_latency"), F.max("duration").alias("max_latency"), F.round(F.sum("duration"), 2).alias("total"))
+    """A step infers (a tenth of its time) or only goes on with the last chunk."""
+    infer = F.when(F.col("trial") % 4 != 0, F.col("duration") / 10)
+    steps = eval_results(spark, sf).select("suite", "task_id", infer.alias("infer_s"), (F.col("duration") - F.coalesce(infer, F.lit(0.0))).alias("sim_s"))
+    r = E.rollout_times(steps, ["suite", "task_id"])
+    return r.select("suite", "task_id", F.round("mean_latency", 4).alias("mean_latency"), "max_latency", F.round("infer_s", 4).alias("infer_s"), F.round("sim_s", 4).alias("sim_s"))
 
 
 @query(sql("dataset_features", "SELECT max(w) AS max_dim FROM (SELECT dataset_id, CAST(sum(width) AS bigint) AS w FROM dataset_features GROUP BY 1)"))
@@ -221,11 +234,7 @@ def agg_scan_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("frames", "SELECT source, count(DISTINCT episode_index) AS episodes, count(*) AS frames, CAST(ceil(count(DISTINCT episode_index) / 10.0) AS bigint) AS chunks, count(DISTINCT episode_index) * 3 AS videos, concat('0:', CAST(count(DISTINCT episode_index) AS varchar)) AS split FROM frames GROUP BY source"))
 def agg_dataset_totals(spark: SparkSession, sf: str) -> DataFrame:
-    from functools import reduce
-
-    f = frames(spark, sf)
-    parts = [S.dataset_totals(f.where(F.col("source") == s), 10, 3).withColumn("source", F.lit(s)) for s in ("alpha", "beta", "gamma")]
-    return reduce(DataFrame.unionByName, parts)
+    return S.dataset_totals(frames(spark, sf), ["source"], 10, 3)
 
 
 @query(sql("prompts", """SELECT count(DISTINCT dataset) AS datasets, count(*) AS task_rows, count(DISTINCT task) AS unique_prompts, count(*) FILTER (WHERE len(string_split(text, ' ')) > 128) AS over_length FROM prompts"""))

@@ -9,7 +9,7 @@ from episodelake.functions.scalars import describe_source
 from episodelake.lenses import catalog, chunks, dataset_features, frames, prompts, sql, table, vectors
 from episodelake.operators import checks as K
 from episodelake.operators import columns as C
-from episodelake.operators.windows import episode_offsets, forward_replicate
+from episodelake.operators.windows import episode_offsets
 from episodelake.plans.windows import episodes
 from episodelake.registry import query
 
@@ -21,7 +21,9 @@ def flt_episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("frames", "SELECT episode_index, frame_index FROM frames WHERE frame_index + 7 < ep_len"))
 def flt_unpadded_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return K.unpadded(forward_replicate(frames(spark, sf), "value", 8, ["episode_index"], "frame_index")).select("episode_index", "frame_index")
+    # whether a window of 8 is padded is known from the episode's length
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("frame_index") + i >= F.col("ep_len"))
+    return K.unpadded(frames(spark, sf).select("episode_index", "frame_index", mask.alias("is_pad"))).select("episode_index", "frame_index")
 
 
 @query(sql("frames", """g AS (SELECT episode_index, frame_index, timestamp - lag(timestamp) OVER (PARTITION BY episode_index ORDER BY frame_index) AS gap FROM frames)
@@ -49,10 +51,20 @@ def chk_feature_presence(spark: SparkSession, sf: str) -> DataFrame:
     return K.feature_presence(have, d.select("feature").distinct().where("feature <> 'MACHINERY'"))
 
 
-@query(sql("vectors", "w AS (SELECT vec_id, label, len(v[1:60 + label]) AS got FROM vectors) SELECT vec_id, CAST(got AS int) AS got, 64 AS expected FROM w WHERE got <> 64"))
+@query(sql("vectors", """w AS (SELECT vec_id, label, len(v[1:60 + label]) AS got FROM vectors), a AS (SELECT vec_id, CAST(got AS int) AS got, 64 AS expected, 'width' AS problem FROM w WHERE got <> 64),
+b AS (SELECT vec_id, NULL::int, NULL::int, 'image' FROM vectors WHERE vec_id % 3 = 2), c AS (SELECT NULL::bigint, NULL::int, NULL::int, unnest(['label: integer for int64', 'v: 1 levels of arrays for the shape [4, 16]', 'wrist: missing']))
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"""))
 def chk_dtype_shape(spark: SparkSession, sf: str) -> DataFrame:
-    cut = vectors(spark, sf).withColumn("w", C.cut_to(F.col("v"), F.col("label") + 60))
-    return K.width_errors(cut, "w", F.lit(64)).select("vec_id", "got", "expected")
+    """Widths of vectors, shapes of images (every third is neither CHW nor HWC), and the schema against its spec."""
+    v = vectors(spark, sf)
+    widths = K.width_errors(v.withColumn("w", C.cut_to(F.col("v"), F.col("label") + 60)), "w", F.lit(64)).select("vec_id", "got", "expected", F.lit("width").alias("problem"))
+    cut = lambda x, n: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / n).cast("int") - 1), lambda i: F.slice(x, i * n + 1, n))
+    chw, hwc, odd = cut(cut(F.slice("v", 1, 48), 4), 4), cut(cut(F.slice("v", 1, 48), 3), 4), cut(cut(F.slice("v", 1, 48), 6), 4)
+    pixels = F.when(F.col("vec_id") % 3 == 0, chw).when(F.col("vec_id") % 3 == 1, hwc).otherwise(odd)
+    images = v.where(~K.image_shape_ok(pixels, 3, 4, 4)).select("vec_id", F.lit(None).cast("int").alias("got"), F.lit(None).cast("int").alias("expected"), F.lit("image").alias("problem"))
+    spec = {"vec_id": {"dtype": "int64", "shape": [1]}, "label": {"dtype": "int64", "shape": [1]}, "v": {"dtype": "float64", "shape": [4, 16]}, "pose7": {"dtype": "float64", "shape": [7]}, "wrist": {"dtype": "image", "shape": [3, 4, 4]}}
+    schema = spark.createDataFrame([(None, None, None, e) for e in K.declared_dtype_errors(v, spec)], "vec_id long, got int, expected int, problem string")
+    return widths.unionByName(images).unionByName(schema)
 
 
 @query(sql("frames", """o AS (SELECT episode_index, sum(n) OVER (ORDER BY episode_index) - n AS f FROM (SELECT episode_index, count(*) AS n FROM frames GROUP BY 1)),
@@ -67,10 +79,9 @@ def chk_episode_integrity(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("chunks", """a AS (SELECT episode_index, count(*) AS p FROM chunks WHERE offset_in_chunk = 0 GROUP BY 1), t AS (SELECT episode_index, count(*) FILTER (WHERE frame_index % 4 = 0 AND NOT (episode_index % 6 = 0 AND frame_index = 0)) AS t FROM frames GROUP BY 1)
 SELECT episode_index, p AS n_pred, t AS n_truth, p = t AS ok FROM a JOIN t USING (episode_index)"""))
 def chk_equal_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    pred = chunks(spark, sf).where("offset_in_chunk = 0").groupBy("episode_index").agg(F.collect_list("pred").alias("pred"))
-    truth = frames(spark, sf).where("frame_index % 4 = 0 and not (episode_index % 6 = 0 and frame_index = 0)").groupBy("episode_index").agg(F.collect_list("value").alias("truth"))
-    both = pred.join(truth, "episode_index")
-    return both.select("episode_index", F.size("pred").cast("long").alias("n_pred"), F.size("truth").cast("long").alias("n_truth"), K.equal_lengths(["pred", "truth"]).alias("ok"))
+    pred = chunks(spark, sf).where("offset_in_chunk = 0").groupBy("episode_index").agg(F.count("pred").alias("n_pred"))
+    truth = frames(spark, sf).where("frame_index % 4 = 0 and not (episode_index % 6 = 0 and frame_index = 0)").groupBy("episode_index").agg(F.count("value").alias("n_truth"))
+    return pred.join(truth, "episode_index").withColumn("ok", K.equal_counts([F.col("n_pred"), F.col("n_truth")]))
 
 
 @query(sql("catalog", """a AS (SELECT c_nationkey AS dataset_id, count(*) AS actual FROM customer WHERE c_custkey % 97 <> 0 GROUP BY 1)

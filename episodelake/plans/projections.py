@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodelake.lenses import dataset_features, frames, prompts, sql, table, vectors
 from episodelake.operators import columns as C
 from episodelake.operators.windows import forward_replicate
+from episodelake.operators.stats import exact_quantiles
 from episodelake.registry import query
 
 
@@ -145,16 +146,19 @@ def prj_zero_masked_context(spark: SparkSession, sf: str) -> DataFrame:
     return z.select("vec_id", F.col("row").cast("long").alias("row"), r6(total).alias("total"), F.lit(True).alias("mask"))
 
 
-@query(sql("frames", """s AS (SELECT source, min(value) AS mn, max(value) AS mx, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, CASE WHEN source = 'alpha' THEN quantile_cont(value, 0.01) END AS q01 FROM frames GROUP BY source),
-l AS (SELECT source, unnest(['min', 'max', 'mean', 'std', 'q01', 'q99']) AS stat, unnest([mn, mx, mean, std, coalesce(q01, mn), mx]) AS value FROM s)
-SELECT source, stat, round(value, 6) AS value, scope FROM l, (VALUES ('global'), ('stepwise')) t(scope)"""))
+@query(sql("frames", """s AS (SELECT CASE source WHEN 'alpha' THEN 'observation.state' WHEN 'beta' THEN 'action' ELSE 'action.gripper' END AS key, source, min(value) AS mn, max(value) AS mx, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, CASE WHEN source = 'alpha' THEN quantile_cont(value, 0.01) END AS q01 FROM frames GROUP BY source),
+w AS (SELECT * FROM (VALUES ('observation.state.left', 'observation.state'), ('observation.state', 'observation.state'), ('action.arm', 'action'), ('action.gripper', 'action.gripper')) t(feature, key)),
+l AS (SELECT feature, key AS found, unnest(['min', 'max', 'mean', 'std', 'q01', 'q99']) AS stat, unnest([mn, mx, mean, std, coalesce(q01, mn), mx]) AS value FROM s JOIN w USING (key))
+SELECT feature, found, stat, round(value, 6) AS value, scope FROM l, (VALUES ('global'), ('stepwise')) t(scope)"""))
 def prj_stats_fields(spark: SparkSession, sf: str) -> DataFrame:
-    q01 = F.when(F.col("source") == "alpha", F.col("q"))
-    wide = frames(spark, sf).groupBy("source").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.percentile("value", F.lit(0.01)).alias("q")
-    )
-    wide = wide.select("source", "min", "max", "mean", "std", q01.alias("q01"), F.lit(None).cast("double").alias("q99"))
-    return C.stats_fields(wide).withColumn("value", F.round("value", 6))
+    """Each source's statistics stand under a key; wanted features fall back to their parent key."""
+    f = frames(spark, sf)
+    key = F.when(F.col("source") == "alpha", "observation.state").when(F.col("source") == "beta", "action").otherwise("action.gripper")
+    wide = f.groupBy("source").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    q01 = F.when(F.col("source") == "alpha", F.col("q")[0])
+    wide = wide.join(exact_quantiles(f, ["source"], "value", [0.01]), "source").select(key.alias("feature"), "min", "max", "mean", "std", q01.alias("q01"), F.lit(None).cast("double").alias("q99"))
+    wanted = spark.createDataFrame([("observation.state.left",), ("observation.state",), ("action.arm",), ("action.gripper",)], "feature string")
+    return C.with_parent_stats(wanted, C.stats_fields(wide)).withColumn("value", F.round("value", 6))
 
 
 @query(sql("prompts", """SELECT pos, CASE WHEN pos % 3 <> 0 THEN CASE WHEN dataset IN ('src1', 'src2') THEN 'pretrained' ELSE 'meta' END

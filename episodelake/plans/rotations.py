@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodelake.functions import rotations as R
 from episodelake.lenses import frames, sql, vectors
+from episodelake.paths import scratch
 from episodelake.plans.projections import numbers, r6
 from episodelake.registry import query
 
@@ -97,7 +99,45 @@ steps("rot_6d_to_matrix", "d", 6, R.SIX_TO_MATRIX)
 steps("rot_matrix_to_6d", "q", 4, [MATRIX, lambda r, m: R.matrix_to_six(r)])
 steps("rot_6d_columns", "q", 4, [MATRIX, lambda r, m: R.matrix_to_six_columns(r), *R.SIX_COLUMNS_TO_MATRIX])
 steps("rot_quat_xyzw_axisangle", "q", 4, [lambda q, m: R.xyzw_to_axis_angle([*q[1:], q[0]], m)])
-steps("rot_pose_convert", "q", 4, [*R.conversion("quaternion", "rotation_6d"), *R.conversion("rotation_6d", "euler_xyz"), *R.conversion("euler_xyz", "quaternion")])
+
+
+def stage_sql(start: str, width: int, stages: list[Callable], name: str) -> tuple[str, str, int]:
+    """(named queries from the array ``start`` of u through the stages, the last one's name, its width)."""
+    texts, n = [f"{name}0 AS (SELECT vec_id, {start} AS r FROM u)"], width
+    for i, f in enumerate(stages):
+        made = f([Sql(f"r[{k + 1}]") for k in range(n)], S)
+        texts.append(f"{name}{i + 1} AS (SELECT vec_id, [{', '.join(made)}] AS r FROM {name}{i})")
+        n = len(made)
+    return ", ".join(texts), f"{name}{len(stages)}", n
+
+
+POSE_FORMS = ["axis_angle", "rotation_6d", "rotation_9d", "euler_xyz", "euler_yzy"]
+
+
+def _pose_sql() -> str:
+    """Each form of a pose between its position and a gripper; on the way back every form gives the standard quaternion."""
+    texts, rows = [], []
+    for k, form in enumerate(POSE_FORMS):
+        text, last, n = stage_sql("q", 4, [R.quat_to_matrix, *R.pose_stages(form)[2]], f"p{k}_")
+        texts.append(text)
+        rows.append(f"SELECT vec_id, '{form}' AS form, list_concat(p, r, [0.25::double]) AS r FROM u JOIN {last} USING (vec_id)")
+    back = "SELECT vec_id, unnest([%s]) AS form, list_concat(p, list_transform([q[2], q[3], q[4], q[1]], lambda x: x * CASE WHEN q[1] < 0 THEN -1 ELSE 1 END), [0.25::double]) AS r FROM u" % ", ".join(f"'{f} back'" for f in POSE_FORMS)
+    return f"{UNIT_SQL}, {', '.join(texts)}, o AS ({' UNION ALL '.join([*rows, back])}) SELECT vec_id, form, CAST(i AS bigint) AS pos, round(r[i + 1], 5) + 0.0 AS x FROM o, LATERAL unnest(range(0, len(r))) t(i)"
+
+
+@query(sql("vectors", _pose_sql()))
+def rot_pose_convert(spark: SparkSession, sf: str) -> DataFrame:
+    u = units(spark, sf)
+    pose = u.select("vec_id", F.concat("p", F.slice("q", 2, 3), F.slice("q", 1, 1), F.array(F.lit(0.25))).alias("pose"))
+    # a table for each form cuts the expressions in two; nested, they take longer to compile than to run
+    path = scratch(spark, "poses")
+    for f in POSE_FORMS:
+        pose.select("vec_id", R.convert_pose(F.col("pose"), *R.named_conversion(f)).alias("r")).write.parquet(f"{path}/{f}")
+    there = {f: spark.read.parquet(f"{path}/{f}") for f in POSE_FORMS}
+    back = {f"{f} back": t.select("vec_id", R.convert_pose(F.col("r"), *R.named_conversion(f"{f}_to_quaternion")).alias("r")) for f, t in there.items()}
+    parts = [t.withColumn("form", F.lit(f)) for f, t in (there | back).items()]
+    rows = reduce(DataFrame.unionByName, parts).select("vec_id", "form", F.posexplode("r").alias("pos", "x"))
+    return rows.withColumns({"pos": F.col("pos").cast("long"), "x": F.round("x", 5) + F.lit(0.0)})
 
 
 @query()
@@ -105,9 +145,22 @@ def rot_9d_to_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select("vec_id", R.nearest_rotation(F.slice("v", 1, 9)).alias("r"))
 
 
-@query()
+def _noise_sql() -> str:
+    unit = lambda i, j: f"CAST(concat('0x', substr(md5(concat('11:', {2 * i + j}, ':', CAST(vec_id AS varchar))), 1, 8)) AS bigint) / 4294967296.0::double"
+    noise = [f"sqrt(-2 * ln(1 - {unit(i, 0)})) * cos(2 * pi() * {unit(i, 1)}) * {sd}::double" for i, sd in enumerate([0.01] * 3 + [0.05] * 3)]
+    over = [*R.pose_stages("axis_angle")[1], *R.pose_stages("axis_angle")[2]]
+    first, last, _ = stage_sql("v", 3, over, "a")
+    second, end, _ = stage_sql("r", 3, over, "b")
+    second = second.replace("FROM u)", "FROM n)", 1)
+    return f"""{UNIT_SQL}, {first}, n AS (SELECT vec_id, [{', '.join(f'r[{i + 1}] + {noise[3 + i]}' for i in range(3))}] AS r FROM {last}), {second},
+o AS (SELECT vec_id, list_concat([{', '.join(f'p[{i + 1}] + {noise[i]}' for i in range(3))}], r, [0.25::double]) AS r FROM u JOIN {end} USING (vec_id)) SELECT vec_id, CAST(i AS bigint) AS pos, round(r[i + 1], 5) + 0.0 AS x FROM o, LATERAL unnest(range(0, 7)) t(i)"""
+
+
+@query(sql("vectors", _noise_sql()))
 def rot_pose_noise(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf).select("vec_id", R.pose_noise(F.slice("v", 1, 6), 0.01, 0.05, 11).alias("pose"))
+    pose = F.concat("p", "v", F.array(F.lit(0.25)))
+    noisy = units(spark, sf).withColumn("r", R.pose_noise(pose, F.col("vec_id"), 0.01, 0.05, 11)).select("vec_id", F.posexplode("r").alias("pos", "x"))
+    return noisy.withColumns({"pos": F.col("pos").cast("long"), "x": F.round("x", 5) + F.lit(0.0)})
 
 
 _relative = R.relative_pose([Sql(f"b[{i}]") for i in range(1, 8)], [Sql(f"w[{i}]") for i in range(1, 8)], S)

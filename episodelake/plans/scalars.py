@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from episodelake.functions import scalars as S
 from episodelake.lenses import eval_results, frames, log_lines, prompts, sql, vectors
+from episodelake.operators.stats import exact_quantiles
 from episodelake.plans.projections import r6
 from episodelake.registry import query
 
@@ -34,11 +35,16 @@ def fn_bilingual_variants(spark: SparkSession, sf: str) -> DataFrame:
     return odd_tasks(spark, sf).select("pos", F.explode(S.bilingual_variants(F.col("task"))).alias("variant"), S.has_more_sides(F.col("task")).alias("more"))
 
 
-@query(sql("prompts", """SELECT pos, CASE WHEN pos % 4 = 0 THEN '[high] ' || dataset
-WHEN CAST(concat('0x', substr(md5(concat('3:', CAST(pos AS varchar))), 1, 8)) AS bigint) / 4294967296.0::double >= 0.5 THEN '[High]: ' || dataset || ', [Low]: ' || task ELSE dataset END AS instruction FROM prompts"""))
+@query(sql("prompts", """t AS (SELECT pos, dataset, CAST(concat('0x', substr(md5(concat('3:', CAST(pos AS varchar))), 1, 8)) AS bigint) / 4294967296.0::double AS u,
+CASE WHEN pos % 4 = 0 THEN NULL WHEN pos % 7 = 0 THEN dataset WHEN pos % 2 = 0 THEN left(task, strpos(task, '@') - 1) ELSE substr(task, strpos(task, '@') + 1) END AS low, CASE WHEN pos % 5 = 0 THEN '' ELSE dataset END AS high FROM prompts)
+SELECT pos, CASE WHEN low IS NULL THEN '[high] ' || high WHEN u >= 0.5 THEN '[High]: ' || high || ', [Low]: ' || low ELSE low END AS instruction,
+CASE WHEN low IS NULL THEN '[high] ' || high WHEN u >= 0.5 THEN '[High]: ' || high || ', [Low]: ' || low ELSE '[Low]: ' || low END AS prefixed FROM t"""))
 def fn_augment_instruction(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.when(F.col("pos") % 4 != 0, F.col("task"))
-    return prompts(spark, sf).select("pos", S.augment(F.col("dataset"), low, S.hash_unit(F.lit(3), F.col("pos")), F.lit(0.5)).alias("instruction"))
+    pos = F.col("pos")
+    low = F.when(pos % 4 != 0, F.when(pos % 7 == 0, F.col("dataset")).otherwise(F.col("task")))
+    high, u = F.when(pos % 5 != 0, F.col("dataset")), S.hash_unit(F.lit(3), pos)
+    made = [S.augment(high, low, u, F.lit(0.5), pos % 2 == 0, p) for p in (False, True)]
+    return prompts(spark, sf).select("pos", made[0].alias("instruction"), made[1].alias("prefixed"))
 
 
 @query(sql("prompts", "SELECT pos, concat(sha256(task), '.t5_len128.umt5.pt') AS key FROM prompts"))
@@ -46,9 +52,9 @@ def fn_prompt_key(spark: SparkSession, sf: str) -> DataFrame:
     return prompts(spark, sf).select("pos", S.prompt_key(F.col("task"), 128, "umt5").alias("key"))
 
 
-@query(sql("prompts", r"SELECT pos, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS cleaned, lower(trim(regexp_replace(substr(task, 1, 30), '[ \t\n\r\f]+', ' ', 'g'))) AS lowered FROM prompts"))
+@query(sql("prompts", r"SELECT pos, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS cleaned, lower(trim(regexp_replace(task, '[ \t\n\r\f]+', ' ', 'g'))) AS lowered FROM prompts"))
 def fn_whitespace_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return prompts(spark, sf).select("pos", S.whitespace_clean(F.col("text")).alias("cleaned"), S.whitespace_clean(F.substring("task", 1, 30), lower=True).alias("lowered"))
+    return prompts(spark, sf).select("pos", S.whitespace_clean(F.col("text")).alias("cleaned"), S.whitespace_clean(F.col("task"), lower=True).alias("lowered"))
 
 
 @query()
@@ -57,9 +63,11 @@ def fn_basic_clean(spark: SparkSession, sf: str) -> DataFrame:
     return prompts(spark, sf).select("pos", S.basic_clean(escaped).alias("cleaned"))
 
 
-@query(sql("prompts", r"""SELECT pos, trim(regexp_replace(lower(translate(replace(task || '_' || dataset, '_', ' '), '!"#$%&''()*+,-./:;<=>?@[\]^`{|}~', '')), '[ \t\n\r\f]+', ' ', 'g')) AS canonical FROM prompts"""))
+@query(sql("prompts", r"""SELECT pos, trim(regexp_replace(lower(translate(replace(task || '_' || dataset, '_', ' '), '!"#$%&''()*+,-./:;<=>?@[\]^`{|}~', '')), '[ \t\n\r\f]+', ' ', 'g')) AS canonical,
+trim(regexp_replace(lower(array_to_string(list_transform(string_split(replace(task || '_<s>, ' || dataset, '_', ' '), '<s>'), lambda x: translate(x, '!"#$%&''()*+,-./:;<=>?@[\]^`{|}~', '')), '<s>')), '[ \t\n\r\f]+', ' ', 'g')) AS kept FROM prompts"""))
 def fn_canonicalize(spark: SparkSession, sf: str) -> DataFrame:
-    return prompts(spark, sf).select("pos", S.canonicalize(F.concat("task", F.lit("_"), "dataset")).alias("canonical"))
+    kept = S.canonicalize(F.concat("task", F.lit("_<s>, "), "dataset"), keep="<s>")
+    return prompts(spark, sf).select("pos", S.canonicalize(F.concat("task", F.lit("_"), "dataset")).alias("canonical"), kept.alias("kept"))
 
 
 @query(sql("prompts", """t AS (SELECT pos, string_split(task, ' ') AS w FROM prompts)
@@ -71,16 +79,20 @@ def fn_pad_truncate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NORM = """s AS (SELECT avg(value) AS mean, stddev_samp(value) AS std, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.99) AS q99, min(value) AS mn, max(value) AS mx FROM frames),
-c AS (SELECT *, CASE WHEN std < 1e-4 THEN 1 ELSE 1 / std END AS zs, CASE WHEN q99 - q01 < 1e-4 THEN 1 ELSE 2 / (q99 - q01) END AS qs, CASE WHEN mx - mn < 1e-4 THEN 1 ELSE 2 / (mx - mn) END AS ms FROM s)"""
+c AS (SELECT *, 1 / (std + 1e-8) AS zs, CASE WHEN q99 - q01 < 1e-4 THEN 1 ELSE 2 / (q99 - q01) END AS qs, CASE WHEN mx - mn < 1e-4 THEN 1 ELSE 2 / (mx - mn) END AS ms FROM s)"""
 
 
 def with_scales(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
-    stats = f.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), q.alias("q"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # one row of statistics; quantiles come from ranks, since no task could hold all values
+    stats = f.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    stats = stats.crossJoin(exact_quantiles(f, [], "value", [0.01, 0.99]))
     s = F.struct("mean", "std", F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"), "min", "max")
-    stats = stats.select(s.alias("s")).select(*[S.norm_scale(F.col("s"), m).alias(m) for m in ("z", "quantile", "minmax")])
-    return f.crossJoin(F.broadcast(stats))  # one row of statistics
+    stats = stats.select(s.alias("s")).select(*[S.norm_scale(F.col("s"), m).alias(n) for n, m in MODES.items()])
+    return f.crossJoin(F.broadcast(stats))
+
+
+MODES = {"z": "z", "quantile": "quantile", "minmax": "minmax", "constant": "-20/180"}
 
 
 def normal(mode: str) -> Column:
@@ -88,9 +100,9 @@ def normal(mode: str) -> Column:
 
 
 @query(sql("frames", f"""{NORM} SELECT index, round(greatest(-5, least(5, value * zs - mean * zs)), 6) + 0.0 AS z, round(greatest(-5, least(5, value * qs - 1 - q01 * qs)), 6) + 0.0 AS quantile,
-round(greatest(-5, least(5, value * ms - 1 - mn * ms)), 6) + 0.0 AS minmax FROM frames, c"""))
+round(greatest(-5, least(5, value * ms - 1 - mn * ms)), 6) + 0.0 AS minmax, round(greatest(-5, least(5, value * 0.01::double - 0.8)), 6) + 0.0 AS constant FROM frames, c"""))
 def fn_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return with_scales(spark, sf).select("index", *[r6(normal(m)).alias(m) for m in ("z", "quantile", "minmax")])
+    return with_scales(spark, sf).select("index", *[r6(normal(m)).alias(m) for m in MODES])
 
 
 @query(sql("frames", f"{NORM} SELECT index, round((greatest(-5, least(5, value * qs - 1 - q01 * qs)) - (-1 - q01 * qs)) / qs, 6) + 0.0 AS value FROM frames, c"))
@@ -107,9 +119,12 @@ def fn_wrap_angle(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("eval_results", """s AS (SELECT trial, CAST(round_even(duration / (1 + trial % 300), 0) AS bigint) AS s FROM eval_results)
 SELECT trial, CASE WHEN s < 60 THEN printf('%02ds', s) WHEN s < 3600 THEN printf('%02dm%02ds', CAST(floor(s / 60) AS bigint), s % 60)
-ELSE printf('%02dh%02dm%02ds', CAST(floor(s / 3600) AS bigint), CAST(floor(s % 3600 / 60) AS bigint), s % 60) END AS text FROM s"""))
+ELSE printf('%02dh%02dm%02ds', CAST(floor(s / 3600) AS bigint), CAST(floor(s % 3600 / 60) AS bigint), s % 60) END AS text,
+CASE WHEN x < 0.5 THEN '0.5s' WHEN x < 60 THEN concat(CAST(floor(x) AS bigint), '.5s') WHEN x < 3600 THEN printf('%d:%02d', CAST(floor(x / 60) AS bigint), CAST(floor(x) AS bigint) % 60)
+ELSE printf('%d:%02d:%02d', CAST(floor(x / 3600) AS bigint), CAST(floor(x % 3600 / 60) AS bigint), CAST(floor(x) AS bigint) % 60) END AS clock FROM s JOIN (SELECT trial, floor(duration / (1 + trial % 300)) + 0.5::double AS x FROM eval_results) USING (trial)"""))
 def fn_format_duration(spark: SparkSession, sf: str) -> DataFrame:
-    return eval_results(spark, sf).select("trial", S.format_duration(F.col("duration") / (1 + F.col("trial") % 300)).alias("text"))
+    seconds = F.col("duration") / (1 + F.col("trial") % 300)
+    return eval_results(spark, sf).select("trial", S.format_duration(seconds).alias("text"), S.clock(F.floor(seconds) + 0.5).alias("clock"))
 
 
 @query(sql("prompts", r"SELECT pos, substr(translate(lower(substr(text, 1, 200)), ' ' || chr(10) || '.', '___'), 1, 50) AS slug FROM prompts"))
@@ -118,8 +133,27 @@ def fn_slug(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("log_lines", r"""SELECT run, regexp_extract(line, 'task=(\S+)', 1) AS task, regexp_extract(line, 'phase=(\S+)', 1) AS phase, CAST(regexp_extract(line, 'gpu=(\d+)', 1) AS int) AS gpu,
-CAST(regexp_extract(line, 'success_rate=([0-9.]+)', 1) AS double) AS success_rate FROM log_lines WHERE line_no % 9 <> 0"""))
+CAST(regexp_extract(line, 'success_rate=([0-9.]+)', 1) AS double) AS success_rate, NULL::bigint AS step, NULL::double AS loss, NULL::double AS lr FROM log_lines WHERE line_no % 9 <> 0
+UNION ALL SELECT run, 'train', NULL, CAST(line_no % 7 AS int), NULL, line_no, CAST((line_no % 1000) / 8.0::double AS double), 0.0003 FROM log_lines
+UNION ALL SELECT run, 'val', NULL, NULL, (line_no % 50) / 4.0::double, line_no, (line_no % 100) / 2.0::double, NULL FROM log_lines WHERE line_no % 4 = 0"""))
 def fn_parse_log(spark: SparkSession, sf: str) -> DataFrame:
+    done = result_records(spark, sf)
+    return done.unionByName(trainer_records(spark, sf), allowMissingColumns=True)
+
+
+def trainer_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Training and validation records of logs whose lines are wrapped."""
+    n, eight = F.col("line_no"), lambda c: (c).cast("string")
+    train = F.concat(F.lit("[train] epoch="), eight(n % 7), F.lit(" step="), eight(n), F.lit("/99999 eta=1h\n    loss="), eight((n % 1000) / 8.0), F.lit(" loss_action=0.5\n   grad=1 loss_video=0.25 speed=3\n lr=3e-4\n"))
+    val = F.concat(F.lit("step="), eight(n), F.lit("\n   val_loss="), eight((n % 100) / 2.0), F.lit(" infer_psnr=20.5\n infer_ssim=0.75 action_l2="), eight((n % 50) / 4.0), F.lit("\n  action_l1=0.125\n"))
+    text = F.concat(train, F.when(n % 4 == 0, val).otherwise(F.lit("saved\n")))
+    logs = log_lines(spark, sf).groupBy("run", F.floor(n / 200).alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", text.alias("t")))), lambda s: s["t"]), "").alias("log"))
+    parsed = lambda kind: logs.select("run", F.explode(S.parse_records(F.col("log"), kind)).alias("r")).select("run", F.lit(kind).alias("task"), "r.*")
+    t = parsed("train").select("run", "task", F.col("epoch").cast("int").alias("gpu"), "step", "loss", "lr")
+    return t.unionByName(parsed("val").select("run", "task", "step", F.col("val_loss").alias("loss"), F.col("action_l2").alias("success_rate")), allowMissingColumns=True)
+
+
+def result_records(spark: SparkSession, sf: str) -> DataFrame:
     # a log holds ten lines of a run, some of them no results
     line = F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("warn: "), F.substring("line", 6, 100))).otherwise(F.col("line"))
     logs = log_lines(spark, sf).groupBy("run", F.floor(F.col("line_no") / 200).alias("part")).agg(F.array_join(F.collect_list(line), "\n").alias("log"))
@@ -144,12 +178,16 @@ def fn_normalize_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("vectors", """f AS (SELECT a.vec_id, i, 10 * log10(4.0::double / (list_sum(list_transform(range(i * 16 + 1, i * 16 + 17), lambda j: (a.v[j] - b.v[j]) * (a.v[j] - b.v[j]))) / 16 + 1e-8)) AS p
-FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1, LATERAL unnest(range(0, 4)) t(i)) SELECT vec_id, round(avg(p), 6) + 0.0 AS psnr FROM f GROUP BY vec_id"""))
+FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1, LATERAL unnest(range(0, 4)) t(i)),
+g AS (SELECT a.vec_id, 10 * log10(65025.0::double / greatest(1e-8, list_sum(list_transform(range(1, 65), lambda j: pow(floor(a.v[j] * 255) - CASE WHEN a.vec_id % 5 = 0 THEN floor(a.v[j] * 255) ELSE floor(b.v[j] * 255) END, 2))) / 64)) AS q FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(avg(p), 6) + 0.0 AS psnr, round(any_value(q), 6) AS psnr_8bit FROM f JOIN g USING (vec_id) GROUP BY vec_id"""))
 def fn_psnr(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
     p = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
     frames_ = [S.psnr(F.slice("v", 16 * i + 1, 16), F.slice("w", 16 * i + 1, 16), 2.0) for i in range(4)]
-    return p.select("vec_id", r6(sum(frames_[1:], frames_[0]) / 4).alias("psnr"))
+    bytes_ = lambda c: F.transform(c, lambda x: F.floor(x * 255).cast("double"))
+    same = F.when(F.col("vec_id") % 5 == 0, F.col("v")).otherwise(F.col("w"))  # equal frames reach the bound eps
+    return p.select("vec_id", r6(sum(frames_[1:], frames_[0]) / 4).alias("psnr"), F.round(S.psnr_8bit(bytes_(F.col("v")), bytes_(same)), 6).alias("psnr_8bit"))
 
 
 @query(sql("frames", """SELECT DISTINCT episode_index, printf('data/chunk-%03d/episode_%06d.parquet', CAST(floor(episode_index / 10) AS bigint), episode_index) AS data_path,

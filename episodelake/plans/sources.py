@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodelake.lenses import catalog, eval_results, frames, log_lines, prompts, sql
 from episodelake.operators.evals import suite_summary
 from episodelake.operators.stats import feature_stats
-from episodelake.operators.windows import episode_offsets
+from episodelake.operators.windows import episode_offsets, places
 from episodelake.paths import scratch
 from episodelake.plans.projections import state
 from episodelake.plans.windows import episodes
@@ -18,13 +18,16 @@ from episodelake.sources import lake as L
 FEATURES = {n: {"dtype": d, "shape": s} for n, d, s in (("episode_index", "int64", [1]), ("frame_index", "int64", [1]), ("index", "int64", [1]), ("timestamp", "float64", [1]), ("observation.state", "float64", [2]))}
 
 
-@query(sql("frames", "SELECT episode_index, frame_index, index, round(timestamp, 6) AS timestamp, value, k FROM frames"))
+@query(sql("frames", """SELECT episode_index, frame_index, index, round(timestamp, 6) AS timestamp, value, k, episode_index IN (1, 5) OR episode_index BETWEEN 10 AND 12 AS chosen FROM frames"""))
 def src_frames(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "lake")
     L.write_frames(frames(spark, sf).withColumn("observation.state", state()), root, 50)
     s = F.col("`observation.state`")
     f = L.read_frames(spark, root, FEATURES | {"observation.images.top": {"dtype": "video", "shape": [3, 8, 8]}})
-    return f.select("episode_index", "frame_index", "index", F.round("timestamp", 6).alias("timestamp"), s[0].alias("value"), s[1].alias("k"))
+    # the selected episodes are read by themselves
+    chosen = L.read_frames(spark, root, FEATURES, [1, 5, [10, 12]]).select("episode_index", "frame_index", F.lit(True).alias("chosen"))
+    f = f.join(chosen, ["episode_index", "frame_index"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    return f.select("episode_index", "frame_index", "index", F.round("timestamp", 6).alias("timestamp"), s[0].alias("value"), s[1].alias("k"), "chosen")
 
 
 @query("""WITH e AS (SELECT user_id AS episode_index, count(*) AS length FROM events GROUP BY user_id)
@@ -39,8 +42,7 @@ def src_episodes(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("prompts", "SELECT row_number() OVER (ORDER BY task) - 1 AS task_index, task FROM (SELECT DISTINCT task FROM prompts)"))
 def src_tasks(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "lake")
-    place = F.row_number().over(Window.orderBy("task")) - 1  # over the distinct task texts
-    L.write_tasks(prompts(spark, sf).select("task").distinct().select(place.cast("long").alias("task_index"), "task"), root)
+    L.write_tasks(places(prompts(spark, sf).select("task").distinct(), ["task"]).select(F.col("place").alias("task_index"), "task"), root)
     return L.read_tasks(spark, root)
 
 
@@ -60,6 +62,7 @@ def src_info(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STATS = "SELECT source AS feature, unnest(['max', 'mean', 'min']) AS stat, CAST(i AS bigint) AS dim, unnest([round(max([value, k][i + 1]), 6), round(avg([value, k][i + 1]), 6), round(min([value, k][i + 1]), 6)]) + 0.0 AS value FROM frames, LATERAL unnest(range(0, 2)) t(i) GROUP BY source, i"
+STEPWISE = "SELECT source AS feature, 'stepwise_max' AS stat, frame_index % 4 AS step, CAST(i AS bigint) AS dim, round(max([value, k][i + 1]), 6) + 0.0 AS value FROM frames, LATERAL unnest(range(0, 2)) t(i) GROUP BY source, frame_index % 4, i"
 
 
 def long_stats(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
@@ -70,14 +73,19 @@ def long_stats(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
 
 
 def stats_file(spark: SparkSession, sf: str) -> str:
+    """Statistics of each source, by dimension and by step and dimension."""
     root = scratch(spark, "stats")
-    L.stats_tree(long_stats(spark, sf, ["source"]).withColumnRenamed("source", "feature")).write.text(root)
+    plain = long_stats(spark, sf, ["source"]).withColumn("step", F.lit(None).cast("long"))
+    f = frames(spark, sf).select("source", (F.col("frame_index") % 4).alias("step"), F.posexplode(state()).alias("dim", "x"))
+    stepwise = f.groupBy("source", "step", "dim").agg((F.round(F.max("x"), 6) + F.lit(0.0)).alias("value")).withColumn("stat", F.lit("stepwise_max"))
+    L.stats_tree(plain.unionByName(stepwise).withColumnRenamed("source", "feature")).write.text(root)
     return root
 
 
-@query(sql("frames", STATS))
+@query(sql("frames", f"SELECT feature, stat, NULL AS step, dim, value FROM ({STATS}) UNION ALL SELECT feature, stat, step, dim, value FROM ({STEPWISE})"))
 def src_stats_json(spark: SparkSession, sf: str) -> DataFrame:
-    return L.read_stats_json(spark, stats_file(spark, sf)).withColumn("dim", F.col("dim").cast("long"))
+    step = F.when(F.size("at") > 1, F.col("at")[0]).cast("long")
+    return L.read_stats_json(spark, stats_file(spark, sf)).select("feature", "stat", step.alias("step"), F.col("dim").cast("long").alias("dim"), "value")
 
 
 @query(sql("frames", STATS.replace("source AS feature", "episode_index, 'state' AS feature").replace("GROUP BY source, i", "GROUP BY episode_index, i")))
@@ -96,15 +104,14 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
 
     root = scratch(spark, "annotations")
     e = table(spark, sf, "events")
-    for kind in L.ANNOTATIONS:
-        e.select(F.col("event_id").alias(f"{kind}_index"), F.concat("event_type", F.lit(f" {kind}")).alias(kind)).write.json(f"{root}/annotations/{kind}.jsonl")
+    for kind, file in L.ANNOTATIONS.items():
+        e.select(F.col("event_id").alias(f"{kind}_index"), F.concat("event_type", F.lit(f" {kind}")).alias(kind)).write.json(f"{root}/{file}")
     return L.read_annotations(spark, root)
 
 
-@query("""SELECT kind, event_id AS index, concat(event_type, ' ', kind) AS text FROM events, (VALUES ('subtask'), ('scene'), ('velocity')) t(kind) WHERE event_id % 10 = 0""")
+@query("""SELECT kind, event_id AS index, concat(event_type, ' ', kind) AS text FROM events, (VALUES ('subtask'), ('scene'), ('gripper_mode'), ('gripper_activity'), ('eef_velocity'), ('eef_acc_mag'), ('eef_direction')) t(kind)""")
 def src_annotations(spark: SparkSession, sf: str) -> DataFrame:
-    # the SQL twin names these rows of what is read
-    return annotations(spark, sf).where(F.col("kind").isin("subtask", "scene", "velocity") & (F.col("index") % 10 == 0))
+    return annotations(spark, sf)
 
 
 @query(sql("catalog", "SELECT concat('ds=d', dataset_id) AS dataset FROM catalog"))
@@ -143,38 +150,71 @@ def src_file_footprint(spark: SparkSession, sf: str) -> DataFrame:
     return L.footprint(spark, f"{sf}/events.parquet")
 
 
-def appended(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored frames of all sources, each appended to those before it."""
+def appended(spark: SparkSession, sf: str) -> str:
+    """A lake to which the episodes of each source were appended in turn."""
     root = scratch(spark, "append")
     f = frames(spark, sf).select(F.col("episode_index").alias("episode"), "frame_index", "value", "source")
     for source in ("alpha", "beta", "gamma"):
-        L.append_episodes(spark, f.where(F.col("source") == source), root, 20)
-    return spark.read.parquet(f"{root}/data")
+        L.append_episodes(spark, f.where(F.col("source") == source), root, 20, ["value"], cameras=2, rows_per_file=1000)
+    return root
 
 
-@query(sql("frames", "SELECT source, count(DISTINCT episode_index) AS episodes, count(*) AS frames FROM frames WHERE source <> 'gamma' GROUP BY source"))
+@query(sql("frames", """t AS (SELECT count(DISTINCT episode_index) AS n, count(*) AS total_frames, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max FROM frames)
+SELECT source, count(DISTINCT episode_index) AS episodes, count(*) AS frames, any_value(n) AS total_episodes, any_value(total_frames) AS total_frames, CAST(ceil(any_value(n) / 20.0) AS bigint) AS total_chunks, any_value(n) * 2 AS total_videos,
+concat('0:', any_value(n)) AS split, any_value(mean) AS mean, any_value(std) AS std, any_value(min) AS min, any_value(max) AS max FROM frames, t GROUP BY source"""))
 def sink_append_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    stored = appended(spark, sf).where("source <> 'gamma'")  # the SQL twin leaves it out
-    return stored.groupBy("source").agg(F.countDistinct("episode_index").alias("episodes"), F.countDistinct("index").alias("frames"))
-
-
-@query("SELECT DISTINCT user_id AS episode_index, printf('data/chunk-%03d/episode_%06d.parquet', CAST(floor(user_id / 10) AS bigint), user_id) AS path FROM events")
+    root = appended(spark, sf)
+    stored = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
+    s = L.read_stats_json(spark, f"{root}/meta/stats.json")
+    stats = s.agg(*[F.round(F.max(F.when(F.col("stat") == n, F.col("value"))), 6).alias(n) for n in ("mean", "std", "min", "max")])
+    per = stored.groupBy("source").agg(F.countDistinct("episode_index").alias("episodes"), F.countDistinct("index").alias("frames"))
+    return per.crossJoin(F.broadcast(L.read_totals(spark, root))).crossJoin(F.broadcast(stats))  # one row each
+
+
+@query("""WITH e AS (SELECT user_id AS episode_index, count(*) AS length FROM events GROUP BY user_id),
+r AS (SELECT *, CAST(floor(episode_index / 10) AS bigint) AS chunk FROM e),
+f AS (SELECT *, CAST(floor((sum(length) OVER (PARTITION BY chunk ORDER BY episode_index) - length) / 200) AS bigint) AS file FROM r)
+SELECT episode_index, length, printf('data/chunk-%03d/episode_%06d.parquet', chunk, episode_index) AS path, printf('data/chunk-%03d/file-%03d.parquet', chunk, file) AS rolled FROM f""")
 def sink_chunked_layout(spark: SparkSession, sf: str) -> DataFrame:
-    return episodes(spark, sf).select("episode_index", L.chunk_paths(F.col("episode_index"), 10).alias("path"))
-
-
-@query()
+    """Both layouts are written, a file for each episode and files of 200 rows or more, and every episode is looked for where it is."""
+    f = frames(spark, sf).select("episode_index", "frame_index", "value")
+    e = L.rolled_files(episodes(spark, sf), 10, 200)
+    paths = e.select("episode_index", L.chunk_paths(F.col("episode_index"), 10).alias("path"), F.format_string("data/chunk-%03d/file-%03d.parquet", "data/chunk_index", "data/file_index").alias("rolled"))
+    found = []
+    for column in ("path", "rolled"):
+        root = scratch(spark, "layout")
+        L.write_files(f.join(paths.select("episode_index", column), "episode_index"), root, column).write.format("noop").mode("overwrite").save()
+        stored = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
+        where = F.regexp_extract(F.col("_metadata.file_path"), "(data/chunk-.*)$", 1)
+        found.append(stored.groupBy("episode_index", where.alias(column)).agg(F.count(F.lit(1)).alias("length")))
+    return found[0].join(found[1], ["episode_index", "length"])
+
+
+@query(sql("frames", f"SELECT feature, stat, dim, value FROM ({STATS})"))
 def sink_stats_json(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.text(stats_file(spark, sf), wholetext=True)
+    """The numbers of the written tree at their JSON paths."""
+    text = spark.read.text(stats_file(spark, sf), wholetext=True)
+    at = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(s).alias("stat"), F.lit(d).cast("long").alias("dim"), F.get_json_object("value", f"$.{f}.{s}[{d}]").cast("double").alias("value")) for f in ("alpha", "beta", "gamma") for s in ("max", "mean", "min") for d in (0, 1)])
+    return text.select(F.explode(at).alias("x")).select("x.*")
 
 
-@query(sql("eval_results", "SELECT suite, count(*) AS trials, count(*) FILTER (WHERE success) AS successes FROM eval_results GROUP BY suite"))
+@query(sql("eval_results", """t AS (SELECT suite, task_id, 100.0::double * count(*) FILTER (WHERE success) / count(*) AS rate, avg(psnr) AS psnr, min(file_name) AS file_name, count(*) AS trials, count(*) FILTER (WHERE success) AS successes FROM (SELECT * REPLACE (success AND task_id <> 3 AS success, CASE WHEN task_id <> 4 THEN psnr END AS psnr) FROM eval_results) GROUP BY ALL)
+SELECT 'suite' AS kind, suite, NULL AS task_id, concat(CAST(sum(trials) AS bigint), ' ', CAST(sum(successes) AS bigint)) AS text FROM t GROUP BY suite
+UNION ALL SELECT 'task', suite, task_id, concat(printf('%.2f', rate), ' ', coalesce(printf('%.4f', psnr), 'N/A')) FROM t UNION ALL SELECT 'failed', suite, task_id, '' FROM t WHERE rate = 0 UNION ALL SELECT 'manifest', suite, task_id, file_name FROM t"""))
 def sink_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """All files of a summary, read back as text."""
     root = scratch(spark, "summary")
-    L.write_summaries(suite_summary(eval_results(spark, sf)).select("suite", "trials", "successes"), root)
-    kind = "suite string, trials long, successes long"
-    tsv = spark.read.schema(kind).option("sep", "\t").option("header", True).csv(f"{root}/tsv")
-    return tsv.intersect(spark.read.schema(kind).option("header", True).csv(f"{root}/csv")).intersect(spark.read.schema(kind).json(f"{root}/json"))
+    r = eval_results(spark, sf).withColumns({"success": F.col("success") & (F.col("task_id") != 3), "psnr": F.when(F.col("task_id") != 4, F.col("psnr"))})
+    tasks = r.groupBy("suite", "task_id").agg((100.0 * F.count_if("success") / F.count(F.lit(1))).alias("rate"), F.avg("psnr").alias("psnr"), F.min("file_name").alias("file_name"))
+    L.write_summaries(suite_summary(r).select("suite", "trials", "successes"), tasks, root)
+    read = lambda file, kind, sep=",": spark.read.schema(kind).option("sep", sep).option("header", True).csv(f"{root}/{file}")
+    row = lambda df, kind, text, task="task_id": df.select(F.lit(kind).alias("kind"), "suite", F.expr(task).cast("long").alias("task_id"), text.alias("text"))
+    suites = "suite string, trials long, successes long"
+    both = read("summary.csv", suites).intersect(spark.read.schema(suites).json(f"{root}/summary.json"))
+    out = row(both, "suite", F.concat_ws(" ", "trials", "successes"), "null")
+    out = out.unionByName(row(read("task_success_rates.csv", "suite string, task_id long, rate string, psnr string"), "task", F.concat_ws(" ", "rate", "psnr")))
+    out = out.unionByName(row(read("failed.csv", "suite string, task_id long"), "failed", F.lit("")))
+    return out.unionByName(row(read("manifest.tsv", "suite string, task_id long, file_name string", "\t"), "manifest", F.col("file_name")))
 
 
 @query(sql("catalog", "SELECT dataset, i AS task_index, dataset AS task FROM catalog, LATERAL unnest(range(0, greatest(1, dataset_id % 4))) t(i)"))

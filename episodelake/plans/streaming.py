@@ -12,11 +12,18 @@ from episodelake.registry import query
 from episodelake.streaming import jobs as J
 
 
-@query("""SELECT user_id, event_id, frame_index, round(frame_index / CAST(30 AS double), 6) AS timestamp
-FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index FROM events)""")
+@query("""WITH a AS (SELECT *, event_id % 8 = 0 AS closed FROM events),
+b AS (SELECT *, CAST(sum(closed::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) - closed::int AS bigint) AS episode FROM a),
+c AS (SELECT *, row_number() OVER w - 1 AS frame_index, count(*) OVER e AS n, min(value) OVER e AS lo, max(value) OVER e AS hi, avg(value) OVER e AS m, stddev_pop(value) OVER e AS s FROM b WINDOW w AS (PARTITION BY user_id, episode ORDER BY ts, event_id), e AS (PARTITION BY user_id, episode)),
+t AS (SELECT count(*) FILTER (WHERE closed) AS episodes, CAST(sum(CASE WHEN closed THEN n END) AS bigint) AS frames, count(*) AS rows FROM c)
+SELECT user_id, event_id, episode, frame_index, round(frame_index / CAST(30 AS double), 6) AS timestamp, closed, CASE WHEN closed THEN n END AS length, CASE WHEN closed THEN lo END AS min, CASE WHEN closed THEN hi END AS max,
+round(CASE WHEN closed THEN m END, 6) AS mean, round(CASE WHEN closed THEN s END, 6) AS std, t.episodes, t.frames, concat('0:', t.episodes) AS split, rows - t.frames AS open_frames FROM c, t""")
 def str_episode_recorder(spark: SparkSession, sf: str) -> DataFrame:
-    s = J.events_stream(spark, sf).select("user_id", "event_id", "ts")
-    return J.latest(J.record_episodes(s, "user_id", ["ts", "event_id"], 30.0), "append", []).withColumn("timestamp", F.round("timestamp", 6))
+    """An event whose number is a multiple of eight ends its user's episode."""
+    s = J.events_stream(spark, sf).select("user_id", "event_id", "ts", "value", (F.col("event_id") % 8 == 0).alias("done"))
+    rows = J.latest(J.record_episodes(s, "user_id", ["ts", "event_id"], "done", "value", 30.0), "append", [])
+    rows = rows.withColumns({c: F.round(c, 6) for c in ("timestamp", "mean", "std")})
+    return rows.crossJoin(F.broadcast(J.recorded_totals(rows)))  # one row of totals
 
 
 @query("SELECT task, row_number() OVER (ORDER BY f) - 1 AS task_index FROM (SELECT concat(event_type, '-', user_id % 9) AS task, min(event_id) AS f FROM events GROUP BY 1)")
@@ -40,10 +47,12 @@ def str_ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return J.latest(J.ring_buffer(s, "user_id", "value", ["ts", "event_id"], 4), "append", [])
 
 
-@query()
+@query("""WITH c AS (SELECT user_id, event_id % 3 AS camera, max(ts) AS latest, arg_max(value, ts) AS value FROM events GROUP BY 1, 2),
+f AS (SELECT *, latest >= max(latest) OVER (PARTITION BY user_id) - INTERVAL 2 DAY AS fresh FROM c)
+SELECT user_id, camera, CAST(latest AS varchar) AS latest, value FROM f QUALIFY count(*) FILTER (WHERE fresh) OVER (PARTITION BY user_id) = 3""")
 def str_fresh_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     s = J.events_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
-    return J.fresh_snapshot(s, ["user_id"], F.col("event_id") % 3, "at", "value", "2 days", 3)
+    return J.fresh_snapshot(s, ["user_id"], F.col("event_id") % 3, "at", "value", "2 days", 3).withColumn("latest", F.col("latest").cast("string"))
 
 
 @query(sql("chunks", "SELECT episode_index, target, round(avg(pred), 6) + 0.0 AS action, count(*) AS n FROM chunks GROUP BY ALL"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodelake.functions import udfs as U
 from episodelake.functions.scalars import prompt_key
 from episodelake.lenses import frames, prompts, sql, vectors
+from episodelake.paths import scratch
 from episodelake.plans.projections import r6
 from episodelake.plans.scalars import SIDES, odd_tasks
 from episodelake.registry import query
@@ -23,8 +24,11 @@ def udf_transform_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def udf_batch_embed(spark: SparkSession, sf: str) -> DataFrame:
-    p = prompts(spark, sf).select("task").distinct().select(prompt_key(F.col("task"), 8, "hash").alias("key"), F.col("task").alias("prompt"))
-    return U.embed(p)
+    """All tasks through the cache: those of two sources first, then the rest of all."""
+    p = prompts(spark, sf).select("task", "dataset").distinct().select(prompt_key(F.col("task"), 8, "hash").alias("key"), F.col("task").alias("prompt"), "dataset")
+    cache = scratch(spark, "embeddings")
+    U.embed_missing(p.where("dataset in ('src1', 'src2')"), cache)
+    return U.embed_missing(p, cache)
 
 
 @query()

@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed names of the seven annotation dictionaries.
-ANNOTATIONS = ["subtask", "scene", "gripper_mode", "gripper_activity", "direction", "acceleration", "velocity"]
+from episodelake.operators.checks import keep_episodes
+from episodelake.operators.stats import feature_stats, merge_stats
+from episodelake.operators.windows import episode_offsets, places
+from episodelake.paths import exists, put_text
+
+#: The annotation dictionaries and their files.
+ANNOTATIONS = {
+    "subtask": "annotations/subtask_annotations.jsonl",
+    "scene": "annotations/scene_annotations.jsonl",
+    "gripper_mode": "annotations/gripper_mode_annotation.jsonl",
+    "gripper_activity": "annotations/gripper_activity_annotation.jsonl",
+    "eef_velocity": "annotations/eef_velocity_annotation.jsonl",
+    "eef_acc_mag": "annotations/eef_acc_mag_annotation.jsonl",
+    "eef_direction": "annotations/eef_direction_annotation.jsonl",
+}
+#: Levels of objects and of lists that a statistics tree may have.
+OBJECTS, LISTS = 5, 5
+#: Rows after which a data file is closed.
+ROWS_PER_FILE = 1_000_000
 PRIMITIVES = {"float32": T.FloatType(), "float64": T.DoubleType(), "int64": T.LongType(), "int32": T.IntegerType(), "bool": T.BooleanType(), "string": T.StringType(), "image": T.BinaryType()}
 
 
@@ -34,10 +55,16 @@ def schema_of(features: dict[str, dict]) -> T.StructType:
 # --- readers ---------------------------------------------------------------
 
 
-def read_frames(spark: SparkSession, root: str, features: dict[str, dict]) -> DataFrame:
-    """All frames of a dataset in the declared schema: extra columns are dropped, order is fixed, types are cast."""
+def read_frames(spark: SparkSession, root: str, features: dict[str, dict], episodes: list[int | list[int]] | None = None) -> DataFrame:
+    """All frames of a dataset in the declared schema: extra columns are dropped, order is fixed, types are cast.
+
+    ``episodes`` selects by ints and inclusive [start, end] ranges; the bounds
+    are pushed to the scan, which skips files and row groups without them.
+    """
     want = schema_of(features)
     have = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
+    if episodes is not None:
+        have = keep_episodes(have, episodes)
     return have.select(*[(F.col(f"`{f.name}`") if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields])
 
 
@@ -64,10 +91,21 @@ def read_info(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_stats_json(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, stat, dim, value) of a JSON tree feature -> stat -> numbers."""
-    kind = "map<string, map<string, array<double>>>"
-    tree = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("feature", "stats"))
-    return tree.select("feature", F.explode("stats").alias("stat", "values")).select("feature", "stat", F.posexplode("values").alias("dim", "value"))
+    """(feature, stat, at, dim, value) of a JSON tree of objects and lists of numbers of any depth up to OBJECTS and LISTS.
+
+    The last name on the way is the stat, those before it, joined by '/', the
+    feature; ``at`` has the places in the lists, of which dim is the last.
+    """
+    tree = spark.read.text(path, wholetext=True).select(F.array().cast("array<string>").alias("names"), F.array().cast("array<int>").alias("at"), F.trim("value").alias("v"))
+    for _ in range(OBJECTS):
+        inner = F.when(F.col("v").startswith("{"), F.map_entries(F.from_json("v", "map<string, string>")))
+        e = tree.select("names", "at", "v", F.explode_outer(inner).alias("e"))
+        tree = e.select(F.when(F.col("e").isNull(), F.col("names")).otherwise(F.concat("names", F.array("e.key"))).alias("names"), "at", F.coalesce("e.value", F.when(~F.col("v").startswith("{"), F.col("v"))).alias("v")).where("v is not null")
+    for _ in range(LISTS):
+        e = tree.select("names", "at", "v", F.posexplode_outer(F.when(F.col("v").startswith("["), F.from_json("v", "array<string>"))).alias("i", "e"))
+        tree = e.select("names", F.when(F.col("i").isNull(), F.col("at")).otherwise(F.concat("at", F.array("i"))).alias("at"), F.coalesce("e", F.when(~F.col("v").startswith("["), F.col("v"))).alias("v")).where("v is not null")
+    feature = F.array_join(F.slice("names", 1, F.greatest(F.lit(0), F.size("names") - 1)), "/")
+    return tree.select(feature.alias("feature"), F.element_at("names", -1).alias("stat"), "at", F.try_element_at("at", F.lit(-1)).alias("dim"), F.col("v").try_cast("double").alias("value"))
 
 
 def read_episode_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -77,11 +115,12 @@ def read_episode_stats(spark: SparkSession, path: str) -> DataFrame:
     return df.select("episode_index", "feature", F.explode("s").alias("stat", "values")).select("episode_index", "feature", "stat", F.posexplode("values").alias("dim", "value"))
 
 
-def read_annotations(spark: SparkSession, root: str, kinds: list[str] = ANNOTATIONS) -> DataFrame:
-    """(kind, index, text) of the annotation dictionaries under a root, one folder or file each."""
-    lines = spark.read.text([f"{root}/annotations/{k}.jsonl" for k in kinds]).select(F.regexp_extract(F.col("_metadata.file_path"), r"/annotations/(\w+)\.jsonl", 1).alias("kind"), "value")
-    fields = F.from_json("value", "map<string, string>")
-    made = lines.select("kind", fields.alias("m"))
+def read_annotations(spark: SparkSession, root: str, kinds: list[str] | None = None) -> DataFrame:
+    """(kind, index, text) of the annotation dictionaries under a root, each a file or a folder of that name."""
+    kinds = list(ANNOTATIONS) if kinds is None else kinds
+    kind = F.regexp_extract(F.col("_metadata.file_path"), r"/annotations/(\w+)_annotations?\.jsonl", 1)
+    lines = spark.read.text([f"{root}/{ANNOTATIONS[k]}" for k in kinds]).select(kind.alias("kind"), "value").where("trim(value) <> ''")
+    made = lines.select("kind", F.from_json("value", "map<string, string>").alias("m"))
     return made.select("kind", F.expr("m[concat(kind, '_index')]").cast("long").alias("index"), F.expr("m[kind]").alias("text"))
 
 
@@ -131,53 +170,129 @@ def footprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_frames(frames: DataFrame, root: str, chunk_size: int) -> None:
-    """Frames under data/chunk=N; an episode is in one chunk, chunks are shuffled together so each task writes few files."""
+    """Frames under data/chunk=N; an episode is in one file, a chunk's episodes are dealt to several tasks."""
+    some = F.pmod(F.xxhash64("episode_index"), F.lit(8))
+    rows = frames.withColumn("chunk", F.floor(F.col("episode_index") / chunk_size)).repartition("chunk", some)
+    rows.sortWithinPartitions("chunk", "episode_index", "frame_index").write.mode("append").partitionBy("chunk").parquet(f"{root}/data")
+
+
+def rolled_files(episodes: DataFrame, chunk_size: int, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Adds data/chunk_index and data/file_index: a chunk has chunk_size episodes, a new file begins after rows_per_file rows.
+
+    Episodes stay whole; a window has one chunk's episodes.
+    """
     chunk = F.floor(F.col("episode_index") / chunk_size)
-    frames.withColumn("chunk", chunk).repartition("chunk").sortWithinPartitions("chunk", "episode_index", "frame_index").write.mode("append").partitionBy("chunk").parquet(f"{root}/data")
+    upto = F.sum("length").over(Window.partitionBy("data/chunk_index").orderBy("episode_index").rowsBetween(Window.unboundedPreceding, 0))
+    return episodes.withColumn("data/chunk_index", chunk).withColumn("data/file_index", F.floor((upto - F.col("length")) / rows_per_file))
+
+
+def write_files(frames: DataFrame, root: str, path: str) -> DataFrame:
+    """Writes the frames of each value of the column ``path`` to the parquet file of that name under the root; (path, rows).
+
+    A file's rows are one group, bounded by the layout. A file appears whole
+    under its name or not at all, so a repeated task replaces its own file.
+    """
+
+    def save(key: tuple, table: pa.Table) -> pa.Table:
+        from pyarrow import fs, parquet
+
+        store, top = fs.FileSystem.from_uri(root) if re.match(r"\w+:/", root) else (fs.LocalFileSystem(), root)
+        name = f"{top}/{key[0].as_py()}"
+        folder = name.rsplit("/", 1)[0]
+        store.create_dir(folder)
+        begun = f"{folder}/_{uuid.uuid4().hex}"  # readers skip such names
+        parquet.write_table(table.drop_columns([path]).sort_by([("episode_index", "ascending"), ("frame_index", "ascending")]), begun, filesystem=store)
+        store.move(begun, name)
+        return pa.table({"path": [key[0].as_py()], "rows": [len(table)]})
+
+    return frames.groupBy(path).applyInArrow(save, "path string, rows long")
 
 
-def append_episodes(spark: SparkSession, frames: DataFrame, root: str, chunk_size: int) -> DataFrame:
-    """Appends frames of finished episodes and returns their metadata: episode_index, length, from_index, to_index.
+def append_episodes(spark: SparkSession, frames: DataFrame, root: str, chunk_size: int, features: list[str], cameras: int = 0, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Appends finished episodes to a v3.0 lake and returns the metadata of all.
 
-    New episodes follow the stored ones; the index goes on where it ended.
-    ``frames`` has episode, frame_index and values.
+    ``frames`` has episode, frame_index, the numeric ``features`` and other
+    values. New episodes follow the stored ones in the order of ``episode``; the
+    global index goes on where it ended, new files after the chunk's last one.
+    Episodes' metadata hold their own statistics (stats/FEATURE/STAT);
+    meta/stats.json and the totals, chunks and split of meta/info.json are of
+    all episodes.
     """
-    from episodelake.operators.windows import episode_offsets
-
-    path = f"{root}/meta/episodes"
-    new = frames.groupBy("episode").agg(F.count(F.lit(1)).alias("length"))
-    try:
-        last = read_episodes(spark, root).agg(F.max("episode_index").alias("e"), F.max("to_index").alias("i")).first()
-        base, start = last["e"] + 1, last["i"]
-    except Exception as e:  # noqa: BLE001  the first append: nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        base, start = 0, 0
-    number = F.row_number().over(Window.orderBy("episode")) - 1  # one row per new episode
-    meta = episode_offsets(new.withColumn("episode_index", (number + base).cast("long")))
-    meta = meta.withColumns({"from_index": F.col("from_index") + start, "to_index": F.col("to_index") + start})
-    out = frames.join(meta.select("episode", "episode_index", "from_index"), "episode")
-    write_frames(out.withColumn("index", F.col("from_index") + F.col("frame_index")).drop("from_index", "episode"), root, chunk_size)
-    meta.select("episode_index", "length", "from_index", "to_index").write.mode("append").parquet(path)
+    meta_path = f"{root}/meta/episodes"
+    lengths = frames.groupBy("episode").agg(F.count(F.lit(1)).alias("length"))
+    stored = read_episodes(spark, root) if exists(spark, meta_path) else None
+    last = stored.agg(F.max("episode_index").alias("e"), F.max("dataset_to_index").alias("i")).first() if stored else None
+    base, start = (last["e"] + 1, last["i"]) if last and last["e"] is not None else (0, 0)
+    meta = rolled_files(episode_offsets(places(lengths, ["episode"]).withColumn("episode_index", F.col("place") + base).drop("place")), chunk_size, rows_per_file)
+    if stored:
+        taken = stored.groupBy("data/chunk_index").agg((F.max("data/file_index") + 1).alias("__taken"))
+        meta = meta.join(taken, "data/chunk_index", "left").withColumn("data/file_index", F.col("data/file_index") + F.coalesce("__taken", F.lit(0))).drop("__taken")
+    meta = meta.withColumns({"dataset_from_index": F.col("from_index") + start, "dataset_to_index": F.col("to_index") + start}).drop("from_index", "to_index")
+    path = F.format_string("data/chunk-%03d/file-%03d.parquet", "data/chunk_index", "data/file_index")
+    files = meta.select("episode", "episode_index", "dataset_from_index", path.alias("__path"))
+    rows = frames.join(files, "episode").withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index", "episode")
+    write_files(rows, root, "__path").write.format("noop").mode("overwrite").save()
+
+    names = ["min", "max", "mean", "std", "count"]
+    vectors = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) if frames.schema[f].dataType.typeName() == "array" else F.array(f)).cast("array<double>").alias("v")) for f in features])
+    long = frames.select("episode", F.explode(vectors).alias("x")).select("episode", "x.feature", F.posexplode("x.v").alias("dim", "x"))
+    stats = feature_stats(long, ["episode", "feature", "dim"]).groupBy("episode", "feature").agg(F.sort_array(F.collect_list(F.struct("dim", *names))).alias("s"))
+    per = stats.groupBy("episode").agg(*[F.max(F.when(F.col("feature") == f, F.col(f"s.{n}").cast("array<double>"))).alias(f"stats/{f}/{n}") for f in features for n in names])
+    meta.join(per, "episode").drop("episode").write.mode("append").parquet(meta_path)
+
+    whole = spark.read.option("recursiveFileLookup", True).parquet(meta_path)
+    parts = [whole.select(F.lit(f).alias("feature"), F.posexplode(F.arrays_zip(*[F.col(f"`stats/{f}/{n}`").alias(n) for n in names])).alias("dim", "s")).select("feature", "dim", "s.*") for f in features]
+    merged = merge_stats(reduce(DataFrame.unionByName, parts), ["feature", "dim"])
+    tree = stats_tree(merged.select("feature", "dim", F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).cast("double").alias("value")) for n in names])).alias("s")).select("feature", "dim", "s.*"))
+    put_text(spark, f"{root}/meta/stats.json", tree.first()["value"])
+    t = whole.agg(F.count(F.lit(1)).alias("episodes"), F.sum("length").alias("frames")).first()
+    info_path = f"{root}/meta/info.json"
+    info = json.loads(spark.read.text(info_path, wholetext=True).first()["value"]) if exists(spark, info_path) else {"codebase_version": "v3.0", "chunks_size": chunk_size}
+    n = t["episodes"]
+    totals = {"total_episodes": n, "total_frames": t["frames"], "total_chunks": -(-n // chunk_size), "total_videos": n * cameras, "splits": {"train": f"0:{n}"}}
+    put_text(spark, info_path, json.dumps(info | totals, indent=4))
     return read_episodes(spark, root)
 
 
+def read_totals(spark: SparkSession, root: str) -> DataFrame:
+    """One row of the totals and the split of a dataset's info.json."""
+    kind = "total_episodes long, total_frames long, total_chunks long, total_videos long, splits map<string, string>"
+    i = spark.read.text(f"{root}/meta/info.json", wholetext=True).select(F.from_json("value", kind).alias("i"))
+    return i.select("i.total_episodes", "i.total_frames", "i.total_chunks", "i.total_videos", F.col("i.splits")["train"].alias("split"))
+
+
 def write_tasks(tasks: DataFrame, root: str) -> None:
     tasks.withColumnRenamed("task", "__index_level_0__").write.parquet(f"{root}/meta/tasks.parquet")
 
 
 def stats_tree(long: DataFrame) -> DataFrame:
-    """One row with a JSON tree feature -> stat -> numbers by dimension; statistics are few."""
-    arrays = long.groupBy("feature", "stat").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("v"))
-    features = arrays.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("stat", "v"))).alias("m"))
-    return features.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("feature", "m")))).alias("value"))
-
+    """One row with a JSON tree feature -> stat -> numbers by dimension, or lists of them by step; statistics are few.
 
-def write_summaries(df: DataFrame, path: str) -> None:
-    """The same rows as CSV with a header, JSON lines and a tab-separated manifest."""
-    df.write.option("header", True).csv(f"{path}/csv")
-    df.write.json(f"{path}/json")
-    df.write.option("sep", "\t").option("header", True).csv(f"{path}/tsv")
+    ``long`` has feature, stat, dim, value and optionally step (null for plain lists).
+    """
+    long = long if "step" in long.columns else long.withColumn("step", F.lit(None).cast("int"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    joined = lambda c, left, right: F.concat(F.lit(left), F.array_join(c, ","), F.lit(right))
+    row = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]))
+    rows = long.groupBy("feature", "stat", "step").agg(row.alias("v"))
+    steps = F.transform(F.sort_array(F.collect_list(F.struct("step", "v"))), lambda s: s["v"])
+    arrays = rows.groupBy("feature", "stat").agg(steps.alias("s"), F.max("step").alias("last")).select("feature", "stat", F.when(F.col("last").isNull(), F.col("s")[0]).otherwise(joined("s", "[", "]")).alias("v"))
+    entry = lambda name: F.concat(quoted(name), F.lit(":"), F.col("v"))
+    features = arrays.groupBy("feature").agg(joined(F.sort_array(F.collect_list(entry("stat"))), "{", "}").alias("v"))
+    return features.agg(joined(F.sort_array(F.collect_list(entry("feature"))), "{", "}").alias("value"))
+
+
+def write_summaries(suites: DataFrame, tasks: DataFrame, path: str) -> None:
+    """The suites as CSV with a header and as JSON lines, the tasks' success rates as CSV, tasks without a success as the failed list, and a manifest of the tasks' files.
+
+    ``tasks`` has suite, task_id, rate (percent), psnr and file_name; a missing PSNR is written as N/A.
+    """
+    suites.write.option("header", True).csv(f"{path}/summary.csv")
+    suites.write.json(f"{path}/summary.json")
+    rates = tasks.select("suite", "task_id", F.format_string("%.2f", F.bround("rate", 2)).alias("rate"), F.when(F.col("psnr").isNull(), "N/A").otherwise(F.format_string("%.4f", F.bround("psnr", 4))).alias("psnr"))
+    rates.repartitionByRange("suite", "task_id").sortWithinPartitions("suite", "task_id").write.option("header", True).csv(f"{path}/task_success_rates.csv")
+    tasks.where("rate = 0").select("suite", "task_id").write.option("header", True).csv(f"{path}/failed.csv")
+    tasks.select("suite", "task_id", "file_name").write.option("sep", "\t").option("header", True).csv(f"{path}/manifest.tsv")
 
 
 def chunk_paths(episode: Column, chunk_size: int) -> Column:

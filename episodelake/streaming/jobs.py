@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,26 +34,58 @@ def latest(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A table as a file stream; a glob, since a stream does not take a single file."""
+    """A table as a file stream, 16 files a batch; a glob, since a stream does not take a single file."""
     kind = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(kind).parquet(f"{sf_dir}/{name}*.parquet")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/{name}*.parquet")
 
 
-def record_episodes(stream: DataFrame, key: str, order: list[str], fps: float) -> DataFrame:
-    """Frames numbered per episode as they come: key, event_id, frame_index, timestamp. State is one counter per episode.
+def record_episodes(stream: DataFrame, key: str, order: list[str], done: str, value: str, fps: float) -> DataFrame:
+    """Frames numbered in episodes as they come; the frame that is ``done`` closes its key's episode and the next one opens another.
 
-    Rows of one batch are put in order first; a late row takes the next number.
+    Columns: key, event_id, episode (0.. of the key), frame_index, timestamp,
+    closed, and on the closing frame length, min, max, mean and std (population)
+    of the episode's values. State is the open episode's number, count and
+    moments, whatever its length. Rows of one batch are put in order first; a
+    late row takes the next number.
     """
+    names = [key, "event_id", "episode", "frame_index", "timestamp", "closed", "length", "min", "max", "mean", "std"]
 
-    def number(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        at = state.get[0] if state.exists else 0
+    def record(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        first, at, lo, hi, mean, squares = state.get if state.exists else (0, 0, np.inf, -np.inf, 0.0, 0.0)
         rows = pd.concat(list(batches)).sort_values(order)
-        rows["frame_index"] = range(at, at + len(rows))
-        state.update((at + len(rows),))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "frame_index": rows["frame_index"], "timestamp": rows["frame_index"] / fps})
-
-    kind = f"{key} long, event_id long, frame_index long, timestamp double"
-    return stream.groupBy(key).applyInPandasWithState(number, kind, "at long", "append", "NoTimeout")
+        ends, x = rows[done].to_numpy(bool), rows[value].to_numpy(float)
+        local = np.cumsum(ends) - ends  # the episode of each row, counted from the open one
+        n_local = int(local[-1]) + 1
+        counts = np.bincount(local, minlength=n_local)
+        begun = np.where(np.arange(n_local) == 0, at, 0)
+        frame = np.arange(len(x)) - (np.cumsum(counts) - counts)[local] + begun[local]
+        # this batch's moments, then the open episode's joined to the first
+        means = np.bincount(local, x, n_local) / counts
+        spread = np.bincount(local, (x - means[local]) ** 2, n_local)
+        least, most = np.full(n_local, np.inf), np.full(n_local, -np.inf)
+        np.minimum.at(least, local, x)
+        np.maximum.at(most, local, x)
+        total = counts + begun
+        shift = means[0] - mean
+        spread[0] += squares + shift * shift * at * counts[0] / total[0]
+        means[0] = mean + shift * counts[0] / total[0]
+        least[0], most[0] = min(least[0], lo), max(most[0], hi)
+        rest = (first + n_local, 0, np.inf, -np.inf, 0.0, 0.0) if ends[-1] else (first + n_local - 1, int(total[-1]), least[-1], most[-1], means[-1], spread[-1])
+        state.update(tuple(float(v) if isinstance(v, np.floating) else int(v) if isinstance(v, np.integer) else v for v in rest))
+        out = pd.DataFrame({key: k[0], "event_id": rows["event_id"].to_numpy(), "episode": first + local, "frame_index": frame, "timestamp": frame / fps, "closed": ends})
+        stats = {"length": total.astype(float), "min": least, "max": most, "mean": means, "std": np.sqrt(spread / total)}
+        for name, values in stats.items():
+            out[name] = np.where(ends, values[local], np.nan)
+        yield out[names].astype({"length": "Int64"})
+
+    kind = f"{key} long, event_id long, episode long, frame_index long, timestamp double, closed boolean, length long, min double, max double, mean double, std double"
+    return stream.groupBy(key).applyInPandasWithState(record, kind, "episode long, at long, lo double, hi double, mean double, squares double", "append", "NoTimeout")
+
+
+def recorded_totals(rows: DataFrame) -> DataFrame:
+    """One row of what was recorded: episodes and frames that are closed, the split string, and frames of open episodes."""
+    t = rows.agg(F.count_if("closed").alias("episodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("frames"), F.count(F.lit(1)).alias("n"))
+    return t.select("episodes", "frames", F.concat(F.lit("0:"), F.col("episodes").cast("string")).alias("split"), (F.col("n") - F.col("frames")).alias("open_frames"))
 
 
 def task_dictionary(stream: DataFrame, text: str, order: str) -> DataFrame:
@@ -81,14 +114,12 @@ def ring_buffer(stream: DataFrame, key: str, value: str, order: list[str], n: in
     """The last n values of each key after each row, filled up with the first: key, event_id, pos, x."""
 
     def push(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for event, x in zip(rows["event_id"], rows[value], strict=True):
-            held = (held or [x] * n)[1:] + [x]
-            out += [(k[0], event, i, v) for i, v in enumerate(held)]
-        state.update((held,))
-        yield pd.DataFrame(out, columns=[key, "event_id", "pos", "x"])
+        x = rows[value].to_numpy(float)
+        held = np.array(state.get[0], float) if state.exists else np.full(n, x[0])
+        windows = np.lib.stride_tricks.sliding_window_view(np.r_[held, x], n)[1:]
+        state.update((windows[-1].tolist(),))
+        yield pd.DataFrame({key: k[0], "event_id": np.repeat(rows["event_id"].to_numpy(), n), "pos": np.tile(np.arange(n), len(x)), "x": windows.reshape(-1)})
 
     return stream.groupBy(key).applyInPandasWithState(push, f"{key} long, event_id long, pos long, x double", "held array<double>", "append", "NoTimeout")
 

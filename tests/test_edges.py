@@ -129,9 +129,13 @@ def test_relative_pose_round_trip():
 
 
 def test_convert_pose_column(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0, 1.0, 0.0, 0.0, 0.0, 9.0],)], "p array<double>")
-    got = df.select(R.convert_pose(F.col("p"), "quaternion", "euler_xyz").alias("p")).first().p
-    assert got == pytest.approx([1, 2, 3, 0, 0, 0, 9])
+    """In poses the real part of a quaternion stands last."""
+    half = math.sqrt(0.5)
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 1.0, 9.0],), ([1.0, 2.0, 3.0, half, 0.0, 0.0, half, 9.0],)], "p array<double>")
+    got = [r.p for r in df.select(R.convert_pose(F.col("p"), "quaternion", "euler_xyz").alias("p")).collect()]
+    assert got[0] == pytest.approx([1, 2, 3, 0, 0, 0, 9]) and got[1] == pytest.approx([1, 2, 3, math.pi / 2, 0, 0, 9])
+    nine = [r.p for r in df.select(R.convert_pose(F.col("p"), *R.named_conversion("rotation_9d")).alias("p")).collect()]
+    assert nine[1] == pytest.approx([1, 2, 3, 1, 0, 0, 0, 0, 1, 0, -1, 0, 9], abs=1e-12)  # a quarter turn about x, by columns
 
 
 def test_discover_prefers_own_then_list_then_children(spark, tmp_path):
