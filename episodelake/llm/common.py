@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodelake.paths import scratch
+
 #: ASCII bytes that end a word: all but digits, letters and what is above 0x7F.
 WORD_BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,12 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names the folder in ``spark.checkpoint.dir``; where that is
     unset (tests, one machine) a temporary folder of this machine serves.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.gettempdir()
-    return f"{top.rstrip('/')}/episodelake-{uuid.uuid4().hex}"
+    return scratch(spark, "corpus")
 
 
 def written(df: DataFrame) -> DataFrame:
