@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding in numpy, words of equal length together.
 
-Unigram models are encoded by a batched Viterbi search: substring hashes probe
-the sorted piece keys, and vectorised maxima store the backpointers. Models of
-type BPE define their result by merges in score order, which the best path by
-score does not reproduce, so these run batched merges over the same hashes and
-keys; their ids equal the library's.
+Words are encoded by a batched Viterbi search: substring hashes probe the
+sorted piece keys, and vectorised maxima store the backpointers. Models of type
+BPE define their result by merges in score order, which the best path by score
+is not. But a sequence of pieces is the result of the merges exactly if every
+two neighbours are what their own text merges to (``Transitions``), so the search
+over pieces with that rule for neighbours has one path, and it is the library's.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ UNIGRAM, BPE = 1, 2
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Longer words are merged one at a time with a heap; the batch matrices stay narrow.
-WIDE = 256
+#: Longer words are searched in windows of so many characters that share OVERLAP.
+WIDE, OVERLAP = 256, 64
+#: Pairs of pieces whose rule a worker keeps; the table starts anew when it is full.
+KEPT_PAIRS = 2_000_000
 BATCH_BYTES, KEPT_WORDS = 4 << 20, 300_000
 #: What a character costs that no piece holds, beyond the lowest score (as for unigram models in general).
 UNKNOWN_COST = 10.0
@@ -76,6 +79,7 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.by_text = {p: (s, i) for i, p, s in usable}
+        self.rules = Transitions(self, [usable[i][1] for i in order]) if kind == BPE else None
         out = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, _, k in pieces]
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.out_ends = np.cumsum([0, *map(len, out)])
@@ -126,22 +130,119 @@ class Prefixes:
         return mix(self.h[rows, end] - self.h[rows, start] * self.up[n] + n.astype(np.uint64))
 
 
+class Transitions:
+    """Which pieces may stand next to each other in the result of a BPE model.
+
+    Each piece comes from two smaller ones by its own last merge. Between two
+    neighbours a merge over their border is taken if both symbols at the border
+    are there when its turn comes: after they were made, and before their own
+    pieces take them in (at the same turn the left one goes first). The symbols
+    at the border are the right ends of the first and the left ends of the second.
+    """
+
+    def __init__(self, model: Model, pieces: list[str]) -> None:
+        """``pieces`` are the texts behind the model's sorted keys."""
+        self.model, n = model, len(pieces)
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        # pieces of one score have one turn, at which the leftmost goes first, like copies of one piece
+        self.rank = np.where(self.size > 1, np.unique(-model.scores, return_inverse=True)[1], -1)
+        self.raw = np.zeros(n, np.uint64)
+        self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(1, model.longest), STEP, np.uint64)])
+        self.left, self.right, self.whole = np.full(n, -1), np.full(n, -1), self.size == 1
+        for length in np.unique(self.size):
+            mine = np.flatnonzero(self.size == length)
+            p = Prefixes([pieces[i] for i in mine])
+            self.raw[mine] = p.h[:, length]
+            if length > 1:
+                last = np.zeros(len(mine), np.int64)
+                cuts = merges(model, [pieces[i] for i in mine], last)
+                made = cuts.sum(axis=1) == 1
+                rows = np.flatnonzero(made)
+                for side, start, end in ((self.left, np.zeros(len(rows), np.int64), last[rows]), (self.right, last[rows], np.full(len(rows), length))):
+                    at, there = model.find(p.keys(rows, start, end))
+                    side[mine[rows]] = np.where(there, at, -1)
+                self.whole[mine] = made
+        many = self.whole & (self.size > 1)
+        parts = [side[many] for side in (self.left, self.right)]
+        # the rule needs parts that are pieces and are made before the whole; texts that hold other pieces are merged
+        odd = np.flatnonzero(many)[np.logical_or.reduce([(x < 0) | (self.rank[x] >= self.rank[many]) for x in parts])]
+        shortest: list[str] = []
+        for text in sorted((pieces[i] for i in odd), key=len):
+            if not any(t in text for t in shortest):
+                shortest.append(text)
+        self.odd = re.compile("|".join(map(re.escape, shortest))) if shortest else None
+        self.known, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def allowed(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether each two pieces (places among the sorted keys) may be neighbours."""
+        code, which = np.unique(first * len(self.size) + second, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, code), max(0, len(self.known) - 1))
+        have = self.known[at] == code if len(self.known) else np.zeros(len(code), bool)
+        out = np.ones(len(code), bool)
+        out[have] = self.answers[at[have]]
+        new = np.flatnonzero(~have)
+        if len(new):
+            out[new] = self.compute(*np.divmod(code[new], len(self.size)))
+            if len(self.known) + len(new) > KEPT_PAIRS:
+                self.known, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
+            both = np.r_[self.known, code[new]]
+            order = np.argsort(both, kind="stable")
+            self.known, self.answers = both[order], np.r_[self.answers, out[new]][order]
+        return out[which]
+
+    def compute(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        never = len(self.size)
+        ok = np.ones(len(first), bool)
+        rows, left, taken_left = np.arange(len(first)), first, np.full(len(first), never)
+        while len(rows):
+            inner, right, taken_right = np.arange(len(rows)), second[rows], np.full(len(rows), never)
+            while len(inner):
+                a = left[inner]
+                size = self.size[a] + self.size[right]
+                fits = size <= self.model.longest
+                key = mix(self.raw[a] * self.up[np.where(fits, self.size[right], 0)] + self.raw[right] + size.astype(np.uint64))
+                at, there = self.model.find(key)
+                turn = np.maximum(np.maximum(self.rank[at], self.rank[a]), self.rank[right])
+                ok[rows[inner[there & fits & (turn < taken_left[inner]) & (turn <= taken_right)]]] = False
+                taken_right, right = self.rank[right], self.left[right]
+                more = right >= 0
+                inner, right, taken_right = inner[more], right[more], taken_right[more]
+            taken_left, left = self.rank[left], self.right[left]
+            more = (left >= 0) & ok[rows]
+            rows, left, taken_left = rows[more], left[more], taken_left[more]
+        return ok
+
+
 def viterbi(model: Model, words: list[str]) -> np.ndarray:
     """Cuts of the best path of each word: a matrix that is true where a piece starts.
 
     All words have one length. Over the end positions, each piece length is
-    probed for all words at once; of equal scores the longer piece stays.
+    probed for all words at once; of equal scores the longer piece stays. In
+    BPE models a piece also has to be allowed after the one before it.
     """
     p, count, n = Prefixes(words), len(words), len(words[0])
-    rows = np.arange(count)
+    rows, rules = np.arange(count), model.rules
     best, back = np.full((count, n + 1), -np.inf), np.zeros((count, n + 1), np.int64)
+    last = np.full((count, n + 1), -1)  # the piece that ends there, -1 for a character that is none
     best[:, 0] = 0
     for end in range(1, n + 1):
-        for size in range(min(end, model.longest), 0, -1):
-            at, there = model.find(p.keys(rows, np.full(count, end - size), np.full(count, end)))
-            score = np.where(there, model.scores[at], model.lowest - UNKNOWN_COST if size == 1 else -np.inf) + best[:, end - size]
+        sizes = range(min(end, model.longest), 0, -1)
+        found = [model.find(p.keys(rows, np.full(count, end - size), np.full(count, end))) for size in sizes]
+        piece = found[-1][1] if rules else np.zeros(count, bool)
+        if rules:
+            # all candidates of this end are asked about together
+            fine = [there & rules.whole[at] for at, there in found]
+            ask = [np.flatnonzero(f & (last[:, end - size] >= 0) & (best[:, end - size] > -np.inf)) if end > size else rows[:0] for f, size in zip(fine, sizes, strict=True)]
+            answers = rules.allowed(np.concatenate([last[r, end - size] for r, size in zip(ask, sizes, strict=True)]), np.concatenate([at[r] for r, (at, _) in zip(ask, found, strict=True)]))
+            for f, r, a in zip(fine, ask, np.split(answers, np.cumsum([len(r) for r in ask])[:-1]), strict=True):
+                f[r] &= a
+            found = [(at, f) for (at, _), f in zip(found, fine, strict=True)]
+        for size, (at, there) in zip(sizes, found, strict=True):
+            # a character that is no piece stands alone; one that is a piece but not allowed here does not
+            other = np.where(piece, -np.inf, model.lowest - UNKNOWN_COST) if size == 1 else -np.inf
+            score = np.where(there, model.scores[at], other) + best[:, end - size]
             better = score > best[:, end]
-            best[better, end], back[better, end] = score[better], end - size
+            best[better, end], back[better, end], last[better, end] = score[better], end - size, np.where(there, at, -1)[better]
     cuts, at = np.zeros((count, n + 1), bool), np.full(count, n)
     while (at > 0).any():
         at = np.where(at > 0, back[rows, at], 0)
@@ -149,8 +250,55 @@ def viterbi(model: Model, words: list[str]) -> np.ndarray:
     return cuts[:, :n]
 
 
-def merges(model: Model, words: list[str]) -> np.ndarray:
-    """Cuts of each word after merging in score order, the leftmost of equals first; words have one length."""
+def search_long(model: Model, words: list[str]) -> list[np.ndarray]:
+    """Starts of the pieces of words longer than WIDE in a BPE model.
+
+    Windows that overlap are searched together. Two of them join at a cut that
+    both have and over which their pieces are allowed: then all neighbours are,
+    and the whole is the result. Words whose windows do not join, such as long
+    runs of one character, are merged with a heap.
+    """
+    step = WIDE - OVERLAP
+    windows = [(i, a, w[a : a + WIDE]) for i, w in enumerate(words) for a in range(0, max(1, len(w) - OVERLAP), step)]
+    cuts: dict[tuple[int, int], np.ndarray] = {}
+    by_length: dict[int, list[int]] = {}
+    for k, (_, _, text) in enumerate(windows):
+        by_length.setdefault(len(text), []).append(k)
+    for n, group in by_length.items():
+        for a in range(0, len(group), max(1, (1 << 19) // n)):
+            part = group[a : a + max(1, (1 << 19) // n)]
+            for k, row in zip(part, viterbi(model, [windows[k][2] for k in part]), strict=True):
+                cuts[windows[k][0], windows[k][1]] = np.flatnonzero(row) + windows[k][1]
+    out = []
+    for i, w in enumerate(words):
+        starts: np.ndarray | None = cuts[i, 0]
+        for a in range(step, max(1, len(w) - OVERLAP), step):
+            mine = cuts[i, a]
+            # cuts that both have, away from the first window's end, where its path may still be open
+            joint = np.intersect1d(starts[starts < a + OVERLAP], mine[mine > a])
+            at = next((int(x) for x in joint if joins(model, w, starts, mine, int(x))), None)
+            if at is None:
+                starts = None
+                break
+            starts = np.r_[starts[starts < at], mine[mine >= at]]
+        out.append(np.array(merge_long(model, w)) if starts is None else starts)
+    return out
+
+
+def joins(model: Model, word: str, before: np.ndarray, after: np.ndarray, at: int) -> bool:
+    """Whether the piece that ends at a cut in one path may stand before the piece that begins there in another."""
+    k, j = int(np.searchsorted(before, at)), int(np.searchsorted(after, at))
+    end = int(after[j + 1]) if j + 1 < len(after) else len(word)
+    keys = np.array([string_key(word[before[k - 1] : at]), string_key(word[at:end])], np.uint64)
+    places, there = model.find(keys)
+    return not there.all() or bool(model.rules.allowed(places[:1], places[1:])[0])
+
+
+def merges(model: Model, words: list[str], last: np.ndarray | None = None) -> np.ndarray:
+    """Cuts of each word after merging in score order, the leftmost of equals first; words have one length.
+
+    ``last`` takes where the two symbols met of which a whole word was made.
+    """
     p, count, n = Prefixes(words), len(words), len(words[0])
     bounds = np.tile(np.arange(n + 2), (count, 1))  # starts of the symbols, then n
     bounds[:, n + 1] = n
@@ -168,6 +316,8 @@ def merges(model: Model, words: list[str]) -> np.ndarray:
     columns = np.arange(n + 2)
     while len(live):
         k = score[live].argmax(axis=1)
+        if last is not None:
+            last[live] = np.where(bounds[live, 2] == n, bounds[live, 1], last[live])
         # symbol k takes in symbol k+1: what stands right of the gap moves left
         take = np.minimum(columns + (columns > k[:, None]), n + 1)
         bounds[live] = np.take_along_axis(bounds[live], take, axis=1)
@@ -208,24 +358,25 @@ def merge_long(model: Model, word: str) -> list[int]:
 def encode_words(model: Model, words: list[str]) -> list[bytes]:
     """int32 ids of each word, as bytes; spaces are already piece spaces."""
     out: list[bytes] = [b""] * len(words)
-    by_length: dict[int, list[int]] = {}
+    by_length: dict[tuple[int, bool], list[int]] = {}
+    odd = model.rules.odd if model.rules else None
     for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for n, group in by_length.items():
+        by_length.setdefault((len(w), odd is not None and odd.search(w) is not None), []).append(i)
+    for (n, merged), group in by_length.items():
         step = len(group) if n == 0 else max(1, (1 << 19) // n)
         for a in range(0, len(group), step):
             part = group[a : a + step]
             texts = [words[i] for i in part]
             if n == 0:
                 continue
-            if model.kind == UNIGRAM:
+            if model.kind == UNIGRAM or (not merged and n <= WIDE):
                 cuts = viterbi(model, texts)
             elif n <= WIDE:
                 cuts = merges(model, texts)
             else:
                 cuts = np.zeros((len(part), n), bool)
-                for r, t in enumerate(texts):
-                    cuts[r, merge_long(model, t)] = True
+                for r, starts in enumerate([merge_long(model, t) for t in texts] if merged else search_long(model, texts)):
+                    cuts[r, starts] = True
             rows, start = np.nonzero(cuts)
             end = np.r_[start[1:], 0]
             end[np.r_[rows[1:] != rows[:-1], True]] = n

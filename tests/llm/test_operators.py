@@ -176,6 +176,55 @@ def test_sentencepiece_equals_library(docs):
             assert r.round_trip == ("▁" not in (text[r.doc_id] or "")) and r.n_tokens == len(r.ids)
 
 
+def test_sentencepiece_equals_library_on_documents(spark):
+    import duckdb
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(3)
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    texts += ["".join(rng.choice("abetheiniongs é日本\U0001F600▁\x00'_.,0123456789") for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (255, 256, 257, 449, 3000)] + ["a" * 2000, "ab" * 900, "-" * 300 + "the" * 200, "日本語" * 300, "   x    y  ", " " * 40]
+    c = sentencepiece_codec.codec(path)
+    ids, ends = c.encode([t or "" for t in texts])
+    assert all(ids[a:b].tolist() == library.encode(t or "", num_threads=1) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True))
+    assert not any(c.model.rules.odd.search(w) for w in c.known if "   " not in w)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_paths_of_allowed_neighbours_are_merges(seed):
+    """On made-up vocabularies, with scores that tie; the plain twin takes the best and leftmost pair again and again."""
+    rng = random.Random(seed)
+    letters = "abc▁"
+    made = list(letters)
+    while len(made) < 40:
+        x = rng.choice(made) + rng.choice(made)
+        if x not in made and len(x) <= 7:
+            made.append(x)
+    scores = {p: -float(i if seed % 2 else i // 2) for i, p in enumerate(made)}
+    pieces = [("<unk>", 0.0, 2), *((p, scores[p], 1) for p in made)]
+    m = sentencepiece_codec.Model(pieces, sentencepiece_codec.BPE)
+
+    def merged(w):
+        parts = list(w)
+        while True:
+            pairs = [(-scores[a + b], k) for k, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in scores]
+            if not pairs:
+                return parts
+            k = min(pairs)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    for n in (1, 2, 5, 9, 14):
+        words_ = ["".join(rng.choice(letters + "z") for _ in range(n)) for _ in range(150)]
+        got = sentencepiece_codec.encode_words(m, words_)
+        index = {p: i for i, (p, _, _) in enumerate(pieces)}
+        for w, raw in zip(words_, got, strict=True):
+            assert np.frombuffer(raw, np.int32).tolist() == [index.get(x, 0) for x in merged(w)], w
+    long = ["".join(rng.choice(letters) for _ in range(n)) for n in (300, 700)]
+    for w, starts in zip(long, sentencepiece_codec.search_long(m, long) if not (m.rules.odd and any(map(m.rules.odd.search, long))) else [None, None], strict=True):
+        assert starts is None or [w[a:b] for a, b in zip(starts, [*starts[1:], len(w)], strict=True)] == merged(w)
+
+
 def test_viterbi_is_the_best_path():
     pieces = [("<unk>", 0.0, 2), *((c, -5.0, 1) for c in "abc"), ("ab", -3.0, 1), ("bc", -2.5, 1), ("abc", -6.0, 1), ("ca", -4.0, 1), ("▁", -1.0, 1)]
     m = sentencepiece_codec.Model(pieces, sentencepiece_codec.UNIGRAM)
