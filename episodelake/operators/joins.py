@@ -48,15 +48,17 @@ def nearest_time(queries: DataFrame, frames: DataFrame, keys: list[str], at: str
     """Each query with the frame time nearest to it, if strictly nearer than the tolerance; the earlier one of equals.
 
     Times are cut into blocks of one tolerance; a query asks its own block and
-    the two beside it, so it is an equi-join and skew stays within a block.
-    ``queries`` has a unique column qid.
+    the two beside it, so it is an equi-join and skew stays within a block. The
+    queries' columns go along, so nothing is joined back. ``queries`` has a
+    unique column qid.
     """
     block = lambda c: F.floor(F.col(c) / tolerance)
     asked = queries.withColumn("__b", F.explode(F.array(*[block(at) + d for d in (-1, 0, 1)])))
     held = frames.select(*keys, F.col(ts).alias("__ts"), block(ts).alias("__b"))
-    found = asked.join(held, [*keys, "__b"]).withColumn("__d", F.abs(F.col("__ts") - F.col(at))).where(F.col("__d") < tolerance)
-    best = found.groupBy("qid").agg(F.min(F.struct("__d", "__ts")).alias("m"))
-    return queries.join(best.select("qid", F.col("m.__ts").alias("nearest"), F.col("m.__d").alias("distance")), "qid", "left")
+    found = asked.join(held, [*keys, "__b"], "left").withColumn("__d", F.abs(F.col("__ts") - F.col(at)))
+    rest = [c for c in queries.columns if c != "qid"]
+    near = F.min(F.when(F.col("__d") < tolerance, F.struct("__d", "__ts"))).alias("m")
+    return found.groupBy("qid").agg(*[F.first(c).alias(c) for c in rest], near).select("qid", *rest, F.col("m.__ts").alias("nearest"), F.col("m.__d").alias("distance"))
 
 
 def frame_of_time(ts: Column, fps: Column | float) -> Column:

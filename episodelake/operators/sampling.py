@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of the hash space that one task ranks.
+ROWS_PER_BLOCK = 250_000
+
+
 def hash_order(*cols: Column) -> Column:
     return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
 
@@ -38,14 +42,16 @@ def sequential(df: DataFrame, index: str, start: int, stride: int, most: int) ->
     return df.where((at >= start) & ((at - start) % stride == 0) & (at < start + stride * most))
 
 
-def epoch_positions(df: DataFrame, index: str, seed: int, epoch: int, blocks: int = 64) -> DataFrame:
+def epoch_positions(df: DataFrame, index: str, seed: int, epoch: int, blocks: int | None = None) -> DataFrame:
     """Adds position: the row's place in the epoch's permutation.
 
     The order is by hash. Rows are ranked inside blocks of the hash space, and
-    the blocks' sizes (``blocks`` rows) give their offsets, so no task sorts all rows.
+    the blocks' sizes (``blocks`` rows, one for each ROWS_PER_BLOCK by default)
+    give their offsets, so no task sorts all rows.
     """
+    blocks = max(8, min(200_000, df.count() // ROWS_PER_BLOCK)) if blocks is None else blocks
     h = hash_order(F.lit(seed), F.lit(epoch), F.col(index))
-    rows = df.withColumn("__h", h).withColumn("__b", (F.conv(F.substring("__h", 1, 4), 16, 10).cast("long") * blocks / 65536).cast("int"))
+    rows = df.withColumn("__h", h).withColumn("__b", (F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * blocks / 4294967296).cast("int"))
     sizes = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", index)) - 1

@@ -9,6 +9,7 @@ from episodelake.lenses import catalog, dataset_features, eval_results, frames,
 from episodelake.operators import sampling as P
 from episodelake.operators import sets as U
 from episodelake.plans.windows import episodes
+from episodelake.operators.windows import places
 from episodelake.registry import query
 
 
@@ -48,11 +49,8 @@ c AS (SELECT d.pos, a, CAST(concat('0x', substr(md5(concat('5:', d.pos, ':', a))
 b AS (SELECT c.pos, arg_min(c.cand, CASE WHEN NOT x.padded THEN a ELSE 6 - a END) AS chosen FROM c JOIN d x ON x.pos = c.cand GROUP BY c.pos)
 SELECT d.pos, d.padded, coalesce(b.chosen, d.pos) AS chosen FROM d LEFT JOIN b USING (pos)""")
 def smp_replace_padded(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    at = P.epoch_positions(e.select("event_id"), "event_id", 1, 1).drop("position")
-    low = e.agg(F.min("event_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    # event ids count up without gaps, so they give the positions
-    d = e.join(at, "event_id", "left_semi").crossJoin(F.broadcast(low)).select((F.col("event_id") - F.col("low")).alias("pos"), (F.col("value") > 100).alias("padded"), "n")
+    e = places(table(spark, sf, "events").select("event_id", (F.col("value") > 100).alias("padded")), ["event_id"]).withColumnRenamed("place", "pos")
+    d = e.select("pos", "padded").crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))))  # one row
     return P.replace_padded(d, "pos", "padded", F.col("n"), 5).select("pos", "padded", "chosen")
 
 
