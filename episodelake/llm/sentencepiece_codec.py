@@ -30,8 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Longer words are searched in windows of so many characters that share OVERLAP.
 WIDE, OVERLAP = 256, 64
-#: Pairs of pieces whose rule a worker keeps; the table starts anew when it is full.
-KEPT_PAIRS = 2_000_000
+#: A worker keeps the rules of 2 to so many pairs of pieces.
+SLOT_BITS = 21
 BATCH_BYTES, KEPT_WORDS = 4 << 20, 300_000
 #: What a character costs that no piece holds, beyond the lowest score (as for unigram models in general).
 UNKNOWN_COST = 10.0
@@ -79,7 +79,20 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.by_text = {p: (s, i) for i, p, s in usable}
-        self.rules = Transitions(self, [usable[i][1] for i in order]) if kind == BPE else None
+        texts = [usable[i][1] for i in order]
+        self.rules = Transitions(self, texts) if kind == BPE else None
+        # the keys of all beginnings of pieces, and which of them are pieces that a word can have
+        places = {t: i for i, t in enumerate(texts) if not self.rules or self.rules.whole[i]}
+        beginnings = sorted({t[:n] for t in places for n in range(1, len(t) + 1)}, key=len)
+        keys = np.zeros(len(beginnings), np.uint64)
+        ends = np.searchsorted([len(t) for t in beginnings], np.arange(1, self.longest + 2))
+        for n, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True), 1):
+            if a < b:
+                keys[a:b] = Prefixes(beginnings[a:b]).between(np.arange(b - a), 0, n)
+        order = np.argsort(keys)
+        self.beginnings, self.beginning_place = keys[order], np.array([places.get(t, -1) for t in beginnings], np.int64)[order]
+        if len(keys) and (np.diff(self.beginnings) == 0).any():
+            raise ValueError("two beginnings of pieces share a key")
         out = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, _, k in pieces]
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.out_ends = np.cumsum([0, *map(len, out)])
@@ -101,6 +114,11 @@ class Model:
             raise ValueError("this model normalizes its input; only identity models are supported")
         return cls(pieces, kind, bool(normal.get(3, 1)))
 
+    def find_beginning(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the sorted beginnings of pieces, whether it is there)."""
+        at = np.minimum(np.searchsorted(self.beginnings, keys), max(0, len(self.beginnings) - 1))
+        return at, (self.beginnings[at] == keys) if len(self.beginnings) else np.zeros(keys.shape, bool)
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the sorted keys, whether it is there)."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
@@ -129,6 +147,10 @@ class Prefixes:
         n = end - start
         return mix(self.h[rows, end] - self.h[rows, start] * self.up[n] + n.astype(np.uint64))
 
+    def between(self, rows: np.ndarray, start: int, end: int) -> np.ndarray:
+        """The keys of one place of some words."""
+        return mix(self.h[rows, end] - self.h[rows, start] * self.up[end - start] + np.uint64(end - start))
+
 
 class Transitions:
     """Which pieces may stand next to each other in the result of a BPE model.
@@ -171,24 +193,23 @@ class Transitions:
             if not any(t in text for t in shortest):
                 shortest.append(text)
         self.odd = re.compile("|".join(map(re.escape, shortest))) if shortest else None
-        self.known, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known, self.answers = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
 
     def allowed(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Whether each two pieces (places among the sorted keys) may be neighbours."""
-        code, which = np.unique(first * len(self.size) + second, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, code), max(0, len(self.known) - 1))
-        have = self.known[at] == code if len(self.known) else np.zeros(len(code), bool)
-        out = np.ones(len(code), bool)
-        out[have] = self.answers[at[have]]
-        new = np.flatnonzero(~have)
-        if len(new):
-            out[new] = self.compute(*np.divmod(code[new], len(self.size)))
-            if len(self.known) + len(new) > KEPT_PAIRS:
-                self.known, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
-            both = np.r_[self.known, code[new]]
-            order = np.argsort(both, kind="stable")
-            self.known, self.answers = both[order], np.r_[self.answers, out[new]][order]
-        return out[which]
+        """Whether each two pieces (places among the sorted keys) may be neighbours.
+
+        Answers are kept at a place given by a hash of the pair, the latest of those that share it.
+        """
+        code = first * len(self.size) + second
+        slot = (mix(code.astype(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = self.answers[slot]
+        missing = np.flatnonzero(self.known[slot] != code)
+        if len(missing):
+            new, which = np.unique(code[missing], return_inverse=True)
+            out[missing] = self.compute(*np.divmod(new, len(self.size)))[which]
+            self.known[slot[missing]], self.answers[slot[missing]] = code[missing], out[missing]
+            # of two new pairs at one place the last one stays, with its own answer
+        return out
 
     def compute(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         never = len(self.size)
@@ -216,34 +237,49 @@ class Transitions:
 def viterbi(model: Model, words: list[str]) -> np.ndarray:
     """Cuts of the best path of each word: a matrix that is true where a piece starts.
 
-    All words have one length. Over the end positions, each piece length is
-    probed for all words at once; of equal scores the longer piece stays. In
-    BPE models a piece also has to be allowed after the one before it.
+    All words have one length. From each start the pieces of all words grow
+    together, a character at a time, as long as the keys of some piece's
+    beginning hold theirs; the maxima at their ends keep the backpointers. Of
+    equal scores the longer piece stays. In BPE models a piece also has to be
+    allowed after the one before it.
     """
     p, count, n = Prefixes(words), len(words), len(words[0])
-    rows, rules = np.arange(count), model.rules
+    rules = model.rules
     best, back = np.full((count, n + 1), -np.inf), np.zeros((count, n + 1), np.int64)
     last = np.full((count, n + 1), -1)  # the piece that ends there, -1 for a character that is none
     best[:, 0] = 0
-    for end in range(1, n + 1):
-        sizes = range(min(end, model.longest), 0, -1)
-        found = [model.find(p.keys(rows, np.full(count, end - size), np.full(count, end))) for size in sizes]
-        piece = found[-1][1] if rules else np.zeros(count, bool)
-        if rules:
-            # all candidates of this end are asked about together
-            fine = [there & rules.whole[at] for at, there in found]
-            ask = [np.flatnonzero(f & (last[:, end - size] >= 0) & (best[:, end - size] > -np.inf)) if end > size else rows[:0] for f, size in zip(fine, sizes, strict=True)]
-            answers = rules.allowed(np.concatenate([last[r, end - size] for r, size in zip(ask, sizes, strict=True)]), np.concatenate([at[r] for r, (at, _) in zip(ask, found, strict=True)]))
-            for f, r, a in zip(fine, ask, np.split(answers, np.cumsum([len(r) for r in ask])[:-1]), strict=True):
-                f[r] &= a
-            found = [(at, f) for (at, _), f in zip(found, fine, strict=True)]
-        for size, (at, there) in zip(sizes, found, strict=True):
-            # a character that is no piece stands alone; one that is a piece but not allowed here does not
-            other = np.where(piece, -np.inf, model.lowest - UNKNOWN_COST) if size == 1 else -np.inf
-            score = np.where(there, model.scores[at], other) + best[:, end - size]
-            better = score > best[:, end]
-            best[better, end], back[better, end], last[better, end] = score[better], end - size, np.where(there, at, -1)[better]
-    cuts, at = np.zeros((count, n + 1), bool), np.full(count, n)
+    for start in range(n):
+        rows = np.flatnonzero(best[:, start] > -np.inf)
+        who, what, ends = [], [], []
+        for end in range(start + 1, min(n, start + model.longest) + 1):
+            at, alive = model.find_beginning(p.between(rows, start, end))
+            rows, place = rows[alive], model.beginning_place[at[alive]]
+            if end == start + 1:
+                # a character that is no piece stands alone
+                known = np.zeros(count, bool)
+                known[rows[place >= 0]] = True
+                alone = np.flatnonzero(~known & (best[:, start] > -np.inf))
+                score = best[alone, start] + (model.lowest - UNKNOWN_COST)
+                better = alone[score > best[alone, end]]
+                best[better, end], back[better, end], last[better, end] = best[better, start] + (model.lowest - UNKNOWN_COST), start, -1
+            piece = place >= 0
+            who.append(rows[piece])
+            what.append(place[piece])
+            ends.append(np.full(len(who[-1]), end))
+            if not len(rows):
+                break
+        r, at, end = np.concatenate(who), np.concatenate(what), np.concatenate(ends)
+        if rules and start:
+            before = last[r, start]
+            ask = np.flatnonzero(before >= 0)
+            fine = np.ones(len(r), bool)
+            fine[ask] = rules.allowed(before[ask], at[ask])
+            r, at, end = r[fine], at[fine], end[fine]
+        score = best[r, start] + model.scores[at]
+        better = score > best[r, end]
+        r, at, end = r[better], at[better], end[better]
+        best[r, end], back[r, end], last[r, end] = score[better], start, at
+    cuts, at, rows = np.zeros((count, n + 1), bool), np.full(count, n), np.arange(count)
     while (at > 0).any():
         at = np.where(at > 0, back[rows, at], 0)
         cuts[rows, at] = True
@@ -404,11 +440,30 @@ class Codec:
         self.model, self.known = model, {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's ids begin and end)."""
+        """(ids of all texts, where each text's ids begin and end).
+
+        Where single spaces stand between words only, Arrow splits the texts.
+        """
+        column = pa.array(texts, pa.large_string())
+        odd = [pc.match_substring(column, "  "), pc.match_substring(column, SPACE), pc.starts_with(column, " "), pc.ends_with(column, " "), pc.equal(column, "")]
+        plain = ~np.logical_or.reduce([np.asarray(x) for x in odd]) if self.model.dummy_prefix and len(texts) else np.zeros(len(texts), bool)
+        some, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        split = pc.split_pattern(column.take(pa.array(some)), " ")
+        coded = split.flatten().dictionary_encode()
         prefix = " " if self.model.dummy_prefix else ""
-        split = [WORDS.findall(prefix + t.replace(SPACE, " ")) if t else [] for t in texts]
-        coded = pa.array([w for s in split for w in s], pa.large_string()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        others = [WORDS.findall(prefix + t.replace(SPACE, " ")) if t else [] for t in (texts[i] for i in rest)]
+        coded_others = pa.array([w for words in others for w in words], pa.large_string()).dictionary_encode()
+        parts = [
+            self.encode_coded([f" {w}" for w in coded.dictionary.to_pylist()], coded.indices, np.asarray(pc.list_value_length(split), np.int64)),
+            self.encode_coded(coded_others.dictionary.to_pylist(), coded_others.indices, np.array([len(words) for words in others], np.int64)),
+        ]
+        begins, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for at, (_, ends), first in zip((some, rest), parts, (0, len(parts[0][0])), strict=True):
+            begins[at], sizes[at] = ends[:-1] + first, np.diff(ends)
+        return np.concatenate([ids for ids, _ in parts])[spread(begins, sizes)], np.r_[0, np.cumsum(sizes)]
+
+    def encode_coded(self, words: list[str], indices: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of texts of so many words each, given as places among distinct words."""
         fresh = [w for w in words if w not in self.known]
         new = dict(zip(fresh, encode_words(self.model, [w.replace(" ", SPACE) for w in fresh]), strict=True))
         parts = [new[w] if w in new else self.known[w] for w in words]
@@ -418,10 +473,10 @@ class Codec:
         flat = np.frombuffer(b"".join(parts), np.int32)
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         begins = np.r_[0, np.cumsum(sizes)]
-        codes = np.asarray(coded.indices, np.int64) if len(coded) else np.zeros(0, np.int64)
+        codes = np.asarray(indices, np.int64) if len(indices) else np.zeros(0, np.int64)
         ids = flat[spread(begins[codes], sizes[codes])] if len(codes) else np.zeros(0, np.int32)
         word_ends = np.r_[0, np.cumsum(sizes[codes])]
-        return ids, word_ends[np.r_[0, np.cumsum([len(s) for s in split], dtype=np.int64)]]
+        return ids, word_ends[np.r_[0, np.cumsum(counts)]]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """UTF-8 of each text; the first space of a text goes if the model added one."""
