@@ -435,6 +435,33 @@ def test_near_duplicate_groups(spark):
     assert got == brute_classes(ids_texts(df))
 
 
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    """All joins by a shuffle, and every group of more than three rows a hot one."""
+    from episodelake.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng, texts = random.Random(9), []
+    for g in range(5):
+        base = prose(300 + g, 70).split()
+        for _ in range(rng.randint(1, 14)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(99)}"
+            texts.append(" ".join(w))
+    df = make(spark, texts + texts[:6] + [None, ""]).repartition(4)
+    got = sorted(str((r.doc_id, r.class_id, r.class_size)) for r in near_dedup.near_duplicates(df).collect())
+    assert got == brute_classes(ids_texts(df))
+
+
+def test_near_duplicates_of_long_texts(spark):
+    long = prose(41, 60_000)
+    words_ = long.split()
+    texts = [long, " ".join([*words_[:100], "other", *words_[101:]]), long.upper(), " ".join(words_[:20_000]), prose(42, 60_000), " ".join(words_[5000:])]
+    got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in near_dedup.near_duplicates(make(spark, texts)).collect()}
+    assert got == {0: (0, 4, True), 1: (0, 4, False), 2: (0, 4, False), 3: (3, 1, True), 4: (4, 1, True), 5: (0, 4, False)}
+
+
 @pytest.mark.parametrize(("common", "all_"), [(12, 15), (48, 60), (8, 10)])
 def test_pairs_of_exactly_the_threshold_are_near(spark, common, all_):
     text = prose(55, all_ + 4).split()
