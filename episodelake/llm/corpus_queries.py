@@ -14,6 +14,7 @@ from episodelake.llm.near_dedup import near_duplicates
 from episodelake.llm.quality import score_quality
 from episodelake.llm.sentencepiece_codec import encode_texts
 from episodelake.llm.sharding import shard_rows
+from episodelake.llm.substring_dedup import remove_repeated_words
 from episodelake.llm.suffix_dedup import remove_repeats
 from episodelake.llm.token_counts import count_tokens
 from episodelake.llm.warc import archive_round_trip
@@ -65,6 +66,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,17 @@ r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE q IS DISTINCT
 x AS (SELECT n.doc_id, string_agg(substr(h, 2 * q + 1, 2), '' ORDER BY q) AS kept FROM n JOIN r USING (doc_id), LATERAL unnest(range(0, n)) t(q) WHERE (n.doc_id, q) NOT IN (SELECT (doc_id, q) FROM b) GROUP BY n.doc_id)
 SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
 FROM n LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)""",
+    "op13_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM d, LATERAL unnest(range(1, len(w) - 48)) t(i)),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT doc_id, list(DISTINCT i + k) AS q FROM g JOIN f USING (s), range(50) t(k) WHERE m < doc_id GROUP BY doc_id),
+b AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1) AS before FROM (SELECT doc_id, unnest(q) AS i FROM c)),
+r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE i <> before + 1) AS n_spans FROM b GROUP BY doc_id),
+x AS (SELECT d.doc_id, string_agg(w[i], ' ' ORDER BY i) AS kept FROM d JOIN r USING (doc_id), LATERAL unnest(range(1, len(w) + 1)) t(i) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = d.doc_id AND b.i = t.i) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN r.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)""",
     "op6_decontamination": rf"""
 WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
@@ -125,7 +141,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding}
+    return {"op1_warc": op1_warc, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding, "op13_substring_dedup": op13_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
