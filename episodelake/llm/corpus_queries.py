@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from episodelake.llm.decontaminate import decontaminate
+from episodelake.llm.digests import ordered_sha256
 from episodelake.llm.exact_dedup import exact_dedup
 from episodelake.llm.license_scan import license_scan
 from episodelake.llm.license_texts import TEMPLATES
@@ -17,6 +19,7 @@ from episodelake.llm.sharding import shard_rows
 from episodelake.llm.substring_dedup import remove_repeated_words
 from episodelake.llm.suffix_dedup import remove_repeats
 from episodelake.llm.token_counts import count_tokens
+from episodelake.llm.turn_repair import repair_conversations
 from episodelake.llm.warc import archive_round_trip
 
 
@@ -66,6 +69,34 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fault in about every fourth row, by the CRC-32 of its id and turn: dropped, emptied, without .!?, twice, or by the user."""
+    spaced = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = conversations.select("conv_id", "turn", *spaced, (F.crc32(name) % 20).alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": text, "role": F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))})
+    copies = F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return rows.withColumn("copy", F.explode(copies)).select("conv_id", "turn", "role", "text")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    pieces, report = repair_conversations(damaged(conversations))
+    kept = F.transform(F.filter("edits", lambda e: e["edit"] != "D"), lambda e: F.concat(e["role"], F.lit(":"), e["text"]))
+    texts = pieces.select("conv", "piece", "whole", F.array_join(F.transform("edits", lambda e: e["edit"]), "").alias("audit"), F.when(F.size(kept) > 0, F.array_join(kept, "\n")).alias("text"))
+    whole = texts.where("whole").select("conv", "audit", F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"))
+    rest = texts.where("not whole")
+    audits = rest.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("piece", "audit"))).alias("a")).select(F.col("conv").alias("c"), F.array_join(F.col("a.audit"), "").alias("audit"))
+    digests = ordered_sha256(rest, "conv", "piece", "text", "\n")
+    more = audits.join(digests, F.col("c").eqNullSafe(F.col("conv"))).select("conv", "audit", F.col("sha256").alias("repaired_sha256"))
+    results = whole.unionByName(more)
+    ids = conversations.select("conv_id").distinct()
+    both = results.withColumnRenamed("conv", "c").join(report, F.col("c").eqNullSafe(F.col("conv")))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(both, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 
@@ -141,7 +172,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding, "op13_substring_dedup": op13_substring_dedup}
+    return {"op1_warc": op1_warc, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding, "op11_turn_repair": op11_turn_repair, "op13_substring_dedup": op13_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
