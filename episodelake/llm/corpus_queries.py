@@ -13,6 +13,7 @@ from episodelake.llm.exact_dedup import exact_dedup
 from episodelake.llm.license_scan import license_scan
 from episodelake.llm.license_texts import TEMPLATES
 from episodelake.llm.near_dedup import near_duplicates
+from episodelake.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt
 from episodelake.llm.quality import score_quality
 from episodelake.llm.sentencepiece_codec import encode_texts
 from episodelake.llm.sharding import shard_rows
@@ -97,6 +98,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(both, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(numbered_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 
@@ -109,7 +114,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 SQL_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
 
+#: CRC-32 of a short ASCII text in DuckDB, byte by byte; ``crc`` is a table of one row that holds the table of bytes.
+SQL_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda x: list_reduce([CAST(x AS bigint)] || CAST(range(8) AS bigint[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS bytes)"
+
+
+def sql_crc(text: str) -> str:
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS bigint)), lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLE = {
+    "op12_prefix_trie": f"""
+WITH {SQL_CRC_TABLE},
+c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c.*, {sql_crc("CAST(conv_id AS varchar)")} % 6 AS h FROM c, crc),
+r AS (SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, turns[1:d] AS path, len(turns) AS total FROM r, LATERAL unnest(range(0, len(turns) + 1)) t(d)),
+m AS (SELECT *, min(conv_id) OVER (PARTITION BY path) AS node FROM p),
+n AS (SELECT node, d AS depth, any_value(path) AS path, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (WHERE d = total), '')) AS ends_sha256 FROM m GROUP BY node, d),
+k AS (SELECT m.node AS parent, m.d AS depth, count(*) AS n_children FROM n JOIN m ON m.conv_id = n.node AND m.d = n.depth - 1 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children, u.node AS parent_conv_id, (n_convs - 1) * coalesce(length(struct_extract(n.path[-1], 'text')), 0) AS saved
+  FROM n LEFT JOIN k ON k.parent = n.node AND k.depth = n.depth LEFT JOIN m u ON u.conv_id = n.node AND u.d = n.depth - 1),
+s AS (SELECT m.node, m.d AS depth, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves, CAST(sum(saved) AS bigint) AS saved_tokens FROM x JOIN m ON m.conv_id = x.node AND m.d <= x.depth GROUP BY m.node, m.d)
+SELECT x.node AS conv_id, x.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM x JOIN s ON s.node = x.node AND s.depth = x.depth""",
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, CAST(strlen(h) AS bigint) AS payload_bytes, sha256(h) AS payload_digest FROM p),
@@ -172,7 +198,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding, "op11_turn_repair": op11_turn_repair, "op13_substring_dedup": op13_substring_dedup}
+    return {"op1_warc": op1_warc, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality": op4_quality, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op10_license_scan": op10_license_scan, "op7_near_dedup": op7_near_dedup, "op3_token_counts": op3_token_counts, "op8_exact_dedup": op8_exact_dedup, "op9_sharding": op9_sharding, "op11_turn_repair": op11_turn_repair, "op12_prefix_trie": op12_prefix_trie, "op13_substring_dedup": op13_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

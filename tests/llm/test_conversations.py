@@ -11,7 +11,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from episodelake.llm import corpus_queries, turn_repair
+from episodelake.llm import common, corpus_queries, digests, list_rank, prefix_trie, turn_repair
 
 SCHEMA = "conv_id long, turn long, role string, text string, conv string, piece long, key string, copies long"
 
@@ -139,3 +139,82 @@ def test_agenda_is_lightest():
             got = turn_repair.repaired(tuple((r[0], k == "blank", k == "truncated", 1) for r, k in some))
             assert got == want[:2], some
             assert [(e["role"], e["text"]) for e in turn_repair.applied([(r, "t", 1) for r, _ in some], got[1], 0) if e["edit"] != "D"] == want[2]
+
+
+# --- the trie of prefixes ----------------------------------------------------
+
+
+def plain_trie(rows):
+    """Every node from lists of members."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs.setdefault(conv, []).append((turn, role or "", text or ""))
+    for some in convs.values():
+        some.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(f"{len(r[1])}:{r[1]}:{r[2]}".encode()).digest()[:16]))
+    paths = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        turns = [r[1:] for r in convs.get(c - c % 100, [])[:h] + own[h:]]
+        for d in range(len(turns) + 1):
+            node = paths.setdefault(tuple(turns[:d]), {"members": [], "ends": [], "children": set()})
+            node["members"].append(c)
+            if d:
+                paths[tuple(turns[: d - 1])]["children"].add(tuple(turns[:d]))
+        node["ends"].append(c)
+    out, sums = set(), {}
+    for path in sorted(paths, key=len, reverse=True):
+        node = paths[path]
+        own = (len(node["members"]) - 1) * len(path[-1][1]) if path else 0
+        below = [sums[c] for c in node["children"]]
+        sums[path] = (sum(x for x, _ in below) or 1, own + sum(x for _, x in below))
+        parent = min(paths[path[:-1]]["members"]) if path else None
+        ends = hashlib.sha256(",".join(map(str, sorted(node["ends"]))).encode()).hexdigest()
+        out.add((min(node["members"]), len(path), parent, len(node["members"]), len(node["children"]), *sums[path], ends))
+    return out
+
+
+def trie_query(spark, folder):
+    got = corpus_queries.op12_prefix_trie(spark, folder).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256").collect()
+    assert len({*got}) == len(got)
+    return {tuple(r) for r in got}
+
+
+GROUPS = [(c, *r[1:]) for c in [*range(100, 160), *range(200, 230), 305, 400, 401] for r in talk(c % 7, 3 + c % 5, c)]
+GROUPS += [(500, i, "user", f"é日 {i % 3}") for i in range(300)] + [(501, i, "user", f"é日 {i % 3}") for i in range(300)] + [(1001, 0, "user", "one turn only")]
+
+
+def test_trie(spark, tmp_path):
+    rows = GROUPS + ODD
+    assert trie_query(spark, made(spark, rows, tmp_path)) == plain_trie(rows)
+
+
+def test_trie_of_nothing(spark, tmp_path):
+    assert trie_query(spark, made(spark, [], tmp_path)) == set()
+
+
+def test_trie_in_pieces(spark, tmp_path, monkeypatch):
+    """Names from pieces of conversations, lists contracted in many rounds, ids digested in pieces, hot parents broadcast."""
+    monkeypatch.setattr(prefix_trie, "PIECE", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(prefix_trie, "list_sums", lambda *a: list_rank.list_sums(*a, last=5))
+    monkeypatch.setattr(prefix_trie, "joined_ids_sha256", lambda *a: digests.joined_ids_sha256(*a, most=3))
+    rows = [*GROUPS, *[(c, i, "user", "same") for c in range(1100, 1130) for i in range(6)]]
+    assert trie_query(spark, made(spark, rows, tmp_path)) == plain_trie(rows)
+
+
+def test_list_sums(spark):
+    """Lists whose elements lie in no order."""
+    rng = random.Random(5)
+    order = rng.sample(range(3000), 3000)
+    lists = [order[:1], order[1:2], order[2:1500], order[1500:]]
+    rows, want = [], {}
+    for some in lists:
+        before = 0
+        for a, b in zip(some, [*some[1:], None], strict=True):
+            want[a] = before
+            rows.append((a, b, a % 5, rng.randrange(100)))
+            before += a % 5
+    df = spark.createDataFrame(rows, "id long, next long, w long, spot long")
+    got = list_rank.list_sums(df, ["w"], ["spot", "id"], last=10).collect()
+    assert len(got) == 3000 and {r.id: r.before_w for r in got} == want
