@@ -119,16 +119,16 @@ def reconcile(actual: DataFrame, declared: DataFrame, keys: list[str]) -> DataFr
     return a.join(d, keys, "full").withColumn("ok", F.coalesce(F.col("actual") == F.col("declared"), F.lit(False)))
 
 
+def equal_ranks(df: DataFrame, rank: str) -> DataFrame:
+    """(rank, actual, declared, ok): the rows of each rank against those of the first one; all ranks must have as many."""
+    counts = df.groupBy(rank).agg(F.count(F.lit(1)).alias("actual"))
+    first = counts.agg(F.min_by("actual", rank).alias("declared"))
+    return counts.crossJoin(F.broadcast(first)).withColumn("ok", F.col("actual") == F.col("declared"))
+
+
 def path_problems(paths: DataFrame, existing: DataFrame) -> DataFrame:
     """(pos, path, problem) of a catalogue's empty, repeated and missing entries."""
     first = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
     seen = paths.withColumn("r", first).join(existing.select("path", F.lit(True).alias("there")), "path", "left")
     problem = F.when(F.trim("path") == "", "empty").when(F.col("r") > 1, "duplicate").when(F.col("there").isNull(), "missing")
     return seen.withColumn("problem", problem).where("problem is not null").select("pos", "path", "problem")
-
-
-def quarantine(df: DataFrame, rules: dict[str, Column], source: Column) -> tuple[DataFrame, DataFrame]:
-    """(good rows, failed rows with reason and source): the first rule (name -> is bad) that holds is the reason."""
-    reason = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()])
-    marked = df.withColumn("reason", reason)
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").withColumn("described", source)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodelake.operators.windows import overlapping
+
 #: A side of up to so many rows is broadcast after it was counted.
 BROADCAST_ROWS = 500_000
 
@@ -33,15 +35,38 @@ def todo(prompts: DataFrame, caches: DataFrame, key: str, n_caches: int) -> Data
     return prompts.join(done.select(key), key, "left_anti")
 
 
-def range_lookup(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, block: int) -> DataFrame:
+def range_lookup(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, block: int | None = None, how: str = "inner") -> DataFrame:
     """Points with the range [start, end) that holds them, as an equi-join on blocks of the number line.
 
-    A range is repeated for each block it touches, so the work is the rows and
-    the blocks, and both sides can be shuffled. Points in no range are lost.
+    A range is repeated for each block it touches, so both sides can be
+    shuffled. By default a block is as long as the mean range, so the repeated
+    ranges are at most three times the ranges, however long one of them is.
+    Points in no range are lost, or with ``how="left"`` have nulls.
     """
+    if block is None:
+        mean = ranges.agg(F.avg((F.col(end) - F.col(start)).cast("double")).alias("m")).first()["m"]
+        block = max(1, int(mean or 1))
     cut = lambda c: F.floor(c / block)
     wide = ranges.withColumn("__b", F.explode(F.sequence(cut(F.col(start)), cut(F.col(end) - 1))))
-    return points.withColumn("__b", cut(F.col(at))).join(wide, "__b").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
+    p, r = points.withColumn("__p", cut(F.col(at))), small(wide)
+    return p.join(r, (F.col("__p") == F.col("__b")) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)), how).drop("__p", "__b")
+
+
+def physical_rows(points: DataFrame, at: str, runs: DataFrame, strict: bool = True) -> DataFrame:
+    """Adds row: the physical row that holds each point's logical index, by the sorted runs of ``index_runs``.
+
+    Where runs overlap, an index may have two rows; then logical indices are not
+    used at all, and a point is its own physical row. A point in no run fails,
+    or without ``strict`` has no row.
+    """
+    if runs.isEmpty() or not overlapping(runs).where("overlaps_next").isEmpty():
+        return points.withColumn("row", F.col(at).cast("long"))
+    ranges = runs.select(F.col("start").alias("__start"), F.col("end").alias("__end"), F.col("physical_start").alias("__physical"))
+    found = range_lookup(points, at, ranges, "__start", "__end", how="left")
+    row = F.col("__physical") + F.col(at) - F.col("__start")
+    if strict:
+        row = F.coalesce(row, F.raise_error(F.concat(F.lit("no stored row has index "), F.col(at).cast("string"))).cast("long"))
+    return found.withColumn("row", row).drop("__start", "__end", "__physical")
 
 
 def nearest_time(queries: DataFrame, frames: DataFrame, keys: list[str], at: str, ts: str, tolerance: float) -> DataFrame:

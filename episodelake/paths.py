@@ -33,14 +33,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(p)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file of metadata under its exact name."""
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file under its exact name."""
     store, p = _hadoop(spark, path)
     out = store.create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data))
     out.close()
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of metadata under its exact name."""
+    put_bytes(spark, path, text.encode())
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes the tables given out so far, once the results that read them are saved; how many there were."""
     n = 0

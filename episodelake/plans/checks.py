@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episodelake.functions.scalars import describe_source
 from episodelake.lenses import catalog, chunks, dataset_features, frames, prompts, sql, table, vectors
 from episodelake.operators import checks as K
 from episodelake.operators import columns as C
 from episodelake.operators.windows import episode_offsets
+from episodelake.paths import put_bytes, scratch
+from episodelake.plans.sources import chunk_files
 from episodelake.plans.windows import episodes
 from episodelake.registry import query
+from episodelake.sources.guarded import quarantined, read_footers, read_guarded, read_json_guarded
 
 
 @query(sql("frames", "SELECT episode_index, frame_index, value FROM frames WHERE episode_index IN (1, 5) OR episode_index BETWEEN 10 AND 12"))
@@ -84,12 +88,22 @@ def chk_equal_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return pred.join(truth, "episode_index").withColumn("ok", K.equal_counts([F.col("n_pred"), F.col("n_truth")]))
 
 
-@query(sql("catalog", """a AS (SELECT c_nationkey AS dataset_id, count(*) AS actual FROM customer WHERE c_custkey % 97 <> 0 GROUP BY 1)
-SELECT dataset_id, actual, episodes AS declared, coalesce(actual = episodes, false) AS ok FROM a FULL JOIN (SELECT dataset_id, episodes FROM catalog WHERE dataset_id <> 4) USING (dataset_id)"""))
+@query("""WITH e AS (SELECT user_id, CAST(floor(user_id / 50) AS bigint) AS chunk, event_id FROM events),
+a AS (SELECT concat('chunk ', chunk) AS part, count(*) AS actual FROM e WHERE event_id % 97 <> 0 OR chunk <> 1 GROUP BY 1), d AS (SELECT concat('chunk ', chunk) AS part, count(*) AS declared FROM e WHERE user_id <> 7 GROUP BY 1),
+r AS (SELECT concat('rank ', event_id % 4) AS part, count(*) AS actual FROM e WHERE event_id % 97 <> 0 OR chunk <> 1 GROUP BY 1)
+SELECT part, actual, declared, coalesce(actual = declared, false) AS ok FROM a FULL JOIN d USING (part)
+UNION ALL SELECT part, actual, first_value(actual) OVER (ORDER BY part), actual = first_value(actual) OVER (ORDER BY part) FROM r""")
 def chk_row_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    actual = table(spark, sf, "customer").where("c_custkey % 97 <> 0").groupBy(F.col("c_nationkey").alias("dataset_id")).agg(F.count(F.lit(1)).alias("rows"))
-    declared = catalog(spark, sf).where("dataset_id <> 4").select("dataset_id", F.col("episodes").alias("rows"))
-    return K.reconcile(actual, declared, ["dataset_id"])
+    """Rows by the footers of a lake against its episodes' lengths, some of both left out, and the rows of four ranks."""
+    stored = frames(spark, sf).where("index % 97 <> 0 or floor(episode_index / 50) <> 1")
+    root = chunk_files(stored)
+    footers = read_footers(spark, f"{root}/data")
+    part = F.concat(F.lit("chunk "), F.regexp_extract("file", r"chunk=0*(\d+)", 1))
+    actual = footers.groupBy(part.alias("part")).agg(F.sum("rows").alias("rows"))
+    declared = episodes(spark, sf).where("episode_index <> 7").groupBy(F.concat(F.lit("chunk "), F.floor(F.col("episode_index") / 50).cast("string")).alias("part")).agg(F.sum("length").alias("rows"))
+    ranks = spark.read.parquet(f"{root}/data").select((F.col("index") % 4).alias("rank"))
+    same = K.equal_ranks(ranks, "rank").select(F.concat(F.lit("rank "), F.col("rank").cast("string")).alias("part"), "actual", "declared", "ok")
+    return K.reconcile(actual, declared, ["part"]).unionByName(same)
 
 
 @query(sql("catalog", "SELECT fps, count(*) AS datasets, count(*) = (SELECT count(*) FROM catalog) AS only_one FROM catalog GROUP BY fps"))
@@ -115,9 +129,34 @@ def chk_dataset_paths(spark: SparkSession, sf: str) -> DataFrame:
     return K.path_problems(p, p.where("path <> '' and pos % 9 <> 0").select("path").distinct())
 
 
-@query(sql("frames", """SELECT index, CASE WHEN value > 120 THEN 'value too large' WHEN k > 8 THEN 'k too large' END AS reason,
-concat('dataset=', source, ' episode=', episode_index, ' frame=', frame_index) AS described FROM frames WHERE value > 120 OR k > 8"""))
+@query(sql("frames", """b AS (SELECT 'frame' AS kind, index, CASE WHEN value > 120 THEN 'value too large' WHEN k > 8 THEN 'k too large' END AS reason,
+  concat('dataset=', source, ' episode=', episode_index, ' frame=', frame_index) AS described FROM frames WHERE floor(episode_index / 50) <> 1 AND (value > 120 OR k > 8)
+  UNION ALL SELECT DISTINCT 'frame', NULL, 'unreadable file', 'file=chunk=000001' FROM frames WHERE floor(episode_index / 50) = 1
+  UNION ALL SELECT DISTINCT 'episode', NULL, 'not a record', concat('{"episode_index":', episode_index, ',"length"') FROM frames WHERE episode_index % 40 = 0),
+n AS (SELECT kind, index, reason, described, count(*) OVER (PARTITION BY kind, reason) AS n FROM b)
+SELECT * FROM n UNION ALL SELECT 'frame', NULL, '', '', count(*) FROM frames WHERE floor(episode_index / 50) <> 1 AND NOT (value > 120 OR k > 8)
+UNION ALL SELECT 'episode', NULL, '', '', count(DISTINCT episode_index) FROM frames WHERE episode_index % 40 <> 0"""))
 def qrn_bad_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rules = {"value too large": F.col("value") > 120, "k too large": F.col("k") > 8}
-    _, bad = K.quarantine(frames(spark, sf), rules, describe_source(F.col("source"), F.col("episode_index"), F.col("frame_index")))
-    return bad.select("index", "reason", "described")
+    """A lake with a cut data file, frames against the rules and cut lines of metadata: each bad row or file with its reason and its reason's count, and the good ones' number."""
+    root = chunk_files(frames(spark, sf))
+    cut = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{root}/data/chunk=000001").select("path", "content").first()
+    if cut:
+        put_bytes(spark, cut["path"], bytes(cut["content"])[:-100])
+    kind = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("episode_index", T.LongType()), ("frame_index", T.LongType()), ("index", T.LongType()), ("value", T.DoubleType()), ("k", T.DoubleType()))])
+    rules = {"unreadable file": F.col("problem").isNotNull(), "value too large": F.col("value") > 120, "k too large": F.col("k") > 8}
+    unreadable = F.concat(F.lit("file="), F.regexp_extract("file", r"(chunk=\d+)", 1))
+    described = F.when(F.col("problem").isNotNull(), unreadable).otherwise(describe_source(F.col("source"), F.col("episode_index"), F.col("frame_index")))
+    _, bad, counts = quarantined(read_guarded(spark, f"{root}/data", kind), rules, described)
+
+    line = F.to_json(F.struct("episode_index", "length"))
+    lines = episodes(spark, sf).select(F.when(F.col("episode_index") % 40 == 0, F.regexp_extract(line, '^(.*"length")', 1)).otherwise(line).alias("value"))
+    lines.write.text(f"{root}/meta/episodes.jsonl")
+    records = read_json_guarded(spark, f"{root}/meta/episodes.jsonl", T.StructType.fromDDL("episode_index long, length long"))
+    _, bad_lines, line_counts = quarantined(records, {"not a record": F.col("problem").isNotNull()}, F.regexp_replace("problem", "^not a record: ", ""))
+
+    def told(kind: str, rows: DataFrame, index: str, counts: dict[str, int]) -> DataFrame:
+        n = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+        good = spark.range(1).select(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("index"), F.lit("").alias("reason"), F.lit("").alias("described"), F.lit(counts[""]).cast("long").alias("n"))
+        return rows.select(F.lit(kind).alias("kind"), F.expr(index).alias("index"), "reason", "described", n[F.col("reason")].cast("long").alias("n")).unionByName(good)
+
+    return told("frame", bad, "index", counts).unionByName(told("episode", bad_lines, "cast(null as long)", line_counts))

@@ -9,7 +9,7 @@ from episodelake.lenses import catalog, chunks, frames, prompts, sql, table, vec
 from episodelake.operators import joins as J
 from episodelake.operators.evals import latent_error
 from episodelake.plans.projections import r6
-from episodelake.plans.windows import RUNS_SQL, episodes, file_runs
+from episodelake.plans.windows import RUNS_SQL, episodes, stored_runs
 from episodelake.registry import query
 
 
@@ -48,11 +48,12 @@ def jn_invalid_datasets(spark: SparkSession, sf: str) -> DataFrame:
     return catalog(spark, sf).join(valid, "dataset_id", "left_anti").select("task", "dataset")
 
 
-@query(f"""WITH {RUNS_SQL} SELECT e.event_id, r.file, r.physical_start + e.event_id - r.start AS row FROM events e JOIN r ON e.event_id >= r.start AND e.event_id < r."end" """)
+@query(f"""WITH {RUNS_SQL.format(lower="false")} SELECT e.event_id, r.physical_start + e.event_id - r.start AS row, e.event_id AS overlapping_row FROM events e LEFT JOIN r ON e.event_id >= r.start AND e.event_id < r."end" """)
 def jn_logical_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The physical row of each event in permuted files, none for those left out; where runs overlap an index is its own row."""
     points = table(spark, sf, "events").select("event_id")
-    found = J.range_lookup(points, "event_id", file_runs(spark, sf), "start", "end", 64)
-    return found.select("event_id", "file", (F.col("physical_start") + F.col("event_id") - F.col("start")).alias("row"))
+    found = J.physical_rows(points, "event_id", stored_runs(spark, sf, False), strict=False)
+    return J.physical_rows(found.withColumnRenamed("row", "__row"), "event_id", stored_runs(spark, sf, True)).select("event_id", F.col("__row").alias("row"), F.col("row").alias("overlapping_row"))
 
 
 @query(sql("catalog", """o AS (SELECT dataset_id, sum(frames) OVER (ORDER BY dataset_id) - frames AS f, sum(frames) OVER (ORDER BY dataset_id) AS t FROM catalog)
@@ -62,7 +63,7 @@ def jn_locate_sample(spark: SparkSession, sf: str) -> DataFrame:
 
     sizes = episode_offsets(catalog(spark, sf).select("dataset_id", "frames"), "frames", "dataset_id").where("frames > 0")
     points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"))
-    return J.range_lookup(points, "idx", sizes, "from_index", "to_index", 1000).select("idx", "dataset_id", (F.col("idx") - F.col("from_index")).alias("local"))
+    return J.range_lookup(points, "idx", sizes, "from_index", "to_index").select("idx", "dataset_id", (F.col("idx") - F.col("from_index")).alias("local"))
 
 
 @query(sql("frames", """q AS (SELECT event_id AS qid, user_id AS episode_index, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 + (event_id % 11 - 5) * 137.5 AS at FROM events),

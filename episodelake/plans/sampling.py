@@ -11,6 +11,7 @@ from episodelake.operators import sets as U
 from episodelake.plans.windows import episodes
 from episodelake.operators.windows import places
 from episodelake.registry import query
+from episodelake.sources.discovery import first_paths
 
 
 @query("""WITH e AS (SELECT o_custkey % 20 AS series, count(*) AS len FROM orders GROUP BY 1), n AS (SELECT series, len, CAST(least(len, greatest(100, least(10000, floor(pow(len, 0.75))))) AS bigint) AS n FROM e)
@@ -100,10 +101,13 @@ def set_feature_intersection(spark: SparkSession, sf: str) -> DataFrame:
     return U.feature_intersection(have(spark, sf))
 
 
-@query(sql("prompts", "SELECT min(pos) AS pos, dataset || '/' || substr(task, 1, 2) AS path FROM prompts GROUP BY 2"))
+@query(sql("prompts", "SELECT min(pos) AS pos FROM (SELECT pos, concat(dataset, '/', substr(task, 1, 2)) AS path FROM prompts) GROUP BY path"))
 def set_dedup_paths(spark: SparkSession, sf: str) -> DataFrame:
-    p = prompts(spark, sf).select("pos", F.concat("dataset", F.lit("/"), F.substring("task", 1, 2)).alias("path"))
-    return U.first_of(p, "path", "pos").select("pos", "path")
+    """Each path is written in four ways; the first row of each place stays."""
+    parts = ["dataset", F.substring("task", 1, 2)]
+    forms = [F.concat_ws("/", *parts), F.concat_ws("/", F.lit("."), parts[0], F.lit(""), parts[1], F.lit("")), F.concat_ws("/", parts[0], F.lit("x/.."), parts[1]), F.concat_ws("/", F.lit("y/../z"), F.lit(".."), *parts, F.lit("."))]
+    p = prompts(spark, sf).select("pos", F.array(*forms)[(F.col("pos") % 4).cast("int")].alias("path"))
+    return first_paths(p, "path", "pos").select("pos")
 
 
 @query(sql("prompts", "SELECT prompt, min(pos) AS pos FROM (SELECT pos, trim(unnest(string_split(task, '@'))) AS prompt FROM prompts) GROUP BY prompt"))

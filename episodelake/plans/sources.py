@@ -14,6 +14,8 @@ from episodelake.plans.projections import state
 from episodelake.plans.windows import episodes
 from episodelake.registry import query
 from episodelake.sources import lake as L
+from episodelake.sources.discovery import discover
+from episodelake.sources.guarded import read_footers
 
 FEATURES = {n: {"dtype": d, "shape": s} for n, d, s in (("episode_index", "int64", [1]), ("frame_index", "int64", [1]), ("index", "int64", [1]), ("timestamp", "float64", [1]), ("observation.state", "float64", [2]))}
 
@@ -114,14 +116,22 @@ def src_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return annotations(spark, sf)
 
 
-@query(sql("catalog", "SELECT concat('ds=d', dataset_id) AS dataset FROM catalog"))
+@query(sql("catalog", """d AS (SELECT concat('d', dataset_id) AS dataset, CASE WHEN dataset_id % 3 = 2 THEN 'beta' ELSE 'alpha' END AS root FROM catalog)
+SELECT row_number() OVER (ORDER BY root, dataset) - 1 AS place, root, dataset FROM d"""))
 def src_discover_datasets(spark: SparkSession, sf: str) -> DataFrame:
-    """One folder per dataset of the catalogue; the root has no marker and no list, so its children count."""
-    root = scratch(spark, "roots")
-    rows = catalog(spark, sf).select(F.to_json(F.struct("fps")).alias("value"), F.concat(F.lit("d"), "dataset_id").alias("ds"))
-    rows.write.partitionBy("ds").text(root)
-    found = L.discover(spark, root, marker=r"/part-[^/]*\.txt$", files="*.txt")
-    return found.select(F.regexp_extract("dataset", "([^/]+)$", 1).alias("dataset"))
+    """Three roots: one lists datasets that lie elsewhere, by absolute and relative paths, twice or not at all there; one has children; one is a dataset of the first's list."""
+    top = scratch(spark, "roots")
+    c = catalog(spark, sf).select(F.concat(F.lit("d"), "dataset_id").alias("d"), (F.col("dataset_id") % 3).alias("r"), F.to_json(F.struct("fps")).alias("text"))
+    folder = F.when(F.col("r") == 2, "beta/").otherwise("pool/")
+    L.write_texts(c.select(F.concat(folder, "d", F.lit("/meta/info.json")).alias("path"), "text"), top)
+    L.write_texts(c.where("r = 2").select(F.concat(F.lit("beta/"), "d", F.lit("x/data/readme.json")).alias("path"), "text"), top)
+    absolute = F.array(F.concat(F.lit(f"{top}/pool/"), "d"), F.concat(F.lit(f"{top}/none/"), "d"))
+    relative = F.array(F.concat(F.lit("../pool/./x/../"), "d"), F.concat(F.lit("../pool/"), "d", F.lit("/")))
+    paths = c.where("r < 2").agg(F.flatten(F.collect_list(F.when(F.col("r") == 0, absolute).otherwise(relative))).alias("dataset_paths"))
+    L.write_texts(paths.select(F.lit("alpha/dataloader.json").alias("path"), F.to_json(F.struct("dataset_paths")).alias("text")), top)
+    found = discover(spark, [f"{top}/alpha", f"{top}/beta/", f"{top}/pool/d3", f"{top}/nowhere"])
+    last = lambda p: F.regexp_extract(p, "([^/]+)/?$", 1)
+    return found.select("place", last("root").alias("root"), last("dataset").alias("dataset"))
 
 
 @query(sql("catalog", "SELECT task, dataset FROM catalog"))
@@ -145,9 +155,21 @@ def src_eval_logs(spark: SparkSession, sf: str) -> DataFrame:
     return logs.groupBy("run").agg(F.sum(F.length("log")).alias("chars"), F.sum(F.size(F.split("log", "\n")) - 1).alias("lines"))
 
 
-@query()
+def chunk_files(frames_: DataFrame) -> str:
+    """The root of a lake with a data file for each fifty episodes."""
+    root = scratch(frames_.sparkSession, "chunks")
+    rows = frames_.withColumn("chunk", F.format_string("%06d", F.floor(F.col("episode_index") / 50))).repartition("chunk")
+    rows.sortWithinPartitions("chunk", "index").write.partitionBy("chunk").parquet(f"{root}/data")
+    return root
+
+
+@query("""SELECT printf('%06d', CAST(floor(user_id / 50) AS bigint)) AS chunk, count(*) AS rows, min(event_id) AS first_index, max(event_id) AS last_index, count(*) FILTER (WHERE value IS NULL) AS null_values, true AS sizes_ok FROM events GROUP BY 1""")
 def src_file_footprint(spark: SparkSession, sf: str) -> DataFrame:
-    return L.footprint(spark, f"{sf}/events.parquet")
+    """Rows, bounds and sizes of data files from their footers; compressed data is smaller than its file."""
+    f = read_footers(spark, f"{chunk_files(frames(spark, sf))}/data")
+    c = F.col("columns")
+    sizes = (F.col("compressed") < F.col("bytes")) & (F.col("uncompressed") > 0) & (F.col("row_groups") > 0) & F.col("problem").isNull()
+    return f.select(F.regexp_extract("file", r"chunk=(\d+)", 1).alias("chunk"), "rows", c["index"]["min"].cast("long").alias("first_index"), c["index"]["max"].cast("long").alias("last_index"), c["value"]["nulls"].alias("null_values"), sizes.alias("sizes_ok"))
 
 
 def appended(spark: SparkSession, sf: str) -> str:

@@ -9,8 +9,10 @@ from episodelake.lenses import catalog, chunks, eval_results, frames, sql, table
 from episodelake.operators import windows as W
 from episodelake.operators.evals import capture_align, replan_select
 from episodelake.operators.joins import running_rate
+from episodelake.paths import scratch
 from episodelake.plans.projections import r6
 from episodelake.registry import query
+from episodelake.sources.lake import stored_index
 
 EP, AT = ["episode_index"], "frame_index"
 
@@ -54,26 +56,35 @@ def win_episode_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return W.episode_offsets(episodes(spark, sf), block=64).select("episode_index", "length", "from_index", "to_index")
 
 
-RUNS_SQL = """x AS (SELECT CAST(floor(event_id / 100) AS bigint) AS file, event_id AS idx, row_number() OVER (PARTITION BY floor(event_id / 100) ORDER BY event_id) AS pos FROM events WHERE event_id % 13 <> 0),
-r AS (SELECT file, min(idx) AS start, max(idx) + 1 AS "end", min(pos) AS physical_start FROM x GROUP BY file, idx - pos)"""
+#: Files of a hundred events whose tens are stored in another order, every 13th event left out; files 5, 10, … count from three lower.
+RUNS_SQL = """x AS (SELECT event_id, CAST(floor(event_id / 100) AS bigint) AS f, CAST(floor(event_id / 10) AS bigint) * 7 % 10 * 10 + event_id % 10 AS spot FROM events WHERE event_id % 13 <> 0),
+i AS (SELECT *, printf('data/chunk-%06d', f) AS file, event_id - CASE WHEN {lower} THEN 3 ELSE 0 END AS idx, row_number() OVER (ORDER BY printf('%06d', f), spot) - 1 AS pos FROM x),
+k AS (SELECT *, CASE WHEN idx - lag(idx) OVER w = 1 THEN 0 ELSE 1 END AS breaks FROM i WINDOW w AS (PARTITION BY f ORDER BY spot)),
+n AS (SELECT *, sum(breaks) OVER (ORDER BY pos) AS run FROM k),
+r AS (SELECT file, min(idx) AS start, max(idx) + 1 AS "end", min(pos) AS physical_start FROM n GROUP BY file, run)"""
 
 
-def file_runs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id % 13 <> 0").select(F.floor(F.col("event_id") / 100).alias("file"), F.col("event_id").alias("idx"))
-    x = e.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("idx")).cast("long"))
-    return W.runs(x, "file", "idx", "pos")
+def stored_runs(spark: SparkSession, sf: str, lower: bool) -> DataFrame:
+    """The runs of a lake whose files are permuted and have gaps; with ``lower`` every fifth file also overlaps the one before."""
+    root = scratch(spark, "runs")
+    e = table(spark, sf, "events").where("event_id % 13 <> 0")
+    f = F.floor(F.col("event_id") / 100)
+    index = F.col("event_id") - F.when(F.lit(lower) & (f % 5 == 0), 3).otherwise(0)
+    rows = e.select(index.alias("index"), F.format_string("%06d", f).alias("chunk"), (F.floor(F.col("event_id") / 10) * 7 % 10 * 10 + F.col("event_id") % 10).alias("at"))
+    # a chunk is one task's, so one file
+    rows.repartition("chunk").sortWithinPartitions("chunk", "at").drop("at").write.partitionBy("chunk").parquet(f"{root}/data")
+    runs = W.index_runs(stored_index(spark, root))
+    return runs.withColumn("file", F.concat(F.lit("data/chunk-"), F.regexp_extract("file", r"chunk=(\d+)", 1)))
 
 
-@query(f'WITH {RUNS_SQL} SELECT file, start, "end", physical_start FROM r')
+@query(f'WITH {RUNS_SQL.format(lower="false")} SELECT file, start, "end", physical_start FROM r')
 def win_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return file_runs(spark, sf)
+    return stored_runs(spark, sf, False)
 
 
-@query(f"""WITH {RUNS_SQL}, s AS (SELECT file, start - CASE WHEN file % 5 = 0 THEN 3 ELSE 0 END AS start, "end" FROM r)
-SELECT file, start, "end", coalesce(lead(start) OVER (ORDER BY start, "end") < "end", false) AS overlaps_next FROM s""")
+@query(f"""WITH {RUNS_SQL.format(lower="f % 5 = 0")} SELECT file, start, "end", physical_start, coalesce(lead(start) OVER (ORDER BY start, "end") < "end", false) AS overlaps_next FROM r""")
 def win_run_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    r = file_runs(spark, sf).withColumn("start", F.col("start") - F.when(F.col("file") % 5 == 0, 3).otherwise(0))
-    return W.overlapping(r).select("file", "start", "end", "overlaps_next")
+    return W.overlapping(stored_runs(spark, sf, True))
 
 
 @query("""WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), o AS (SELECT user_id, sum(n) OVER (ORDER BY user_id) - n AS f FROM e),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -68,6 +69,16 @@ def read_frames(spark: SparkSession, root: str, features: dict[str, dict], episo
     return have.select(*[(F.col(f"`{f.name}`") if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields])
 
 
+def stored_index(spark: SparkSession, root: str, episodes: list[int | list[int]] | None = None) -> DataFrame:
+    """(file, row, index) of the stored frames: the file's path under the root and the row's place in the file.
+
+    With ``episodes`` only the rows of those (ints and inclusive [start, end] ranges).
+    """
+    have = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
+    rows = have.select(F.regexp_extract(F.col("_metadata.file_path"), "/(data/.*)$", 1).alias("file"), F.col("_metadata.row_index").alias("row"), "index", *["episode_index"] * (episodes is not None))
+    return rows if episodes is None else keep_episodes(rows, episodes).drop("episode_index")
+
+
 def read_episodes(spark: SparkSession, root: str, version: str = "v3.0") -> DataFrame:
     """Episode metadata of either layout, without per-episode statistics columns."""
     df = spark.read.json(f"{root}/meta/episodes.jsonl") if version == "v2.1" else spark.read.option("recursiveFileLookup", True).parquet(f"{root}/meta/episodes")
@@ -124,25 +135,6 @@ def read_annotations(spark: SparkSession, root: str, kinds: list[str] | None = N
     return made.select("kind", F.expr("m[concat(kind, '_index')]").cast("long").alias("index"), F.expr("m[kind]").alias("text"))
 
 
-def discover(spark: SparkSession, root: str, marker: str = r"/meta/info\.json$", files: str = "*.json") -> DataFrame:
-    """(dataset) under a root: the root itself if it has a marker file, else what its dataloader.json lists, else its children; each once.
-
-    Only the listing is read, by Spark's file source; listed paths without a marker are skipped.
-    """
-    plain = r"^\w+:/+"
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(root)
-    listed = listing.select(F.regexp_replace("path", plain, "/").alias("path"), "content")
-    base = re.sub(plain, "/", root).rstrip("/")
-    info = listed.where(F.col("path").rlike(marker)).select(F.regexp_replace("path", marker, "").alias("dataset")).distinct()
-    own = info.where(F.col("dataset") == base).select("dataset", F.lit(0).alias("priority"))
-    loader = listed.where(F.col("path") == f"{base}/dataloader.json").select(F.explode(F.from_json(F.decode("content", "UTF-8"), "dataset_paths array<string>")["dataset_paths"]).alias("dataset"))
-    loader = loader.join(info, "dataset", "left_semi").select("dataset", F.lit(1).alias("priority"))
-    parent = F.regexp_extract("dataset", "^(.*)/[^/]+$", 1)
-    children = info.where(parent == base).select("dataset", F.lit(2).alias("priority"))
-    found = own.unionByName(loader).unionByName(children).distinct()
-    return found.join(found.agg(F.min("priority").alias("priority")), "priority").select("dataset")
-
-
 def catalogue(text: DataFrame, task: str, lines: str) -> DataFrame:
     """(task, dataset) of newline-separated lists, without empty lines."""
     return text.select(task, F.explode(F.split(lines, "\n")).alias("dataset")).select(task, F.trim("dataset").alias("dataset")).where("dataset <> ''")
@@ -160,12 +152,6 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("log"))
 
 
-def footprint(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, rows) of the parquet files under a path."""
-    df = spark.read.option("recursiveFileLookup", True).parquet(path)
-    return df.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 # --- writers ---------------------------------------------------------------
 
 
@@ -186,6 +172,14 @@ def rolled_files(episodes: DataFrame, chunk_size: int, rows_per_file: int = ROWS
     return episodes.withColumn("data/chunk_index", chunk).withColumn("data/file_index", F.floor((upto - F.col("length")) / rows_per_file))
 
 
+def at_store(root: str, path: str):
+    """(file system, name on it) of a path under a root, for tasks that write files themselves."""
+    from pyarrow import fs
+
+    store, top = fs.FileSystem.from_uri(root) if re.match(r"\w+:/", root) else (fs.LocalFileSystem(), root)
+    return store, f"{top}/{path}"
+
+
 def write_files(frames: DataFrame, root: str, path: str) -> DataFrame:
     """Writes the frames of each value of the column ``path`` to the parquet file of that name under the root; (path, rows).
 
@@ -194,10 +188,9 @@ def write_files(frames: DataFrame, root: str, path: str) -> DataFrame:
     """
 
     def save(key: tuple, table: pa.Table) -> pa.Table:
-        from pyarrow import fs, parquet
+        from pyarrow import parquet
 
-        store, top = fs.FileSystem.from_uri(root) if re.match(r"\w+:/", root) else (fs.LocalFileSystem(), root)
-        name = f"{top}/{key[0].as_py()}"
+        store, name = at_store(root, key[0].as_py())
         folder = name.rsplit("/", 1)[0]
         store.create_dir(folder)
         begun = f"{folder}/_{uuid.uuid4().hex}"  # readers skip such names
@@ -208,6 +201,23 @@ def write_files(frames: DataFrame, root: str, path: str) -> DataFrame:
     return frames.groupBy(path).applyInArrow(save, "path string, rows long")
 
 
+def write_texts(files: DataFrame, root: str) -> None:
+    """Writes each row's text to the small file ``path`` under the root, by tasks; a file appears whole or not at all."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, name = at_store(root, path)
+                store.create_dir(name.rsplit("/", 1)[0])
+                begun = f"{name.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(begun) as f:
+                    f.write(text.encode())
+                store.move(begun, name)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    files.select("path", "text").mapInArrow(save, "path string").write.format("noop").mode("overwrite").save()
+
+
 def append_episodes(spark: SparkSession, frames: DataFrame, root: str, chunk_size: int, features: list[str], cameras: int = 0, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Appends finished episodes to a v3.0 lake and returns the metadata of all.
 

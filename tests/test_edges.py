@@ -17,6 +17,7 @@ from episodelake.operators import stats as T
 from episodelake.operators import windows as W
 from episodelake.plans import registered
 from episodelake.sources import lake
+from episodelake.sources.discovery import discover
 
 
 def test_window_longer_than_episode(spark):
@@ -145,7 +146,7 @@ def test_discover_prefers_own_then_list_then_children(spark, tmp_path):
 
     for name in ("a", "b", "c"):
         dataset(tmp_path / name)
-    found = lambda: sorted(r.dataset.rsplit("/", 1)[1] for r in lake.discover(spark, str(tmp_path)).collect())
+    found = lambda: [r.dataset.rsplit("/", 1)[1] for r in discover(spark, str(tmp_path)).orderBy("place").collect()]
     assert found() == ["a", "b", "c"]
     (tmp_path / "dataloader.json").write_text(f'{{"dataset_paths": ["{tmp_path}/b", "{tmp_path}/b", "{tmp_path}/none"]}}')
     assert found() == ["b"]

@@ -125,14 +125,6 @@ def test_exact_quantiles_equal_percentile(spark):
     assert exact_quantiles(df, [], "x", [0.5]).first().q[0] == pytest.approx(np.median([x for _, x in rows if x is not None]))
 
 
-def test_footprint_equals_the_files_metadata(spark, sf):
-    (r,) = L.footprint(spark, f"{sf}/events.parquet").collect()
-    m = pq.read_metadata(f"{sf}/events.parquet")
-    import os
-
-    assert (r.file, r.bytes, r.rows) == ("events.parquet", os.path.getsize(f"{sf}/events.parquet"), m.num_rows)
-
-
 def test_image_shapes(spark):
     chw, hwc = np.zeros((3, 2, 4)).tolist(), np.zeros((2, 4, 3)).tolist()
     ragged = [[[0.0] * 4, [0.0] * 4], [[0.0] * 4, [0.0] * 3], [[0.0] * 4, [0.0] * 4]]
