@@ -10,6 +10,7 @@ from episodelake.paths import scratch
 from episodelake.plans.projections import r6
 from episodelake.registry import query
 from episodelake.streaming import jobs as J
+from episodelake.streaming import recorder as R
 
 
 @query("""WITH a AS (SELECT *, event_id % 8 = 0 AS closed FROM events),
@@ -19,11 +20,36 @@ t AS (SELECT count(*) FILTER (WHERE closed) AS episodes, CAST(sum(CASE WHEN clos
 SELECT user_id, event_id, episode, frame_index, round(frame_index / CAST(30 AS double), 6) AS timestamp, closed, CASE WHEN closed THEN n END AS length, CASE WHEN closed THEN lo END AS min, CASE WHEN closed THEN hi END AS max,
 round(CASE WHEN closed THEN m END, 6) AS mean, round(CASE WHEN closed THEN s END, 6) AS std, t.episodes, t.frames, concat('0:', t.episodes) AS split, rows - t.frames AS open_frames FROM c, t""")
 def str_episode_recorder(spark: SparkSession, sf: str) -> DataFrame:
-    """An event whose number is a multiple of eight ends its user's episode."""
-    s = J.events_stream(spark, sf).select("user_id", "event_id", "ts", "value", (F.col("event_id") % 8 == 0).alias("done"))
-    rows = J.latest(J.record_episodes(s, "user_id", ["ts", "event_id"], "done", "value", 30.0), "append", [])
-    rows = rows.withColumns({c: F.round(c, 6) for c in ("timestamp", "mean", "std")})
-    return rows.crossJoin(F.broadcast(J.recorded_totals(rows)))  # one row of totals
+    """An event whose number is a multiple of eight ends its user's episode; what is open at the end has no end yet."""
+    rows, _ = recorded(spark, sf)
+    rows = rows.withColumns({c: F.round(c, 6) for c in ("timestamp", "mean", "std")}).withColumnsRenamed({"id": "event_id"})
+    totals = R.recorded_totals(rows.withColumnRenamed("event_id", "id"))
+    return rows.where("user_id is not null").crossJoin(F.broadcast(totals))  # one row of totals
+
+
+def recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """(recorded frames of all events, the store of statistics by source into which closed episodes were merged batch by batch).
+
+    When the events have been read, a frame of no user, far in the future,
+    moves the watermark past them.
+    """
+    out, store, checkpoint, clock = (scratch(spark, n) for n in ("recorded", "statistics", "stream", "clock"))
+    frames = J.events_stream(spark, sf).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), "value", (F.col("event_id") % 8 == 0).alias("done"))
+    kind = frames.schema
+    spark.createDataFrame([], kind).write.parquet(clock)
+    stream = frames.unionByName(spark.readStream.schema(kind).parquet(clock))
+    years = 100 * 365 * 86_400.0
+    episodes = R.record_episodes(stream, "user_id", "event_id", "at", "done", "value", 30.0, late="1 hour", idle_seconds=2 * years, slice_seconds=30 * 86_400.0)
+
+    def each(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        rows = df.sparkSession.read.schema(episodes.schema).parquet(f"{out}/batch={n}").where("closed")
+        R.merge_batch(rows.select((F.col("user_id") % 3).alias("source"), *R.STATISTICS, F.col("length").alias("count")), n, store, ["source"])
+
+    J.run_to_end(episodes, "append", each, checkpoint, R.ROCKS)
+    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), F.timestamp_seconds(F.lit(years)).alias("at"), F.lit(0.0).alias("value"), F.lit(False).alias("done")).select(*[F.col(f.name).cast(f.dataType) for f in kind]).write.mode("append").parquet(clock)
+    J.run_to_end(episodes, "append", each, checkpoint, R.ROCKS)
+    return spark.read.schema(episodes.schema.add("batch", "long")).parquet(out).drop("batch"), store
 
 
 @query("SELECT task, row_number() OVER (ORDER BY f) - 1 AS task_index FROM (SELECT concat(event_type, '-', user_id % 9) AS task, min(event_id) AS f FROM events GROUP BY 1)")
@@ -32,19 +58,20 @@ def str_task_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return J.task_dictionary(s, "text", "event_id")
 
 
-@query("SELECT event_type, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS count FROM events GROUP BY 1")
+@query("""WITH b AS (SELECT *, CAST(sum((event_id % 8 = 0)::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) - (event_id % 8 = 0)::int AS bigint) AS episode FROM events),
+c AS (SELECT user_id % 3 AS source, value, bool_or(event_id % 8 = 0) OVER (PARTITION BY user_id, episode) AS closed FROM b)
+SELECT source, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS count FROM c WHERE closed GROUP BY 1""")
 def str_running_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = J.events_stream(spark, sf).groupBy("event_type").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("count")
-    )
-    return J.latest(s, "complete", ["event_type"]).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    """Statistics by source of all closed episodes, merged from the episodes' own as they close."""
+    _, store = recorded(spark, sf)
+    return R.stored_stats(spark, store).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query(sql("frames", """SELECT a.episode_index AS user_id, a.index AS event_id, CAST(i AS bigint) AS pos, b.value AS x FROM frames a, LATERAL unnest(range(0, 4)) t(i)
 JOIN frames b ON b.episode_index = a.episode_index AND b.frame_index = greatest(a.frame_index - 3 + i, 0)"""))
 def str_ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
     s = J.events_stream(spark, sf).select("user_id", "event_id", "ts", "value")
-    return J.latest(J.ring_buffer(s, "user_id", "value", ["ts", "event_id"], 4), "append", [])
+    return J.ring_buffer(s, "user_id", "event_id", "value", ["ts", "event_id"], 4).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""WITH c AS (SELECT user_id, event_id % 3 AS camera, max(ts) AS latest, arg_max(value, ts) AS value FROM events GROUP BY 1, 2),

@@ -1,21 +1,28 @@
-"""Structured Streaming jobs: recorder, dictionaries, running statistics, ring buffers, ensembles."""
+"""Structured Streaming jobs: dictionaries, ring buffers, snapshots, ensembles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from episodelake.operators.windows import places
 from episodelake.paths import scratch
 
 
-def run_to_end(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Runs over all that is there now; ``each`` takes every micro-batch."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(stream.sparkSession, "stream")).trigger(availableNow=True).foreachBatch(each).start()
+def run_to_end(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], checkpoint: str | None = None, conf: dict[str, str] | None = None) -> None:
+    """Runs over all that is there now; ``each`` takes every micro-batch. With a checkpoint it goes on where it ended; ``conf`` holds while it starts."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or scratch(spark, "stream")).trigger(availableNow=True).foreachBatch(each).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
 
 
@@ -39,55 +46,6 @@ def events_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Dat
     return spark.readStream.schema(kind).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/{name}*.parquet")
 
 
-def record_episodes(stream: DataFrame, key: str, order: list[str], done: str, value: str, fps: float) -> DataFrame:
-    """Frames numbered in episodes as they come; the frame that is ``done`` closes its key's episode and the next one opens another.
-
-    Columns: key, event_id, episode (0.. of the key), frame_index, timestamp,
-    closed, and on the closing frame length, min, max, mean and std (population)
-    of the episode's values. State is the open episode's number, count and
-    moments, whatever its length. Rows of one batch are put in order first; a
-    late row takes the next number.
-    """
-    names = [key, "event_id", "episode", "frame_index", "timestamp", "closed", "length", "min", "max", "mean", "std"]
-
-    def record(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        first, at, lo, hi, mean, squares = state.get if state.exists else (0, 0, np.inf, -np.inf, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(order)
-        ends, x = rows[done].to_numpy(bool), rows[value].to_numpy(float)
-        local = np.cumsum(ends) - ends  # the episode of each row, counted from the open one
-        n_local = int(local[-1]) + 1
-        counts = np.bincount(local, minlength=n_local)
-        begun = np.where(np.arange(n_local) == 0, at, 0)
-        frame = np.arange(len(x)) - (np.cumsum(counts) - counts)[local] + begun[local]
-        # this batch's moments, then the open episode's joined to the first
-        means = np.bincount(local, x, n_local) / counts
-        spread = np.bincount(local, (x - means[local]) ** 2, n_local)
-        least, most = np.full(n_local, np.inf), np.full(n_local, -np.inf)
-        np.minimum.at(least, local, x)
-        np.maximum.at(most, local, x)
-        total = counts + begun
-        shift = means[0] - mean
-        spread[0] += squares + shift * shift * at * counts[0] / total[0]
-        means[0] = mean + shift * counts[0] / total[0]
-        least[0], most[0] = min(least[0], lo), max(most[0], hi)
-        rest = (first + n_local, 0, np.inf, -np.inf, 0.0, 0.0) if ends[-1] else (first + n_local - 1, int(total[-1]), least[-1], most[-1], means[-1], spread[-1])
-        state.update(tuple(float(v) if isinstance(v, np.floating) else int(v) if isinstance(v, np.integer) else v for v in rest))
-        out = pd.DataFrame({key: k[0], "event_id": rows["event_id"].to_numpy(), "episode": first + local, "frame_index": frame, "timestamp": frame / fps, "closed": ends})
-        stats = {"length": total.astype(float), "min": least, "max": most, "mean": means, "std": np.sqrt(spread / total)}
-        for name, values in stats.items():
-            out[name] = np.where(ends, values[local], np.nan)
-        yield out[names].astype({"length": "Int64"})
-
-    kind = f"{key} long, event_id long, episode long, frame_index long, timestamp double, closed boolean, length long, min double, max double, mean double, std double"
-    return stream.groupBy(key).applyInPandasWithState(record, kind, "episode long, at long, lo double, hi double, mean double, squares double", "append", "NoTimeout")
-
-
-def recorded_totals(rows: DataFrame) -> DataFrame:
-    """One row of what was recorded: episodes and frames that are closed, the split string, and frames of open episodes."""
-    t = rows.agg(F.count_if("closed").alias("episodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("frames"), F.count(F.lit(1)).alias("n"))
-    return t.select("episodes", "frames", F.concat(F.lit("0:"), F.col("episodes").cast("string")).alias("split"), (F.col("n") - F.col("frames")).alias("open_frames"))
-
-
 def task_dictionary(stream: DataFrame, text: str, order: str) -> DataFrame:
     """(task, task_index): new texts take the next ids in order of arrival, old ids stay.
 
@@ -102,26 +60,39 @@ def task_dictionary(stream: DataFrame, text: str, order: str) -> DataFrame:
         known = s.read.schema(kind).parquet(out).where(F.col("batch") < n)
         fresh = df.groupBy(F.col(text).alias("task")).agg(F.min(order).alias("o")).join(known, "task", "left_anti")
         start = known.agg(F.coalesce(F.max("task_index") + 1, F.lit(0)).alias("start"))
-        place = F.row_number().over(Window.orderBy("o", "task")) - 1  # over the new texts of one batch
-        ids = fresh.withColumn("place", place).crossJoin(F.broadcast(start)).select("task", (F.col("start") + F.col("place")).cast("long").alias("task_index"))
+        ids = places(fresh, ["o", "task"]).crossJoin(F.broadcast(start)).select("task", (F.col("start") + F.col("place")).cast("long").alias("task_index"))
         ids.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     run_to_end(stream, "append", add)
     return spark.read.schema(kind).parquet(out).drop("batch")
 
 
-def ring_buffer(stream: DataFrame, key: str, value: str, order: list[str], n: int) -> DataFrame:
-    """The last n values of each key after each row, filled up with the first: key, event_id, pos, x."""
+def ring_buffer(stream: DataFrame, key: str, frame: str, value: str, order: list[str], n: int) -> DataFrame:
+    """The last n values of each key after each row, filled up with the first: key, frame, pos, x.
 
-    def push(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
-        x = rows[value].to_numpy(float)
-        held = np.array(state.get[0], float) if state.exists else np.full(n, x[0])
-        windows = np.lib.stride_tricks.sliding_window_view(np.r_[held, x], n)[1:]
-        state.update((windows[-1].tolist(),))
-        yield pd.DataFrame({key: k[0], "event_id": np.repeat(rows["event_id"].to_numpy(), n), "pos": np.tile(np.arange(n), len(x)), "x": windows.reshape(-1)})
+    Each batch's rows join the last n that are stored of their keys, in one
+    sorted pass that spills; the new last n are stored under the batch's number,
+    so a batch that is done again finds what it found before.
+    """
+    spark, out, held = stream.sparkSession, scratch(stream.sparkSession, "ring"), scratch(stream.sparkSession, "held")
+    columns = [key, frame, value, *[c for c in order if c not in (key, frame, value)]]
+    kind = stream.select(columns).schema
+    spark.createDataFrame([], kind).write.parquet(f"{held}/batch=-1")
+    series = Window.partitionBy(key).orderBy(*order)
 
-    return stream.groupBy(key).applyInPandasWithState(push, f"{key} long, event_id long, pos long, x double", "held array<double>", "append", "NoTimeout")
+    def push(df: DataFrame, number: int) -> None:
+        s = df.sparkSession
+        past = s.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.LongType())])).parquet(held).where(F.col("batch") < number)
+        newest = past.groupBy(key).agg(F.max("batch").alias("batch"))
+        both = df.select(columns).withColumn("__new", F.lit(True)).unionByName(past.join(newest, [key, "batch"], "left_semi").drop("batch").withColumn("__new", F.lit(False)))
+        ring = both.withColumn("__w", F.collect_list(value).over(series.rowsBetween(-(n - 1), 0)))
+        full = F.concat(F.array_repeat(F.element_at("__w", 1), F.lit(n) - F.size("__w")), "__w")
+        ring.where("__new").select(key, frame, F.posexplode(full).alias("pos", "x")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+        both.withColumn("__r", back).where(F.col("__r") <= n).select(columns).write.mode("overwrite").parquet(f"{held}/batch={number}")
+
+    run_to_end(stream, "append", push)
+    return spark.read.schema(T.StructType([kind[key], kind[frame], T.StructField("pos", T.IntegerType()), T.StructField("x", kind[value].dataType), T.StructField("batch", T.LongType())])).parquet(out).drop("batch")
 
 
 def fresh_snapshot(stream: DataFrame, keys: list[str], camera: Column, ts: str, value: str, max_age: str, n_cameras: int) -> DataFrame:
