@@ -21,10 +21,13 @@ def smp_linspace(spark: SparkSession, sf: str) -> DataFrame:
     return P.linspace_indices(e, ["series"], "len")
 
 
-@query("""WITH e AS (SELECT user_id AS episode_index, count(*) AS length FROM events GROUP BY 1),
-s AS (SELECT episode_index, start FROM e, LATERAL unnest(range(CAST(ceil(length * CAST(0.1 AS double)) AS bigint), CAST(least(floor(length * CAST(0.8 AS double)), length - 8) AS bigint) + 1)) t(start)),
-r AS (SELECT episode_index, start, row_number() OVER (PARTITION BY episode_index ORDER BY md5(concat('7:', episode_index, ':', start))) AS r FROM s)
-SELECT episode_index, start FROM r WHERE r <= 3 ORDER BY md5(concat('7:', episode_index)), r LIMIT 200""")
+@query("""WITH e AS (SELECT user_id AS episode_index, count(*) - 8 AS v FROM events GROUP BY user_id),
+c AS (SELECT episode_index, CAST(floor(0.1::double * v) AS bigint) AS lo, CAST(greatest(floor(0.1::double * v), floor(0.8::double * v)) AS bigint) AS hi FROM e WHERE v >= 0),
+d AS (SELECT episode_index, lo, list_reduce([CAST([] AS bigint[])] || list_transform(range(greatest(hi - lo + 1 - 3, 0), hi - lo + 1), lambda j: [j]),
+  lambda done, j: done || [CASE WHEN list_contains(done, CAST(concat('0x', substr(md5(concat('7:', episode_index, ':', j[1])), 1, 8)) AS bigint) % (j[1] + 1)) THEN j[1]
+    ELSE CAST(concat('0x', substr(md5(concat('7:', episode_index, ':', j[1])), 1, 8)) AS bigint) % (j[1] + 1) END]) AS draws FROM c),
+s AS (SELECT episode_index, lo + unnest(draws) AS start, unnest(range(len(draws))) AS r FROM d)
+SELECT episode_index, start FROM s ORDER BY md5(concat('7:', episode_index)), episode_index, r LIMIT 200""")
 def smp_episode_windows(spark: SparkSession, sf: str) -> DataFrame:
     return P.episode_windows(episodes(spark, sf), 8, 0.1, 0.8, 3, 200, 7)
 
@@ -34,15 +37,29 @@ def smp_sequential(spark: SparkSession, sf: str) -> DataFrame:
     return P.sequential(frames(spark, sf), "index", 10, 7, 500).select("index", "value")
 
 
-@query("SELECT event_id AS index, position FROM (SELECT event_id, row_number() OVER (ORDER BY md5(concat('42:0:', event_id)), event_id) - 1 AS position FROM events) WHERE position >= 256")
+def permutation_sql(keys: list[tuple[int, int, int]]) -> str:
+    """Named queries n (n, side m) and p (idx, position): the permutation of the events' numbers, by another way round."""
+    rounds = "SELECT idx, n, m, CAST(floor(x / m) AS bigint) AS l, x % m AS r FROM q CROSS JOIN n WHERE go"
+    for a, b, c in keys:
+        u = f"((r + {a}) % {P.PRIME})"
+        mixed = f"((({u} * {u} % {P.PRIME}) * {u} % {P.PRIME} + {b}) % {P.PRIME} * {c} % {P.PRIME})"
+        rounds = f"SELECT idx, n, m, r AS l, (l + {mixed}) % m AS r FROM ({rounds})"
+    return f"""n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS bigint) AS m FROM events),
+q(idx, x, go) AS (SELECT event_id, event_id, true FROM events UNION ALL SELECT idx, l * m + r, l * m + r >= n FROM ({rounds})),
+p AS (SELECT idx, x AS position FROM q WHERE NOT go)"""
+
+
+@query(f"WITH RECURSIVE {permutation_sql(P.round_keys(42, 0))} SELECT idx AS index, position FROM p WHERE position >= 256")
 def smp_epoch_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("event_id").alias("index"))
     return P.resume(P.epoch_positions(e, "index", 42, 0), 4 * 8 * 8)
 
 
-@query("SELECT event_id AS index, user_id FROM events WHERE event_id % 8 = 3")
+@query(f"WITH RECURSIVE {permutation_sql(P.round_keys(42, 1))} SELECT idx AS index, position, user_id FROM p JOIN events ON event_id = idx WHERE position % 8 = 3 AND position >= 100")
 def smp_rank_shard(spark: SparkSession, sf: str) -> DataFrame:
-    return P.rank_shard(table(spark, sf, "events").select(F.col("event_id").alias("index"), "user_id"), "index", 3, 8)
+    """The rank's samples from the inverse permutation, joined to their rows."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("index"), "user_id")
+    return P.epoch_samples(spark, e.count(), 42, 1, rank=3, world=8, done=100).join(e, "index")
 
 
 @query("""WITH d AS (SELECT event_id AS index, row_number() OVER (ORDER BY event_id) - 1 AS pos, value > 100 AS padded, count(*) OVER () AS n FROM events),
