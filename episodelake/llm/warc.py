@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -26,8 +27,10 @@ VERSION_LINE, MEMBER = re.compile(rb"WARC/1\.[0-9]\r\n"), re.compile(re.escape(M
 MARKS = re.compile(MEMBER.pattern + b"|" + VERSION_LINE.pattern)
 #: A mark has fewer bytes than this.
 MARK_BYTES = 16
-#: A longer header block is none of a record's; a member that inflates to more is set aside whole.
-HEADER_BYTES, MEMBER_BYTES = 64 << 10, 1 << 30
+#: The content of a gzip member of up to so many bytes is inflated once and held; a longer one is inflated again as it is read.
+HELD_BYTES = 16 << 20
+#: A longer block is more than a row can hold, so its record is set aside.
+BLOCK_BYTES = 1 << 30
 #: A gzip header ends, and content begins, within so many bytes.
 GZIP_HEADER = 4 << 10
 #: Files are read in pieces of so many bytes.
@@ -102,6 +105,64 @@ class Source:
     def at_mark(self, at: int) -> bool:
         return at >= self.size or MARKS.match(self.peek(at, at + MARK_BYTES)) is not None
 
+    def line_end(self, at: int) -> int:
+        """Where the line that begins at ``at`` ends, however long it is, or -1."""
+        size = MARK_BYTES
+        while True:
+            first = self.window(at, at + size)
+            end = self.held.find(b"\r\n", first)
+            if end >= 0:
+                return self.start + end
+            if self.start + len(self.held) >= self.size:
+                return -1
+            size = 2 * (len(self.held) - first)
+
+    def forget(self, at: int) -> None:
+        """Nothing before ``at`` will be asked for."""
+
+
+class Inflated(Source):
+    """The content of the gzip member at ``at``, of known size, inflated as it is read; holds what has not been forgotten."""
+
+    def __init__(self, packed: Source, at: int, size: int):
+        super().__init__(lambda a, b: b"", size)
+        self.packed, self.at, self.unzip = packed, at, zlib.decompressobj(31)
+        self.held = bytearray()
+
+    def window(self, start: int, end: int) -> int:
+        end = min(end, self.size)
+        while self.start + len(self.held) < end:
+            piece = self.unzip.unconsumed_tail
+            if not piece:
+                piece = self.packed.get(self.at, self.at + 65536)
+                self.at += len(piece)
+            try:
+                self.held += self.unzip.decompress(piece, 1 << 20)
+            except zlib.error:  # the size ends where the fault is
+                break
+        return start - self.start
+
+    def get(self, start: int, end: int) -> bytes:
+        return bytes(super().get(start, end))
+
+    def peek(self, start: int, end: int) -> bytes:
+        return self.get(start, end)
+
+    def mark(self, at: int, marks: re.Pattern[bytes]) -> int:
+        while at < self.size:
+            first = self.window(at, at + 65536)
+            found = marks.search(self.held, first)
+            if found:
+                return self.start + found.start()
+            at = max(at + 1, self.start + len(self.held) - MARK_BYTES)
+            self.forget(at)
+        return self.size
+
+    def forget(self, at: int) -> None:
+        if at - self.start > 1 << 20:
+            del self.held[: at - self.start]
+            self.start = at
+
 
 def of_bytes(data: bytes) -> Source:
     return Source(lambda a, b: data[a:b], len(data))
@@ -114,28 +175,28 @@ def parse_record(data: Source, at: int = 0) -> tuple[dict[str, str], bytes, int]
     that is none, or behind a whole header block whose record failed, or behind
     the record if its frame leads to another mark. So its work is linear.
     """
-    first = data.window(at, at + HEADER_BYTES)
-    head, base = data.held, at - first
-    if not VERSION_LINE.match(head, first):
+    if not VERSION_LINE.match(data.peek(at, at + MARK_BYTES)):
         raise Rejected("no version line", at + 1)
     headers: dict[str, str] = {}
-    line = head.find(b"\r\n", first) + 2
+    line = data.line_end(at) + 2
     while True:
-        end = head.find(b"\r\n", line, first + HEADER_BYTES)
-        if end < 0:
-            raise Rejected("headers do not end", base + max(first + 1, min(len(head), first + HEADER_BYTES) - MARK_BYTES))
+        end = data.line_end(line)
+        if end < 0:  # no version line, which has an end, can begin behind here
+            raise Rejected("headers do not end", line)
         if end == line:
             break
-        name, colon, value = head[line:end].partition(b":")
+        name, colon, value = data.get(line, end).partition(b":")
         if not colon or not re.fullmatch(rb"[!-9;-~]+", name):
-            raise Rejected("malformed header line", base + line)
+            raise Rejected("malformed header line", line)
         headers[name.decode("ascii").lower()] = value.strip().decode("utf-8", "replace")
         line = end + 2
-    start = base + line + 2
+    start = line + 2
     size = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,15}", size):
         raise Rejected("no content length", start)
     end = start + int(size)
+    if int(size) > BLOCK_BYTES:
+        raise Rejected("block is too large", start)
     if end + 4 > data.size or data.peek(end, end + 4) != b"\r\n\r\n":
         raise Rejected("content length does not lead to a record's end", start)
     block = data.get(start, end)
@@ -145,27 +206,30 @@ def parse_record(data: Source, at: int = 0) -> tuple[dict[str, str], bytes, int]
     return headers, block, end + 4
 
 
-def member_at(data: Source, at: int) -> tuple[bytes, int, str]:
+def member_at(data: Source, at: int) -> tuple[Source, int, str]:
     """(content, end, fault) of the gzip member at ``at``; content up to the fault if there is one.
 
-    Its header ends within GZIP_HEADER bytes, which a false mark's may not.
+    The member is inflated to its end, so its fault is known before any of its
+    records is taken; content of more than HELD_BYTES is not kept meanwhile. Its
+    header ends within GZIP_HEADER bytes, which a false mark's may not.
     """
-    unzip, parts, size, end = zlib.decompressobj(31), [], 0, at
+    unzip, parts, size, end, fault = zlib.decompressobj(31), [], 0, at, ""
     try:
-        while not unzip.eof:
+        while not unzip.eof and not fault:
             piece = data.get(end, end + (65536 if size else GZIP_HEADER))
             if not piece or (end > at and not size):
-                return b"".join(parts), end, "gzip member does not end"
+                fault = "gzip member does not end"
             end += len(piece)
             while piece and not unzip.eof:
                 parts.append(unzip.decompress(piece, 1 << 20))
                 size += len(parts[-1])
                 piece = unzip.unconsumed_tail
-                if size > MEMBER_BYTES:
-                    return b"", end, "gzip member is too large"
+                if size > HELD_BYTES:
+                    parts.clear()
     except zlib.error as e:
-        return b"".join(parts), end, f"bad gzip member: {e}"
-    return b"".join(parts), end - len(unzip.unused_data), "" if size else "empty gzip member"
+        fault = f"bad gzip member: {e}"
+    content = of_bytes(b"".join(parts)) if size <= HELD_BYTES else Inflated(data, at, size)
+    return content, end - len(unzip.unused_data) * (not fault), fault or ("" if size else "empty gzip member")
 
 
 def salvage(data: bytes | Source, packed: bool = True) -> Iterator[Item]:
@@ -180,20 +244,23 @@ def salvage(data: bytes | Source, packed: bool = True) -> Iterator[Item]:
     data = data if isinstance(data, Source) else of_bytes(data)
     at, bad, reason, marks = 0, None, "", MARKS
     while at < data.size:
-        found: list[Item] = []
+        data.forget(at)
         try:
             if packed and data.get(at, at + 3) == MAGIC:
                 content, end, fault = member_at(data, at)
-                inner = list(salvage(content, packed=False))
                 if fault:
-                    marks = MEMBER if content.startswith(b"WARC/1.") else marks
-                    for x in inner:
+                    marks = MEMBER if content.peek(0, 7) == b"WARC/1." else marks
+                    for x in salvage(content, packed=False):
                         if x.headers is not None and x.headers.get("warc-block-digest", "").startswith("sha256:"):
                             yield Item(at, -1, x.headers, x.block, inside=x.start)
                     raise Rejected(fault, at + 1)
-                if all(x.headers is None for x in inner):
-                    raise Rejected(inner[0].reason, end if data.at_mark(end) else at + 1)
-                found = [Item(at, end, x.headers, x.block, x.reason, x.start if len(inner) > 1 else -1) for x in inner]
+                # what stands alone in its member has no place inside; a lone gap means that nothing in it is good
+                inner = salvage(content, packed=False)
+                first, second = next(inner), next(inner, None)
+                if second is None and first.headers is None:
+                    raise Rejected(first.reason, end if data.at_mark(end) else at + 1)
+                several = chain([first, second], inner) if second else [first]
+                found = (Item(at, end, x.headers, x.block, x.reason, x.start if second else -1) for x in several)
             else:
                 headers, block, end = parse_record(data, at)
                 found = [Item(at, end, headers, block)]
@@ -214,8 +281,8 @@ def salvage(data: bytes | Source, packed: bool = True) -> Iterator[Item]:
 # --- Spark -----------------------------------------------------------------
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, sha, record_type, refers_to) of every page.
+def plan_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((page_id, sha, refers_to) of pages that revisit another, (page_id, sha) of responses that stand in several rows), each once.
 
     Of equal payloads of LEAST_REVISIT bytes or more the smallest page_id is
     the response, the others revisit it, those without an id too; if none of
@@ -224,11 +291,24 @@ def plan_records(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     digests = written(pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("sha")))
     large = digests.where(F.col("payload_bytes") >= LEAST_REVISIT)
-    groups = written(large.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    found = attach_groups(large, groups, "sha", "copies", max(1, digests.count())).select(*digests.columns, "first_id")
-    found = found.unionByName(digests.where(F.col("payload_bytes") < LEAST_REVISIT), allowMissingColumns=True)
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return found.select("page_id", "payload_bytes", "sha", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    groups = written(large.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null"))
+    found = attach_groups(large, groups, "sha", "copies", max(1, digests.count())).where("first_id is not null")
+    per_id = found.groupBy("page_id", "sha").agg(F.first("first_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    per_id = written(per_id.withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first_id"))))
+    return per_id.where("not is_first").select("page_id", "sha", F.col("first_id").alias("refers_to")), per_id.where("is_first and n > 1").select("page_id", "sha")
+
+
+def responses_once(rows: DataFrame) -> DataFrame:
+    """Of the equal payloads that one page_id has in several rows, the row of the least url stays a response, all others revisit it."""
+    url = F.struct(F.col("url").isNull().alias("none"), "url")
+    first = rows.groupBy("page_id", "sha").agg(F.min(url).alias("u"), F.first("payload").alias("payload"), F.first("size").alias("size")).withColumns({"url": F.col("u.url"), "refers_to": F.lit(None).cast(rows.schema["page_id"].dataType)})
+    counts = rows.groupBy("page_id", "sha", "url").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    same = counts["page_id"].eqNullSafe(first["page_id"]) & (counts["sha"] == first["sha"]) & counts["url"].eqNullSafe(first["url"])
+    rest = counts.join(first.select("page_id", "sha", "url", F.lit(1).alias("taken")), same, "left").select(*[counts[c] for c in counts.columns], "taken")
+    # very many equal rows are dealt out again
+    again = rest.withColumn("i", F.explode(F.expr("sequence(1, n)"))).where("i > coalesce(taken, 0)").repartition("i")
+    columns = ["page_id", "url", "payload", "size", "sha", "refers_to"]
+    return first.select(columns).unionByName(again.withColumns({"payload": F.lit(None).cast("binary"), "refers_to": F.col("page_id")}).select(columns))
 
 
 def write_warc(pages: DataFrame, path: str) -> DataFrame:
@@ -240,7 +320,7 @@ def write_warc(pages: DataFrame, path: str) -> DataFrame:
     """
     columns = [F.col("page_id"), (F.col("url") if "url" in pages.columns else F.lit(None).cast("string")).alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")]
     slim = pages.select(*columns).withColumn("sha", F.sha2("payload", 256))
-    revisits = written(plan_records(pages).where("record_type = 'revisit'").select("page_id", "sha", "refers_to").distinct())
+    revisits, repeated = plan_records(pages)
     # the payloads stay where they are while the revisits are few; beyond that both sides are shuffled
     few = revisits.count() <= BROADCAST_ROWS
     other = revisits.select(F.col("page_id").alias("revisit_id"), F.col("sha").alias("revisit_sha"), "refers_to")
@@ -248,6 +328,9 @@ def write_warc(pages: DataFrame, path: str) -> DataFrame:
     rows = slim.join(F.broadcast(other) if few else other, same, "left").select(
         "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"), "sha", "refers_to"
     )
+    if not repeated.isEmpty():
+        several = near(repeated)
+        rows = rows.join(several, ["page_id", "sha"], "left_anti").select(rows.columns).unionByName(responses_once(rows.join(several, ["page_id", "sha"], "left_semi")).select(rows.columns))
 
     def saved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -379,8 +462,8 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to,
     target_uri. Null payloads are empty; a null page_id gives a record without
-    id; rows that repeat a page_id are records of their own (the first of
-    an id that repeats a payload is that payload's response for all of them).
+    id; rows that repeat a page_id are records of their own, and if that id is a
+    payload's smallest, the row of the least url is the one response.
     An empty table gives no rows; a damaged archive is an error (``read_back``).
     """
     spark = pages.sparkSession
