@@ -19,6 +19,10 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.gettempdir()
+    # tasks that write files themselves must mean the same store as Spark
+    store, path = _hadoop(spark, top)
+    if ":" not in top.split("/")[0] and store.getUri().getScheme() != "file":
+        top = store.makeQualified(path).toString()
     _given.append(f"{top.rstrip('/')}/episodelake-{name}-{uuid.uuid4().hex}")
     return _given[-1]
 
