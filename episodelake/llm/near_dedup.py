@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from episodelake.llm.bloom import hash_filter, may_hold
 from episodelake.llm.common import attach_groups, join_groups, near, written
 from episodelake.llm.components import components
-from episodelake.llm.textbytes import BASE, Words, mix, shingle_hashes, text_blocks, words_of_block
+from episodelake.llm.textbytes import BASE, Words, mix, shingle_hashes, text_blocks, word_texts, words_of_block
 
 SHINGLE, SIMILAR = 5, 0.8
 #: A sum of doubles this much below the threshold still reaches it.
@@ -24,6 +24,8 @@ BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Texts of a bucket that every other text of it is compared with before classes are made.
 CENTRES = 3
+#: Pairs of one text that go to one task.
+HOT_PAIRS = 1024
 #: Bytes of shingle sets that meet in one task: of texts outside their bucket's largest class, and of any of its texts.
 OUTSIDE_BYTES, MEMBER_BYTES = 1 << 20, 4 << 20
 #: A digest's first eight bytes as a number, in SQL.
@@ -81,11 +83,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def word_keys(words: Words) -> list[bytes]:
-    """A 128-bit digest of each text's words in order."""
-    raw = words.hash.tobytes()
-    ends = (words.offsets * 8).tolist()
-    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def word_keys(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each text's words in order, by their bytes."""
+    return [hashlib.blake2b(t, digest_size=16).digest() for t in word_texts(data, offsets)]
 
 
 def prob_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h, count, doc = counted_shingles(words)
                 keys = band_keys(prob_minhash(h, weights(count), doc, b - a))[some].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * BANDS)], pa.int32()), pa.array(keys.reshape(-1)))
-                digests = [k if s else None for k, s in zip(word_keys(words), some.tolist(), strict=True)]
+                digests = [k if s else None for k, s in zip(word_keys(data, offsets), some.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), lists], names=["id", "digest", "bands"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -134,7 +134,7 @@ def shingle_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 words = words_of_block(data, offsets)
-                keys = word_keys(words)
+                keys = word_keys(data, offsets)
                 asked = np.flatnonzero(np.diff(words.offsets) > 0)
                 asked = asked[may_hold(shared.value, digest_hash([keys[i] for i in asked]))]
                 h, count, doc = counted_shingles(words)
@@ -171,9 +171,20 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
             keep = [prob_jaccard(*unpacked(ha, ca), *unpacked(hb, cb)) >= similar - ROUNDING for ha, ca, hb, cb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("c").alias("ca"))
-    right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(checked, "a long, b long")
+    both = with_sets(with_sets(pairs.select("a", "b"), sets, "b"), sets, "a")
+    return both.select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(checked, "a long, b long")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """Adds the shingle set of one side of pairs (a, b); a text of more than HOT_PAIRS pairs has its set copied for every HOT_PAIRS of them."""
+    counts = written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > HOT_PAIRS))
+    named = sets.select(F.col("node").alias(side), F.col("h").alias(f"h{side}"), F.col("c").alias(f"c{side}"))
+    if counts.isEmpty():
+        return pairs.join(named, side)
+    parts = F.coalesce(F.ceil(F.col("pairs") / HOT_PAIRS), F.lit(1)).cast("int")
+    dealt = attach_groups(pairs, counts, side, "pairs", pairs.count()).withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("pairs")
+    copied = named.join(near(counts), side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("pairs")
+    return dealt.join(copied, [side, "part"]).drop("part")
 
 
 def candidate_buckets(groups: DataFrame) -> DataFrame:
@@ -265,7 +276,7 @@ def link_labels(docs: DataFrame, text_col: str, groups: DataFrame, similar: floa
         return None
     sets = written(shingle_sets(docs, text_col, nodes))
     stars = found.select("node", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("centre")).where("node <> centre")
-    pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    pairs = written(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     labels = components(written(verify(pairs, sets, similar)))
     more = components(written(remaining_links(found, labels, sets, similar)))
     joined = nodes.select("node").join(near(labels), "node", "left").select("node", F.coalesce("label", "node").alias("first"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodelake.llm.common import written
-from episodelake.llm.textbytes import BASE, mix, text_blocks
+from episodelake.llm.textbytes import BASE, LONG_WORD, mix, text_blocks, word_hashes
 
 #: Words of a repeated sequence, of the gram that deals it, and of one level of a tree.
 WINDOW, GRAM, STEP = 50, 5, 8
@@ -34,16 +34,14 @@ WINDOW, GRAM, STEP = 50, 5, 8
 BLOCK_BYTES, BLOCK_ROWS, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 1 << 16, 6 << 20, 32
 #: Strings of one gram above which each of their suffixes is dealt by itself.
 HOT_STRINGS = 1 << 14
-#: Words whose grams are compared at a time, and bytes above which a word travels as its digest.
-PART_WORDS, LONG_WORD = 1 << 19, 64
+#: Words whose grams are compared at a time; words over LONG_WORD bytes travel as their digests.
+PART_WORDS = 1 << 19
 #: Rows without an id sort after all others.
 NO_ID = (1 << 63) - 1
 PLACE = np.uint64(28)
 SPACE = 0x20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: The low bytes of a number of eight that a word of so many bytes fills.
-MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _pack(data: np.ndarray) -> bytes:
@@ -74,21 +72,6 @@ def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
 # --- a block of documents --------------------------------------------------
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each word, eight bytes at a time; only chooses candidates. ``data`` has eight more bytes than its words."""
-    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
-    h = size.astype(np.uint64)
-    active = np.flatnonzero(size <= LONG_WORD)
-    for step in range(0, LONG_WORD, 8):
-        active = active[size[active] > step]
-        if not len(active):
-            break
-        h[active] = mix(h[active] * BASE + (eight[start[active] + step] & MASK[np.minimum(size[active] - step, 8)]))
-    for i in np.flatnonzero(size > LONG_WORD):
-        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
-    return h
-
-
 def least_grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(for each place with WINDOW words from it, the place of the least hashed gram of these, the leftmost of equals; the hash of each gram)."""
     n = len(h) - WINDOW + 1

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[65:91] = IS_WORD[128:] = True
+#: The low bytes of a number of eight that a word of so many bytes fills; bytes above which a word is hashed by itself.
+MASK, LONG_WORD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64), 64
 #: Texts are worked on in blocks of about so many bytes.
 BLOCK_BYTES = (2 << 20) - 1
 
@@ -27,21 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
-
-
 def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of blocks of whole texts; null is empty, a text over ``most`` bytes is a block of its own."""
     texts = pc.fill_null(column.cast(pa.large_string()), "")
@@ -57,6 +44,21 @@ def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
         a = b
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word, mixed after every eight bytes, so no words of a regular make share one; ``data`` has eight more bytes than its words."""
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,))
+    h = size.astype(np.uint64)
+    active = np.flatnonzero(size <= LONG_WORD)
+    for step in range(0, LONG_WORD, 8):
+        active = active[size[active] > step]
+        if not len(active):
+            break
+        h[active] = mix(h[active] * BASE + (eight[start[active] + step] & MASK[np.minimum(size[active] - step, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 @dataclass
 class Words:
     """Words of a block: byte range, text number and hash of each, in order; and where each text's words begin."""
@@ -76,11 +78,18 @@ def words_of_block(data: np.ndarray, offsets: np.ndarray) -> Words:
     before = np.r_[False, inside[:-1]] & ~first[:-1] if len(data) else inside
     after = np.r_[inside[1:], False] & ~first[1:] if len(data) else inside
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((FOLD[data].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    folded = np.r_[FOLD[data], np.zeros(8, np.uint8)]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Words(start, end, doc, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(doc, np.arange(n_docs + 1)))
+    return Words(start, end, doc, word_hashes(folded, start, end - start), np.searchsorted(doc, np.arange(n_docs + 1)))
+
+
+def word_texts(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The words of each text, A-Z as a-z, with one space between them."""
+    inside = IS_WORD[data]
+    stay = inside | np.r_[False, inside[:-1]] if len(data) else inside
+    out = np.where(inside, FOLD[data], np.uint8(0x20))[stay].tobytes()
+    ends = np.r_[0, np.cumsum(stay)][offsets].tolist()
+    return [out[a:b].strip(b" ") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from episodelake.llm.decontaminate import decontaminate
 from episodelake.llm.exact_dedup import exact_dedup
 from episodelake.llm.license_scan import license_scan
 from episodelake.llm.license_texts import TEMPLATES
-from episodelake.llm.textbytes import text_blocks, words_of_block
+from episodelake.llm.textbytes import text_blocks, word_texts, words_of_block
 from episodelake.llm.token_counts import count_tokens
 
 SCHEMA = "doc_id long, text string, lang string, id long, h long, node string, rid long, score double, shard int"
@@ -597,6 +597,45 @@ def test_one_response_of_rows_that_repeat_an_id(spark):
     assert got == sorted(str(w) for w in want)
 
 
+def morse(n, swap):
+    word = "01" if not swap else "10"
+    while len(word) < n:
+        word += word.translate({48: 49, 49: 48})
+    return word.translate({48: 97, 49: 98})
+
+
+def test_words_of_a_regular_make_are_different(spark):
+    """Words that any polynomial modulo a power of two takes for equal, short and long ones, are other words."""
+    for n in (64, 2048):
+        a, b = morse(n, False), morse(n, True)
+        assert a != b and len(a) == len(b)
+        common = prose(41, 3)
+        rows = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(make(spark, [f"{common} {a}", f"{common} {b}", f"{common}, {a.upper()}!"])).collect()}
+        assert rows == {0: 0, 1: 1, 2: 0}
+
+
+def test_texts_of_words_are_told_by_their_bytes(spark):
+    texts = ["One two", "one  TWO.", "(one) two", "onetwo", "one tw o", "", "!", "É x", "é x"]
+    block = next(text_blocks(spark.createDataFrame([(t,) for t in texts], "t string").toArrow().column(0).combine_chunks()))
+    assert word_texts(*block[2:]) == [b"one two"] * 3 + [b"onetwo", b"one tw o", b"", b"", "É x".encode(), "é x".encode()]
+
+
+def test_pairs_of_a_hot_text_are_split(spark, monkeypatch):
+    """A centre of most pairs goes to many tasks, with Spark's own splitting off; no pair is lost."""
+    monkeypatch.setattr(near_dedup, "HOT_PAIRS", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 20_000
+        pairs = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        sets = spark.range(n).select(F.col("id").alias("node"), F.lit(b"12345678").alias("h"), F.lit(b"").alias("c"))
+        parts = near_dedup.with_sets(pairs, sets, "a").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in parts) == n - 1 and len(parts) > 40 and max(r["count"] for r in parts) < n // 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_headers_of_any_length(spark):
     """A data url of a megabyte is a header line like others."""
     pages = [(i, "data:" + "u" * n, f"page {i} " * 40) for i, n in enumerate((10, 70_000, 1_000_000, 5_000_000))]
