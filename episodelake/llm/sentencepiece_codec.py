@@ -291,7 +291,8 @@ def search_long(model: Model, words: list[str]) -> list[np.ndarray]:
 
     Windows that overlap are searched together. Two of them join at a cut that
     both have and over which their pieces are allowed: then all neighbours are,
-    and the whole is the result. Words whose windows do not join, such as long
+    and the whole is the result. A join looks at the overlap alone, so the work
+    is linear in a word's length. Words whose windows do not join, such as long
     runs of one character, are merged with a heap.
     """
     step = WIDE - OVERLAP
@@ -307,17 +308,18 @@ def search_long(model: Model, words: list[str]) -> list[np.ndarray]:
                 cuts[windows[k][0], windows[k][1]] = np.flatnonzero(row) + windows[k][1]
     out = []
     for i, w in enumerate(words):
-        starts: np.ndarray | None = cuts[i, 0]
+        parts = [cuts[i, 0]]
         for a in range(step, max(1, len(w) - OVERLAP), step):
-            mine = cuts[i, a]
-            # cuts that both have, away from the first window's end, where its path may still be open
-            joint = np.intersect1d(starts[starts < a + OVERLAP], mine[mine > a])
-            at = next((int(x) for x in joint if joins(model, w, starts, mine, int(x))), None)
+            last, mine = parts[-1], cuts[i, a]
+            # cuts that both have where they overlap, away from the first window's end, where its path may still be open
+            joint = np.intersect1d(last[(last > a) & (last < a + OVERLAP)], mine[mine > a])
+            at = next((int(x) for x in joint if joins(model, w, last, mine, int(x))), None)
             if at is None:
-                starts = None
+                parts.clear()
                 break
-            starts = np.r_[starts[starts < at], mine[mine >= at]]
-        out.append(np.array(merge_long(model, w)) if starts is None else starts)
+            parts[-1] = last[last < at]
+            parts.append(mine[mine >= at])
+        out.append(np.concatenate(parts) if parts else np.array(merge_long(model, w)))
     return out
 
 

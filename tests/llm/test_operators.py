@@ -191,6 +191,27 @@ def test_sentencepiece_equals_library_on_documents(spark):
     assert not any(c.model.rules.odd.search(w) for w in c.known if "   " not in w)
 
 
+def test_very_long_words_take_linear_time():
+    """A word of 400,000 characters has the library's ids; ten times that, base64 or not spaced at all, takes ten times as long."""
+    import time
+
+    import sentencepiece
+
+    path, rng = tokenizer_file("piece_bpe_32k.model"), random.Random(12)
+    c, library = sentencepiece_codec.codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    word = "".join(rng.choices("etaoinshrdluETAOIN0123456789+/", k=400_000))
+    chinese = "".join(rng.choices("日本語中文的一是不了人我在有他这", k=100_000))
+    ids, ends = c.encode([word, chinese])
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == library.encode([word, chinese], num_threads=1)
+    times = []
+    for n in (200_000, 1_600_000):
+        some = "".join(rng.choices("etaoinshrdluETAOIN0123456789+/", k=n))
+        began = time.process_time()
+        c.encode([some])
+        times.append(time.process_time() - began)
+    assert times[1] < 20 * times[0] + 5
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_paths_of_allowed_neighbours_are_merges(seed):
     """On made-up vocabularies, with scores that tie; the plain twin takes the best and leftmost pair again and again."""
