@@ -175,32 +175,36 @@ def src_file_footprint(spark: SparkSession, sf: str) -> DataFrame:
 def appended(spark: SparkSession, sf: str) -> str:
     """A lake to which the episodes of each source were appended in turn."""
     root = scratch(spark, "append")
-    f = frames(spark, sf).select(F.col("episode_index").alias("episode"), "frame_index", "value", "source")
+    f = frames(spark, sf).select(F.col("episode_index").alias("episode"), "frame_index", "value", "source", "task")
     for source in ("alpha", "beta", "gamma"):
-        L.append_episodes(spark, f.where(F.col("source") == source), root, 20, ["value"], cameras=2, rows_per_file=1000)
+        L.append_episodes(spark, f.where(F.col("source") == source), root, 20, ["value"], cameras=2, bytes_per_file=40_000, task="task")
     return root
 
 
-@query(sql("frames", """t AS (SELECT count(DISTINCT episode_index) AS n, count(*) AS total_frames, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max FROM frames)
-SELECT source, count(DISTINCT episode_index) AS episodes, count(*) AS frames, any_value(n) AS total_episodes, any_value(total_frames) AS total_frames, CAST(ceil(any_value(n) / 20.0) AS bigint) AS total_chunks, any_value(n) * 2 AS total_videos,
+@query(sql("frames", """t AS (SELECT count(DISTINCT episode_index) AS n, count(*) AS total_frames, count(DISTINCT task) AS total_tasks, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max FROM frames)
+SELECT source, count(DISTINCT episode_index) AS episodes, count(*) AS frames, any_value(n) AS total_episodes, any_value(total_frames) AS total_frames, CAST(ceil(any_value(n) / 20.0) AS bigint) AS total_chunks, any_value(n) * 2 AS total_videos, any_value(total_tasks) AS total_tasks, count(DISTINCT (task, episode_index)) AS episode_tasks, bool_and(true) AS tasks_ok,
 concat('0:', any_value(n)) AS split, any_value(mean) AS mean, any_value(std) AS std, any_value(min) AS min, any_value(max) AS max FROM frames, t GROUP BY source"""))
 def sink_append_episodes(spark: SparkSession, sf: str) -> DataFrame:
     root = appended(spark, sf)
     stored = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
     s = L.read_stats_json(spark, f"{root}/meta/stats.json")
     stats = s.agg(*[F.round(F.max(F.when(F.col("stat") == n, F.col("value"))), 6).alias(n) for n in ("mean", "std", "min", "max")])
-    per = stored.groupBy("source").agg(F.countDistinct("episode_index").alias("episodes"), F.countDistinct("index").alias("frames"))
+    meta = L.read_episodes(spark, root).select("episode_index", "tasks")
+    named = stored.join(L.read_tasks(spark, root), "task_index").join(meta, "episode_index")
+    per = named.groupBy("source").agg(
+        F.countDistinct("episode_index").alias("episodes"), F.countDistinct("index").alias("frames"), F.countDistinct("task", "episode_index").alias("episode_tasks"), F.bool_and(F.array_contains("tasks", F.col("task"))).alias("tasks_ok")
+    )
     return per.crossJoin(F.broadcast(L.read_totals(spark, root))).crossJoin(F.broadcast(stats))  # one row each
 
 
 @query("""WITH e AS (SELECT user_id AS episode_index, count(*) AS length FROM events GROUP BY user_id),
-r AS (SELECT *, CAST(floor(episode_index / 10) AS bigint) AS chunk FROM e),
-f AS (SELECT *, CAST(floor((sum(length) OVER (PARTITION BY chunk ORDER BY episode_index) - length) / 200) AS bigint) AS file FROM r)
-SELECT episode_index, length, printf('data/chunk-%03d/episode_%06d.parquet', chunk, episode_index) AS path, printf('data/chunk-%03d/file-%03d.parquet', chunk, file) AS rolled FROM f""")
+r AS (SELECT *, CAST(floor((sum(length * 24) OVER (ORDER BY episode_index) - length * 24) / 5000) AS bigint) AS stretch FROM e),
+f AS (SELECT *, dense_rank() OVER (ORDER BY stretch) - 1 AS file FROM r)
+SELECT episode_index, length, printf('data/chunk-%03d/episode_%06d.parquet', CAST(floor(episode_index / 10) AS bigint), episode_index) AS path, printf('data/chunk-%03d/file-%03d.parquet', CAST(floor(file / 10) AS bigint), file % 10) AS rolled FROM f""")
 def sink_chunked_layout(spark: SparkSession, sf: str) -> DataFrame:
-    """Both layouts are written, a file for each episode and files of 200 rows or more, and every episode is looked for where it is."""
+    """Both layouts are written, a file for each episode and files of some 5,000 bytes, ten to a chunk, and every episode is looked for where it is."""
     f = frames(spark, sf).select("episode_index", "frame_index", "value")
-    e = L.rolled_files(episodes(spark, sf), 10, 200)
+    e = L.rolled_files(f.groupBy("episode_index").agg(F.sum(L.row_bytes(f, f.columns)).alias("bytes")), 10, 5000)
     paths = e.select("episode_index", L.chunk_paths(F.col("episode_index"), 10).alias("path"), F.format_string("data/chunk-%03d/file-%03d.parquet", "data/chunk_index", "data/file_index").alias("rolled"))
     found = []
     for column in ("path", "rolled"):

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from episodelake.operators.checks import keep_episodes
 from episodelake.operators.stats import feature_stats, merge_stats
 from episodelake.operators.windows import episode_offsets, places
-from episodelake.paths import exists, put_text
+from episodelake.paths import exists, put_text, scratch
+from episodelake.sources.commits import EPISODES, STATS, TASKS, begin, commit, settle
 
 #: The annotation dictionaries and their files.
 ANNOTATIONS = {
@@ -30,8 +31,8 @@ ANNOTATIONS = {
 }
 #: Levels of objects and of lists that a statistics tree may have.
 OBJECTS, LISTS = 5, 5
-#: Rows after which a data file is closed.
-ROWS_PER_FILE = 1_000_000
+#: Uncompressed bytes after which a data file is closed.
+BYTES_PER_FILE = 100 << 20
 PRIMITIVES = {"float32": T.FloatType(), "float64": T.DoubleType(), "int64": T.LongType(), "int32": T.IntegerType(), "bool": T.BooleanType(), "string": T.StringType(), "image": T.BinaryType()}
 
 
@@ -62,6 +63,7 @@ def read_frames(spark: SparkSession, root: str, features: dict[str, dict], episo
     ``episodes`` selects by ints and inclusive [start, end] ranges; the bounds
     are pushed to the scan, which skips files and row groups without them.
     """
+    settle(spark, root)
     want = schema_of(features)
     have = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
     if episodes is not None:
@@ -74,6 +76,7 @@ def stored_index(spark: SparkSession, root: str, episodes: list[int | list[int]]
 
     With ``episodes`` only the rows of those (ints and inclusive [start, end] ranges).
     """
+    settle(spark, root)
     have = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
     rows = have.select(F.regexp_extract(F.col("_metadata.file_path"), "/(data/.*)$", 1).alias("file"), F.col("_metadata.row_index").alias("row"), "index", *["episode_index"] * (episodes is not None))
     return rows if episodes is None else keep_episodes(rows, episodes).drop("episode_index")
@@ -81,12 +84,14 @@ def stored_index(spark: SparkSession, root: str, episodes: list[int | list[int]]
 
 def read_episodes(spark: SparkSession, root: str, version: str = "v3.0") -> DataFrame:
     """Episode metadata of either layout, without per-episode statistics columns."""
+    settle(spark, root)
     df = spark.read.json(f"{root}/meta/episodes.jsonl") if version == "v2.1" else spark.read.option("recursiveFileLookup", True).parquet(f"{root}/meta/episodes")
     return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("stats/")])
 
 
 def read_tasks(spark: SparkSession, root: str, version: str = "v3.0") -> DataFrame:
     """(task_index, task); the parquet form keeps the text in its pandas index column."""
+    settle(spark, root)
     if version == "v2.1":
         return spark.read.schema("task_index long, task string").json(f"{root}/meta/tasks.jsonl")
     return spark.read.parquet(f"{root}/meta/tasks.parquet").withColumnRenamed("__index_level_0__", "task").select("task_index", "task")
@@ -162,14 +167,33 @@ def write_frames(frames: DataFrame, root: str, chunk_size: int) -> None:
     rows.sortWithinPartitions("chunk", "episode_index", "frame_index").write.mode("append").partitionBy("chunk").parquet(f"{root}/data")
 
 
-def rolled_files(episodes: DataFrame, chunk_size: int, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Adds data/chunk_index and data/file_index: a chunk has chunk_size episodes, a new file begins after rows_per_file rows.
+def value_bytes(column: Column, kind: T.DataType) -> Column:
+    """Uncompressed bytes of a value: eight for a number, its bytes for a text or binary, its elements' for an array."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.ArrayType, T.StringType, T.BinaryType)):
+            return F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda acc, x: acc + value_bytes(x, kind.elementType)), F.lit(0))
+        return F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)).cast("long") * 8
+    return F.lit(8).cast("long")
 
-    Episodes stay whole; a window has one chunk's episodes.
+
+def row_bytes(df: DataFrame, columns: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [value_bytes(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns], F.lit(0).cast("long"))
+
+
+def rolled_files(episodes: DataFrame, chunk_size: int, bytes_per_file: int = BYTES_PER_FILE, first_file: int = 0) -> DataFrame:
+    """Adds data/chunk_index and data/file_index to episodes (episode_index, bytes): a chunk has chunk_size files.
+
+    Episodes stay whole, in their order: a file has those that begin in one
+    stretch of bytes_per_file bytes of all, so at most that and one more
+    episode. Files are numbered without gaps from ``first_file`` over all chunks.
     """
-    chunk = F.floor(F.col("episode_index") / chunk_size)
-    upto = F.sum("length").over(Window.partitionBy("data/chunk_index").orderBy("episode_index").rowsBetween(Window.unboundedPreceding, 0))
-    return episodes.withColumn("data/chunk_index", chunk).withColumn("data/file_index", F.floor((upto - F.col("length")) / rows_per_file))
+    placed = episode_offsets(episodes, "bytes").withColumn("__stretch", F.floor(F.col("from_index") / bytes_per_file)).drop("from_index", "to_index")
+    stretches = placed.select("__stretch").distinct()
+    number = F.row_number().over(Window.orderBy("__stretch")) - 1 + first_file  # a row for each file
+    files = stretches.select("__stretch", F.floor(number / chunk_size).alias("data/chunk_index"), (number % chunk_size).cast("long").alias("data/file_index"))
+    return placed.join(files, "__stretch").drop("__stretch")
 
 
 def at_store(root: str, path: str):
@@ -183,22 +207,45 @@ def at_store(root: str, path: str):
 def write_files(frames: DataFrame, root: str, path: str) -> DataFrame:
     """Writes the frames of each value of the column ``path`` to the parquet file of that name under the root; (path, rows).
 
-    A file's rows are one group, bounded by the layout. A file appears whole
-    under its name or not at all, so a repeated task replaces its own file.
+    A file's rows come sorted by episode and frame and are written as they
+    come, a batch at a time. A file appears whole under its name or not at all,
+    so a repeated task replaces its own file.
     """
 
-    def save(key: tuple, table: pa.Table) -> pa.Table:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import parquet
 
-        store, name = at_store(root, key[0].as_py())
-        folder = name.rsplit("/", 1)[0]
-        store.create_dir(folder)
-        begun = f"{folder}/_{uuid.uuid4().hex}"  # readers skip such names
-        parquet.write_table(table.drop_columns([path]).sort_by([("episode_index", "ascending"), ("frame_index", "ascending")]), begun, filesystem=store)
-        store.move(begun, name)
-        return pa.table({"path": [key[0].as_py()], "rows": [len(table)]})
+        name, out, begun, store, rows = None, None, "", None, 0
+        done: list[tuple[str, int]] = []
 
-    return frames.groupBy(path).applyInArrow(save, "path string, rows long")
+        def close() -> None:
+            out.close()
+            store.move(begun, final)
+            done.append((name, rows))
+
+        for batch in batches:
+            names = batch.column(path).to_pylist()
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if names[a] != name:
+                    if out is not None:
+                        close()
+                    name, rows = names[a], 0
+                    store, final = at_store(root, name)
+                    folder = final.rsplit("/", 1)[0]
+                    store.create_dir(folder)
+                    begun = f"{folder}/_{uuid.uuid4().hex}"  # readers skip such names
+                    out = parquet.ParquetWriter(begun, batch.schema.remove(batch.schema.get_field_index(path)), filesystem=store)
+                out.write_batch(batch.slice(a, b - a).drop_columns([path]))
+                rows += b - a
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([r for _, r in done], pa.int64())], names=["path", "rows"])
+
+    ordered = frames.repartition(path).sortWithinPartitions(path, "episode_index", "frame_index")
+    return ordered.mapInArrow(save, "path string, rows long")
 
 
 def write_texts(files: DataFrame, root: str) -> None:
@@ -218,57 +265,88 @@ def write_texts(files: DataFrame, root: str) -> None:
     files.select("path", "text").mapInArrow(save, "path string").write.format("noop").mode("overwrite").save()
 
 
-def append_episodes(spark: SparkSession, frames: DataFrame, root: str, chunk_size: int, features: list[str], cameras: int = 0, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Appends finished episodes to a v3.0 lake and returns the metadata of all.
+def append_episodes(spark: SparkSession, frames: DataFrame, root: str, chunk_size: int, features: list[str], cameras: int = 0, bytes_per_file: int = BYTES_PER_FILE, task: str | None = None) -> DataFrame:
+    """Appends finished episodes to a v3.0 lake as one version and returns the metadata of all.
 
     ``frames`` has episode, frame_index, the numeric ``features`` and other
-    values. New episodes follow the stored ones in the order of ``episode``; the
-    global index goes on where it ended, new files after the chunk's last one.
-    Episodes' metadata hold their own statistics (stats/FEATURE/STAT);
-    meta/stats.json and the totals, chunks and split of meta/info.json are of
-    all episodes.
+    values, and in the column ``task`` the text of each frame's task, stored as
+    its number. New episodes follow the stored ones in the order of ``episode``;
+    the global index goes on where it ended, new files after the last one, new
+    tasks after the known ones in the order in which they first stand.
+    Episodes' metadata hold their tasks and their own statistics
+    (stats/FEATURE/STAT); meta/stats.json and the totals, chunks and split of
+    meta/info.json are of all episodes.
+
+    All is staged first and committed in one step (``commits``): a writer that
+    stops leaves the lake as it was, and one whose lake has changed meanwhile
+    fails with LakeChanged.
     """
-    meta_path = f"{root}/meta/episodes"
-    lengths = frames.groupBy("episode").agg(F.count(F.lit(1)).alias("length"))
-    stored = read_episodes(spark, root) if exists(spark, meta_path) else None
-    last = stored.agg(F.max("episode_index").alias("e"), F.max("dataset_to_index").alias("i")).first() if stored else None
-    base, start = (last["e"] + 1, last["i"]) if last and last["e"] is not None else (0, 0)
-    meta = rolled_files(episode_offsets(places(lengths, ["episode"]).withColumn("episode_index", F.col("place") + base).drop("place")), chunk_size, rows_per_file)
-    if stored:
-        taken = stored.groupBy("data/chunk_index").agg((F.max("data/file_index") + 1).alias("__taken"))
-        meta = meta.join(taken, "data/chunk_index", "left").withColumn("data/file_index", F.col("data/file_index") + F.coalesce("__taken", F.lit(0))).drop("__taken")
-    meta = meta.withColumns({"dataset_from_index": F.col("from_index") + start, "dataset_to_index": F.col("to_index") + start}).drop("from_index", "to_index")
-    path = F.format_string("data/chunk-%03d/file-%03d.parquet", "data/chunk_index", "data/file_index")
-    files = meta.select("episode", "episode_index", "dataset_from_index", path.alias("__path"))
-    rows = frames.join(files, "episode").withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index", "episode")
-    write_files(rows, root, "__path").write.format("noop").mode("overwrite").save()
+    append = begin(spark, root)
+    stored = read_episodes(spark, root) if exists(spark, f"{root}/{EPISODES}") else None
+    last = stored.agg(F.max("episode_index").alias("e"), F.max("dataset_to_index").alias("i"), F.max(F.struct("data/chunk_index", "data/file_index")).alias("f")).first() if stored else None
+    base, start, first_file = (last["e"] + 1, last["i"], last["f"][0] * chunk_size + last["f"][1] + 1) if last and last["e"] is not None else (0, 0, 0)
+
+    values = [c for c in frames.columns if c not in ("episode", task)]
+    size = row_bytes(frames, values) + 16  # and the episode's and the row's numbers
+    kinds = [F.array_sort(F.collect_set(task)).alias("tasks")] if task else []
+    per_episode = frames.groupBy("episode").agg(F.count(F.lit(1)).alias("length"), F.sum(size).alias("bytes"), *kinds)
+    numbered = places(per_episode, ["episode"]).withColumn("episode_index", F.col("place") + base).drop("place")
+    offsets = episode_offsets(numbered).withColumns({"dataset_from_index": F.col("from_index") + start, "dataset_to_index": F.col("to_index") + start}).drop("from_index", "to_index")
+    path = scratch(spark, "episodes")
+    rolled_files(offsets, chunk_size, bytes_per_file, first_file).drop("bytes").write.parquet(path)
+    meta = spark.read.parquet(path)
+    file = F.format_string("data/chunk-%03d/file-%03d.parquet", "data/chunk_index", "data/file_index")
+    rows = frames.join(meta.select("episode", "episode_index", "dataset_from_index", file.alias("__path")), "episode").withColumn("index", F.col("dataset_from_index") + F.col("frame_index"))
+    total_tasks = 0
+    if task:
+        tasks = known_tasks(spark, root, rows, task)
+        total_tasks = tasks.count()
+        tasks.withColumnRenamed("task", "__index_level_0__").write.parquet(f"{append.folder}/{TASKS}")
+        rows = rows.join(tasks.withColumnRenamed("task", task), task).drop(task)
+    write_files(rows.drop("dataset_from_index", "episode"), append.folder, "__path").write.format("noop").mode("overwrite").save()
 
     names = ["min", "max", "mean", "std", "count"]
     vectors = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) if frames.schema[f].dataType.typeName() == "array" else F.array(f)).cast("array<double>").alias("v")) for f in features])
     long = frames.select("episode", F.explode(vectors).alias("x")).select("episode", "x.feature", F.posexplode("x.v").alias("dim", "x"))
-    stats = feature_stats(long, ["episode", "feature", "dim"]).groupBy("episode", "feature").agg(F.sort_array(F.collect_list(F.struct("dim", *names))).alias("s"))
+    each = feature_stats(long, ["episode", "feature", "dim"])
+    stats = each.groupBy("episode", "feature").agg(F.sort_array(F.collect_list(F.struct("dim", *names))).alias("s"))
     per = stats.groupBy("episode").agg(*[F.max(F.when(F.col("feature") == f, F.col(f"s.{n}").cast("array<double>"))).alias(f"stats/{f}/{n}") for f in features for n in names])
-    meta.join(per, "episode").drop("episode").write.mode("append").parquet(meta_path)
-
-    whole = spark.read.option("recursiveFileLookup", True).parquet(meta_path)
-    parts = [whole.select(F.lit(f).alias("feature"), F.posexplode(F.arrays_zip(*[F.col(f"`stats/{f}/{n}`").alias(n) for n in names])).alias("dim", "s")).select("feature", "dim", "s.*") for f in features]
-    merged = merge_stats(reduce(DataFrame.unionByName, parts), ["feature", "dim"])
+    meta.join(per, "episode").drop("episode").write.parquet(f"{append.folder}/{EPISODES}/version-{append.base + 1:010d}")
+
+    # what is stored counts as one part, so no older episode is read again
+    parts = each.select("feature", "dim", *[F.col(n).cast("double").alias(n) for n in names])
+    if exists(spark, f"{root}/{STATS}"):
+        old = read_stats_json(spark, f"{root}/{STATS}").where(F.col("stat").isin(names)).groupBy("feature", F.col("dim").cast("int").alias("dim")).pivot("stat", names).agg(F.first("value"))
+        parts = parts.unionByName(old)
+    merged = merge_stats(parts, ["feature", "dim"])
     tree = stats_tree(merged.select("feature", "dim", F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).cast("double").alias("value")) for n in names])).alias("s")).select("feature", "dim", "s.*"))
-    put_text(spark, f"{root}/meta/stats.json", tree.first()["value"])
-    t = whole.agg(F.count(F.lit(1)).alias("episodes"), F.sum("length").alias("frames")).first()
-    info_path = f"{root}/meta/info.json"
-    info = json.loads(spark.read.text(info_path, wholetext=True).first()["value"]) if exists(spark, info_path) else {"codebase_version": "v3.0", "chunks_size": chunk_size}
-    n = t["episodes"]
-    totals = {"total_episodes": n, "total_frames": t["frames"], "total_chunks": -(-n // chunk_size), "total_videos": n * cameras, "splits": {"train": f"0:{n}"}}
-    put_text(spark, info_path, json.dumps(info | totals, indent=4))
+    put_text(spark, f"{append.folder}/{STATS}", tree.first()["value"])
+    t = meta.agg(F.count(F.lit(1)).alias("episodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("frames")).first()
+    info = {"codebase_version": "v3.0", "chunks_size": chunk_size} | append.info
+    n = base + t["episodes"]
+    totals = {"total_episodes": n, "total_frames": start + t["frames"], "total_chunks": -(-n // chunk_size), "total_videos": n * cameras, "splits": {"train": f"0:{n}"}}
+    commit(spark, append, info | totals | ({"total_tasks": total_tasks} if task else {}))
+    settle(spark, root)
     return read_episodes(spark, root)
 
 
+def known_tasks(spark: SparkSession, root: str, rows: DataFrame, task: str) -> DataFrame:
+    """(task_index, task) of a lake's dictionary with the new texts of frames (episode_index, frame_index) behind the known ones."""
+    fresh = rows.groupBy(F.col(task).alias("task")).agg(F.min(F.struct("episode_index", "frame_index")).alias("first")).where("task is not null")
+    if not exists(spark, f"{root}/{TASKS}"):
+        return places(fresh, ["first", "task"]).select(F.col("place").alias("task_index"), "task")
+    known = read_tasks(spark, root)
+    start = known.agg(F.coalesce(F.max("task_index") + 1, F.lit(0)).alias("start")).first()["start"]
+    new = places(fresh.join(known.select("task"), "task", "left_anti"), ["first", "task"])
+    return known.unionByName(new.select((F.col("place") + start).alias("task_index"), "task"))
+
+
 def read_totals(spark: SparkSession, root: str) -> DataFrame:
     """One row of the totals and the split of a dataset's info.json."""
-    kind = "total_episodes long, total_frames long, total_chunks long, total_videos long, splits map<string, string>"
+    settle(spark, root)
+    kind = "total_episodes long, total_frames long, total_chunks long, total_videos long, total_tasks long, splits map<string, string>"
     i = spark.read.text(f"{root}/meta/info.json", wholetext=True).select(F.from_json("value", kind).alias("i"))
-    return i.select("i.total_episodes", "i.total_frames", "i.total_chunks", "i.total_videos", F.col("i.splits")["train"].alias("split"))
+    return i.select("i.total_episodes", "i.total_frames", "i.total_chunks", "i.total_videos", "i.total_tasks", F.col("i.splits")["train"].alias("split"))
 
 
 def write_tasks(tasks: DataFrame, root: str) -> None:

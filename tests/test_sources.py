@@ -85,8 +85,8 @@ def test_appended_episodes_get_files_totals_splits_and_statistics(spark, tmp_pat
     root = str(tmp_path / "lake")
     make = lambda episodes: spark.createDataFrame([(e, i, [float(e * 10 + i), 1.0], float(i)) for e, n in episodes for i in range(n)], "episode long, frame_index long, action array<double>, speed double")
     first, second = [(7, 4), (3, 2), (9, 1)], [(2, 3), (1, 5)]
-    L.append_episodes(spark, make(first), root, 2, ["action", "speed"], cameras=2, rows_per_file=2)
-    meta = L.append_episodes(spark, make(second), root, 2, ["action", "speed"], cameras=2, rows_per_file=2).orderBy("episode_index").collect()
+    L.append_episodes(spark, make(first), root, 2, ["action", "speed"], cameras=2, bytes_per_file=96)
+    meta = L.append_episodes(spark, make(second), root, 2, ["action", "speed"], cameras=2, bytes_per_file=96).orderBy("episode_index").collect()
     order = [(3, 2), (7, 4), (9, 1), (1, 5), (2, 3)]
     assert [(r.episode_index, r.length, r.dataset_from_index, r.dataset_to_index) for r in meta] == [(0, 2, 0, 2), (1, 4, 2, 6), (2, 1, 6, 7), (3, 5, 7, 12), (4, 3, 12, 15)]
     assert [(r["data/chunk_index"], r["data/file_index"]) for r in meta] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
