@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodelake.operators.windows import forward_replicate
 from episodelake.paths import scratch
 
+#: Size of a quantile sketch, some 40 KB at most; values that one row may gather.
+SKETCH_K, GATHERED = 2048, 1 << 20
+
 
 def long_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """One row per number of a vector column: keys, dim, x."""
@@ -71,6 +76,62 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float])
     return ranked.groupBy(*keys).agg(F.array(*[lo + (hi - lo) * share for lo, hi, share in ends]).alias("q"))
 
 
+def sketched_stats(long: DataFrame, keys: list[str], value: str = "x", k: int = SKETCH_K) -> DataFrame:
+    """min, max, mean, population std, count and a quantile sketch of each group, in one pass.
+
+    Sketches of parts merge (``merged_quantiles``), so an episode's may be
+    stored with its statistics and no value is read again for a dataset's.
+    """
+    return long.groupBy(*keys).agg(
+        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("count"),
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"),
+    )
+
+
+def merged_quantiles(parts: DataFrame, keys: list[str], qs: list[float], k: int = SKETCH_K) -> DataFrame:
+    """(keys, q array<double>): quantiles of the union of sketched parts, off by a rank of ``sketch_error(k)`` of the values (99 % of the time)."""
+    merged = parts.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("__s"))
+    return merged.select(*keys, F.array(*[F.kll_sketch_get_quantile_double("__s", F.lit(float(q))) for q in qs]).alias("q"))
+
+
+def sketch_error(k: int = SKETCH_K) -> float:
+    """The rank error of a sketch as a part of all values: published bound for a single quantile."""
+    return 2.296 / k**0.9021
+
+
+def global_quantiles(df: DataFrame, value: str, qs: list[float], others: list[Column]) -> tuple[list[float], Row]:
+    """(exact quantiles of a column, linearly interpolated; a row of other aggregates of the same pass).
+
+    A sketch brackets each quantile; a second pass counts what lies below a
+    bracket and gathers what lies in it, a few thousandths of the values. Where
+    that is more than GATHERED values, or a bracket misses, ranks come from
+    range-partitioned blocks as in ``exact_quantiles``.
+    """
+    x = F.col(value).cast("double")
+    first = df.agg(F.count(x).alias("__n"), F.kll_sketch_agg_double(x, F.lit(SKETCH_K)).alias("__s"), F.min(x).alias("__min"), F.max(x).alias("__max"), *others)
+    room = 3 * sketch_error()
+    ends = [F.kll_sketch_get_quantile_double("__s", F.lit(float(min(1.0, max(0.0, q + d))))) for q in qs for d in (-room, room)]
+    row = first.withColumn("__ends", F.when(F.col("__n") > 0, F.array(*ends))).drop("__s").first()
+    n = row["__n"]
+    if n == 0:
+        return [None] * len(qs), row
+    if 2 * room * n <= GATHERED:
+        low = [row["__min"] if q - room <= 0 else e for q, e in zip(qs, row["__ends"][::2], strict=True)]
+        high = [row["__max"] if q + room >= 1 else e for q, e in zip(qs, row["__ends"][1::2], strict=True)]
+        gathered = [(F.count_if(x < F.lit(a)), F.array_sort(F.collect_list(F.when((x >= F.lit(a)) & (x <= F.lit(b)), x)))) for a, b in zip(low, high, strict=True)]
+        got = df.agg(*[c.alias(f"{kind}{i}") for i, pair in enumerate(gathered) for kind, c in zip("bv", pair, strict=True)]).first()
+        out = []
+        for i, q in enumerate(qs):
+            at, values = q * (n - 1) - got[f"b{i}"], got[f"v{i}"]
+            if not 0 <= at <= len(values) - 1:
+                break
+            a, b = values[math.floor(at)], values[math.ceil(at)]
+            out.append(a + (b - a) * (at - math.floor(at)))
+        if len(out) == len(qs):
+            return out, row
+    return exact_quantiles(df, [], value, qs).first()["q"], row
+
+
 def stepwise_stats(df: DataFrame, vector: str, width: int, episode: str, order: str) -> DataFrame:
     """Per episode, window step and dimension over clamp-padded windows, by building the windows."""
     w = forward_replicate(df, vector, width, [episode], order)
@@ -106,6 +167,32 @@ def stepwise_closed_form(df: DataFrame, vector: str, width: int, episode: str, o
     )
 
 
+def stepwise_arrays(df: DataFrame, vector: str, width: int, episode: str, order: str) -> DataFrame:
+    """``stepwise_stats`` from one array of an episode's values for each dimension: no window is built as rows, and one shuffle moves each value once.
+
+    An episode's values of a dimension are one row; episodes are bounded.
+    """
+    series = df.select(episode, order, F.posexplode(vector).alias("dim", "x")).where("x is not null")
+    held = series.groupBy(episode, "dim").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "x"))), lambda s: s["x"].cast("double")).alias("v"))
+    n = F.size("v")
+    held = held.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    copies = F.least("step", n)
+    window = F.concat(F.slice("v", copies + 1, n), F.array_repeat(F.element_at("v", -1), copies))
+    rows = held.select(episode, "step", "dim", F.sort_array(window).alias("w"))
+    m = F.size("w")
+    mean = F.aggregate("w", F.lit(0.0), lambda s, x: s + x) / m
+    rows = rows.withColumn("mean", mean)
+    squares = F.aggregate("w", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean")))
+
+    def quantile(q: float) -> Column:
+        at = F.lit(q) * (m - 1)
+        low, high = F.get("w", F.floor(at).cast("int")), F.get("w", F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    var = F.when(m > 1, squares / F.greatest(m - 1, F.lit(1))).otherwise(F.lit(float("nan")))
+    return rows.select(episode, "step", "dim", F.get("w", F.lit(0)).alias("min"), F.element_at("w", -1).alias("max"), "mean", var.alias("var"), quantile(0.01).alias("q01"), quantile(0.99).alias("q99"))
+
+
 def combined() -> list[Column]:
     """Aggregates of episodes' statistics; the mean of (var + shift^2) is the mean of the variances plus the variance of the means."""
     std = F.sqrt(F.avg("var") + F.var_pop("mean"))
@@ -125,7 +212,7 @@ def combine_episodes(parts: DataFrame, keys: list[str], skip_short: bool = False
 
 def norm_stats(frames: DataFrame, vector: str, width: int, episode: str, order: str) -> DataFrame:
     """Dataset statistics, long: scope ('stepwise' with its step, or 'global' with null), dim, stat, value."""
-    per_step = stepwise_stats(frames, vector, width, episode, order)
+    per_step = stepwise_arrays(frames, vector, width, episode, order)
     # both scopes in one pass over the episodes' rows
     wide = per_step.groupingSets([["step", "dim"], ["dim"]], "step", "dim").agg(*combined(), F.when(F.grouping("step") == 1, "global").otherwise("stepwise").alias("scope"))
     names = ["min", "max", "mean", "std", "q01", "q99"]

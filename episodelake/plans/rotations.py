@@ -129,14 +129,12 @@ def _pose_sql() -> str:
 def rot_pose_convert(spark: SparkSession, sf: str) -> DataFrame:
     u = units(spark, sf)
     pose = u.select("vec_id", F.concat("p", F.slice("q", 2, 3), F.slice("q", 1, 1), F.array(F.lit(0.25))).alias("pose"))
-    # a table for each form cuts the expressions in two; nested, they take longer to compile than to run
+    # one table of all forms cuts the expressions in two; nested, they take longer to compile than to run
     path = scratch(spark, "poses")
-    for f in POSE_FORMS:
-        pose.select("vec_id", R.convert_pose(F.col("pose"), *R.named_conversion(f)).alias("r")).write.parquet(f"{path}/{f}")
-    there = {f: spark.read.parquet(f"{path}/{f}") for f in POSE_FORMS}
-    back = {f"{f} back": t.select("vec_id", R.convert_pose(F.col("r"), *R.named_conversion(f"{f}_to_quaternion")).alias("r")) for f, t in there.items()}
-    parts = [t.withColumn("form", F.lit(f)) for f, t in (there | back).items()]
-    rows = reduce(DataFrame.unionByName, parts).select("vec_id", "form", F.posexplode("r").alias("pos", "x"))
+    pose.select("vec_id", *[R.convert_pose(F.col("pose"), *R.named_conversion(f)).alias(f) for f in POSE_FORMS]).write.parquet(path)
+    there = spark.read.parquet(path).select("*", *[R.convert_pose(F.col(f), *R.named_conversion(f"{f}_to_quaternion")).alias(f"{f} back") for f in POSE_FORMS])
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), F.col(f).alias("r")) for f in there.columns[1:]])
+    rows = there.select("vec_id", F.explode(forms).alias("f")).select("vec_id", "f.form", F.posexplode("f.r").alias("pos", "x"))
     return rows.withColumns({"pos": F.col("pos").cast("long"), "x": F.round("x", 5) + F.lit(0.0)})
 
 

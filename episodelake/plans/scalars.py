@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from episodelake.functions import scalars as S
 from episodelake.lenses import eval_results, frames, log_lines, prompts, sql, vectors
-from episodelake.operators.stats import exact_quantiles
+from episodelake.operators.stats import global_quantiles
 from episodelake.plans.projections import r6
 from episodelake.registry import query
 
@@ -84,12 +84,11 @@ c AS (SELECT *, 1 / (std + 1e-8) AS zs, CASE WHEN q99 - q01 < 1e-4 THEN 1 ELSE 2
 
 def with_scales(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
-    # one row of statistics; quantiles come from ranks, since no task could hold all values
-    stats = f.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    stats = stats.crossJoin(exact_quantiles(f, [], "value", [0.01, 0.99]))
-    s = F.struct("mean", "std", F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"), "min", "max")
-    stats = stats.select(s.alias("s")).select(*[S.norm_scale(F.col("s"), m).alias(n) for n, m in MODES.items()])
-    return f.crossJoin(F.broadcast(stats))
+    # statistics of all values are one row of numbers
+    (q01, q99), row = global_quantiles(f, "value", [0.01, 0.99], [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")])
+    s = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in (row.asDict() | {"q01": q01, "q99": q99}).items() if not n.startswith("__")])
+    scales = spark.range(1).select(s.alias("s")).select(*[S.norm_scale(F.col("s"), m).alias(n) for n, m in MODES.items()])
+    return f.crossJoin(F.broadcast(scales))
 
 
 MODES = {"z": "z", "quantile": "quantile", "minmax": "minmax", "constant": "-20/180"}
