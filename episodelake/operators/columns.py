@@ -157,9 +157,19 @@ def norm_source(setting: str, source: Column, root: Column, pretrained: list[str
     return F.when(source.isin(pretrained), "pretrained").when(source.isNull() & named, "pretrained").otherwise("meta")
 
 
-def merge_specs(specs: DataFrame) -> DataFrame:
-    """Feature specs (feature, pos, dtype, name) of many datasets as one: names in first-seen order, clashing dtypes marked."""
-    first = specs.groupBy("feature", "name").agg(F.min("pos").alias("pos"))
-    clash = specs.groupBy("feature").agg((F.countDistinct("dtype") > 1).alias("dtype_clash"), F.max_by("dtype", "pos").alias("dtype"))
+def merge_specs(specs: DataFrame, strict: bool = True) -> DataFrame:
+    """Feature specs (feature, pos, dtype, n_dims, name) of many datasets as one: feature, name, at, dtype.
+
+    A feature that is a vector (n_dims 1) everywhere has the names of all, in
+    the order in which they are first seen, and a clash of dtypes is an error,
+    or without ``strict`` marked in dtype_clash. Of any other feature the last
+    dataset's spec counts as it is.
+    """
+    whole = specs.groupBy("feature").agg((F.countDistinct("dtype") > 1).alias("clash"), F.max_by("dtype", "pos").alias("dtype"), F.max("pos").alias("last"), F.bool_and(F.col("n_dims") == 1).alias("vector"))
+    first = specs.groupBy("feature", "name").agg(F.min("pos").alias("pos"), F.max("pos").alias("newest")).join(whole, "feature").where("vector or newest = last")
     order = F.row_number().over(Window.partitionBy("feature").orderBy("pos", "name")) - 1
-    return first.withColumn("at", order).join(clash, "feature").select("feature", "name", "at", "dtype", "dtype_clash")
+    clash = F.col("vector") & F.col("clash")
+    out = first.withColumn("at", order).withColumn("dtype_clash", clash)
+    if strict:
+        return out.where(F.assert_true(~F.col("dtype_clash"), F.concat(F.lit("dtypes clash in "), "feature")).isNull()).select("feature", "name", "at", "dtype")
+    return out.select("feature", "name", "at", "dtype", "dtype_clash")

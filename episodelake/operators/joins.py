@@ -29,6 +29,24 @@ def cached(samples: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataF
     return samples.join(cache, keys), samples.join(cache.select(*keys), keys, "left_anti")
 
 
+def with_context(samples: DataFrame, cache: DataFrame, key: str, length: int, strict: bool = True) -> DataFrame:
+    """Samples with their prompt's context and mask from the cache (key, context, mask), both of ``length`` steps.
+
+    A key that the cache lacks, a context or a mask of another length is an
+    error that names the key; without ``strict`` it is told in ``problem``, and
+    context and mask are null. A key counts once in the cache.
+    """
+    found = samples.join(cache.select(key, "context", "mask").withColumn("__there", F.lit(True)), key, "left")
+    told = lambda what, c: F.concat(F.lit(f"{what} of "), F.coalesce(F.size(c).cast("string"), F.lit("no")), F.lit(f" steps, not {length}"))
+    wrong = lambda c: F.coalesce(F.size(c), F.lit(-1)) != length
+    problem = F.when(F.col("__there").isNull(), "not in the cache").when(wrong("context"), told("context", "context")).when(wrong("mask"), told("mask", "mask"))
+    if strict:
+        failed = F.raise_error(F.concat(F.col(key), F.lit(": "), problem)).cast("string")
+        return found.withColumn("__problem", F.when(problem.isNotNull(), failed)).where("__problem is null").drop("__there", "__problem")
+    marked = found.withColumn("problem", problem)
+    return marked.withColumns({c: F.when(F.col("problem").isNull(), F.col(c)) for c in ("context", "mask")}).drop("__there")
+
+
 def todo(prompts: DataFrame, caches: DataFrame, key: str, n_caches: int) -> DataFrame:
     """Prompts that are not in all of ``n_caches`` caches (key, cache)."""
     done = caches.groupBy(key).agg(F.countDistinct("cache").alias("n")).where(F.col("n") >= n_caches)

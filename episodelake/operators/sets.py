@@ -52,3 +52,20 @@ def ordered_known(df: DataFrame, key: str, order: str, known: DataFrame, strict:
     distinct = ordered_distinct(df, key, order).join(known.select(key, F.lit(True).alias("known")), key, "left")
     out = places(distinct, [order, key]).select(key, (F.col("place") + 1).alias("place"), F.coalesce("known", F.lit(False)).alias("known"))
     return out.where(F.assert_true("known", F.concat(F.lit("unknown: "), F.col(key))).isNull()) if strict else out
+
+
+def prompt_coverage(catalog: DataFrame, prompts: DataFrame, prompt: str, dataset: str) -> DataFrame:
+    """(prompt, datasets, missing, lacking, unique_total): in how many datasets each prompt stands and the names of those that lack it, in order.
+
+    A catalogue's names are one row; a dataset without any prompt lacks all (``without_prompts``).
+    """
+    every = catalog.agg(F.array_sort(F.collect_set(dataset)).alias("__all"))
+    each = prompts.groupBy(prompt).agg(F.collect_set(dataset).alias("__own"))
+    totals = each.agg(F.count(F.lit(1)).alias("unique_total"))
+    lacking = F.array_except("__all", "__own")
+    return each.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(totals)).select(prompt, F.size("__own").cast("long").alias("datasets"), F.size(lacking).cast("long").alias("missing"), lacking.alias("lacking"), "unique_total")
+
+
+def without_prompts(catalog: DataFrame, prompts: DataFrame, prompt: str, dataset: str) -> DataFrame:
+    """The catalogue's rows of datasets that have no prompt, or only empty ones."""
+    return catalog.join(prompts.where(F.trim(prompt) != "").select(dataset).distinct(), dataset, "left_anti")

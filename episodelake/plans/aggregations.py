@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from episodelake.lenses import catalog, chunks, dataset_features, eval_results, frames, log_lines, prompts, sql, table, vectors
 from episodelake.operators import evals as E
+from episodelake.operators import sets as U
 from episodelake.operators import stats as S
 from episodelake.plans.projections import r6, state
 from episodelake.registry import query
@@ -82,13 +83,18 @@ def agg_task_avg_len(spark: SparkSession, sf: str) -> DataFrame:
     return catalog(spark, sf).select("task", "dataset", "episodes", "frames", F.round(F.try_divide("frames", "episodes"), 6).alias("avg_len"), place.alias("place"))
 
 
-@query(sql("prompts", """n AS (SELECT count(DISTINCT dataset) AS n FROM prompts), p AS (SELECT substr(task, 1, 2) AS lang, task, dataset FROM prompts)
-SELECT lang, task, count(DISTINCT dataset) AS datasets, any_value(n.n) - count(DISTINCT dataset) AS missing, any_value(u.u) AS unique_total FROM p, n, (SELECT count(DISTINCT task) AS u FROM prompts) u GROUP BY lang, task"""))
+@query(sql("prompts", """c AS (SELECT DISTINCT dataset FROM prompts UNION ALL SELECT unnest(['zz1', 'zz2'])), p AS (SELECT DISTINCT dataset, task FROM prompts WHERE pos % 5 <> 0),
+t AS (SELECT DISTINCT task AS t FROM p), z AS (SELECT string_agg(dataset, ',' ORDER BY dataset) AS none_at_all FROM c WHERE dataset NOT IN (SELECT dataset FROM p))
+SELECT t.t AS task, count(p.task) AS datasets, count(*) - count(p.task) AS missing, string_agg(c.dataset, ',' ORDER BY c.dataset) FILTER (WHERE p.task IS NULL) AS lacking, (SELECT count(*) FROM t) AS unique_total, any_value(none_at_all) AS none_at_all
+FROM t CROSS JOIN c CROSS JOIN z LEFT JOIN p ON p.task = t.t AND p.dataset = c.dataset GROUP BY t.t"""))
 def agg_prompt_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    p = prompts(spark, sf).select(F.substring("task", 1, 2).alias("lang"), "task", "dataset")
-    totals = p.agg(F.countDistinct("dataset").alias("n"), F.countDistinct("task").alias("unique_total"))
-    c = p.groupBy("lang", "task").agg(F.countDistinct("dataset").alias("datasets"))
-    return c.crossJoin(F.broadcast(totals)).select("lang", "task", "datasets", (F.col("n") - F.col("datasets")).alias("missing"), "unique_total")
+    """Prompts of a catalogue that also names two datasets without any."""
+    every = prompts(spark, sf).select("dataset", "task", "pos")
+    catalog = every.select("dataset").distinct().unionByName(spark.range(1, 3).select(F.concat(F.lit("zz"), "id").alias("dataset")))
+    p = every.where("pos % 5 <> 0")
+    none = U.without_prompts(catalog, p, "task", "dataset").agg(F.array_join(F.array_sort(F.collect_set("dataset")), ",").alias("none_at_all"))
+    c = U.prompt_coverage(catalog, p, "task", "dataset").withColumn("lacking", F.nullif(F.array_join("lacking", ","), F.lit("")))
+    return c.crossJoin(F.broadcast(none))  # one row of names
 
 
 SUITES = """s AS (SELECT suite, count(DISTINCT task_id) AS tasks, count(*) AS trials, count(*) FILTER (WHERE success) AS successes, 100.0::double * count(*) FILTER (WHERE success) / count(*) AS rate,

@@ -50,17 +50,18 @@ def src_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 def info_files(spark: SparkSession, sf: str, root: str) -> None:
     """One info.json per dataset of the catalogue."""
-    spec = F.struct(F.lit("float32").alias("dtype"), F.array(F.col("dataset_id") + 1).alias("shape"))
+    names = F.transform(F.sequence(F.lit(0).cast("long"), F.col("dataset_id")), lambda i: F.concat(F.lit("n"), i.cast("string")))
+    spec = F.struct(F.lit("float32").alias("dtype"), F.array(F.col("dataset_id") + 1).alias("shape"), names.alias("names"))
     value = F.to_json(F.struct("fps", F.col("task").alias("robot_type"), F.create_map(F.lit("action"), spec, F.concat(F.lit("x"), "dataset"), spec).alias("features")))
     catalog(spark, sf).select(value.alias("value"), F.concat(F.lit("d"), "dataset_id").alias("ds"), F.lit("info.json").alias("meta")).write.partitionBy("ds", "meta").text(root)
 
 
-@query(sql("catalog", """SELECT concat('d', dataset_id) AS ds, fps, task AS robot_type, feature, 'float32' AS dtype, dataset_id + 1 AS width FROM catalog, LATERAL (SELECT unnest(['action', 'x' || dataset]) AS feature)"""))
+@query(sql("catalog", """SELECT concat('d', dataset_id) AS ds, fps, task AS robot_type, feature, 'float32' AS dtype, dataset_id + 1 AS width, array_to_string(list_transform(range(dataset_id + 1), lambda i: concat('n', i)), ',') AS names FROM catalog, LATERAL (SELECT unnest(['action', 'x' || dataset]) AS feature)"""))
 def src_info(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "info")
     info_files(spark, sf, root)
     i = L.read_info(spark, f"{root}/*/*/*.txt")
-    return i.select(F.regexp_extract("root", r"ds=(d\d+)", 1).alias("ds"), "fps", "robot_type", "feature", "dtype", F.col("shape")[0].alias("width"))
+    return i.select(F.regexp_extract("root", r"ds=(d\d+)", 1).alias("ds"), "fps", "robot_type", "feature", "dtype", F.col("shape")[0].alias("width"), F.array_join("names", ",").alias("names"))
 
 
 STATS = "SELECT source AS feature, unnest(['max', 'mean', 'min']) AS stat, CAST(i AS bigint) AS dim, unnest([round(max([value, k][i + 1]), 6), round(avg([value, k][i + 1]), 6), round(min([value, k][i + 1]), 6)]) + 0.0 AS value FROM frames, LATERAL unnest(range(0, 2)) t(i) GROUP BY source, i"
@@ -152,7 +153,7 @@ def src_eval_logs(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "logs")
     log_lines(spark, sf).select(F.col("line").alias("value"), "run").repartition("run").write.partitionBy("run").text(root)
     logs = L.read_logs(spark, f"{root}/*/*.txt").withColumn("run", F.regexp_extract("path", r"run=(\d+)", 1).cast("long"))
-    return logs.groupBy("run").agg(F.sum(F.length("log")).alias("chars"), F.sum(F.size(F.split("log", "\n")) - 1).alias("lines"))
+    return logs.groupBy("run").agg(F.sum(F.length("line") + 1).alias("chars"), F.count(F.lit(1)).alias("lines"))
 
 
 def chunk_files(frames_: DataFrame) -> str:

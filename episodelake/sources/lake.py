@@ -98,12 +98,12 @@ def read_tasks(spark: SparkSession, root: str, version: str = "v3.0") -> DataFra
 
 
 def read_info(spark: SparkSession, pattern: str) -> DataFrame:
-    """(root, fps, robot_type, feature, dtype, shape) of all info.json files of a path or glob."""
+    """(root, fps, robot_type, feature, dtype, shape, names) of all info.json files of a path or glob."""
     kind = "fps int, robot_type string, features map<string, struct<dtype: string, shape: array<int>, names: array<string>>>"
     # one JSON object per file, of any layout
     info = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", kind).alias("i"))
     root = F.regexp_replace("path", "/meta/.*$", "")
-    return info.select(root.alias("root"), "i.fps", "i.robot_type", F.explode("i.features").alias("feature", "f")).select("root", "fps", "robot_type", "feature", "f.dtype", "f.shape")
+    return info.select(root.alias("root"), "i.fps", "i.robot_type", F.explode("i.features").alias("feature", "f")).select("root", "fps", "robot_type", "feature", "f.dtype", "f.shape", "f.names")
 
 
 def read_stats_json(spark: SparkSession, path: str) -> DataFrame:
@@ -153,8 +153,8 @@ def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, log): each log file as one text."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("log"))
+    """(path, line) of log files of any size, line by line; lines of one file come from several tasks."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
 # --- writers ---------------------------------------------------------------
