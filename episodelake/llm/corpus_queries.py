@@ -123,6 +123,28 @@ def sql_crc(text: str) -> str:
 
 
 ORACLE = {
+    "op11_turn_repair": rf"""
+WITH RECURSIVE {SQL_CRC_TABLE},
+a AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {sql_crc("concat(coalesce(CAST(conv_id AS varchar), ' '), ':', coalesce(CAST(turn AS varchar), ' '))")} % 20 AS fault FROM conversations, crc),
+b AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM a WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM b),
+r AS (SELECT conv_id AS c, turn, role, text, i, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+moves(initial, q, q2) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+adds(q, q2, cost, audit, turns) AS (SELECT unnest([0, 1, 2, 3]), unnest([0, 1, 2, 3]), 0, '', CAST([] AS varchar[]) UNION ALL VALUES (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+edits AS (SELECT c, i, q, q2, CASE WHEN m.initial = r.initial THEN 0 ELSE 1 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cost, CASE WHEN m.initial = r.initial THEN 'K' ELSE 'R' END AS audit,
+    [concat(CASE WHEN m.initial = r.initial THEN role WHEN m.initial = 'u' THEN 'user' ELSE 'assistant' END, ':', text)] AS turns
+  FROM r JOIN moves m ON m.initial = r.initial OR m.initial <> 's' WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT c, i, q, q, 2, 'D', CAST([] AS varchar[]) FROM r, (SELECT unnest([0, 1, 2, 3]) AS q)),
+s(c, i, q, best) AS (SELECT DISTINCT c, CAST(0 AS bigint), 0, struct_pack(cost := 0, audit := '', turns := CAST([] AS varchar[])) FROM r
+  UNION ALL SELECT s.c, e.i, e.q2, min(struct_pack(cost := s.best.cost + x.cost + e.cost, audit := concat(s.best.audit, x.audit, e.audit), turns := s.best.turns || x.turns || e.turns))
+  FROM s JOIN adds x ON x.q = s.q JOIN edits e ON e.c = s.c AND e.i = s.i + 1 AND e.q = x.q2 GROUP BY s.c, e.i, e.q2),
+z AS (SELECT s.c, min(struct_pack(cost := s.best.cost + x.cost, audit := concat(s.best.audit, x.audit), turns := s.best.turns || x.turns)) AS best
+  FROM s JOIN (SELECT c, max(i) AS i FROM r GROUP BY c) l ON l.c = s.c AND l.i = s.i JOIN adds x ON x.q = s.q AND x.q2 IN (0, 3) GROUP BY s.c),
+t AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM r) GROUP BY c)
+SELECT n.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS bigint) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) n LEFT JOIN z ON z.c IS NOT DISTINCT FROM n.conv_id LEFT JOIN t ON t.c IS NOT DISTINCT FROM n.conv_id""",
     "op12_prefix_trie": f"""
 WITH {SQL_CRC_TABLE},
 c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
