@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from episodelake.functions.scalars import prompt_key, prompt_template
+from episodelake.functions.udfs import embed
 from episodelake.lenses import catalog, chunks, eval_results, frames, sql, table
 from episodelake.operators import windows as W
 from episodelake.operators.evals import capture_align, replan_select
 from episodelake.operators.joins import running_rate
+from episodelake.operators.samples import training_samples, without_padding
 from episodelake.paths import scratch
 from episodelake.plans.projections import r6
 from episodelake.registry import query
@@ -141,3 +144,25 @@ def win_last_n_history(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("eval_results", """SELECT suite, trial, CAST(round_even(100.0::double * sum(success::int) OVER w / count(*) OVER w, 1) AS double) AS rate FROM eval_results WINDOW w AS (PARTITION BY suite, task_id ORDER BY trial)"""))
 def win_running_success(spark: SparkSession, sf: str) -> DataFrame:
     return running_rate(eval_results(spark, sf), "success", ["suite", "task_id"], "trial").select("suite", "trial", "rate")
+
+
+@query(sql("frames", """w AS (SELECT a.episode_index, a.frame_index, a.ep_len, a.task, list(b.value ORDER BY o) FILTER (WHERE o < 8) AS action, list(b.k ORDER BY o) FILTER (WHERE o < 8) AS proprio, list(a.frame_index + o >= a.ep_len ORDER BY o) AS pads
+  FROM frames a, LATERAL unnest(range(0, 9)) t(o) JOIN frames b ON b.episode_index = a.episode_index AND b.frame_index = least(a.frame_index + o, a.ep_len - 1) GROUP BY ALL)
+SELECT episode_index, frame_index, round(list_sum(action), 5) AS action, round(list_sum(proprio), 5) AS proprio, action[8] AS last_action, len(list_filter(pads[1:8], lambda p: p)) AS action_pads, len(list_filter(pads, lambda p: p)) AS proprio_pads,
+  len(list_filter([pads[1], pads[5], pads[9]], lambda p: p)) AS image_pads, concat('do: ', task) AS prompt, len(string_split(task, ' ')) + 1 AS tokens, true AS all_true, ep_len - frame_index > 8 AS whole FROM w"""))
+def win_training_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of eight steps and three images, with their prompts' contexts, the masks as counts."""
+    f = frames(spark, sf).select("episode_index", "frame_index", "task", F.array("value").alias("act"), F.array("k").alias("obs"))
+    prompt = prompt_template(F.col("task"), template="do: {task}")
+    texts = f.select("task").distinct().select(prompt.alias("prompt"))
+    cache = embed(texts.select(prompt_key(F.col("prompt"), 6, "hash").alias("key"), "prompt"), 6, 4)
+    s = training_samples(f, cache, prompt, "act", "obs", 9, 4, EP, AT, 6, "hash")
+    inside = without_padding(s).select("episode_index", "frame_index", F.lit(True).alias("whole"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v[0]), 5).alias(c)
+    count = lambda c: F.size(F.filter(c, lambda p: p)).cast("long")
+    tokens = F.size(F.filter("context", lambda row: F.exists(row, lambda x: x != 0))).cast("long")
+    out = s.select(
+        "episode_index", "frame_index", total("action"), total("proprio"), F.col("action")[7][0].alias("last_action"), count("action_is_pad").alias("action_pads"), count("proprio_is_pad").alias("proprio_pads"),
+        count("image_is_pad").alias("image_pads"), "prompt", tokens.alias("tokens"), F.forall("context_mask", lambda m: m).alias("all_true"),
+    )
+    return out.join(inside, EP + [AT], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
