@@ -130,16 +130,16 @@ def chk_dataset_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("frames", """b AS (SELECT 'frame' AS kind, index, CASE WHEN value > 120 THEN 'value too large' WHEN k > 8 THEN 'k too large' END AS reason,
-  concat('dataset=', source, ' episode=', episode_index, ' frame=', frame_index) AS described FROM frames WHERE floor(episode_index / 50) <> 1 AND (value > 120 OR k > 8)
-  UNION ALL SELECT DISTINCT 'frame', NULL, 'unreadable file', 'file=chunk=000001' FROM frames WHERE floor(episode_index / 50) = 1
+  concat('dataset=', source, ' episode=', episode_index, ' frame=', frame_index) AS described FROM frames WHERE floor(episode_index / 50) <> 0 AND (value > 120 OR k > 8)
+  UNION ALL SELECT DISTINCT 'frame', NULL, 'unreadable file', 'file=chunk=000000' FROM frames WHERE floor(episode_index / 50) = 0
   UNION ALL SELECT DISTINCT 'episode', NULL, 'not a record', concat('{"episode_index":', episode_index, ',"length"') FROM frames WHERE episode_index % 40 = 0),
 n AS (SELECT kind, index, reason, described, count(*) OVER (PARTITION BY kind, reason) AS n FROM b)
-SELECT * FROM n UNION ALL SELECT 'frame', NULL, '', '', count(*) FROM frames WHERE floor(episode_index / 50) <> 1 AND NOT (value > 120 OR k > 8)
+SELECT * FROM n UNION ALL SELECT 'frame', NULL, '', '', count(*) FROM frames WHERE floor(episode_index / 50) <> 0 AND NOT (value > 120 OR k > 8)
 UNION ALL SELECT 'episode', NULL, '', '', count(DISTINCT episode_index) FROM frames WHERE episode_index % 40 <> 0"""))
 def qrn_bad_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A lake with a cut data file, frames against the rules and cut lines of metadata: each bad row or file with its reason and its reason's count, and the good ones' number."""
     root = chunk_files(frames(spark, sf))
-    cut = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{root}/data/chunk=000001").select("path", "content").first()
+    cut = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{root}/data/chunk=000000").select("path", "content").first()
     if cut:
         put_bytes(spark, cut["path"], bytes(cut["content"])[:-100])
     kind = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("episode_index", T.LongType()), ("frame_index", T.LongType()), ("index", T.LongType()), ("value", T.DoubleType()), ("k", T.DoubleType()))])
