@@ -577,6 +577,22 @@ def test_quality(spark, sf):
     assert (held.predicted == held.quality).mean() > 0.97
 
 
+def test_quality_threshold_is_the_quantile_of_label_zero(spark):
+    """The cut lies at the share of label 0 among the raw scores of all labelled rows that are not held out; predicted follows it."""
+    docs = make(spark, [prose(i, 60) if i % 3 else "### $$$ " * 20 + prose(i, 5 + i % 7) for i in range(400)])
+    labels = spark.createDataFrame([(i, 1 if i % 3 or i % 30 == 0 else 0) for i in range(0, 400)], "doc_id long, quality int")
+    feats = quality.features(docs, "doc_id", "text").cache()
+    model = quality.fit(feats, labels)
+    raw = {r.doc_id: r.raw for r in feats.select("doc_id", model.raw().alias("raw")).collect()}
+    known = {i: 1 if i % 3 or i % 30 == 0 else 0 for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2}
+    ordered, share = sorted(raw[i] for i in known), 1 - sum(known.values()) / len(known)
+    at = [ordered[max(0, math.ceil((share + d) * len(known)) - 1)] for d in (-0.002, 0.002)]
+    assert model.threshold == pytest.approx(sum(at) / 2) and model.spread == pytest.approx(np.std([raw[i] for i in known]) / 2)
+    for r in quality.score_quality(docs, labels).collect():
+        assert r.predicted == int(raw[r.doc_id] >= model.threshold) and r.predicted == int(r.score >= 0.7)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(math.log(0.7 / 0.3) + (raw[r.doc_id] - model.threshold) / model.spread))))
+
+
 def test_quality_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0), (8, 0, 0), (9, None, 0), (None, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_quality(docs, labels).collect()
