@@ -287,7 +287,9 @@ def joined_pieces(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
                 low, high = ([p[c] for p in parts if p[c] is not None] for c in ("min_turn", "max_turn"))
                 cost = sum(s[way][0] for s, way in zip(steps, path, strict=True)) + end[0]
                 ended = [""] * (len(parts) - 1) + [end[1]]
-                out.append({"conv": row["conv"], **sums, "min_turn": min(low, default=None), "max_turn": max(high, default=None), "first_role": parts[0]["first_role"], "last_role": parts[-1]["last_role"], "cost": cost, "path": [{"piece": p["piece"], "q": q, "q2": q2, "end": e} for p, (q, q2), e in zip(parts, path, ended, strict=True)]})
+                ends = {"min_turn": min(low, default=None), "max_turn": max(high, default=None), "first_role": parts[0]["first_role"], "last_role": parts[-1]["last_role"]}
+                steps_taken = [{"piece": p["piece"], "q": q, "q2": q2, "end": e} for p, (q, q2), e in zip(parts, path, ended, strict=True)]
+                out.append({"conv": row["conv"], **sums, **ends, "cost": cost, "path": steps_taken})
             yield pa.RecordBatch.from_pylist(out, arrow)
 
     found = written(together.mapInArrow(chosen, schema))
