@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from episodelake.lenses import catalog, chunks, dataset_features, eval_results, frames, log_lines, prompts, sql, table, vectors
+from episodelake.lenses import catalog, chunks, dataset_features, eval_results, frames, log_lines, prompts, sql, vectors
 from episodelake.operators import evals as E
 from episodelake.operators import sets as U
 from episodelake.operators import stats as S

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodelake.functions.scalars import describe_source
-from episodelake.lenses import catalog, chunks, dataset_features, frames, prompts, sql, table, vectors
+from episodelake.lenses import catalog, chunks, dataset_features, frames, prompts, sql, vectors
 from episodelake.operators import checks as K
 from episodelake.operators import columns as C
 from episodelake.operators.windows import episode_offsets
-from episodelake.paths import put_bytes, scratch
+from episodelake.paths import put_bytes
 from episodelake.plans.sources import chunk_files
 from episodelake.plans.windows import episodes
 from episodelake.registry import query
