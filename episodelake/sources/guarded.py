@@ -15,6 +15,8 @@ from episodelake.paths import scratch
 
 #: Rows of a batch that is read from a file.
 BATCH_ROWS = 4096
+#: Bytes and files that one task reads, about; a single file may be larger.
+TASK_BYTES, TASK_FILES = 16 << 20, 64
 
 
 def data_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
@@ -34,8 +36,14 @@ def _opened(path: str):
 
 
 def _dealt(files: DataFrame) -> DataFrame:
-    """Files spread over tasks one by one, whatever their order in the listing."""
-    return files.repartition("file")
+    """Files (file, bytes) spread over tasks, whatever their order in the listing.
+
+    The number of tasks is given, since paths are short: by their bytes all of
+    them would be put together into one task, which then reads all files.
+    """
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES), -(-n // TASK_FILES))
+    return files.repartition(max(1, min(n, tasks)), "file")
 
 
 def read_footers(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +114,7 @@ def read_guarded(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
                 except Exception as e:  # noqa: BLE001  the reason is the result
                     yield pa.RecordBatch.from_pylist([dict.fromkeys(arrow.names) | {"file": file, "problem": f"{type(e).__name__}: {e}"}], arrow)
 
-    return _dealt(data_files(spark, path).select("file")).mapInArrow(read, whole)
+    return _dealt(data_files(spark, path)).select("file").mapInArrow(read, whole)
 
 
 def read_json_guarded(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -191,3 +191,12 @@ def test_quarantine_reads_its_rows_once(spark):
     good, bad, counts = G.quarantined(df, {"null or big": F.col("x") > 90}, F.lit("here"))
     assert (good.count(), bad.count(), counts) == (91, 9, {"": 91, "null or big": 9})
     assert seen.value == 100
+
+
+def test_files_are_dealt_over_tasks(spark, tmp_path):
+    """Paths are short, so by their bytes all would be put into one task, which then read every file."""
+    for i in range(40):
+        pq.write_table(pa.table({"x": [i]}), tmp_path / f"f{i}.parquet")
+    for rows in (G.read_guarded(spark, str(tmp_path), KIND), G.read_footers(spark, str(tmp_path))):
+        tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(tasks) == 40 and max(tasks) <= 20
