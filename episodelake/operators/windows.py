@@ -64,21 +64,27 @@ def episode_offsets(episodes: DataFrame, length: str = "length", order: str = "e
     return out.withColumn("to_index", F.col("__before") + F.col("__in")).withColumn("from_index", F.col("to_index") - F.col(length)).drop("__b", "__in", "__before")
 
 
-def index_runs(rows: DataFrame, file: str = "file", row: str = "row", index: str = "index") -> DataFrame:
+def index_runs(rows: DataFrame, file: str = "file", row: str = "row", index: str = "index", section: str | None = None) -> DataFrame:
     """Runs of stored rows whose index grows by one from row to row of a file: file, start, end (exclusive), physical_start.
 
     ``rows`` has the rows that count, in the order of ``row`` inside files that
     follow each other by name; physical rows are counted from 0 over all of
     them. A run begins where the index breaks, whatever order the file is in.
+    Where a file holds several small ones in turn, ``section`` names the column
+    that tells them apart: runs end with their section and are given with it.
     Windows are over one file each, and one over a row for each file.
     """
     inside = Window.partitionBy(file).orderBy(row)
-    placed = rows.select(file, index, (F.row_number().over(inside) - 1).alias("__row"), (F.coalesce(F.col(index) - F.lag(index).over(inside), F.lit(0)) != 1).cast("int").alias("__breaks"))
+    parts = [section] * (section is not None)
+    breaks = F.coalesce(F.col(index) - F.lag(index).over(inside), F.lit(0)) != 1
+    for c in parts:
+        breaks |= ~F.col(c).eqNullSafe(F.lag(c).over(inside))
+    placed = rows.select(file, *parts, index, (F.row_number().over(inside) - 1).alias("__row"), breaks.cast("int").alias("__breaks"))
     numbered = placed.withColumn("__run", F.sum("__breaks").over(Window.partitionBy(file).orderBy("__row")))
-    found = numbered.groupBy(file, "__run").agg(F.min("__row").alias("__first"), F.min(index).alias("start"), (F.max(index) + 1).alias("end"))
+    found = numbered.groupBy(file, *parts, "__run").agg(F.min("__row").alias("__first"), F.min(index).alias("start"), (F.max(index) + 1).alias("end"))
     sizes = rows.groupBy(file).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(file, (F.sum("__n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    return found.join(before, file).select(file, "start", "end", (F.col("__before") + F.col("__first")).cast("long").alias("physical_start"))
+    return found.join(before, file).select(file, *parts, "start", "end", (F.col("__before") + F.col("__first")).cast("long").alias("physical_start"))
 
 
 def places(df: DataFrame, order: list[str]) -> DataFrame:

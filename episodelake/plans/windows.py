@@ -68,16 +68,22 @@ r AS (SELECT file, min(idx) AS start, max(idx) + 1 AS "end", min(pos) AS physica
 
 
 def stored_runs(spark: SparkSession, sf: str, lower: bool) -> DataFrame:
-    """The runs of a lake whose files are permuted and have gaps; with ``lower`` every fifth file also overlaps the one before."""
+    """The runs of a lake whose files are permuted and have gaps; with ``lower`` every fifth file also overlaps the one before.
+
+    A file of a hundred events is a section of a data file, which holds up to a
+    thousand of them in the order of their names: the lake's files grow with its
+    bytes, where a file each would be a rename in the driver for every hundred events.
+    """
     root = scratch(spark, "runs")
     e = table(spark, sf, "events").where("event_id % 13 <> 0")
     f = F.floor(F.col("event_id") / 100)
     index = F.col("event_id") - F.when(F.lit(lower) & (f % 5 == 0), 3).otherwise(0)
     rows = e.select(index.alias("index"), F.format_string("%06d", f).alias("chunk"), (F.floor(F.col("event_id") / 10) * 7 % 10 * 10 + F.col("event_id") % 10).alias("at"))
-    # a chunk is one task's, so one file
-    rows.repartition("chunk").sortWithinPartitions("chunk", "at").drop("at").write.partitionBy("chunk").parquet(f"{root}/data")
-    runs = W.index_runs(stored_index(spark, root))
-    return runs.withColumn("file", F.concat(F.lit("data/chunk-"), F.regexp_extract("file", r"chunk=(\d+)", 1)))
+    # names that share their first three places are one task's, so one data file, and follow each other in it
+    packed = rows.withColumn("pack", F.substring("chunk", 1, 3)).repartition("pack").sortWithinPartitions("pack", "chunk", "at")
+    packed.drop("at").write.partitionBy("pack").parquet(f"{root}/data")
+    runs = W.index_runs(stored_index(spark, root, section="chunk"), section="chunk")
+    return runs.withColumn("file", F.concat(F.lit("data/chunk-"), "chunk")).drop("chunk")
 
 
 @query(f'WITH {RUNS_SQL.format(lower="false")} SELECT file, start, "end", physical_start FROM r')

@@ -70,14 +70,15 @@ def read_frames(spark: SparkSession, root: str, features: dict[str, dict], episo
     return have.select(*[(F.col(f"`{f.name}`") if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields])
 
 
-def stored_index(spark: SparkSession, root: str, episodes: list[int | list[int]] | None = None) -> DataFrame:
+def stored_index(spark: SparkSession, root: str, episodes: list[int | list[int]] | None = None, section: str | None = None) -> DataFrame:
     """(file, row, index) of the stored frames: the file's path under the root and the row's place in the file.
 
-    With ``episodes`` only the rows of those (ints and inclusive [start, end] ranges).
+    With ``episodes`` only the rows of those (ints and inclusive [start, end]
+    ranges), with ``section`` also the column that names the parts of a file.
     """
     settle(spark, root)
     have = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
-    rows = have.select(F.regexp_extract(F.col("_metadata.file_path"), "/(data/.*)$", 1).alias("file"), F.col("_metadata.row_index").alias("row"), "index", *["episode_index"] * (episodes is not None))
+    rows = have.select(F.regexp_extract(F.col("_metadata.file_path"), "/(data/.*)$", 1).alias("file"), F.col("_metadata.row_index").alias("row"), "index", *[section] * (section is not None), *["episode_index"] * (episodes is not None))
     return rows if episodes is None else keep_episodes(rows, episodes).drop("episode_index")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from episodelake.operators import joins as J
 from episodelake.operators import windows as W
+from episodelake.plans.windows import stored_runs
 from episodelake.sources import discovery as D
 from episodelake.sources import guarded as G
 from episodelake.sources import lake as L
@@ -200,3 +201,20 @@ def test_files_are_dealt_over_tasks(spark, tmp_path):
     for rows in (G.read_guarded(spark, str(tmp_path), KIND), G.read_footers(spark, str(tmp_path))):
         tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
         assert sum(tasks) == 40 and max(tasks) <= 20
+
+
+def test_runs_end_with_their_section(spark, tmp_path):
+    """Small files that lie in one data file keep their own runs, also where one goes on counting from the other."""
+    files = {"a/file-000.parquet": [("s0", 4), ("s0", 5), ("s1", 6), ("s1", 7), ("s1", 1)], "a/file-001.parquet": [("s2", 2), ("s2", 3), ("s3", 9)]}
+    for name, rows in files.items():
+        (tmp_path / "data" / name).parent.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table({"s": [r[0] for r in rows], "index": [r[1] for r in rows]}), tmp_path / "data" / name)
+    runs = W.index_runs(L.stored_index(spark, str(tmp_path), section="s"), section="s")
+    assert {tuple(r)[1:] for r in runs.collect()} == {("s0", 4, 6, 0), ("s1", 6, 8, 2), ("s1", 1, 2, 4), ("s2", 2, 4, 5), ("s3", 9, 10, 7)}
+    plain_runs = W.index_runs(L.stored_index(spark, str(tmp_path)))
+    assert {tuple(r)[1:] for r in plain_runs.collect()} == {(4, 8, 0), (1, 2, 4), (2, 4, 5), (9, 10, 7)}
+
+
+def test_a_lake_of_runs_has_no_file_for_each_hundred_events(spark, tmp_path):
+    spark.range(5_000).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(stored_runs(spark, str(tmp_path), False).inputFiles()) <= 2
