@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders given out in this process, for ``clear``.
 _given: list[str] = []
@@ -32,6 +32,13 @@ def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written to the shared folder, for plans that read it more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, p = _hadoop(spark, path)
     return store.exists(p)

@@ -12,7 +12,7 @@ from episodelake.operators import windows as W
 from episodelake.operators.evals import capture_align, replan_select
 from episodelake.operators.joins import running_rate
 from episodelake.operators.samples import training_samples, without_padding
-from episodelake.paths import scratch
+from episodelake.paths import kept, scratch
 from episodelake.plans.projections import r6
 from episodelake.registry import query
 from episodelake.sources.lake import stored_index
@@ -93,7 +93,7 @@ def win_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {RUNS_SQL.format(lower="f % 5 = 0")} SELECT file, start, "end", physical_start, coalesce(lead(start) OVER (ORDER BY start, "end") < "end", false) AS overlaps_next FROM r""")
 def win_run_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return W.overlapping(stored_runs(spark, sf, True))
+    return W.overlapping(kept(stored_runs(spark, sf, True), "runs"))
 
 
 @query("""WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), o AS (SELECT user_id, sum(n) OVER (ORDER BY user_id) - n AS f FROM e),
