@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodelake.operators.windows import overlapping
+from episodelake.paths import kept
 
 #: A side of up to so many rows is broadcast after it was counted.
 BROADCAST_ROWS = 500_000
@@ -75,8 +76,9 @@ def physical_rows(points: DataFrame, at: str, runs: DataFrame, strict: bool = Tr
 
     Where runs overlap, an index may have two rows; then logical indices are not
     used at all, and a point is its own physical row. A point in no run fails,
-    or without ``strict`` has no row.
+    or without ``strict`` has no row. The runs are found once and kept.
     """
+    runs = kept(runs.select("start", "end", "physical_start"), "runs")
     if runs.isEmpty() or not overlapping(runs).where("overlaps_next").isEmpty():
         return points.withColumn("row", F.col(at).cast("long"))
     ranges = runs.select(F.col("start").alias("__start"), F.col("end").alias("__end"), F.col("physical_start").alias("__physical"))

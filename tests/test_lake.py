@@ -218,3 +218,22 @@ def test_runs_end_with_their_section(spark, tmp_path):
 def test_a_lake_of_runs_has_no_file_for_each_hundred_events(spark, tmp_path):
     spark.range(5_000).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert len(stored_runs(spark, str(tmp_path), False).inputFiles()) <= 2
+
+
+def read_once(spark, run):
+    """How often each of two runs is made while ``run`` is computed over them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def read(x):
+        seen.add(1)
+        return x
+
+    made = spark.createDataFrame([("a", 0, 10, 0), ("b", 20, 30, 10)], "file string, start long, end long, physical_start long")
+    run(made.withColumn("start", read("start"))).collect()
+    return seen.value / 2
+
+
+def test_physical_rows_find_the_runs_once(spark):
+    points = spark.range(30).withColumnRenamed("id", "at")
+    assert read_once(spark, lambda runs: J.physical_rows(points, "at", runs, strict=False)) == 1
