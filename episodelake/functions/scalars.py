@@ -192,8 +192,10 @@ def parse_records(text: Column, kind: str) -> Column:
     counts if it has all its fields as numbers, whatever stands between them.
     """
     fields = RECORD_FIELDS[kind]
-    field = lambda name: f"(?:^|[^A-Za-z0-9_]){name}=([-+0-9.eE]+)"
-    parts = F.split(text, f"(?<![A-Za-z0-9_])(?={fields[0]}=)")
+    # the name comes first, what stands before it after: most places of a text fail at its first letter
+    field = lambda name: f"{name}=(?<![A-Za-z0-9_]{name}=)([-+0-9.eE]+)"
+    # most parts of the other kind lack a name, which is known without a pattern
+    parts = F.filter(F.split(text, f"(?={fields[0]}=)(?<![A-Za-z0-9_])"), lambda part: reduce(lambda x, y: x & y, [part.contains(f"{name}=") for name in fields]))
 
     def number(part: Column, name: str) -> Column:
         return F.regexp_extract(part, field(name), 1).try_cast("long" if name in WHOLE_NUMBERS else "double").alias(RENAMED.get(name, name))

@@ -140,6 +140,11 @@ def fn_parse_log(spark: SparkSession, sf: str) -> DataFrame:
     return done.unionByName(trainer_records(spark, sf), allowMissingColumns=True)
 
 
+def each_record(logs: DataFrame, records: Column) -> DataFrame:
+    """(run, r) of each record of each log; of ``explode`` Spark would derive a filter that parses every log once more."""
+    return logs.select("run", F.explode_outer(records).alias("r")).where(F.col("r").isNotNull())
+
+
 def trainer_records(spark: SparkSession, sf: str) -> DataFrame:
     """Training and validation records of logs whose lines are wrapped."""
     n, eight = F.col("line_no"), lambda c: (c).cast("string")
@@ -147,7 +152,7 @@ def trainer_records(spark: SparkSession, sf: str) -> DataFrame:
     val = F.concat(F.lit("step="), eight(n), F.lit("\n   val_loss="), eight((n % 100) / 2.0), F.lit(" infer_psnr=20.5\n infer_ssim=0.75 action_l2="), eight((n % 50) / 4.0), F.lit("\n  action_l1=0.125\n"))
     text = F.concat(train, F.when(n % 4 == 0, val).otherwise(F.lit("saved\n")))
     logs = log_lines(spark, sf).groupBy("run", F.floor(n / 200).alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", text.alias("t")))), lambda s: s["t"]), "").alias("log"))
-    parsed = lambda kind: logs.select("run", F.explode(S.parse_records(F.col("log"), kind)).alias("r")).select("run", F.lit(kind).alias("task"), "r.*")
+    parsed = lambda kind: each_record(logs, S.parse_records(F.col("log"), kind)).select("run", F.lit(kind).alias("task"), "r.*")
     t = parsed("train").select("run", "task", F.col("epoch").cast("int").alias("gpu"), "step", "loss", "lr")
     return t.unionByName(parsed("val").select("run", "task", "step", F.col("val_loss").alias("loss"), F.col("action_l2").alias("success_rate")), allowMissingColumns=True)
 
@@ -156,7 +161,7 @@ def result_records(spark: SparkSession, sf: str) -> DataFrame:
     # a log holds ten lines of a run, some of them no results
     line = F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("warn: "), F.substring("line", 6, 100))).otherwise(F.col("line"))
     logs = log_lines(spark, sf).groupBy("run", F.floor(F.col("line_no") / 200).alias("part")).agg(F.array_join(F.collect_list(line), "\n").alias("log"))
-    return logs.select("run", F.explode(S.parse_log(F.col("log"))).alias("r")).select("run", "r.*")
+    return each_record(logs, S.parse_log(F.col("log"))).select("run", "r.*")
 
 
 @query(sql("log_lines", """SELECT line_no, CASE WHEN line_no % 3 = 0 THEN NULL ELSE CAST(line_no AS double) / 4 END AS value FROM log_lines"""))

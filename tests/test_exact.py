@@ -184,3 +184,13 @@ def test_fixed_products_and_relative_poses():
     assert R.quat_apply([H, 0, 0, H], [1.0, 0.0, 0.0], Numbers) == pytest.approx([0, 1, 0])
     base, pose = [1.0, 2.0, 3.0, H, 0.0, 0.0, H], [1.0, 5.0, 3.0, 1.0, 0.0, 0.0, 0.0]
     assert R.relative_pose(base, pose, Numbers) == pytest.approx([3, 0, 0, H, 0, 0, -H])  # seen from a frame turned to y, y lies ahead
+
+
+def test_logs_are_parsed_once(spark):
+    """No filter that parses each log again is derived from giving out its records."""
+    from episodelake.plans.scalars import each_record
+
+    logs = spark.createDataFrame([(1, "epoch=1 step=2 loss=3 loss_action=4 loss_video=5 lr=6 step=7"), (2, "none"), (3, None)], "run long, log string")
+    records = each_record(logs, S.parse_records(F.col("log"), "train"))
+    assert [(r.run, tuple(r.r)) for r in records.collect()] == [(1, (1, 2, 3.0, 4.0, 5.0, 6.0))]
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
