@@ -30,25 +30,35 @@ def str_episode_recorder(spark: SparkSession, sf: str) -> DataFrame:
 def recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """(recorded frames of all events, the store of statistics by source into which closed episodes were merged batch by batch).
 
-    When the events have been read, a frame of no user, far in the future,
-    moves the watermark past them.
+    A table's files come in no order of time, so a frame may be as late as the
+    table is long. Times are counted from the day before the first event, since
+    no watermark is older than the epoch, and events without a time are last.
+    When the events have been read, a frame of no user moves the watermark past
+    them. Every batch opens and saves all state partitions, so their number does
+    not grow with the shuffle's.
     """
     out, store, checkpoint, clock = (scratch(spark, n) for n in ("recorded", "statistics", "stream", "clock"))
-    frames = J.events_stream(spark, sf).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), "value", (F.col("event_id") % 8 == 0).alias("done"))
+    us, day = F.unix_micros(F.col("ts").cast("timestamp")), 86_400_000_000
+    first, newest = spark.read.parquet(f"{sf}/events.parquet").agg(F.min(us), F.max(us)).first()
+    first, length = first or 0, (newest or 0) - (first or 0)
+    at = F.timestamp_micros(F.coalesce(us - first, F.lit(length + 1)) + day)
+    frames = J.events_stream(spark, sf).select("user_id", "event_id", at.alias("at"), "value", (F.col("event_id") % 8 == 0).alias("done"))
     kind = frames.schema
     spark.createDataFrame([], kind).write.parquet(clock)
     stream = frames.unionByName(spark.readStream.schema(kind).parquet(clock))
-    years = 100 * 365 * 86_400.0
-    episodes = R.record_episodes(stream, "user_id", "event_id", "at", "done", "value", 30.0, late="1 hour", idle_seconds=2 * years, slice_seconds=30 * 86_400.0)
+    late = length // 1_000_000 + 3600
+    episodes = R.record_episodes(stream, "user_id", "event_id", "at", "done", "value", 30.0, late=f"{late} seconds", idle_seconds=3.0 * (late + 86_400), slice_seconds=30 * 86_400.0)
 
     def each(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={n}")
         rows = df.sparkSession.read.schema(episodes.schema).parquet(f"{out}/batch={n}").where("closed")
         R.merge_batch(rows.select((F.col("user_id") % 3).alias("source"), *R.STATISTICS, F.col("length").alias("count")), n, store, ["source"])
 
-    J.run_to_end(episodes, "append", each, checkpoint, R.ROCKS)
-    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), F.timestamp_seconds(F.lit(years)).alias("at"), F.lit(0.0).alias("value"), F.lit(False).alias("done")).select(*[F.col(f.name).cast(f.dataType) for f in kind]).write.mode("append").parquet(clock)
-    J.run_to_end(episodes, "append", each, checkpoint, R.ROCKS)
+    conf = R.ROCKS | {"spark.sql.shuffle.partitions": str(min(48, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    J.run_to_end(episodes, "append", each, checkpoint, conf)
+    end = length + late * 1_000_000 + 2 * day
+    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), F.timestamp_micros(F.lit(end)).alias("at"), F.lit(0.0).alias("value"), F.lit(False).alias("done")).select(*[F.col(f.name).cast(f.dataType) for f in kind]).write.mode("append").parquet(clock)
+    J.run_to_end(episodes, "append", each, checkpoint, conf)
     return spark.read.schema(episodes.schema.add("batch", "long")).parquet(out).drop("batch"), store
 
 

@@ -100,6 +100,42 @@ def test_idle_gap_inside_a_batch(spark, tmp_path):
     assert told(rows.where("robot = 1")) == plain(frames, second(4_000))
 
 
+def test_keys_share_state(spark, tmp_path):
+    """Timers and state rows do not grow with the keys."""
+    frames = [(r, 1000 * r + i, second(7 * i + r % 5), float(r % 7 + i), i == r % 4) for r in range(1, 701) for i in range(4)] + [(None, i, second(3 * i), 1.0, False) for i in range(2)]
+    random.Random(1).shuffle(frames)
+    stream = batches(spark, str(tmp_path), [frames[:1500], frames[1500:], [(0, -1, second(5000), 0.0, False)]])
+    rows = R.record_episodes(stream, "robot", "frame", "at", "done", "value", 10.0, late="60 seconds", idle_seconds=100.0, slice_seconds=7.0)
+    out = f"{tmp_path}/out"
+    for k, v in R.ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        q = rows.writeStream.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+    finally:
+        for k in R.ROCKS:
+            spark.conf.unset(k)
+    q.awaitTermination()
+    got = spark.read.schema(rows.schema).parquet(out)
+    assert told(got.where("robot > 0")) == plain([f for f in frames if f[0]], second(4_900))
+    assert sorted((r.id, r.frame_index) for r in got.where("robot is null and id is not null").collect()) == [(0, 0), (1, 1)]
+    for p in q.recentProgress:
+        assert p.stateOperators[0].customMetrics["numRegisteredTimers"] <= 300
+
+
+def test_files_in_no_order_of_time_lose_no_event(spark, duck, same, tmp_path):
+    """More batches than two, each as old as the others; events before the epoch and without a time."""
+    import __spark_entry__
+
+    n = 40
+    (tmp_path / "events.parquet").mkdir()
+    events = "SELECT event_id, CASE WHEN event_id % 50 = 7 THEN NULL ELSE ts - INTERVAL 60 YEAR * (event_id % 2) END AS ts, user_id, event_type, value, props FROM events"
+    for i in range(n):
+        duck.sql(f"COPY (SELECT * FROM ({events}) WHERE hash(event_id) % {n} = {i}) TO '{tmp_path}/events.parquet/{i:03}.parquet' (FORMAT parquet)")
+    sql = __spark_entry__.oracle_sql()["str_episode_recorder"]
+    want = duck.sql(f"WITH events AS (FROM '{tmp_path}/events.parquet/*.parquet'), {sql.removeprefix('WITH ')}").df()
+    same(__spark_entry__.queries()["str_episode_recorder"](spark, str(tmp_path)).toPandas(), want)
+
+
 def test_open_frames_wait_for_the_next_run(spark, tmp_path):
     """A stream that is started again goes on with what it held."""
     stream = batches(spark, str(tmp_path), [[(1, 0, second(0), 1.0, False), (1, 2, second(8), 3.0, True)]])
