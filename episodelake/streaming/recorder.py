@@ -47,8 +47,8 @@ def _rows(packed: list[bytes]) -> pa.Table:
 class Recorder(StatefulProcessor):
     """Frames of a bucket of keys, held until the watermark has passed them, then numbered in each key's order.
 
-    A call to the state store costs as much as thousands of rows, so keys share
-    calls by buckets. Frames wait packed, in pieces of one slice of time each, so
+    Calls for each key would take nearly all the time, so keys share them by
+    buckets. Frames wait packed, in pieces of one slice of time each, so
     a step holds one slice of a bucket at most. Of a key only its open episode's
     number, count, moments and newest time are kept. A bucket has one timer, at
     its first waiting frame or the first end of an idle episode.
